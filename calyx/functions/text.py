@@ -31,12 +31,13 @@ _ENTITY_MAP = None
 
 
 def _entity_map() -> Column:
+    # One string literal parsed as a map: a two-node expression the
+    # optimizer folds to a constant (a 500-child map() would be re-analysed
+    # with every plan step).
     global _ENTITY_MAP
     if _ENTITY_MAP is None:
-        args = []
-        for k in sorted(ENTITY_TABLE):
-            args += [F.lit(k), F.lit(ENTITY_TABLE[k])]
-        _ENTITY_MAP = F.create_map(*args)   # all literals: folded to one constant
+        import json
+        _ENTITY_MAP = F.from_json(F.lit(json.dumps(ENTITY_TABLE, sort_keys=True)), "map<string,string>")
     return _ENTITY_MAP
 
 

@@ -21,6 +21,7 @@ from ..operators import links as L
 from ..operators import sections as S
 from ..operators import segment as G
 from ..sources import io as IO
+from ..session import spread
 from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,12 +37,18 @@ def register(name: str, sql: str | None):
     return deco
 
 
+TEXT_TABLES = ("pages", "documents", "conversations")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    # text tables carry per-row regex work: make sure every core gets rows
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return H.shred(table(spark, sf, "pages"))
+    # shred hash-partitions the pages itself; no extra spread needed
+    return H.shred(spark.read.parquet(f"{sf}/pages.parquet"))
 
 
 NODES = "WITH " + O.nodes_cte()
@@ -478,7 +485,7 @@ def course_with_subject_id(spark, sf):
 
 _SQL_TERMS = """WITH e AS (SELECT strftime(ts, '%Y%m%d') AS TermCode, event_type AS SubjectCode, ts FROM events),
 t AS (SELECT TermCode, min(ts) AS f, count(*) AS n FROM e GROUP BY TermCode),
-ti AS (SELECT TermCode, CAST(row_number() OVER (ORDER BY f) AS BIGINT) AS TermID, n FROM t)"""
+ti AS (SELECT TermCode, CAST(row_number() OVER (ORDER BY f, TermCode) AS BIGINT) AS TermID, n FROM t)"""
 
 
 def _terms_from_events(spark, sf):
@@ -490,16 +497,17 @@ def _terms_from_events(spark, sf):
 @register("term_subject_dim", _SQL_TERMS + """,
 s AS (SELECT TermCode, SubjectCode, min(ts) AS f, count(*) AS n FROM e GROUP BY TermCode, SubjectCode)
 SELECT s.TermCode AS term_code, ti.TermID AS term_id, s.SubjectCode AS subject_code,
-       CAST(row_number() OVER (PARTITION BY s.TermCode ORDER BY s.f) AS BIGINT) AS subject_id, s.n AS n_events
+       CAST(row_number() OVER (ORDER BY s.f, s.TermCode, s.SubjectCode) AS BIGINT) AS subject_id, s.n AS n_events
 FROM s JOIN ti USING (TermCode)""")
 def term_subject_dim(spark, sf):
     """A6 + A7 + A3: term dimension (ids from 1 by first appearance) and the
-    term-scoped subject dimension keyed by (term, subject code)."""
+    subject dimension keyed by (term, subject code), ids from 1 by first
+    appearance over all terms (one counter, as the reference keeps)."""
     e = _terms_from_events(spark, sf)
     t = e.groupBy("TermCode").agg(F.min("ts").alias("f"))
-    t = D.dense_ids(t, ["f"], name="term_id", base=1)
+    t = D.dense_ids(t, ["f", "TermCode"], name="term_id", base=1)
     s = e.groupBy("TermCode", "SubjectCode").agg(F.min("ts").alias("f"), F.count("*").alias("n_events"))
-    s = D.dense_ids(s, ["f"], name="subject_id", partition=["TermCode"], base=1)
+    s = D.dense_ids(s, ["f", "TermCode", "SubjectCode"], name="subject_id", base=1)
     return s.join(t.select("TermCode", "term_id"), "TermCode").select(
         F.col("TermCode").alias("term_code"), "term_id", F.col("SubjectCode").alias("subject_code"),
         "subject_id", "n_events")

@@ -62,3 +62,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread(df, target: int | None = None):
+    """Give row-local heavy work (regexes over whole texts) one task per
+    core even when the scan yields few splits (one big file, one row group).
+
+    Only when the input has fewer partitions than ``target`` (default: the
+    shuffle partition count) are rows spread round-robin with an explicit
+    count; a large multi-file input already has enough splits and passes
+    through untouched.
+    """
+    target = target or shuffle_partitions(df.sparkSession)
+    if df.rdd.getNumPartitions() * 2 <= target:
+        return df.repartition(target)
+    return df

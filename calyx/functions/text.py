@@ -41,9 +41,62 @@ def _entity_map() -> Column:
     return _ENTITY_MAP
 
 
+def sql_str(s: str) -> str:
+    """A Spark SQL string literal for ``s`` (backslashes and quotes escaped)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _entity_map_sql() -> str:
+    import json
+    return f"from_json({sql_str(json.dumps(ENTITY_TABLE, sort_keys=True))}, 'map<string,string>')"
+
+
+def decode_sql(x: str) -> str:
+    """SQL text of ``decode_entities`` over the SQL expression ``x``.
+
+    The same expression as the Column builder below, written as one string.
+    The reference body (``m``) and its code point (``cp``) are computed once
+    per piece in the first ``transform``.
+    """
+    m = "regexp_extract(p, " + sql_str(ENTITY_RE) + ", 1)"
+    cp = ("try_cast(CASE WHEN startswith(y.m, '#x') OR startswith(y.m, '#X') THEN conv(substring(y.m, 3, 8), 16, 10) "
+          "WHEN startswith(y.m, '#') THEN substring(y.m, 2, 8) END AS INT)")
+    parts = (f"transform(transform(split({x}, '&', -1), p -> named_struct('p', p, 'm', {m})), "
+             f"y -> named_struct('p', y.p, 'm', y.m, 'cp', {cp}))")
+    cpv = "(CASE WHEN x.cp > 0 AND x.cp <= 1114111 AND NOT (x.cp BETWEEN 55296 AND 57343) THEN x.cp ELSE 65533 END)"
+    ch = f"decode(unhex(lpad(hex({cpv}), 8, '0')), 'UTF-32')"
+    rep = f"(CASE WHEN startswith(x.m, '#') THEN {ch} ELSE try_element_at({_entity_map_sql()}, x.m) END)"
+    piece = (f"CASE WHEN i = 0 THEN x.p ELSE coalesce(concat({rep}, substring(x.p, length(x.m) + 2, 1073741824)), "
+             f"concat('&', x.p)) END")
+    return f"(CASE WHEN instr({x}, '&') = 0 THEN {x} ELSE array_join(transform({parts}, (x, i) -> {piece}), '') END)"
+
+
+def utrim_sql(x: str) -> str:
+    return f"regexp_replace({x}, {sql_str(f'^[{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+\\z')}, '')"
+
+
+def clean_sql(x: str) -> str:
+    y = f"regexp_replace({x}, '<[^>]*>', ' ')"
+    y = decode_sql(y)
+    y = f"replace({y}, {sql_str(chr(0xA0))}, ' ')"
+    y = f"regexp_replace({y}, {sql_str(WS + '+')}, ' ')"
+    return utrim_sql(y)
+
+
+def _name(c) -> str | None:
+    """SQL reference of a plain column name, else None."""
+    return f"`{c}`" if isinstance(c, str) else None
+
+
+# one alternative per reference kind: decimal, hex, named
+ENTITY_RE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
 def _codepoint_to_str(cp: Column) -> Column:
-    # UTF-32BE bytes of the code point, decoded; works for the whole
-    # Unicode range (``chr`` only covers 0-255).
+    # UTF-32BE bytes of the code point, decoded (``chr`` only covers 0-255).
+    # NUL, surrogates and values past U+10FFFF become U+FFFD, as in Go.
+    ok = (cp > 0) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
+    cp = F.when(ok, cp).otherwise(F.lit(0xFFFD))
     return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
 
 
@@ -53,29 +106,26 @@ def decode_entities(c: ColumnOrName) -> Column:
     The text is split on ``&``; each piece after the first starts where an
     ampersand was. A piece that begins with a known ``name;``, ``#ddd;`` or
     ``#xhh;`` is replaced, any other keeps its ``&``. One pass means
-    ``&amp;lt;`` gives ``&lt;`` (decoded once), as the reference does.
+    ``&amp;lt;`` gives ``&lt;`` (decoded once), as the reference does. The
+    reference body of each piece is extracted once (first ``transform``),
+    which keeps the expression small.
     """
+    if _name(c):
+        return F.expr(decode_sql(_name(c)))
     c = _c(c)
     emap = _entity_map()
+    parts = F.transform(F.split(c, "&", -1),
+                        lambda p: F.struct(p.alias("p"), F.regexp_extract(p, ENTITY_RE, 1).alias("m")))
+
+    def piece(x, i):
+        p, m = x["p"], x["m"]
+        cp = (F.when(m.startswith("#x") | m.startswith("#X"), F.conv(F.substring(m, 3, 8), 16, 10))
+              .otherwise(F.substring(m, 2, 8))).cast("int")
+        rep = F.when(m.startswith("#"), _codepoint_to_str(cp)).otherwise(F.try_element_at(emap, m))
+        rest = F.substring(p, F.length(m) + 2, 1 << 30)
+        return F.when(i == 0, p).otherwise(F.coalesce(F.concat(rep, rest), F.concat(F.lit("&"), p)))
 
-    def piece(p, i):
-        name = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*);", 1)
-        dec = F.regexp_extract(p, r"^#([0-9]{1,7});", 1)
-        hx = F.regexp_extract(p, r"^#[xX]([0-9A-Fa-f]{1,6});", 1)
-        named = F.element_at(emap, name)
-        return (F.when(i == 0, p)
-                .when((name != "") & named.isNotNull(),
-                      F.concat(named, F.substring(p, F.length(name) + 2, 1 << 30)))
-                .when(dec != "",
-                      F.concat(_codepoint_to_str(dec.cast("int")),
-                               F.substring(p, F.length(dec) + 3, 1 << 30)))
-                .when(hx != "",
-                      F.concat(_codepoint_to_str(F.conv(hx, 16, 10).cast("int")),
-                               F.substring(p, F.length(hx) + 4, 1 << 30)))
-                .otherwise(F.concat(F.lit("&"), p)))
-
-    return F.when(F.instr(c, "&") == 0, c).otherwise(
-        F.array_join(F.transform(F.split(c, "&", -1), piece), ""))
+    return F.when(F.instr(c, "&") == 0, c).otherwise(F.array_join(F.transform(parts, piece), ""))
 
 
 def strip_tags(c: ColumnOrName, repl: str = "") -> Column:
@@ -85,11 +135,15 @@ def strip_tags(c: ColumnOrName, repl: str = "") -> Column:
 
 def utrim(c: ColumnOrName) -> Column:
     """T4: trim Unicode white space on both ends (Spark's trim only takes spaces)."""
+    if _name(c):
+        return F.expr(utrim_sql(_name(c)))
     return F.regexp_replace(_c(c), f"^[{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+\\z", "")
 
 
 def clean(c: ColumnOrName) -> Column:
     """Tags -> space, entity decode, U+00A0 -> space, white-space runs -> one space, trim."""
+    if _name(c):
+        return F.expr(clean_sql(_name(c)))
     x = strip_tags(c, " ")
     x = decode_entities(x)
     x = F.regexp_replace(x, "\u00a0", " ")

@@ -31,15 +31,19 @@ from pyspark.sql import functions as F
 
 from ..functions.regex import WS, WS_BODY
 from ..session import shuffle_partitions
-from ..functions.text import clean, decode_entities
+from ..functions.text import clean, decode_entities, decode_sql, sql_str
 
 PID = "page_id"
 
-# The tokenizer (comment | script block | style block | tag with
-# quoted attributes | text run | lone '<'), the void elements of HTML and the
-# elements whose end tag may be omitted before a sibling of the same name.
-TOKEN_RE = (r"""(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"""
-            r"""|<(?:[^'">]++|"[^"]*+"|'[^']*+')*+>|[^<]+|<""")
+# The tokenizer (text run | comment | script block | style
+# block | tag with quoted attributes | lone '<'; tag names matched without
+# case, spelled out so the rest of the pattern runs case-sensitively), the
+# void elements of HTML and the elements whose end tag may be omitted before
+# a sibling of the same name.
+TOKEN_RE = (r"""(?s)[^<]++|<!--.*?-->"""
+            r"""|<[sS][cC][rR][iI][pP][tT]\b.*?</[sS][cC][rR][iI][pP][tT]>"""
+            r"""|<[sS][tT][yY][lL][eE]\b.*?</[sS][tT][yY][lL][eE]>"""
+            r"""|<(?:[^'">]++|"[^"]*+"|'[^']*+')*+>|<""")
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link",
              "meta", "param", "source", "track", "wbr"]
 IMPLIED_END_TAGS = ["p", "option"]
@@ -154,9 +158,12 @@ def me_type():
 
 def attr(name: str, tok: Column | str = "tok") -> Column:
     """Value of attribute ``name`` of a tag token, entity-decoded; "" when missing."""
-    tok = F.col(tok) if isinstance(tok, str) else tok
     pat = (rf"(?i)^<[^\t\n\f\r />]+[^>]*?[{WS_BODY}/]{name}{WS}*={WS}*"
            rf"""(?:"([^"]*)"|'([^']*)'|([^\t\n\f\r >]+))""")
+    if isinstance(tok, str):
+        t, q = f"`{tok}`", sql_str(pat)
+        raw = f"concat(regexp_extract({t}, {q}, 1), regexp_extract({t}, {q}, 2), regexp_extract({t}, {q}, 3))"
+        return F.expr(decode_sql(raw))
     raw = F.concat(F.regexp_extract(tok, pat, 1), F.regexp_extract(tok, pat, 2),
                    F.regexp_extract(tok, pat, 3))
     return decode_entities(raw)
@@ -289,7 +296,7 @@ def element_text(nodes: DataFrame, owner: Column, with_raw: bool = False) -> Dat
     g = x.groupBy(PID, "owner").agg(
         F.max(F.when(F.col("is_owner"), F.struct(*cols))).alias("_el"),
         F.expr("listagg(_piece, '') WITHIN GROUP (ORDER BY pos)").alias("_txt"))
-    return g.select(PID, "_el.*", decode_entities(F.coalesce("_txt", F.lit(""))).alias("text"))
+    return g.select(PID, "_el.*", F.expr(decode_sql("coalesce(_txt, '')")).alias("text"))
 
 
 def inner_html(nodes: DataFrame, owner: Column) -> DataFrame:

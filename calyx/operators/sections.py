@@ -64,6 +64,17 @@ def two_level_join(df: DataFrame, keys: list[str], order: str, cells: list[str],
                         .otherwise(F.col("_j"))).drop("_j")
 
 
+def cap_per_group(df: DataFrame, keys: list[str], order: list[str], n: int | None) -> DataFrame:
+    """O2: at most ``n`` rows per group in ``order`` (the reference asks its
+    source for 100 sections per subject). ``None`` (the default everywhere)
+    keeps every row."""
+    if n is None:
+        return df
+    from pyspark.sql import Window
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
 def first_terms(terms: DataFrame, order: str, n: int = 3) -> DataFrame:
     """O1: the first ``n`` terms in source order (top-k: partial per task)."""
     return terms.orderBy(order).limit(n)

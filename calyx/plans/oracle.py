@@ -31,18 +31,17 @@ def _entity_map() -> str:
 
 
 def decode(e: str) -> str:
-    name = r"regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1)"
-    dec = r"regexp_extract(p, '^#([0-9]{1,7});', 1)"
-    hx = r"regexp_extract(p, '^#[xX]([0-9A-Fa-f]{1,6});', 1)"
-    m = _entity_map()
-    piece = (f"CASE WHEN i = 1 THEN p "
-             f"WHEN {name} <> '' AND map_extract_value({m}, {name}) IS NOT NULL "
-             f"THEN map_extract_value({m}, {name}) || substr(p, length({name}) + 2) "
-             f"WHEN {dec} <> '' THEN chr(CAST({dec} AS INTEGER)) || substr(p, length({dec}) + 3) "
-             f"WHEN {hx} <> '' THEN chr(CAST('0x' || {hx} AS INTEGER)) || substr(p, length({hx}) + 4) "
-             f"ELSE '&' || p END")
-    return (f"(CASE WHEN strpos({e}, '&') = 0 THEN {e} ELSE array_to_string("
-            f"list_transform(string_split({e}, '&'), lambda p, i: {piece}), '') END)")
+    ent = r"regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);', 1)"
+    cp = ("TRY_CAST(CASE WHEN starts_with(y.m, '#x') OR starts_with(y.m, '#X') THEN '0x' || substr(y.m, 3) "
+          "WHEN starts_with(y.m, '#') THEN substr(y.m, 2) END AS INTEGER)")
+    ch = ("(CASE WHEN x.cp > 0 AND x.cp <= 1114111 AND NOT (x.cp BETWEEN 55296 AND 57343) "
+          "THEN chr(x.cp) ELSE chr(65533) END)")
+    rep = f"(CASE WHEN starts_with(x.m, '#') THEN {ch} ELSE map_extract_value({_entity_map()}, x.m) END)"
+    piece = f"CASE WHEN i = 1 THEN x.p ELSE coalesce({rep} || substr(x.p, length(x.m) + 2), '&' || x.p) END"
+    parts = (f"list_transform(list_transform(string_split({e}, '&'), lambda p: {{'p': p, 'm': {ent}}}), "
+             f"lambda y: {{'p': y.p, 'm': y.m, 'cp': {cp}}})")
+    return (f"(CASE WHEN strpos({e}, '&') = 0 THEN {e} ELSE "
+            f"array_to_string(list_transform({parts}, lambda x, i: {piece}), '') END)")
 
 
 def utrim(e: str) -> str:

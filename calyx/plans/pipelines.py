@@ -672,7 +672,8 @@ def html_prerequisites(docs: DataFrame) -> DataFrame:
 
 
 def section_courses(terms: DataFrame, classes: DataFrame, searches: DataFrame,
-                    descriptions: DataFrame, prerequisites: DataFrame, n_terms: int = 3) -> DataFrame:
+                    descriptions: DataFrame, prerequisites: DataFrame, n_terms: int = 3,
+                    max_per_subject: int | None = None) -> DataFrame:
     """The first ``n_terms`` terms (O1) x their subjects (terms without
     subjects skipped, F7) x search sections (S3) enriched 1:1 by
     (term, CRN) with description and prerequisite (J2); enrollment with
@@ -689,6 +690,7 @@ def section_courses(terms: DataFrame, classes: DataFrame, searches: DataFrame,
     sr = sr.select("TermCode", "SubjectCode", F.posexplode("_r.data").alias("s_ord", "d")).select(
         "TermCode", "SubjectCode", "s_ord", "d.*")
     s = tc.join(sr, ["TermCode", "SubjectCode"])
+    s = S.cap_per_group(s, ["TermCode", "SubjectCode"], ["s_ord"], max_per_subject)   # O2, off by default
     s = S.enrollment(s, F.col("enrollment"), F.col("maximumEnrollment"), F.col("waitCount"), F.col("waitCapacity"))
     dsc = html_description(descriptions).join(descriptions.select(PID, "term", "crn"), PID).drop(PID)
     pre = html_prerequisites(prerequisites).join(prerequisites.select(PID, "term", "crn"), PID).drop(PID)

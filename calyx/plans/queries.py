@@ -619,3 +619,64 @@ def csv_json_roundtrip(spark, sf):
     csv = IO.read_csv(spark, f"{out}/csv", schema)
     # both read-backs must hold the same rows; the JSON one is returned
     return back.join(csv.select("doc_id"), "doc_id", "left_semi")
+
+
+# ------------------------------------------------------- more of H and T
+
+@register("attr_selectors", NODES + f"""
+SELECT page_id, pos, tag, CASE WHEN tag = 'a' THEN {O.attr('tok', 'href')} ELSE {O.attr('tok', 'class')} END AS value
+FROM nodes WHERE is_elem AND (
+  (tag = 'a' AND {O.has_attr('tok', 'href')} AND starts_with({O.attr('tok', 'href')}, '/th'))
+  OR (tag = 'div' AND {O.has_attr('tok', 'class')} AND {O.attr('tok', 'class')} = 'ad'))""")
+def attr_selectors(spark, sf):
+    """H6 + H7: ``a[href^="/th"]`` and ``div[class="ad"]``."""
+    n = nodes(spark, sf)
+    a = H.sel(tag="a", attr_prefix={"href": "/th"})
+    d = H.sel(tag="div", attr_eq={"class": "ad"})
+    x = n.filter(a | d)
+    return x.select("page_id", F.col("pos").cast("long").alias("pos"), "tag",
+                    F.when(F.col("tag") == "a", H.attr("href")).otherwise(H.attr("class")).alias("value"))
+
+
+@register("heading_container_next", NODES + ", " + O.text_cte("h", "a.tag = 'h1'") + ", "
+          + O.text_cte("nx", "true") + f""",
+own AS (SELECT c.page_id, c.pos AS cpos, n.pos AS hpos, {O.decode('h.raw')} AS htext
+        FROM nodes c JOIN nodes n ON n.page_id = c.page_id AND n.pos > c.pos AND n.pos < c.end_pos
+        JOIN h ON h.page_id = n.page_id AND h.pos = n.pos
+        WHERE c.is_elem AND c.tag = 'article' AND n.is_elem AND n.tag = 'h1'),
+hit AS (SELECT page_id, cpos FROM own GROUP BY page_id, cpos
+        HAVING strpos(string_agg(htext, '' ORDER BY hpos), 'The') > 0),
+sib AS (SELECT page_id, pos, lead(pos) OVER (PARTITION BY page_id, parent ORDER BY pos) AS next_pos
+        FROM nodes WHERE is_elem),
+nt AS (SELECT o.page_id, o.cpos, o.hpos, {O.decode('nx.raw')} AS t
+       FROM own o JOIN hit USING (page_id, cpos) JOIN sib s ON s.page_id = o.page_id AND s.pos = o.hpos
+       JOIN nx ON nx.page_id = s.page_id AND nx.pos = s.next_pos)
+SELECT page_id, cpos AS pos, {O.clean("string_agg(t, '' ORDER BY hpos)")} AS next_text
+FROM nt GROUP BY page_id, cpos""")
+def heading_container_next(spark, sf):
+    """Containers (``article``) whose headings (``h1``) contain a word
+    -> text of the element after each such heading (the "Overview" rule)."""
+    from .extract import scoped_texts, staged_nodes, texts
+    n = staged_nodes(spark.read.parquet(f"{sf}/pages.parquet"))   # read by four branches
+    h = scoped_texts(n, H.sel(tag="article"), H.sel(tag="h1"))
+    hit = h.groupBy("page_id", "owner").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY pos)").alias("_t")) \
+           .filter(F.col("_t").contains("The")).select("page_id", "owner")
+    sib = H.siblings(n.filter("is_elem")).select("page_id", "pos", "next_pos")
+    hn = h.join(hit, ["page_id", "owner"]).join(sib, ["page_id", "pos"]).filter(F.col("next_pos").isNotNull())
+    want = hn.select("page_id", F.col("next_pos").alias("pos")).distinct().withColumn("_at", F.lit(True))
+    tn = texts(n.join(want, ["page_id", "pos"], "left").fillna(False, ["_at"]), F.col("_at")) \
+        .select("page_id", F.col("pos").alias("next_pos"), F.col("text").alias("ntext"))
+    g = hn.join(tn, ["page_id", "next_pos"]).groupBy("page_id", "owner").agg(
+        F.expr("listagg(ntext, '') WITHIN GROUP (ORDER BY pos)").alias("_n"))
+    return g.select("page_id", F.col("owner").cast("long").alias("pos"), T.clean("_n").alias("next_text"))
+
+
+@register("slice_markers", """
+WITH p AS (SELECT page_id, html, strpos(html, '<article>') AS s,
+                  length(regexp_extract(html, '(?s)^(.*</p>)', 1)) AS e FROM pages)
+SELECT page_id, CASE WHEN s > 0 AND e >= s THEN substr(html, s, e - s + 1) ELSE '' END AS slice FROM p""")
+def slice_markers(spark, sf):
+    """T15 + T18: text from the first ``<article>`` to the end of the last
+    ``</p>`` ("" when a marker is missing)."""
+    p = table(spark, sf, "pages")
+    return p.select("page_id", T.slice_between("html", "<article>", "</p>").alias("slice"))

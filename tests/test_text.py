@@ -21,7 +21,16 @@ def one(spark, expr_fn, value):
     ("", ""),
 ])
 def test_clean(spark, raw, want):
-    assert one(spark, T.clean, raw) == want
+    assert one(spark, T.clean, raw) == want                     # Column builder
+    df = spark.createDataFrame([(raw,)], "s string")
+    assert df.select(T.clean("s").alias("r")).collect()[0]["r"] == want   # SQL text builder
+
+
+@pytest.mark.parametrize("raw", ["&#0;&#55296;&#99999999;&#x110000;", "a&b&amp;amp;&#x263A;&apos;&AElig;", "&&;&#;&#x;"])
+def test_decode_paths_agree(spark, raw):
+    df = spark.createDataFrame([(raw,)], "s string")
+    r = df.select(T.decode_entities(F.col("s")).alias("a"), T.decode_entities("s").alias("b")).collect()[0]
+    assert r["a"] == r["b"]
 
 
 def test_unicode_trim_and_ascii(spark):

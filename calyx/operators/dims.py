@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
+from ..session import checkpoint_dir, shuffle_partitions
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -34,7 +34,8 @@ def dense_ids(df: DataFrame, order: list[str], name: str = "id", partition: list
     the same ``partition`` key in earlier tasks. The offsets table has one
     row per (task, partition key), so it stays small whatever the skew.
     ``order`` must be unique within ``partition`` (ties make ids depend on
-    sort stability).
+    sort stability). The numbered frame is checkpointed once, so the counts
+    and the rows come from the same materialised task assignment.
     """
     partition = list(partition)
     n = partitions or shuffle_partitions(df.sparkSession)
@@ -44,6 +45,12 @@ def dense_ids(df: DataFrame, order: list[str], name: str = "id", partition: list
          .withColumn("_local", F.monotonically_increasing_id()))
     # monotonically_increasing_id = (task << 33) + row index inside the task
     r = r.withColumn("_local", F.col("_local") - F.shiftleft(F.col("_tid").cast("long"), 33))
+    # The numbered rows feed two branches (the rows and the per-task
+    # counts): both must see the same task assignment, so the frame is
+    # materialised once (reliable checkpoint in the shared folder; it also
+    # keeps ids stable when an executor is lost and a stage re-runs).
+    checkpoint_dir(df.sparkSession)
+    r = r.checkpoint(eager=True)
     cnt = r.groupBy("_tid", *partition).agg(F.count("*").alias("_n"), F.min("_local").alias("_lo"))
     w = Window.partitionBy(*partition).orderBy("_tid") if partition else Window.orderBy("_tid")
     cnt = cnt.withColumn("_off", F.coalesce(

@@ -728,6 +728,16 @@ def section_export(courses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     return c, terms, subjects
 
 
+def write_section_export(courses: DataFrame, out: str, prefix: str = "sections") -> None:
+    """K1 + K3 + K4 + K2 for P1: raw rows, courses with ids (term and
+    subject texts blanked), terms and term-scoped subjects as JSON lines."""
+    c, t, sj = section_export(courses)
+    IO.write_json(courses.drop("ord"), f"{out}/{prefix}-raw", omit_empty=False)
+    IO.write_json(c.drop("ord"), f"{out}/{prefix}-courses", omit_empty=False)
+    IO.write_json(t, f"{out}/{prefix}-terms", omit_empty=False)
+    IO.write_json(sj, f"{out}/{prefix}-subjects", omit_empty=False)
+
+
 # ============================================================== P0
 
 COURSE_JSON = ["subjectId", "SubjectName", "Link", "name", "numericCode", "courseCode", "description",

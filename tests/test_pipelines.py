@@ -167,3 +167,23 @@ def test_p0_export_subjects(spark):
     csv = P.courses_csv(courses)
     assert csv.columns[:4] == ["SubjectID", "SubjectName", "SubjectDescription", "Name"]
     assert rows(P.filter_code(courses, "EDUC"), "NumericCode") == [("101/3.0",), ("102",)]
+
+
+def test_p11_from_text_file_and_p1_writer(spark, tmp_path):
+    from calyx.sources import io as IO
+    f = tmp_path / "calendar.txt"
+    f.write_text(X.TEXT_DOC)
+    ls = IO.read_text_lines(spark, str(f))                      # S5: whole file, order kept
+    assert [r["line"] for r in ls.orderBy("line_no").collect()] == X.TEXT_DOC.split("\n")
+    docs = spark.read.text(str(f), wholetext=True).selectExpr("0L as doc_id", "value as text")
+    assert P.text_courses(docs).count() == 3
+    terms = spark.createDataFrame([(X.TERMS,)], "body string")
+    classes = spark.createDataFrame(X.CLASSES, "term_code string, body string")
+    searches = spark.createDataFrame(X.SEARCHES, "term_code string, subject_code string, body string")
+    descs = spark.createDataFrame(X.DESCRIPTIONS, "page_id long, term string, crn string, html string")
+    pre = spark.createDataFrame(X.PREREQS, "page_id long, term string, crn string, html string")
+    s = P.section_courses(terms, classes, searches, descs, pre, max_per_subject=1)
+    out = str(tmp_path / "out")
+    P.write_section_export(s, out)
+    t = spark.read.json(f"{out}/sections-terms")
+    assert rows(t, "TermID", "TermName") == [(1, "Winter 2023"), (2, "Fall 2023")]

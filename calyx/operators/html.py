@@ -75,77 +75,76 @@ def tokens(pages: DataFrame, cluster: bool = True, partitions: int | None = None
             .when(tok.rlike(r"^<[A-Za-z]"), "open")
             .when(tok.startswith("<") & (F.length(tok) > 1), "other")
             .otherwise("text"))
-    t = t.withColumn("kind", kind)
-    tag = F.when(F.col("kind").isin("open", "close", "raw"),
+    # open, close and raw tokens are exactly those starting "<x" or "</x"
+    tag = F.when(tok.rlike(r"^</?[A-Za-z]"),
                  F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1))).otherwise("")
-    return t.withColumn("tag", tag).select(PID, "pos", "n_tok", "tok", "kind", "tag")
+    return t.select(PID, "pos", "n_tok", "tok", kind.alias("kind"), tag.alias("tag"))
 
 
 # --------------------------------------------------------------------- H2
 
+def _ev(pos, order: int, delta: int, me: bool) -> Column:
+    return F.struct(pos.alias("ep"), F.lit(order).alias("eo"), F.lit(delta).alias("dl"), F.lit(me).alias("me"))
+
+
 def shred(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     """H1+H2: the node table of pages.
 
     Columns: page_id, pos, n_tok, tok, kind, tag, is_elem, end, level,
-    parent, parent_tag. ``end`` is the position of the token that ends the element
-    (exclusive; the element's content is ``pos < x < end``); ``parent`` is
-    the position of the enclosing element (NULL at top level).
+    parent, parent_tag. ``end`` is the position of the token that ends the
+    element (exclusive; the element's content is ``pos < x < end``);
+    ``parent`` is the position of the enclosing element (NULL at top level).
+    Written as few wide steps: every step re-analyses the plan on the driver.
     """
     t = tokens(pages, cluster=True, partitions=partitions)
-    kind, tag = F.col("kind"), F.col("tag")
+    kind, tag, pos = F.col("kind"), F.col("tag"), F.col("pos")
+    is_elem = kind.isin("open", "raw")
     is_void = (kind == "raw") | tag.isin(VOID_TAGS) | ((kind == "open") & F.col("tok").rlike(r"/>\z"))
-    is_implied = tag.isin(IMPLIED_END_TAGS) & ~is_void
-    t = t.withColumn("is_elem", kind.isin("open", "raw"))
-    t = t.withColumn("ecls", F.when(~F.col("is_elem"), None)
-                     .when(is_void, "void").when(is_implied, "implied").otherwise("paired"))
+    ecls = (F.when(~is_elem, None).when(is_void, "void")
+            .when(tag.isin(IMPLIED_END_TAGS), "implied").otherwise("paired"))
+    t = t.select("*", is_elem.alias("is_elem"), ecls.alias("ecls"))
 
     # Tag matching, per (page, tag): running depth; an open at depth d is
     # closed by the next event at the same level if that is a close.
+    ecls = F.col("ecls")
     paired_ev = (tag != "") & ~tag.isin(VOID_TAGS) & ~tag.isin(IMPLIED_END_TAGS) & (
-        (F.col("ecls") == "paired") | (kind == "close"))
+        (ecls == "paired") | (kind == "close"))
     delta = F.when(paired_ev & (kind == "open"), 1).when(paired_ev & (kind == "close"), -1).otherwise(0)
     w_tag = Window.partitionBy(PID, "tag").orderBy("pos")
-    t = t.withColumn("_d", F.sum(delta).over(w_tag.rowsBetween(Window.unboundedPreceding, 0)))
-    t = t.withColumn("_lvl", F.when(kind == "close", F.col("_d") + 1).otherwise(F.col("_d")))
-    t = t.withColumn("_next_tagtok", F.lead("pos").over(w_tag))  # for implied ends
-    w_lvl = Window.partitionBy(PID, "tag", "_lvl").orderBy("pos")
-    t = t.withColumn("_nk", F.lead("kind").over(w_lvl)).withColumn("_np", F.lead("pos").over(w_lvl))
-    end_known = (F.when(F.col("ecls") == "void", F.col("pos"))
-                 .when(F.col("ecls") == "implied", F.col("_next_tagtok"))
-                 .when((F.col("ecls") == "paired") & (F.col("_nk") == "close"), F.col("_np")))
-    t = t.withColumn("_end", end_known).drop("_d", "_lvl", "_nk", "_np", "_next_tagtok")
+    t = t.select("*", F.sum(delta).over(w_tag.rowsBetween(Window.unboundedPreceding, 0)).alias("_d"),
+                 F.lead("pos").over(w_tag).alias("_next_tagtok"))       # next p/option token
+    lvl = F.when(kind == "close", F.col("_d") + 1).otherwise(F.col("_d"))
+    w_lvl = Window.partitionBy(F.col(PID), tag, lvl).orderBy("pos")
+    t = t.select("*", F.lead("kind").over(w_lvl).alias("_nk"), F.lead("pos").over(w_lvl).alias("_np"))
+    end_known = (F.when(ecls == "void", pos).when(ecls == "implied", F.col("_next_tagtok"))
+                 .when((ecls == "paired") & (F.col("_nk") == "close"), F.col("_np")))
 
     # Structural depth, per page: +1 at the open of an element with a known
     # end, -1 at its end; ties put ends first. Unclosed and void elements
     # add nothing (they are leaves of the tree).
-    structural = F.col("is_elem") & (F.col("ecls") != "void") & F.col("_end").isNotNull()
-    ev = F.when(structural, F.array(
-        F.struct(F.col("pos").alias("ep"), F.lit(1).alias("eo"), F.lit(1).alias("dl"), F.lit(True).alias("me")),
-        F.struct(F.col("_end").alias("ep"), F.lit(0).alias("eo"), F.lit(-1).alias("dl"), F.lit(False).alias("me")),
-    )).otherwise(F.array(
-        F.struct(F.col("pos").alias("ep"), F.lit(1).alias("eo"), F.lit(0).alias("dl"), F.lit(True).alias("me"))))
-    t = t.withColumn("_st", structural).select("*", F.explode(ev).alias("_e"))
+    structural = F.col("is_elem") & (ecls != "void") & end_known.isNotNull()
+    ev = F.when(structural, F.array(_ev(pos, 1, 1, True), _ev(end_known, 0, -1, False))) \
+          .otherwise(F.array(_ev(pos, 1, 0, True)))
+    keep = [PID, "pos", "n_tok", "tok", "kind", "tag", "is_elem"]
+    t = t.select(*keep, end_known.alias("_end"), structural.alias("_st"), F.explode(ev).alias("_e"))
     w_page = Window.partitionBy(PID).orderBy("_e.ep", "_e.eo").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("_s", F.sum("_e.dl").over(w_page)).filter("_e.me")
-    t = t.withColumn("level", F.when(F.col("_st"), F.col("_s")).otherwise(F.col("_s") + 1))
-    t = t.withColumn("_plevel", F.col("level") - 1)
+    t = t.select("*", F.sum("_e.dl").over(w_page).alias("_s")).filter("_e.me")
 
     # Parent: the last structural element opened at the parent's level.
-    me = F.struct(F.col("pos").alias("p"), F.col("_end").alias("e"), F.col("tag").alias("t"))
+    level = F.when(F.col("_st"), F.col("_s")).otherwise(F.col("_s") + 1)
+    me = F.struct(pos.alias("p"), F.col("_end").alias("e"), tag.alias("t"))
+    none = F.lit(None).cast(me_type())
     rows = F.when(F.col("_st"), F.array(
-        F.struct(F.col("level").alias("k"), F.lit(0).alias("q"), me.alias("cand")),
-        F.struct(F.col("_plevel").alias("k"), F.lit(1).alias("q"), F.lit(None).cast(me_type()).alias("cand")),
-    )).otherwise(F.array(
-        F.struct(F.col("_plevel").alias("k"), F.lit(1).alias("q"), F.lit(None).cast(me_type()).alias("cand"))))
-    t = t.select("*", F.explode(rows).alias("_r"))
-    w_k = (Window.partitionBy(PID, "_r.k").orderBy("pos", "_r.q")
-           .rowsBetween(Window.unboundedPreceding, 0))
-    t = t.withColumn("_par", F.last("_r.cand", ignorenulls=True).over(w_k)).filter("_r.q = 1")
-    t = t.withColumn("_par", F.when(F.col("_plevel") > 0, F.col("_par")))
-    end = (F.when(~F.col("is_elem"), F.col("pos"))
-           .otherwise(F.coalesce(F.col("_end"), F.col("_par.e"), F.col("n_tok"))))
+        F.struct(level.alias("k"), F.lit(0).alias("q"), me.alias("cand")),
+        F.struct((level - 1).alias("k"), F.lit(1).alias("q"), none.alias("cand")),
+    )).otherwise(F.array(F.struct((level - 1).alias("k"), F.lit(1).alias("q"), none.alias("cand"))))
+    t = t.select(*keep, "_end", level.alias("level"), F.explode(rows).alias("_r"))
+    w_k = Window.partitionBy(PID, "_r.k").orderBy("pos", "_r.q").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.select("*", F.last("_r.cand", ignorenulls=True).over(w_k).alias("_par")).filter("_r.q = 1")
+    par = F.when(F.col("level") > 1, F.col("_par"))
+    end = F.when(~F.col("is_elem"), pos).otherwise(F.coalesce(F.col("_end"), par["e"], F.col("n_tok")))
     return t.select(PID, "pos", "n_tok", "tok", "kind", "tag", "is_elem", end.alias("end"),
-                    "level", F.col("_par.p").alias("parent"), F.col("_par.t").alias("parent_tag"))
+                    "level", par["p"].alias("parent"), par["t"].alias("parent_tag"))
 
 
 def me_type():

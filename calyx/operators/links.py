@@ -110,7 +110,19 @@ def template_url(fmt: str, *cols: ColumnOrName) -> Column:
     return F.format_string(fmt, *[_c(c) for c in cols])
 
 
-def frontier(links: DataFrame, landed: DataFrame, url_col: str = "url") -> tuple[DataFrame, DataFrame]:
-    """(still to land, already landed) - anti and semi join on url."""
-    pages = landed.select(F.col(url_col)).distinct()
-    return (links.join(pages, url_col, "left_anti"), links.join(pages, url_col, "left_semi"))
+def frontier(links: DataFrame, landed: DataFrame, url_col: str = "url") -> DataFrame:
+    """Every link with ``landed`` = its target is already a page.
+
+    One left join against the distinct landed URLs gives both sides of the
+    frontier in a single pass over the links (the anti and semi joins would
+    each recompute them).
+    """
+    pages = landed.select(F.col(url_col)).distinct().withColumn("_landed", F.lit(True))
+    return links.join(pages, url_col, "left").withColumn(
+        "landed", F.coalesce(F.col("_landed"), F.lit(False))).drop("_landed")
+
+
+def to_land(links: DataFrame, landed: DataFrame, url_col: str = "url") -> DataFrame:
+    """Links whose target is not landed yet (anti join): the next
+    crawl level's inputs."""
+    return links.join(landed.select(F.col(url_col)).distinct(), url_col, "left_anti")

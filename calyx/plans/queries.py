@@ -394,12 +394,12 @@ d AS (SELECT DISTINCT regexp_replace(url, '#.*', '') AS url FROM la)
 SELECT url, CASE WHEN url IN (SELECT regexp_replace(url, '#.*', '') FROM pages) THEN 'landed' ELSE 'to_land' END AS status
 FROM d""")
 def frontier_anti(spark, sf):
-    """L11 + J6: link targets split into landed (semi join) and still to
-    land (anti join) against the pages table."""
+    """L11 + J6: link targets marked landed or still to land against the
+    pages table (one left join with a flag, a single pass over the links)."""
     la = _abs_links(spark, sf).select(L.drop_fragment("url").alias("url")).distinct()
     pages = table(spark, sf, "pages").select(L.drop_fragment("url").alias("url"))
-    todo, landed = L.frontier(la, pages)
-    return todo.withColumn("status", F.lit("to_land")).unionByName(landed.withColumn("status", F.lit("landed")))
+    f = L.frontier(la, pages)
+    return f.select("url", F.when(F.col("landed"), "landed").otherwise("to_land").alias("status"))
 
 
 @register("page_range_expand", """

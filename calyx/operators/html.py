@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.regex import WS, WS_BODY
-from ..session import shuffle_partitions
+from ..session import cluster_by
 from ..functions.text import clean, decode_entities, decode_sql, sql_str
 
 PID = "page_id"
@@ -62,9 +62,9 @@ def tokens(pages: DataFrame, cluster: bool = True, partitions: int | None = None
     """
     p = pages.select(F.col(id_col).alias(PID), F.col(html_col).alias("html"))
     if cluster:
-        # An explicit count: AQE must not coalesce this exchange - it carries
-        # compact html, but the work after it is the (much larger) token rows.
-        p = p.repartition(partitions or shuffle_partitions(pages.sparkSession), PID)
+        # One exchange of compact html (none when the pages are bucketed by
+        # page_id), sized explicitly: the token rows after it are larger.
+        p = cluster_by(p, PID, partitions)
     t = p.select(PID, F.regexp_extract_all("html", F.lit(TOKEN_RE), 0).alias("toks"))
     t = t.select(PID, F.size("toks").alias("n_tok"), F.posexplode("toks").alias("pos", "tok"))
     tok = F.col("tok")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cluster_by
+
 ColumnOrName = Column | str
 
 
@@ -18,9 +20,17 @@ def _c(x):
     return F.col(x) if isinstance(x, str) else x
 
 
-def lines(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """Text -> (id, line_no, line) split on ``\\n``, order kept."""
-    return df.select(id_col, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
+def lines(df: DataFrame, id_col: str, text_col: str = "text", cluster: bool = True) -> DataFrame:
+    """Text -> (id, line_no, line) split on ``\\n``, order kept.
+
+    With ``cluster`` the documents are hash-partitioned on the id before the
+    explode (nothing moves when they are bucketed by it), so every later
+    window or aggregate by document reuses that one exchange.
+    """
+    d = df.select(id_col, text_col)
+    if cluster:
+        d = cluster_by(d, id_col)
+    return d.select(id_col, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
 
 
 def segment(ls: DataFrame, id_col: str, is_header: Column, keep_preamble: bool = True) -> DataFrame:

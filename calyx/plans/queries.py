@@ -261,7 +261,8 @@ LICENSE_LINE = r"(?i)(rights reserved|licen[cs]e|copyright)"
 
 
 def _doc_lines(spark, sf):
-    return G.lines(table(spark, sf, "documents"), "doc_id")
+    # lines() hash-clusters the documents by id itself: no spread first
+    return G.lines(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
 
 
 _SQL_LINES = """WITH ls AS (SELECT doc_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS BIGINT) AS line_no,

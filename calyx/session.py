@@ -16,6 +16,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # A table bucketed by page_id / doc_id is landed for its partitioning:
+    # keep the bucketed scan even where Spark would judge it unneeded.
+    "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Large pages become large rows; let a file split carry several.
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
@@ -77,3 +80,33 @@ def spread(df, target: int | None = None):
     if df.rdd.getNumPartitions() * 2 <= target:
         return df.repartition(target)
     return df
+
+
+# Compressed input bytes per task when a per-page/per-document exchange is
+# sized from the input (the rows grow several times once exploded).
+CLUSTER_TARGET_BYTES = 128 * 1024 * 1024
+
+
+def is_clustered_by(df, key: str) -> bool:
+    """True when ``df`` is already hash-partitioned on ``key`` alone (for
+    example a table bucketed by ``key``), so per-key windows need no shuffle."""
+    part = df._jdf.queryExecution().executedPlan().outputPartitioning()
+    if part.getClass().getSimpleName() != "HashPartitioning":
+        return False
+    exprs = part.expressions()
+    return exprs.size() == 1 and exprs.apply(0).toString().split("#", 1)[0] == key
+
+
+def cluster_by(df, key: str, partitions: int | None = None):
+    """Hash-partition ``df`` on ``key`` once, unless it already is.
+
+    The count is explicit (AQE must not coalesce: the rows grow after this
+    exchange) and grows with the input: at least the shuffle partition
+    count, and one task per ``CLUSTER_TARGET_BYTES`` of estimated input.
+    """
+    if is_clustered_by(df, key):
+        return df
+    if partitions is None:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        partitions = max(shuffle_partitions(df.sparkSession), -(-size // CLUSTER_TARGET_BYTES))
+    return df.repartition(partitions, key)

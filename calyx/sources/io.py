@@ -51,6 +51,22 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
 
+def land_bucketed(df: DataFrame, name: str, key: str = "page_id", buckets: int | None = None,
+                  path: str | None = None) -> DataFrame:
+    """Land pages (or documents) once as a table bucketed and sorted by
+    ``key`` in the shared folder, and return its scan.
+
+    Every per-page (per-document) window downstream then runs without any
+    shuffle: the scan reports the hash partitioning on ``key``.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    where = path or scratch_path(spark, f"table-{name}")
+    (df.write.mode("overwrite").bucketBy(n, key).sortBy(key)
+     .option("path", where).saveAsTable(name))
+    return spark.table(name)
+
+
 # -------------------------------------------------------------------- sinks
 
 def scratch_path(spark: SparkSession, name: str) -> str:

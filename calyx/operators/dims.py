@@ -10,7 +10,7 @@ global window, so no single task holds a whole dimension.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, shuffle_partitions

@@ -42,10 +42,6 @@ def _m(c: Column | str, pattern: str) -> Column:
     return c.rlike(J(pattern))
 
 
-def _page_urls(pages: DataFrame) -> DataFrame:
-    return pages.select(PID, "url")
-
-
 def _pages_at(pages: DataFrame, urls: DataFrame, url_col: str) -> DataFrame:
     """Pages landed for the URLs in ``urls`` (J3: parent row -> child page)."""
     return urls.join(pages.select(PID, F.col("url").alias(url_col)), url_col)

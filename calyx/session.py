@@ -20,6 +20,12 @@ DEFAULT_CONF = {
     # keep the bucketed scan even where Spark would judge it unneeded.
     "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The driver keeps a status record (with the plan text) of every job and
+    # SQL execution; pipelines run many, so keep only recent ones.
+    "spark.sql.ui.retainedExecutions": "50",
+    "spark.ui.retainedJobs": "200",
+    "spark.ui.retainedStages": "200",
+    "spark.ui.retainedTasks": "20000",
     # Large pages become large rows; let a file split carry several.
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
 }
@@ -85,6 +91,7 @@ def spread(df, target: int | None = None):
 # Compressed input bytes per task when a per-page/per-document exchange is
 # sized from the input (the rows grow several times once exploded).
 CLUSTER_TARGET_BYTES = 128 * 1024 * 1024
+MAX_CLUSTER_PARTITIONS = 1 << 20
 
 
 def is_clustered_by(df, key: str) -> bool:
@@ -107,6 +114,22 @@ def cluster_by(df, key: str, partitions: int | None = None):
     if is_clustered_by(df, key):
         return df
     if partitions is None:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        partitions = max(shuffle_partitions(df.sparkSession), -(-size // CLUSTER_TARGET_BYTES))
-    return df.repartition(partitions, key)
+        partitions = shuffle_partitions(df.sparkSession)
+        size = _scan_bytes(df)
+        if size is not None:
+            partitions = max(partitions, min(-(-size // CLUSTER_TARGET_BYTES), MAX_CLUSTER_PARTITIONS))
+    return df.repartition(int(partitions), key)
+
+
+def _scan_bytes(df) -> int | None:
+    """Bytes of the files when ``df`` is a file scan under projections and
+    filters only; None otherwise. Estimates through joins or in-memory data
+    are not sizes (without cost-based statistics a join's estimate is the
+    product of its inputs, and unknown sizes read as Long.MaxValue)."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.getClass().getSimpleName() in ("Project", "Filter"):
+        node = node.child()
+    if node.getClass().getSimpleName() != "LogicalRelation":
+        return None
+    size = int(str(node.stats().sizeInBytes()))
+    return size if size < (1 << 62) else None

@@ -9,7 +9,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from calyx.session import checkpoint_dir, get_spark
-    s = get_spark("local[4]", app="calyx-tests", shuffle_partitions=4)
+    s = get_spark("local[4]", app="calyx-tests", shuffle_partitions=4,
+                  extra={"spark.driver.memory": "4g"})
     checkpoint_dir(s)
     yield s
     s.stop()

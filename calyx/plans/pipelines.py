@@ -70,6 +70,7 @@ def _fold_overwrite(rows: DataFrame, keys: list[str], idx: str, set_kind: str, s
 
 # ============================================================== P2
 
+# The calendar patterns (courses anchor, block title, heading, prerequisite).
 P2_START = r'<a\s*(?:name="courses")?\s*id=".*?courses">'
 P2_BLOCK = r"^(?:<b>)?([A-Z]{4})\s*(\d+)<i>\s*(.*?)</i>"
 P2_HEAD = r'<a\s*(?:name=".*?")\s*id=".*?"\s*>.*?</a>.*<br>'
@@ -147,6 +148,7 @@ def calendar(pages: DataFrame) -> DataFrame:
 
 # ============================================================== P11
 
+# The six block patterns of the text calendar.
 P11_CODE = r"^[^A-Z]?([A-Z]+)\s+(\d+/\d+)\.\d+\s*([A-Z][^\n]*)"
 P11_DESC = r"(?s)^[^A-Z]?[A-Z]+\s+\d+/\d+\.\d+\s*[A-Z][^\n]*(.*?)(?:PREREQUISITE|EXCLUSION|ONE-WAY)"
 P11_DESC2 = r"(?s)^[^A-Z]?[A-Z]+\s+\d+/\d+\.\d+\s*[A-Z][^\n]*(.*)"
@@ -179,6 +181,7 @@ def text_courses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 # ============================================================== P5
 
+# Header, prerequisite, exclusion and corequisite patterns.
 P5_TITLE = r".?([A-Z]{4})-([\d*/]+)\s*(.*)"
 P5_PRE = r"PREREQUISITE:\s*(?:OR\s*COREQUISITES:)?\s*(.*)"
 P5_EXCL = r"EXCLUSION:\s*(.*)"
@@ -235,6 +238,7 @@ def paragraph_courses(pages: DataFrame, index_url: str,
 
 # ============================================================== P10
 
+# The data-title pattern and the three markup patterns.
 P10_TITLE = r"COMM\s*(.*):\s*(.*)"
 P10_PRE = r"Prerequisite\s*-\s*(.*?)\s*(?:<br/>|</p>)"
 P10_CO = r"Corequisite\s*-\s*(.*)\s*"
@@ -269,6 +273,7 @@ def modal_courses(pages: DataFrame, index_url: str, base: str = "https://smith.q
 
 # ============================================================== P12
 
+# Header, description-line and prerequisite patterns.
 P12_TITLE = r"^([A-Z]{4})\s*([\d/\.]+)\s*(.*)"
 P12_DESC = r"</strong>.*\n(.*)"
 P12_PRE = r"PREREQUISITE:\s*(.*)"
@@ -300,6 +305,7 @@ def strong_courses(pages: DataFrame) -> DataFrame:
 
 # ============================================================== P8
 
+# The course-code pattern.
 P8_CODE = r"^([A-Z]+)\s*(\d+)"
 
 
@@ -342,6 +348,7 @@ def list_item_courses(pages: DataFrame, index_url: str,
 
 # ============================================================== P9
 
+# The outline name pattern and the outline link prefix.
 P9_NAME = r"^([A-Z]{3})(\d{3})\s*-\s*(.*)$"
 P9_OUTLINE = "https://apps.senecacollege.ca/ssos/findOutline.do?subjectCode="
 
@@ -405,6 +412,8 @@ def outline_courses(pages: DataFrame, index_url: str, base: str = "https://www.s
 
 # ============================================================== P4
 
+# Title (with and without credits), subject, prerequisite and restriction
+# patterns, and the listing page URL.
 P4_TITLE = r"([A-Z]{4})\s*([\dA-Za-z]+)\s*(.*?)\s*\d*\s*\("
 P4_TITLE2 = r"([A-Z]{4})\s*([\dA-Za-z]+)\s*(.*)\s*"
 P4_SUBJ = r"^(.*?)\s*:\s*(.*)"
@@ -481,6 +490,7 @@ def detail_courses(pages: DataFrame, listing_url: str, page_url: str = P4_PAGE_U
 
 # ============================================================== P6
 
+# The site base and the course-code pattern.
 P6_BASE = "https://courses.students.ubc.ca"
 P6_CODE = r"^([A-Z]+)\s*(\d.*)"
 def _p6_row() -> Column:
@@ -546,6 +556,7 @@ def table_courses(pages: DataFrame, start_url: str, base: str = P6_BASE) -> Data
 
 # ============================================================== P7
 
+# The outline prefix and the description pattern.
 P7_PREFIX = "https://ulysses.sheridanc.on.ca/coutline/"
 P7_DESC = r"(?s)Detailed Description(.*?)Program Context"
 

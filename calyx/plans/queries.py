@@ -46,9 +46,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
+_NODES: dict = {}
+
+
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    # shred hash-partitions the pages itself; no extra spread needed
-    return H.shred(spark.read.parquet(f"{sf}/pages.parquet"))
+    """The node table of the pages at ``sf`` (shred hash-partitions the pages
+    itself). The DataFrame - a lazy plan, nothing materialised - is reused by
+    every page query of the session, so its analysis is done once."""
+    key = (id(spark), sf)
+    if key not in _NODES:
+        _NODES[key] = H.shred(spark.read.parquet(f"{sf}/pages.parquet"))
+    return _NODES[key]
 
 
 NODES = "WITH " + O.nodes_cte()

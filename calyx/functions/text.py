@@ -120,7 +120,7 @@ def decode_entities(c: ColumnOrName) -> Column:
     def piece(x, i):
         p, m = x["p"], x["m"]
         cp = (F.when(m.startswith("#x") | m.startswith("#X"), F.conv(F.substring(m, 3, 8), 16, 10))
-              .otherwise(F.substring(m, 2, 8))).cast("int")
+              .otherwise(F.substring(m, 2, 8))).try_cast("int")
         rep = F.when(m.startswith("#"), _codepoint_to_str(cp)).otherwise(F.try_element_at(emap, m))
         rest = F.substring(p, F.length(m) + 2, 1 << 30)
         return F.when(i == 0, p).otherwise(F.coalesce(F.concat(rep, rest), F.concat(F.lit("&"), p)))

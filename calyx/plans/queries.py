@@ -68,6 +68,7 @@ TOKENS = "WITH " + O.tokens_cte()
 @register("page_tokens", TOKENS + """
 SELECT page_id, pos, kind, tag, tok FROM tk""")
 def page_tokens(spark, sf):
+    """H1: every page shredded into ordered tokens with kind and tag."""
     t = H.tokens(table(spark, sf, "pages"), cluster=False)
     return t.select("page_id", F.col("pos").cast("long").alias("pos"), "kind", "tag", "tok")
 
@@ -75,6 +76,7 @@ def page_tokens(spark, sf):
 @register("element_extents", NODES + """
 SELECT page_id, pos, tag, end_pos, level, parent, parent_tag FROM nodes WHERE is_elem""")
 def element_extents(spark, sf):
+    """H2 + H3: every element with its end, nesting level and parent."""
     n = nodes(spark, sf).filter("is_elem")
     return n.select("page_id", F.col("pos").cast("long").alias("pos"), "tag",
                     F.col("end").cast("long").alias("end_pos"), F.col("level").cast("long").alias("level"),

@@ -14,8 +14,9 @@ Semantics (documented deviations from an HTML5 tree builder):
 
 * void tags, self-closing tags, ``<script>``/``<style>`` blocks end at
   themselves;
-* ``p`` and ``option`` end at the next ``p``/``option`` token of the same
-  tag (open or close);
+* ``p`` ends at the first later ``p`` token, start tag that closes a
+  paragraph (``div``, ``h1``-``h6``, ``ul``, ``table``, ...) or end tag of a
+  block container; ``option`` at the next ``option`` token;
 * other tags end at the first close tag of the same name at the same
   nesting level;
 * a tag that is never closed is laid out as a leaf in the tree and its
@@ -47,6 +48,18 @@ TOKEN_RE = (r"""(?s)[^<]++|<!--.*?-->"""
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link",
              "meta", "param", "source", "track", "wbr"]
 IMPLIED_END_TAGS = ["p", "option"]
+# Fixed values (HTML standard): start tags that close an open p, and end tags
+# of containers that end a p left open inside them.
+P_CLOSING_START_TAGS = ["address", "article", "aside", "blockquote", "center", "dd", "details", "dialog",
+                        "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
+                        "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "listing",
+                        "main", "menu", "nav", "ol", "p", "plaintext", "pre", "section", "summary",
+                        "table", "ul", "xmp"]
+P_CLOSING_END_TAGS = ["address", "article", "aside", "blockquote", "body", "caption", "center", "dd",
+                      "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
+                      "footer", "form", "header", "hgroup", "html", "li", "main", "menu", "nav", "ol",
+                      "p", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr",
+                      "ul"]
 
 
 # --------------------------------------------------------------------- H1
@@ -111,12 +124,20 @@ def shred(pages: DataFrame, partitions: int | None = None) -> DataFrame:
         (ecls == "paired") | (kind == "close"))
     delta = F.when(paired_ev & (kind == "open"), 1).when(paired_ev & (kind == "close"), -1).otherwise(0)
     w_tag = Window.partitionBy(PID, "tag").orderBy("pos")
+    # a p ends at the first later token that closes it (running frame over
+    # the page in reverse order: the nearest such token after each row)
+    p_term = (((kind == "open") & tag.isin(P_CLOSING_START_TAGS))
+              | ((kind == "close") & tag.isin(P_CLOSING_END_TAGS)))
+    w_rev = Window.partitionBy(PID).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
     t = t.select("*", F.sum(delta).over(w_tag.rowsBetween(Window.unboundedPreceding, 0)).alias("_d"),
-                 F.lead("pos").over(w_tag).alias("_next_tagtok"))       # next p/option token
+                 F.lead("pos").over(w_tag).alias("_next_tagtok"),       # next option token
+                 F.last(F.when(p_term, pos), ignorenulls=True).over(w_rev).alias("_next_pterm"))
     lvl = F.when(kind == "close", F.col("_d") + 1).otherwise(F.col("_d"))
     w_lvl = Window.partitionBy(F.col(PID), tag, lvl).orderBy("pos")
     t = t.select("*", F.lead("kind").over(w_lvl).alias("_nk"), F.lead("pos").over(w_lvl).alias("_np"))
-    end_known = (F.when(ecls == "void", pos).when(ecls == "implied", F.col("_next_tagtok"))
+    end_known = (F.when(ecls == "void", pos)
+                 .when((ecls == "implied") & (tag == "p"), F.col("_next_pterm"))
+                 .when(ecls == "implied", F.col("_next_tagtok"))
                  .when((ecls == "paired") & (F.col("_nk") == "close"), F.col("_np")))
 
     # Structural depth, per page: +1 at the open of an element with a known

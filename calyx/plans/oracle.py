@@ -8,7 +8,7 @@ Spark plans can be checked value by value. Nothing here runs on Spark.
 from __future__ import annotations
 
 from ..functions.text import ENTITY_TABLE
-from ..operators.html import IMPLIED_END_TAGS, VOID_TAGS
+from ..operators.html import IMPLIED_END_TAGS, P_CLOSING_END_TAGS, P_CLOSING_START_TAGS, VOID_TAGS
 
 
 def q(s: str) -> str:
@@ -95,11 +95,16 @@ e1 AS (SELECT *, (tag <> '' AND tag NOT IN {v} AND tag NOT IN {imp}
                   AND (ecls = 'paired' OR kind = 'close')) AS pe FROM e0),
 e2 AS (SELECT *, sum(CASE WHEN pe AND kind = 'open' THEN 1 WHEN pe AND kind = 'close' THEN -1 ELSE 0 END)
                    OVER (PARTITION BY page_id, tag ORDER BY pos ROWS UNBOUNDED PRECEDING) AS d,
-              lead(pos) OVER (PARTITION BY page_id, tag ORDER BY pos) AS nt FROM e1),
+              lead(pos) OVER (PARTITION BY page_id, tag ORDER BY pos) AS nt,
+              first_value(CASE WHEN (kind = 'open' AND tag IN {lst(P_CLOSING_START_TAGS)})
+                                 OR (kind = 'close' AND tag IN {lst(P_CLOSING_END_TAGS)}) THEN pos END IGNORE NULLS)
+                OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS npt
+       FROM e1),
 e3 AS (SELECT *, CASE WHEN kind = 'close' THEN d + 1 ELSE d END AS lvl FROM e2),
 e4 AS (SELECT *, lead(kind) OVER (PARTITION BY page_id, tag, lvl ORDER BY pos) AS nk,
                  lead(pos) OVER (PARTITION BY page_id, tag, lvl ORDER BY pos) AS np FROM e3),
-e5 AS (SELECT *, CASE WHEN ecls = 'void' THEN pos WHEN ecls = 'implied' THEN nt
+e5 AS (SELECT *, CASE WHEN ecls = 'void' THEN pos WHEN ecls = 'implied' AND tag = 'p' THEN npt
+                      WHEN ecls = 'implied' THEN nt
                       WHEN ecls = 'paired' AND nk = 'close' THEN np END AS end_k FROM e4),
 e6 AS (SELECT *, (is_elem AND ecls <> 'void' AND end_k IS NOT NULL) AS st FROM e5),
 ev AS (SELECT page_id, pos, pos AS ep, 1 AS eo, CASE WHEN st THEN 1 ELSE 0 END AS dl, true AS me FROM e6

@@ -55,3 +55,10 @@ def test_ordered_distinct(spark):
                                "ord int, k string, code string")
     got = D.ordered_distinct(df, ["k"], "code", "ord", "codes").collect()[0]["codes"]
     assert got == ["B", "A", ""]                          # first-seen order, "" kept
+
+
+def test_dense_ids_repeatable(spark):
+    df = spark.range(0, 3000).select((F.col("id") % 97).cast("string").alias("k"), (F.col("id") * 13 % 3000).alias("o"))
+    a = D.dense_ids(df, ["o"], name="i", partition=["k"], partitions=5).select("k", "o", "i")
+    b = D.dense_ids(df, ["o"], name="i", partition=["k"], partitions=9).select("k", "o", "i")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))

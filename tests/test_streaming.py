@@ -19,3 +19,13 @@ def test_landing_stream_extracts_links(spark):
     got = spark.read.parquet(out)
     assert got.count() == 6                  # 3 + 2 links on the listing pages, 1 on the table page
     assert got.filter("url like 'https://www.mcgill.ca/study/%'").count() == 5
+
+
+def test_landing_stream_replay_adds_nothing(spark):
+    base = tempfile.mkdtemp(prefix="calyx-stream-")
+    land, out, ck = f"{base}/land", f"{base}/out", f"{base}/ckpt"
+    pages_df(spark, X.MCGILL[:1]).coalesce(1).write.mode("append").parquet(land)
+    start_landing(spark, land, out, checkpoint=ck).awaitTermination(300)
+    first = spark.read.parquet(out).count()
+    start_landing(spark, land, out, checkpoint=ck).awaitTermination(300)   # same checkpoint: no new files
+    assert spark.read.parquet(out).count() == first == 3

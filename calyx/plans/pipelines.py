@@ -73,6 +73,7 @@ def _fold_overwrite(rows: DataFrame, keys: list[str], idx: str, set_kind: str, s
 # The calendar patterns (courses anchor, block title, heading, prerequisite).
 P2_START = r'<a\s*(?:name="courses")?\s*id=".*?courses">'
 P2_BLOCK = r"^(?:<b>)?([A-Z]{4})\s*(\d+)<i>\s*(.*?)</i>"
+P2_TITLE_OPEN = r"^(?:<b>)?[A-Z]{4}\s*\d+<i>"
 P2_HEAD = r'<a\s*(?:name=".*?")\s*id=".*?"\s*>.*?</a>.*<br>'
 P2_PREREQ = r"^(?:Prerequisite\s*:\s*)(.*?)\.(.*)"
 
@@ -82,9 +83,10 @@ def calendar_blocks(pages: DataFrame) -> DataFrame:
 
     The page is cut from the courses anchor (else ``<b>Courses</b>``) to the
     end of its last ``<hr>`` (T18; no anchor -> no rows); a line starting
-    with a course title opens a block (W2, text before the first is
-    dropped); each block takes the last heading before it, or the page's
-    last heading when none precedes it (W3, Q2).
+    with a course title (whose ``</i>`` may be on a later line) opens a
+    block (W2, text before the first is dropped); each block takes the last
+    heading before it, or the page's last heading when none precedes it
+    (W3, Q2).
     """
     html = F.col("html")
     s1 = F.regexp_instr(html, F.lit(J(P2_START)))
@@ -96,7 +98,14 @@ def calendar_blocks(pages: DataFrame) -> DataFrame:
     p = p.filter(F.col("slice").isNotNull())
     ls = p.select(PID, F.posexplode(F.split("slice", "\n", -1)).alias("line_no", "line"))
     heads = F.regexp_extract_all("line", F.lit(J(P2_HEAD)), 0)
-    ls = ls.withColumn("is_start", _m("line", P2_BLOCK)).withColumn(
+    # A title may run over lines (the pattern is (?s)): a line opens a block
+    # when it starts a title and a "</i>" follows on it or on a later line
+    # (running max over the lines in reverse order: linear, no
+    # unbounded-following frame).
+    w_rev = Window.partitionBy(PID).orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ls = ls.withColumn("_later_close", F.max(F.col("line").contains("</i>").cast("int")).over(w_rev))
+    starts = _m("line", P2_TITLE_OPEN) & (_m("line", P2_BLOCK) | (F.coalesce("_later_close", F.lit(0)) == 1))
+    ls = ls.withColumn("is_start", starts).withColumn(
         "head", F.when(F.size(heads) > 0, trim_suffix(clean(F.element_at(heads, -1)), ":")))
     w = Window.partitionBy(PID).orderBy("line_no")
     ls = (ls.withColumn("blk", F.sum(F.col("is_start").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))

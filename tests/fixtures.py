@@ -17,6 +17,9 @@ Some description.<br>
 ARTH 400<i> Seminar</i><br>
 Seminar text.<br>
 Prerequisite: ARTH 300. Advanced work.<br>
+ARTH 450<i> Studio
+Practice</i><br>
+Long title text.<br>
 <hr>
 </body></html>"""),
     ("https://cal.example.edu/none.html", "<html><body><h1>Nothing</h1><p>No courses</p></body></html>"),

@@ -14,7 +14,9 @@ C = ("courseCode", "numericCode", "name")
 def test_p2_calendar_blocks_headings_and_notes(spark):
     c = P.calendar(pages_df(spark, X.CALENDAR))
     got = {r["numericCode"]: r for r in c.collect()}
-    assert sorted(got) == ["200", "300", "400"]          # page without markers: no rows
+    assert sorted(got) == ["200", "300", "400", "450"]   # page without markers: no rows
+    assert got["450"]["name"] == "Studio Practice"       # title over two lines
+    assert got["450"]["description"] == "Long title text."
     a = got["200"]
     assert (a["courseCode"], a["name"]) == ("ARTH", "Survey of Art")
     assert a["prerequisite"] == "ARTH 100"

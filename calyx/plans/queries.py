@@ -691,3 +691,41 @@ def slice_markers(spark, sf):
     ``</p>`` ("" when a marker is missing)."""
     p = table(spark, sf, "pages")
     return p.select("page_id", T.slice_between("html", "<article>", "</p>").alias("slice"))
+
+
+# ------------------------------------------------ a reference pipeline
+
+def _p11_sql() -> str:
+    from . import pipelines as P
+    q = O.q
+    t = "b.text"
+    fields = {
+        "courseCode": f"regexp_extract({t}, {q(P.P11_CODE)}, 1)",
+        "numericCode": f"regexp_extract({t}, {q(P.P11_CODE)}, 2)",
+        "name": f"regexp_extract({t}, {q(P.P11_CODE)}, 3)",
+        "prerequisite": f"regexp_extract({t}, {q(P.P11_PRE)}, 1)",
+        "antirequisite": f"regexp_extract({t}, {q(P.P11_ANTI)}, 1)",
+        "oneWayExclusion": f"regexp_extract({t}, {q(P.P11_ONEWAY)}, 1)",
+    }
+    d1 = O.utrim(f"regexp_extract({t}, {q(P.P11_DESC)}, 1)")
+    d2 = O.utrim(f"regexp_extract({t}, {q(P.P11_DESC2)}, 1)")
+    sel = ",\n       ".join(f"{O.utrim(v)} AS {k}" for k, v in fields.items())
+    return _SQL_LINES + f""",
+h AS (SELECT *, sum(CASE WHEN regexp_matches(line, {q(P.P11_CODE)}) THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS blk FROM ls),
+b AS (SELECT doc_id, blk, string_agg(line, chr(10) ORDER BY line_no) AS text FROM h GROUP BY doc_id, blk)
+SELECT doc_id, CAST(blk AS BIGINT) AS blk, {sel},
+       coalesce(nullif({d1}, ''), nullif({d2}, ''), '') AS description
+FROM b"""
+
+
+@register("text_block_courses", _p11_sql())
+def text_block_courses(spark, sf):
+    """P11 (S5, W1, T13, T16) over whole documents: lines -> blocks opened by
+    a course header line -> one course per block from the six fixed
+    patterns, with the description fallback. The oracle runs the original
+    RE2 patterns; Spark runs them ported to java.util.regex."""
+    from .pipelines import text_courses
+    c = text_courses(spark.read.parquet(f"{sf}/documents.parquet"))
+    return c.select(F.col("ord.o0").alias("doc_id"), F.col("ord.o1").alias("blk"), "courseCode", "numericCode",
+                    "name", "prerequisite", "antirequisite", "oneWayExclusion", "description")

@@ -19,7 +19,7 @@ punctuation and line breaks don't count as edits. An item without a word is in n
 The benchmark is dealt into blocks of about ``ITEMS`` items, each sent to the tasks; all texts are
 searched for each block. So what a task holds is bounded, and nothing is shuffled.
 
-Null and empty texts leak nothing, nor do null items. Equal items are each reported.
+Null and empty texts leak nothing, nor do null items. Equal items are each reported, as are the rows of a null doc_id.
 Repeated rows get equal results; an empty table gives an empty result; other columns are
 not looked at.
 """
@@ -27,17 +27,25 @@ not looked at.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calyx.llm.common import batches
+
 RATE, RECALL = 0.2, 0.995
 LONGEST, STEP = 256, 4
 BITS, MOST = 2, 64
+#: Texts that are searched at once.
+ROWS = 2000
 #: Items and characters of a block.
 ITEMS, CHARS = 1000, 1 << 22
 
@@ -75,6 +83,7 @@ class Block:
                 self.probes[n // STEP * STEP if n >= STEP else n].append((k, at))
         v = len(self.vocab) + 1
         pairs = [w[:-1] * v + w[1:] for _, w in self.items]
+        self.own = [np.unique(p) for p in pairs]
         self.pairs = np.unique(np.concatenate([*pairs, np.empty(0, np.int64)]))
         most = max(self.probes, default=1)
         rng = np.random.default_rng(seed)
@@ -82,6 +91,13 @@ class Block:
         self.bits = rng.integers(0, 1 << 63, (MOST, self.steps(most) // 64 + 1, v), np.uint64) * np.uint64(2) + rng.integers(
             0, 2, (MOST, self.steps(most) // 64 + 1, v), np.uint64)
         self.places = np.sort(rng.random((MOST, BITS)), 1)
+        # of each size: the word pairs that a match has at least, and the words among which
+        self.windows = {}
+        for n, probes in self.probes.items():
+            k = self.edits(max(min(LONGEST, len(self.items[i][1]) - o) for i, o in probes))
+            self.windows[n] = n - 1 - 2 * k, n + k
+        self.need = min((need for need, _ in self.windows.values()), default=0)
+        self.span = max((span for _, span in self.windows.values()), default=1)
         self.repeats = self.enough(rng, recall)
         self.samples = {}
         for n, probes in self.probes.items():
@@ -143,7 +159,9 @@ class Block:
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int]]]:
         """(item_id, distance) of the items that each text leaks."""
         get = self.vocab.get
-        docs = [np.array([get(w, 0) for w in words(t)], np.int64) if t else np.empty(0, np.int64) for t in texts]
+        found = [words(t) if t else [] for t in texts]
+        docs = [np.fromiter(map(get, w, repeat(0)), np.int64, len(w)) for w in found]
+        del found
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
         if not self.items or not sum(map(len, docs)):
             return out
@@ -153,18 +171,24 @@ class Block:
         v = len(self.vocab) + 1
         both = (ids[:-1] > 0) & (ids[1:] > 0)
         pair = np.zeros(len(ids), np.int64)
-        where = np.flatnonzero(both)
-        pair[where] = np.isin(ids[where] * v + ids[where + 1], self.pairs)
+        if len(self.pairs):
+            where = np.flatnonzero(both)
+            code = ids[where] * v + ids[where + 1]
+            pair[where] = self.pairs[np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)] == code
         upto = np.concatenate([[0], np.cumsum(pair)])
+        known = np.concatenate([[0], np.cumsum(ids > 0)])
+
+        def within(count, at, span):
+            return count[np.minimum(at + span, len(ids))] - count[at]
+
+        # places that could start a window of any size, then those of each size
+        some = np.arange(len(ids))
+        some = some[within(known, some, self.span) > 0]
+        if self.need > 0:
+            some = some[within(upto, some, self.span) >= self.need]
         near = defaultdict(list)
-        for n, probes in self.probes.items():
-            longest = max(min(LONGEST, len(self.items[k][1]) - o) for k, o in probes)
-            k = self.edits(longest)
-            need = n - 1 - 2 * k
-            if need > 0:
-                at = np.flatnonzero(upto[np.minimum(np.arange(len(ids)) + n + k, len(ids))] - upto[:-1] >= need)
-            else:
-                at = np.flatnonzero(np.convolve(ids > 0, np.ones(n + k, bool), "full")[n + k - 1:])
+        for n, (need, span) in self.windows.items():
+            at = some[within(upto, some, span) >= need] if need > 0 else some[within(known, some, span) > 0]
             if not len(at):
                 continue
             for r in range(self.repeats):
@@ -174,21 +198,28 @@ class Block:
                 for start, i in zip(*(x[keys[p] == got] for x in (at, p))):
                     for item, offset in probes_of[i]:
                         near[item].append(int(start) - offset)
+        edge = first.tolist()
         for item, starts in near.items():
             item_id, w = self.items[item]
-            k, done = self.edits(len(w)), {}
-            low = high = None
-            for s in [*sorted(set(starts)), None]:
-                if low is not None and (s is None or s > high + len(w) or s >= first[np.searchsorted(first, low, "right")]):
-                    for d in {int(np.searchsorted(first, max(0, x), "right")) - 1 for x in (low, high)}:
-                        a, b = max(first[d], low - 2 * k), min(first[d + 1], high + len(w) + 2 * k)
-                        if b > a and d < len(docs):
-                            far = best_distance(w, ids[a:b])
-                            if far <= k:
-                                done[d] = min(far, done.get(d, far))
-                    low = None
-                if s is not None:
-                    low, high = (s if low is None else low), s
+            k, mine, done = self.edits(len(w)), self.own[item], {}
+            runs: list[list[int]] = []  # stretches of a text with candidate starts close to each other
+            for s in sorted(set(starts)):
+                d = max(0, bisect_right(edge, max(0, s)) - 1)
+                if runs and runs[-1][0] == d and s <= runs[-1][2] + len(w):
+                    runs[-1][2] = s
+                else:
+                    runs.append([d, s, s])
+            for d, low, high in runs:
+                a, b = max(edge[d], low - 2 * k), min(edge[d + 1] - 1, high + len(w) + 2 * k)
+                if d >= len(docs) or b <= a:
+                    continue
+                # a match has that many of the item's own word pairs
+                code = ids[a:b - 1] * v + ids[a + 1:b]
+                if len(mine) and (mine[np.minimum(np.searchsorted(mine, code), len(mine) - 1)] == code).sum() < len(w) - 1 - 2 * k:
+                    continue
+                far = best_distance(w, ids[a:b])
+                if far <= k:
+                    done[d] = min(far, done.get(d, far))
             for d, far in done.items():
                 out[d].append((item_id, far))
         return [sorted(x) for x in out]
@@ -212,8 +243,8 @@ def hits(text: Column, items: list[tuple[int, str]], rate: float = RATE, recall:
         block = Block(items, rate, recall)
         for texts in parts:
             found = []
-            for at in range(0, len(texts), 2000):
-                found += block.search(list(texts[at:at + 2000]))
+            for at in range(0, len(texts), ROWS):
+                found += block.search(list(texts[at:at + ROWS]))
             yield pd.Series([[{"item_id": i, "distance": d} for i, d in x] for x in found], dtype=object)
 
     return run(text)
@@ -226,8 +257,20 @@ def all_hits(text: Column, benchmark: DataFrame, rate: float = RATE, recall: flo
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """(doc_id, item_id, distance): a row for each text and each item that it leaks."""
-    return (docs.select("doc_id", all_hits(F.col("text"), benchmark, rate).alias("hits"))
-            .select("doc_id", F.inline("hits")).select("doc_id", "item_id", "distance"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = []
+    for items in blocks(benchmark):
+
+        def run(parts: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            block = Block(items, rate)
+            for b in batches(parts, ROWS):
+                found = [(i, *x) for i, hit in zip(b.column(0).to_pylist(), block.search(b.column(1).to_pylist())) for x in hit]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*found), (pa.int64(), pa.int64(), pa.int32()))],
+                                                     ["doc_id", "item_id", "distance"])
+
+        out.append(d.mapInArrow(run, "doc_id long, item_id long, distance int"))
+    return reduce(DataFrame.union, out)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:

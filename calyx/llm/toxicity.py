@@ -145,7 +145,9 @@ def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     n = train.count()
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     train = train.where(order < max(1, min(1 << 20, (most << 20) // max(n, 1))))
-    return docs.select("doc_id", "text").join(train, "doc_id")
+    # the sample's ids are few by its bound, so they go to the texts
+    few = train.limit(2 * most + 1).count() <= 2 * most
+    return docs.select("doc_id", "text").join(F.broadcast(train) if few else train, "doc_id")
 
 
 def char_counts(rows: DataFrame) -> dict[str, int]:
@@ -199,7 +201,7 @@ def found_in(text: Column, chars: dict[str, int], wanted: list[str]) -> Column:
     return run(text)
 
 
-def fit(rows: list[list[int]], y: np.ndarray, size: int, l2: float = 1.0, rounds: int = 300) -> np.ndarray:
+def fit(rows: list[list[int]], y: np.ndarray, size: int, l2: float = 0.1, rounds: int = 500) -> np.ndarray:
     """Weights of a logistic regression, the constant last, by accelerated gradient steps."""
     n = np.array([len(r) for r in rows])
     doc, col = np.repeat(np.arange(len(rows)), n), np.array([k for r in rows for k in r], np.int64)

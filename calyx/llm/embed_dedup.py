@@ -29,7 +29,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,33 +111,32 @@ def links_of(x: np.ndarray, y: np.ndarray, threshold: float, step: int = 256) ->
 
 
 def tile(threshold: float):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("key", ignore_index=True)
-        own = g.own.iloc[0]
-        vec = np.vstack([np.frombuffer(v, np.float64) for v in g.vec])
-        side, weight = g.side.to_numpy(), g.n.to_numpy()
+    """Of one tile: each linked class with its number of links and the smallest class it reaches."""
+
+    def run(g: pa.Table) -> pa.Table:
+        g = g.sort_by("key")
+        own = g.column("own")[0].as_py()
+        vec = np.vstack([np.frombuffer(v, np.float64) for v in g.column("vec").to_pylist()])
+        side, weight = g.column("side").to_numpy(), g.column("n").to_numpy()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if own else 1))
-        if not len(left) or not len(right):
-            return pd.DataFrame({"key": [], "links": [], "root": []})
-        hit = links_of(vec[left], vec[right], threshold)
-        if own:
-            np.fill_diagonal(hit, False)
-        n = np.zeros(len(g), np.int64)
-        n[left] = hit @ weight[right]
-        if not own:
-            n[right] = hit.T @ weight[left]
-        root = np.arange(len(g))
-        while True:  # the smallest class reached, over all links of the tile
-            old = root.copy()
-            low = np.where(hit, root[right][None, :], len(g)).min(1)
-            root[left] = np.minimum(root[left], low)
-            low = np.where(hit, root[left][:, None], len(g)).min(0)
-            root[right] = np.minimum(root[right], low)
-            root = root[root]
-            if (old == root).all():
-                break
-        some = n > 0
-        return pd.DataFrame({"key": g.key[some], "links": n[some], "root": g.key.to_numpy()[root[some]]})
+        n, root = np.zeros(len(vec), np.int64), np.arange(len(vec))
+        if len(left) and len(right):
+            hit = links_of(vec[left], vec[right], threshold)
+            if own:
+                np.fill_diagonal(hit, False)
+            n[left] = hit @ weight[right]
+            if not own:
+                n[right] = hit.T @ weight[left]
+            while True:  # the smallest class reached, over all links of the tile
+                old = root.copy()
+                root[left] = np.minimum(root[left], np.where(hit, root[right][None, :], len(vec)).min(1))
+                root[right] = np.minimum(root[right], np.where(hit, root[left][:, None], len(vec)).min(0))
+                root = root[root]
+                if (old == root).all():
+                    break
+        some = np.flatnonzero(n)
+        key = g.column("key")
+        return pa.table({"key": key.take(some), "links": n[some], "root": key.take(root[some])})
 
     return run
 
@@ -172,7 +170,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
         each(F.coalesce("below", F.lit(0)), lambda k: tiles(c - 1, k, c, i, 1, no)))
     dealt = (classes.join(near, ["grp", "cell"]).withColumn("i", at)
              .select("grp", "key", "vec", "n", F.explode(where).alias("t")).select("grp", "key", "vec", "n", "t.*"))
-    found = stage(dealt.groupBy("grp", "c1", "b1", "c2", "b2").applyInPandas(tile(threshold), "key string, links long, root string"),
+    found = stage(dealt.groupBy("grp", "c1", "b1", "c2", "b2").applyInArrow(tile(threshold), "key string, links long, root string"),
                   "embed-found")
     comp = components(found.select(F.col("key").alias("src"), F.col("root").alias("dst")), "embed").toDF("key", "component")
     total = found.groupBy("key").agg(F.sum("links").alias("links"))

@@ -8,7 +8,9 @@ java.util.regex with the RE2 meaning the reference relies on (see
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import json
+from functools import cache
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,23 +24,19 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-# Named entities: the HTML 4 table of the standard library (252 names) plus
-# ``apos``; derived from a public table, not typed in.
-ENTITY_TABLE: dict[str, str] = {k: chr(v) for k, v in name2codepoint.items()}
-ENTITY_TABLE["apos"] = "'"
-
-_ENTITY_MAP = None
-
-
-def _entity_map() -> Column:
-    # One string literal parsed as a map: a two-node expression the
-    # optimizer folds to a constant (a 500-child map() would be re-analysed
-    # with every plan step).
-    global _ENTITY_MAP
-    if _ENTITY_MAP is None:
-        import json
-        _ENTITY_MAP = F.from_json(F.lit(json.dumps(ENTITY_TABLE, sort_keys=True)), "map<string,string>")
-    return _ENTITY_MAP
+# Named character references: the HTML5 table of the standard library. Names
+# without ";" are the older ones that need none; where a reference has no
+# full match, the longest of these that it starts with counts.
+ENTITY_TABLE: dict[str, str] = dict(html5)
+BARE_ENTITIES = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+# The references that make up nearly all of a page's: looked up first.
+COMMON_ENTITIES = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "copy;")
+# Code points 0x80-0x9F name Windows-1252 characters.
+C1_POINTS = "".join(map(chr, range(0x80, 0xA0)))
+C1_CHARS = "".join(bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0))
+# A reference that ends itself: decimal, hexadecimal (";" may be missing), or a name with ";".
+ENTITY_RE = r"^(#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;)"
+BARE_RE = "^(" + "|".join(BARE_ENTITIES) + ")"
 
 
 def sql_str(s: str) -> str:
@@ -46,28 +44,38 @@ def sql_str(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+@cache
 def _entity_map_sql() -> str:
-    import json
+    # one string literal parsed as a map: a two-node expression that the
+    # optimizer folds to a constant
     return f"from_json({sql_str(json.dumps(ENTITY_TABLE, sort_keys=True))}, 'map<string,string>')"
 
 
 def decode_sql(x: str) -> str:
     """SQL text of ``decode_entities`` over the SQL expression ``x``.
 
-    The same expression as the Column builder below, written as one string.
-    The reference body (``m``) and its code point (``cp``) are computed once
-    per piece in the first ``transform``.
+    The text is split on ``&``; each piece after the first starts where an
+    ampersand was. Per piece: ``m`` is a reference that ends itself, ``n`` the
+    longest name that needs no ";", ``z`` the digits of a number.
     """
-    m = "regexp_extract(p, " + sql_str(ENTITY_RE) + ", 1)"
-    cp = ("try_cast(CASE WHEN startswith(y.m, '#x') OR startswith(y.m, '#X') THEN conv(substring(y.m, 3, 8), 16, 10) "
-          "WHEN startswith(y.m, '#') THEN substring(y.m, 2, 8) END AS INT)")
-    parts = (f"transform(transform(split({x}, '&', -1), p -> named_struct('p', p, 'm', {m})), "
-             f"y -> named_struct('p', y.p, 'm', y.m, 'cp', {cp}))")
-    cpv = "(CASE WHEN x.cp > 0 AND x.cp <= 1114111 AND NOT (x.cp BETWEEN 55296 AND 57343) THEN x.cp ELSE 65533 END)"
-    ch = f"decode(unhex(lpad(hex({cpv}), 8, '0')), 'UTF-32')"
-    rep = f"(CASE WHEN startswith(x.m, '#') THEN {ch} ELSE try_element_at({_entity_map_sql()}, x.m) END)"
-    piece = (f"CASE WHEN i = 0 THEN x.p ELSE coalesce(concat({rep}, substring(x.p, length(x.m) + 2, 1073741824)), "
-             f"concat('&', x.p)) END")
+    m = f"regexp_extract(p, {sql_str(ENTITY_RE)}, 1)"
+    n = f"regexp_extract(p, {sql_str(BARE_RE)}, 1)"
+    parts = (f"transform(transform(split({x}, '&', -1), p -> named_struct('p', p, 'm', {m}, 'n', {n})), y -> named_struct("
+             "'p', y.p, 'm', y.m, 'n', y.n, 'z', ltrim('0', regexp_replace(y.m, '[#xX;]', ''))))")
+    # more digits than any code point has: U+FFFD, as for NUL, surrogates and all beyond U+10FFFF
+    cp = ("(CASE WHEN length(x.z) > 9 THEN 0 WHEN x.m RLIKE '^#[xX]' THEN CAST(conv(x.z, 16, 10) AS BIGINT) "
+          "ELSE try_cast(x.z AS BIGINT) END)")
+    ok = (f"transform(array({cp}), c -> CASE WHEN c > 0 AND c <= 1114111 AND NOT (c BETWEEN 55296 AND 57343) THEN c ELSE 65533 END)[0]")
+    ch = f"translate(decode(unhex(lpad(hex({ok}), 8, '0')), 'UTF-32'), {sql_str(C1_POINTS)}, {sql_str(C1_CHARS)})"
+    common = " ".join(f"WHEN x.m = '{k}' THEN {sql_str(ENTITY_TABLE[k])}" for k in COMMON_ENTITIES)
+    tail = "substring(x.p, length(x.m) + 1)"
+    # the name itself, else the longest bare name, each with what follows it
+    named = (f"filter(transform(array(x.m, x.n), k -> concat(try_element_at({_entity_map_sql()}, k), substring(x.p, length(k) + 1))), "
+             "v -> v IS NOT NULL)")
+    piece = (f"CASE WHEN i = 0 THEN x.p WHEN startswith(x.m, '#') THEN concat({ch}, {tail}) "
+             f"WHEN x.m = '' AND x.n = '' THEN concat('&', x.p) "
+             f"WHEN x.m IN ({', '.join(map(sql_str, COMMON_ENTITIES))}) THEN concat(CASE {common} END, {tail}) "
+             f"ELSE coalesce(get({named}, 0), concat('&', x.p)) END")
     return f"(CASE WHEN instr({x}, '&') = 0 THEN {x} ELSE array_join(transform({parts}, (x, i) -> {piece}), '') END)"
 
 
@@ -88,44 +96,16 @@ def _name(c) -> str | None:
     return f"`{c}`" if isinstance(c, str) else None
 
 
-# one alternative per reference kind: decimal, hex, named
-ENTITY_RE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
-
-
-def _codepoint_to_str(cp: Column) -> Column:
-    # UTF-32BE bytes of the code point, decoded (``chr`` only covers 0-255).
-    # NUL, surrogates and values past U+10FFFF become U+FFFD, as in Go.
-    ok = (cp > 0) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
-    cp = F.when(ok, cp).otherwise(F.lit(0xFFFD))
-    return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
-
-
 def decode_entities(c: ColumnOrName) -> Column:
-    """HTML entity decode in a single left-to-right pass.
+    """HTML character references decoded in a single left-to-right pass,
+    so ``&amp;lt;`` gives ``&lt;``.
 
-    The text is split on ``&``; each piece after the first starts where an
-    ampersand was. A piece that begins with a known ``name;``, ``#ddd;`` or
-    ``#xhh;`` is replaced, any other keeps its ``&``. One pass means
-    ``&amp;lt;`` gives ``&lt;`` (decoded once), as the reference does. The
-    reference body of each piece is extracted once (first ``transform``),
-    which keeps the expression small.
+    All HTML5 names; the older names also without ``;``; numbers of any length,
+    with 0x80-0x9F as Windows-1252. An unknown reference stays as it is.
     """
     if _name(c):
         return F.expr(decode_sql(_name(c)))
-    c = _c(c)
-    emap = _entity_map()
-    parts = F.transform(F.split(c, "&", -1),
-                        lambda p: F.struct(p.alias("p"), F.regexp_extract(p, ENTITY_RE, 1).alias("m")))
-
-    def piece(x, i):
-        p, m = x["p"], x["m"]
-        cp = (F.when(m.startswith("#x") | m.startswith("#X"), F.conv(F.substring(m, 3, 8), 16, 10))
-              .otherwise(F.substring(m, 2, 8))).try_cast("int")
-        rep = F.when(m.startswith("#"), _codepoint_to_str(cp)).otherwise(F.try_element_at(emap, m))
-        rest = F.substring(p, F.length(m) + 2, 1 << 30)
-        return F.when(i == 0, p).otherwise(F.coalesce(F.concat(rep, rest), F.concat(F.lit("&"), p)))
-
-    return F.when(F.instr(c, "&") == 0, c).otherwise(F.array_join(F.transform(parts, piece), ""))
+    return F.call_function("transform", F.array(_c(c)), F.expr("v -> " + decode_sql("v")))[0]
 
 
 def strip_tags(c: ColumnOrName, repl: str = "") -> Column:
@@ -169,7 +149,7 @@ def strip_trailing_paren(c: ColumnOrName) -> Column:
 def trim_prefix(c: ColumnOrName, prefix: str) -> Column:
     """Remove ``prefix`` once if the text starts with it."""
     c = _c(c)
-    return F.when(c.startswith(prefix), F.substring(c, len(prefix) + 1, 1 << 30)).otherwise(c)
+    return F.when(c.startswith(prefix), F.substr(c, F.lit(len(prefix) + 1))).otherwise(c)
 
 
 def trim_suffix(c: ColumnOrName, suffix: str) -> Column:
@@ -183,7 +163,7 @@ def remove_first(c: ColumnOrName, literal: str) -> Column:
     c = _c(c)
     i = F.instr(c, literal)
     return F.when(i == 0, c).otherwise(
-        F.concat(F.left(c, i - 1), F.substring(c, i + F.lit(len(literal)), 1 << 30)))
+        F.concat(F.left(c, i - 1), F.substr(c, i + F.lit(len(literal)))))
 
 
 def split_literal(c: ColumnOrName, literal: str) -> Column:

@@ -10,19 +10,35 @@ global window, so no single task holds a whole dimension.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, shuffle_partitions
+from ..session import shuffle_partitions
+from ..sources.io import staged
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Keep the first row of each key by ``order`` (plus
-    ``n_copies``). Unlike ``dropDuplicates`` the survivor is defined."""
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    g = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_f"),
-                              F.count("*").alias("n_copies"))
-    return g.select(*keys, "_f.*", "n_copies")
+def row_key(cols: list[str]) -> Column:
+    """A 256-bit digest that is equal for equal values of ``cols`` (NULL
+    differs from every text; lengths keep the columns apart)."""
+    parts = []
+    for c in cols:
+        t = F.col(c).cast("string")
+        parts.append(F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")))
+    return F.sha2(F.concat(*parts), 256)
+
+
+def first_per_key(df: DataFrame, keys: list[str], order: list[str], count: str = "n_copies",
+                  keep: list[str] | None = None) -> DataFrame:
+    """Keep the first row of each key by ``order`` (plus the number of
+    rows), with the columns ``keep`` (all by default). Unlike ``dropDuplicates``
+    the survivor is defined.
+
+    Rows are grouped by a digest of the key, and while they are reduced only
+    the order and, with it, the whole row travel: one buffer a key and task.
+    """
+    g = df.groupBy(row_key(keys).alias("_key")).agg(
+        F.min_by(F.struct(*(keep or df.columns)), F.struct(*order)).alias("_f"), F.count("*").alias(count))
+    return g.select("_f.*", count)
 
 
 def dense_ids(df: DataFrame, order: list[str], name: str = "id", partition: list[str] = (),
@@ -34,8 +50,8 @@ def dense_ids(df: DataFrame, order: list[str], name: str = "id", partition: list
     the same ``partition`` key in earlier tasks. The offsets table has one
     row per (task, partition key), so it stays small whatever the skew.
     ``order`` must be unique within ``partition`` (ties make ids depend on
-    sort stability). The numbered frame is checkpointed once, so the counts
-    and the rows come from the same materialised task assignment.
+    sort stability). The numbered frame is written once, so the counts and the
+    rows come from the same task assignment.
     """
     partition = list(partition)
     n = partitions or shuffle_partitions(df.sparkSession)
@@ -47,10 +63,9 @@ def dense_ids(df: DataFrame, order: list[str], name: str = "id", partition: list
     r = r.withColumn("_local", F.col("_local") - F.shiftleft(F.col("_tid").cast("long"), 33))
     # The numbered rows feed two branches (the rows and the per-task
     # counts): both must see the same task assignment, so the frame is
-    # materialised once (reliable checkpoint in the shared folder; it also
-    # keeps ids stable when an executor is lost and a stage re-runs).
-    checkpoint_dir(df.sparkSession)
-    r = r.checkpoint(eager=True)
+    # written once to the shared folder (which also keeps ids stable when an
+    # executor is lost and a stage runs again).
+    r = staged(r, "ids")
     cnt = r.groupBy("_tid", *partition).agg(F.count("*").alias("_n"), F.min("_local").alias("_lo"))
     w = Window.partitionBy(*partition).orderBy("_tid") if partition else Window.orderBy("_tid")
     cnt = cnt.withColumn("_off", F.coalesce(
@@ -77,23 +92,41 @@ def subject_dim(courses: DataFrame, name_col: str = "SubjectName", code_col: str
     """A1-A3: one row per subject name: description of its first course,
     its course codes distinct in first-seen order, and a dense id by first
     appearance. Subjects named ``""`` form one subject, and ``""`` can be
-    a code (kept as the reference does)."""
+    a code.
+
+    The courses are read once: one aggregate by (name, code) holds the first
+    position and the description there; it is rolled up to the names.
+    """
     keys = [*partition, name_col]
-    head = courses.groupBy(*keys).agg(
-        F.min(order).alias("_first"),
-        F.min_by(F.col(desc_col), F.col(order)).alias("description"))
-    codes = ordered_distinct(courses, keys, code_col, order, "codes")
-    d = head.join(codes, keys)
-    d = dense_ids(d, ["_first"], name="subjectId", partition=partition, base=base)
+    pairs = courses.groupBy(*keys, code_col).agg(F.min(order).alias("_o"), F.min_by(desc_col, order).alias("_desc"))
+    d = pairs.groupBy(*keys).agg(
+        F.min("_o").alias("_first"), F.min_by("_desc", "_o").alias("description"),
+        F.sort_array(F.collect_list(F.struct("_o", code_col))).alias("_l"))
+    d = dense_ids(d.withColumn("codes", F.col(f"_l.{code_col}")).drop("_l"), ["_first"], name="subjectId", partition=partition, base=base)
     return d.select(*partition, "subjectId", F.col(name_col).alias("name"), "codes", "description", "_first")
 
 
+#: A dimension of at most this many rows is sent to every task for a lookup.
+LOOKUP_ROWS = 100_000
+#: Parts that the rows of one key are dealt into where the dimension is larger.
+SALT = 32
+
+
 def attach_ids(rows: DataFrame, dim: DataFrame, on: list[str], id_col: str) -> DataFrame:
-    """Look up a dimension id per row (equi N:1 join). AQE turns it into
-    a broadcast join at runtime when the dimension is measured small."""
-    return rows.join(dim.select(*on, id_col), on, "left")
+    """Look up a dimension id per row (equi N:1 join).
+
+    A dimension of at most ``LOOKUP_ROWS`` rows, which is counted, is broadcast:
+    the rows don't move, however many share a key. A larger one is joined on the
+    keys and a salt, so the rows of one key go to ``SALT`` tasks.
+    """
+    d = dim.select(*on, id_col)
+    if d.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS:
+        return rows.join(F.broadcast(d), on, "left")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALT)).cast("int"))  # the same on every run
+    every = d.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return salted.join(every, [*on, "_salt"], "left").drop("_salt")
 
 
-def stage_counts(df: DataFrame, by: str = "source") -> DataFrame:
+def stage_counts(df: DataFrame, *by: str) -> DataFrame:
     """Rows per source (what the reference prints per stage)."""
-    return df.groupBy(by).agg(F.count("*").alias("n_rows"))
+    return df.groupBy(*(by or ["source"])).agg(F.count("*").alias("n_rows"))

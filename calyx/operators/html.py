@@ -16,7 +16,11 @@ Semantics (documented deviations from an HTML5 tree builder):
   themselves;
 * ``p`` ends at the first later ``p`` token, start tag that closes a
   paragraph (``div``, ``h1``-``h6``, ``ul``, ``table``, ...) or end tag of a
-  block container; ``option`` at the next ``option`` token;
+  block container; ``a`` at the next ``a`` token;
+* the other elements whose end tag may be left out (``li``, ``dt``, ``dd``,
+  ``td``, ``th``, ``tr``, row groups, ``option``, ``optgroup``) end at the next
+  token that ends them at the same depth of their container (list, table,
+  ``dl``, ``select``), so a nested list or table doesn't end the outer item;
 * other tags end at the first close tag of the same name at the same
   nesting level;
 * a tag that is never closed is laid out as a leaf in the tree and its
@@ -25,6 +29,7 @@ Semantics (documented deviations from an HTML5 tree builder):
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..functions.regex import WS, WS_BODY
 from ..session import cluster_by
-from ..functions.text import clean, decode_entities, decode_sql, sql_str
+from ..functions.text import decode_entities, decode_sql, sql_str
 
 PID = "page_id"
 
@@ -45,16 +50,28 @@ TOKEN_RE = (r"""(?s)[^<]++|<!--.*?-->"""
             r"""|<[sS][cC][rR][iI][pP][tT]\b.*?</[sS][cC][rR][iI][pP][tT]>"""
             r"""|<[sS][tT][yY][lL][eE]\b.*?</[sS][tT][yY][lL][eE]>"""
             r"""|<(?:[^'">]++|"[^"]*+"|'[^']*+')*+>|<""")
+START_TAG = r"""(?s)^<(?:[^'">]++|"[^"]*+"|'[^']*+')*+>"""
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link",
              "meta", "param", "source", "track", "wbr"]
-IMPLIED_END_TAGS = ["p", "option"]
+IMPLIED_END_TAGS = ["p", "a", "li", "dt", "dd", "td", "th", "tr", "thead", "tbody", "tfoot", "option", "optgroup"]
+# Fixed values (HTML standard): the containers of those elements, and for each
+# element the tags whose start or end ends it, besides the container's end.
+CONTAINERS = {"list": ["ul", "ol", "menu", "dir"], "table": ["table"], "dl": ["dl"], "select": ["select"]}
+ROW_GROUPS = ["thead", "tbody", "tfoot"]
+ENDED_BY = {
+    "list": {"li": ["li"]},
+    "dl": {"dt": ["dt", "dd"], "dd": ["dt", "dd"]},
+    "table": {"td": ["td", "th", "tr", *ROW_GROUPS], "th": ["td", "th", "tr", *ROW_GROUPS], "tr": ["tr", *ROW_GROUPS],
+              "thead": ROW_GROUPS, "tbody": ROW_GROUPS, "tfoot": ROW_GROUPS},
+    "select": {"option": ["option", "optgroup"], "optgroup": ["optgroup"]},
+}
 # Fixed values (HTML standard): start tags that close an open p, and end tags
 # of containers that end a p left open inside them.
 P_CLOSING_START_TAGS = ["address", "article", "aside", "blockquote", "center", "dd", "details", "dialog",
                         "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
                         "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "listing",
                         "main", "menu", "nav", "ol", "p", "plaintext", "pre", "section", "summary",
-                        "table", "ul", "xmp"]
+                        "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "xmp"]
 P_CLOSING_END_TAGS = ["address", "article", "aside", "blockquote", "body", "caption", "center", "dd",
                       "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
                       "footer", "form", "header", "hgroup", "html", "li", "main", "menu", "nav", "ol",
@@ -65,7 +82,7 @@ P_CLOSING_END_TAGS = ["address", "article", "aside", "blockquote", "body", "capt
 # --------------------------------------------------------------------- H1
 
 def tokens(pages: DataFrame, cluster: bool = True, partitions: int | None = None,
-           id_col: str = PID, html_col: str = "html") -> DataFrame:
+           id_col: str = PID, html_col: str = "html", keep: list[str] = ()) -> DataFrame:
     """H1: one row per token: page_id, pos, n_tok, tok, kind, tag.
 
     ``kind`` is comment / raw (script or style block) / decl / open / close /
@@ -73,13 +90,13 @@ def tokens(pages: DataFrame, cluster: bool = True, partitions: int | None = None
     ``page_id`` *before* the explode, so the (smaller) html moves once and all
     per-page windows downstream run without another exchange.
     """
-    p = pages.select(F.col(id_col).alias(PID), F.col(html_col).alias("html"))
+    p = pages.select(F.col(id_col).alias(PID), F.col(html_col).alias("html"), *keep)
     if cluster:
         # One exchange of compact html (none when the pages are bucketed by
         # page_id), sized explicitly: the token rows after it are larger.
         p = cluster_by(p, PID, partitions)
-    t = p.select(PID, F.regexp_extract_all("html", F.lit(TOKEN_RE), 0).alias("toks"))
-    t = t.select(PID, F.size("toks").alias("n_tok"), F.posexplode("toks").alias("pos", "tok"))
+    t = p.select(PID, *keep, F.regexp_extract_all("html", F.lit(TOKEN_RE), 0).alias("toks"))
+    t = t.select(PID, *keep, F.size("toks").alias("n_tok"), F.posexplode("toks").alias("pos", "tok"))
     tok = F.col("tok")
     kind = (F.when(tok.startswith("<!--"), "comment")
             .when(tok.rlike(r"(?is)^<(script|style)\b.*</(script|style)>\z"), "raw")
@@ -91,7 +108,7 @@ def tokens(pages: DataFrame, cluster: bool = True, partitions: int | None = None
     # open, close and raw tokens are exactly those starting "<x" or "</x"
     tag = F.when(tok.rlike(r"^</?[A-Za-z]"),
                  F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1))).otherwise("")
-    return t.select(PID, "pos", "n_tok", "tok", kind.alias("kind"), tag.alias("tag"))
+    return t.select(PID, "pos", "n_tok", "tok", kind.alias("kind"), tag.alias("tag"), *keep)
 
 
 # --------------------------------------------------------------------- H2
@@ -100,16 +117,17 @@ def _ev(pos, order: int, delta: int, me: bool) -> Column:
     return F.struct(pos.alias("ep"), F.lit(order).alias("eo"), F.lit(delta).alias("dl"), F.lit(me).alias("me"))
 
 
-def shred(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+def shred(pages: DataFrame, partitions: int | None = None, keep: list[str] = ()) -> DataFrame:
     """H1+H2: the node table of pages.
 
     Columns: page_id, pos, n_tok, tok, kind, tag, is_elem, end, level,
     parent, parent_tag. ``end`` is the position of the token that ends the
     element (exclusive; the element's content is ``pos < x < end``);
     ``parent`` is the position of the enclosing element (NULL at top level).
+    ``keep`` names page columns (the URL) to carry along.
     Written as few wide steps: every step re-analyses the plan on the driver.
     """
-    t = tokens(pages, cluster=True, partitions=partitions)
+    t = tokens(pages, cluster=True, partitions=partitions, keep=keep)
     kind, tag, pos = F.col("kind"), F.col("tag"), F.col("pos")
     is_elem = kind.isin("open", "raw")
     is_void = (kind == "raw") | tag.isin(VOID_TAGS) | ((kind == "open") & F.col("tok").rlike(r"/>\z"))
@@ -135,9 +153,25 @@ def shred(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     lvl = F.when(kind == "close", F.col("_d") + 1).otherwise(F.col("_d"))
     w_lvl = Window.partitionBy(F.col(PID), tag, lvl).orderBy("pos")
     t = t.select("*", F.lead("kind").over(w_lvl).alias("_nk"), F.lead("pos").over(w_lvl).alias("_np"))
+
+    # Elements that end with their container or a sibling: the running depth
+    # of containers of the family, then the nearest later token that ends the
+    # row's tag at the same depth (running frames over (page, family)).
+    family = reduce(lambda a, b: a.when(b[1], b[0]), [
+        (f, tag.isin(CONTAINERS[f] + list(ENDED_BY[f]))) for f in ENDED_BY], F)
+    t = t.withColumn("_fam", family)
+    box = (tag != "") & reduce(lambda a, b: a | b, [tag.isin(v) for v in CONTAINERS.values()])
+    step = F.when(box & (kind == "open"), 1).when(box & (kind == "close"), -1).otherwise(0)
+    w_fam = Window.partitionBy(PID, "_fam").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("_depth", F.sum(step).over(w_fam) + F.when(box & (kind == "close"), 1).otherwise(0))
+    w_next = Window.partitionBy(PID, "_fam", "_depth").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = {x: F.last(F.when((box & (kind == "close")) | tag.isin(by), pos), ignorenulls=True).over(w_next)
+            for f in ENDED_BY.values() for x, by in f.items()}
+    t = t.withColumn("_fam_end", reduce(lambda a, x: a.when(tag == x[0], x[1]), ends.items(), F))
     end_known = (F.when(ecls == "void", pos)
                  .when((ecls == "implied") & (tag == "p"), F.col("_next_pterm"))
-                 .when(ecls == "implied", F.col("_next_tagtok"))
+                 .when((ecls == "implied") & (tag == "a"), F.col("_next_tagtok"))
+                 .when(ecls == "implied", F.col("_fam_end"))
                  .when((ecls == "paired") & (F.col("_nk") == "close"), F.col("_np")))
 
     # Structural depth, per page: +1 at the open of an element with a known
@@ -146,8 +180,8 @@ def shred(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     structural = F.col("is_elem") & (ecls != "void") & end_known.isNotNull()
     ev = F.when(structural, F.array(_ev(pos, 1, 1, True), _ev(end_known, 0, -1, False))) \
           .otherwise(F.array(_ev(pos, 1, 0, True)))
-    keep = [PID, "pos", "n_tok", "tok", "kind", "tag", "is_elem"]
-    t = t.select(*keep, end_known.alias("_end"), structural.alias("_st"), F.explode(ev).alias("_e"))
+    own = [PID, "pos", "n_tok", "tok", "kind", "tag", "is_elem", *keep]
+    t = t.select(*own, end_known.alias("_end"), structural.alias("_st"), F.explode(ev).alias("_e"))
     w_page = Window.partitionBy(PID).orderBy("_e.ep", "_e.eo").rowsBetween(Window.unboundedPreceding, 0)
     t = t.select("*", F.sum("_e.dl").over(w_page).alias("_s")).filter("_e.me")
 
@@ -159,13 +193,13 @@ def shred(pages: DataFrame, partitions: int | None = None) -> DataFrame:
         F.struct(level.alias("k"), F.lit(0).alias("q"), me.alias("cand")),
         F.struct((level - 1).alias("k"), F.lit(1).alias("q"), none.alias("cand")),
     )).otherwise(F.array(F.struct((level - 1).alias("k"), F.lit(1).alias("q"), none.alias("cand"))))
-    t = t.select(*keep, "_end", level.alias("level"), F.explode(rows).alias("_r"))
+    t = t.select(*own, "_end", level.alias("level"), F.explode(rows).alias("_r"))
     w_k = Window.partitionBy(PID, "_r.k").orderBy("pos", "_r.q").rowsBetween(Window.unboundedPreceding, 0)
     t = t.select("*", F.last("_r.cand", ignorenulls=True).over(w_k).alias("_par")).filter("_r.q = 1")
     par = F.when(F.col("level") > 1, F.col("_par"))
     end = F.when(~F.col("is_elem"), pos).otherwise(F.coalesce(F.col("_end"), par["e"], F.col("n_tok")))
     return t.select(PID, "pos", "n_tok", "tok", "kind", "tag", "is_elem", end.alias("end"),
-                    "level", par["p"].alias("parent"), par["t"].alias("parent_tag"))
+                    "level", par["p"].alias("parent"), par["t"].alias("parent_tag"), *keep)
 
 
 def me_type():
@@ -178,8 +212,7 @@ def me_type():
 
 def attr(name: str, tok: Column | str = "tok") -> Column:
     """Value of attribute ``name`` of a tag token, entity-decoded; "" when missing."""
-    pat = (rf"(?i)^<[^\t\n\f\r />]+[^>]*?[{WS_BODY}/]{name}{WS}*={WS}*"
-           rf"""(?:"([^"]*)"|'([^']*)'|([^\t\n\f\r >]+))""")
+    pat = (_before(name) + rf"""{WS}*={WS}*(?:"([^"]*)"|'([^']*)'|([^\t\n\f\r >]+))""")
     if isinstance(tok, str):
         t, q = f"`{tok}`", sql_str(pat)
         raw = f"concat(regexp_extract({t}, {q}, 1), regexp_extract({t}, {q}, 2), regexp_extract({t}, {q}, 3))"
@@ -191,7 +224,27 @@ def attr(name: str, tok: Column | str = "tok") -> Column:
 
 def has_attr(name: str, tok: Column | str = "tok") -> Column:
     tok = F.col(tok) if isinstance(tok, str) else tok
-    return tok.rlike(rf"(?i)^<[^\t\n\f\r />]+[^>]*?[{WS_BODY}/]{name}({WS}*=|[{WS_BODY}/>])")
+    return tok.rlike(_before(name) + rf"(?=[{WS_BODY}/=>])")
+
+
+def _before(name: str) -> str:
+    """A tag up to and with the first attribute called ``name``: the pattern
+    steps over whole attributes, so nothing inside a quoted value counts."""
+    a = re.escape(name)
+    return (rf"(?i)^<[^{WS_BODY}/>]++(?:[{WS_BODY}/]+(?!{a}[{WS_BODY}/=>])[^{WS_BODY}/=>]++"
+            rf"""(?:{WS}*+={WS}*+(?:"[^"]*+"|'[^']*+'|[^{WS_BODY}>"'][^{WS_BODY}>]*+))?+)*+[{WS_BODY}/]++{a}""")
+
+
+def all_attrs(tok: Column | str = "tok") -> Column:
+    """Every attribute of a tag token in order, as (name, value); the
+    value is decoded, and "" where there is none."""
+    tok = F.col(tok) if isinstance(tok, str) else tok
+    one = (rf"""[{WS_BODY}/]+([^{WS_BODY}/=>]+)(?:{WS}*={WS}*("[^"]*"|'[^']*'|[^{WS_BODY}>"'][^{WS_BODY}>]*))?""")
+    rest = F.regexp_replace(tok, rf"^<[^{WS_BODY}/>]+", "")
+    value = lambda v: F.when(v.rlike("^[\"']"), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    pairs = F.arrays_zip(F.regexp_extract_all(rest, F.lit(one), F.lit(1)).alias("n"),
+                         F.regexp_extract_all(rest, F.lit(one), F.lit(2)).alias("v"))
+    return F.transform(pairs, lambda p: F.struct(F.lower(p["n"]).alias("name"), decode_entities(value(p["v"])).alias("value")))
 
 
 def sel(tag: str | None = None, id: str | None = None, cls: str | list[str] | None = None,
@@ -299,9 +352,16 @@ def owned_tokens(nodes: DataFrame, owner: Column, member: Column) -> DataFrame:
     return x.select(*cols, "owner", F.col("_o").alias("is_owner"))
 
 
-def element_text(nodes: DataFrame, owner: Column, with_raw: bool = False) -> DataFrame:
+def raw_text(tok: str = "tok") -> Column:
+    """The content of a script or style token, written so that decoding
+    references later gives it back unchanged (it holds none)."""
+    return F.replace(F.regexp_extract(tok, r"(?is)^<[^>]*>(.*)</[a-z]+>\z", 1), F.lit("&"), F.lit("&amp;"))
+
+
+def element_text(nodes: DataFrame, owner: Column, with_raw: bool = True) -> DataFrame:
     """H17 ``Text()``: for each selected element, its text (entity-decoded
-    concatenation of the text tokens inside it, in document order).
+    concatenation of the text tokens inside it, in document order, script and
+    style content included unless ``with_raw`` is off).
 
     Returns the selected element rows plus ``text``.
     """
@@ -309,8 +369,7 @@ def element_text(nodes: DataFrame, owner: Column, with_raw: bool = False) -> Dat
     if with_raw:
         member = member | (F.col("kind") == "raw")
     x = owned_tokens(nodes, owner, member)
-    piece = F.when(F.col("kind") == "raw",
-                   F.regexp_extract("tok", r"(?is)^<[^>]*>(.*)</[a-z]+>\z", 1)).otherwise(F.col("tok"))
+    piece = F.when(F.col("kind") == "raw", raw_text()).otherwise(F.col("tok"))
     x = x.withColumn("_piece", F.when(~F.col("is_owner"), piece))
     cols = [c for c in nodes.columns if c != PID]
     g = x.groupBy(PID, "owner").agg(
@@ -319,12 +378,21 @@ def element_text(nodes: DataFrame, owner: Column, with_raw: bool = False) -> Dat
     return g.select(PID, "_el.*", F.expr(decode_sql("coalesce(_txt, '')")).alias("text"))
 
 
+def serialised(tok: str = "tok") -> Column:
+    """A token as it is written out again: tag names in lower case, ``<br>`` and
+    other void tags with ``/>``."""
+    t = F.col(tok)
+    start = F.regexp_extract(t, r"^</?[A-Za-z][A-Za-z0-9]*", 0)
+    tag = F.concat(F.lower(start), F.substr(t, F.length(start) + 1))
+    void = F.lower(F.ltrim(start, F.lit("<"))).isin(VOID_TAGS)
+    return F.when(start == "", t).when(void, F.concat(F.regexp_replace(tag, rf"{WS}*/?>\z", ""), F.lit("/>"))).otherwise(tag)
+
+
 def inner_html(nodes: DataFrame, owner: Column) -> DataFrame:
     """H18 ``Html()``: serialised inner markup of each selected element, with
-    ``<br>`` written ``<br/>`` as an HTML serialiser does."""
+    void tags written ``<br/>`` as an HTML serialiser does."""
     x = owned_tokens(nodes, owner, F.lit(True))
-    norm = F.regexp_replace("tok", r"(?i)^<br[\t\n\f\r ]*/?>\z", "<br/>")
-    x = x.withColumn("_piece", F.when(~F.col("is_owner"), norm))
+    x = x.withColumn("_piece", F.when(~F.col("is_owner"), serialised("tok")))
     cols = [c for c in nodes.columns if c != PID]
     g = x.groupBy(PID, "owner").agg(
         F.max(F.when(F.col("is_owner"), F.struct(*cols))).alias("_el"),
@@ -356,16 +424,6 @@ def siblings(elems: DataFrame, n: int = 1) -> DataFrame:
             .withColumn("prev_tag", F.lag("tag", n).over(w)))
 
 
-def first_match(df: DataFrame, value: Column | str, by: list[str] | None = None,
-                order: str = "pos", last: bool = False) -> DataFrame:
-    """The first (or last) matching value per group by document
-    order, via min_by/max_by - a partial aggregate, safe on hot groups."""
-    by = by or [PID]
-    value = F.col(value) if isinstance(value, str) else value
-    f = F.max_by if last else F.min_by
-    return df.groupBy(*by).agg(f(value, F.col(order)).alias("value"))
-
-
 def nth_cells(cells: DataFrame, row_col: str, names: list[str], value: Column | str,
               skip_first: int = 0) -> DataFrame:
     """I-th cell of each row -> named column (a pivot of
@@ -376,6 +434,3 @@ def nth_cells(cells: DataFrame, row_col: str, names: list[str], value: Column |
     return c.groupBy(PID, row_col).agg(*[
         F.max(F.when(F.col("_i") == i, value)).alias(nm) for i, nm in enumerate(names)])
 
-
-def text_clean(col: str = "text") -> Column:
-    return clean(F.col(col))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean
+from .dims import first_per_key
 from .html import PID, attr, element_text, mark_path, sel
 
 ColumnOrName = Column | str
@@ -16,8 +17,9 @@ def _c(x):
 
 
 def extract_links(nodes: DataFrame, *scope: Column, link: Column | None = None,
-                  href_attr: str = "href") -> DataFrame:
-    """L1: links of pages -> (page_id, pos, href, label).
+                  href_attr: str = "href", keep: list[str] = ()) -> DataFrame:
+    """L1: links of pages -> (page_id, pos, href, label, and page columns that
+    the node table carries in ``keep``).
 
     ``scope`` are ancestor selectors (``nav``, ``li`` gives ``nav li a``);
     ``label`` is the cleaned text of the link element.
@@ -26,7 +28,7 @@ def extract_links(nodes: DataFrame, *scope: Column, link: Column | None = None,
     marked = mark_path(nodes, *scope, link, name="_lnk")
     t = element_text(marked, F.col("_lnk"))
     return t.select(PID, F.col("pos").cast("long").alias("pos"),
-                    attr(href_attr).alias("href"), clean("text").alias("label"))
+                    attr(href_attr).alias("href"), clean("text").alias("label"), *keep)
 
 
 def origin(url: ColumnOrName) -> Column:
@@ -44,18 +46,36 @@ def prefix_url(base: str, href: ColumnOrName) -> Column:
 
 
 def resolve_url(page_url: ColumnOrName, href: ColumnOrName) -> Column:
-    """L3: resolve a reference against the page URL (absolute, scheme-relative,
-    root-relative and plain relative forms)."""
+    """L3: resolve a reference against the page URL (RFC 3986): absolute,
+    scheme-relative, root-relative and relative forms, dot segments removed,
+    a base without a path taken as its root."""
     u, h = _c(page_url), _c(href)
     scheme = F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    base_dir = F.regexp_extract(u, r"^([^?#]*/)", 1)
+    base_dir = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*/)", 1)
+    path = F.regexp_extract(h, r"^([^?#]*)", 1)
+    rest = F.substr(h, F.length(path) + 1)
+    full = F.when(h.startswith("/"), path).otherwise(F.concat(F.when(base_dir == "", "/").otherwise(base_dir), path))
     return (F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
             .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(origin(u), h))
-            .when(h == "", u)
+            .when(h == "", F.regexp_extract(u, r"^([^#]*)", 1))
             .when(h.startswith("?"), F.concat(F.regexp_extract(u, r"^([^?#]*)", 1), h))
             .when(h.startswith("#"), F.concat(F.regexp_extract(u, r"^([^#]*)", 1), h))
-            .otherwise(F.concat(base_dir, h)))
+            .otherwise(F.concat(origin(u), drop_dot_segments(full), rest)))
+
+
+def drop_dot_segments(path: ColumnOrName) -> Column:
+    """An absolute path without its ``.`` and ``..`` segments (RFC 3986, 5.2.4)."""
+    path = _c(path)
+    parts = F.split(path, "/", -1)
+
+    def step(kept, s):  # the first part is the empty one before the leading "/"
+        return (F.when(s == ".", kept).when(s == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1))))
+                .otherwise(F.concat(kept, F.array(s))))
+
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), step)
+    out = F.array_join(kept, "/")
+    out = F.when(path.rlike(r"/\.\.?\z"), F.concat(out, F.lit("/"))).otherwise(out)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|\z)"), out).otherwise(path)
 
 
 def query_param(url: ColumnOrName, key: str) -> Column:
@@ -76,22 +96,18 @@ def rewrite_first(url: ColumnOrName, old_regex: str, new: str) -> Column:
 def dedup_links_in_page(links: DataFrame, key: str = "href") -> DataFrame:
     """First occurrence of each link within a page.
 
-    ``min(struct(pos, ...))`` is a partial aggregate: a page repeating one
-    link many times is pre-reduced before the shuffle.
+    A page's links are together already (the node table is partitioned by
+    page), so the first one is kept by the least position.
     """
     rest = [c for c in links.columns if c not in (PID, key, "pos")]
-    g = links.groupBy(PID, key).agg(
-        F.min(F.struct("pos", *rest)).alias("_f"), F.count("*").alias("n_seen"))
-    return g.select(PID, key, "_f.*", "n_seen")
+    return links.groupBy(PID, key).agg(F.min("pos").alias("pos"), *[F.min_by(c, "pos").alias(c) for c in rest],
+                                       F.count("*").alias("n_seen"))
 
 
 def dedup_links_global(links: DataFrame, key_cols: list[str], order_cols: list[str]) -> DataFrame:
     """First occurrence of each link over all pages of a source (by
     ``order_cols``), with the number of times it was seen."""
-    rest = [c for c in links.columns if c not in key_cols and c not in order_cols]
-    g = links.groupBy(*key_cols).agg(
-        F.min(F.struct(*order_cols, *rest)).alias("_f"), F.count("*").alias("n_seen"))
-    return g.select(*key_cols, "_f.*", "n_seen")
+    return first_per_key(links, key_cols, order_cols, "n_seen")
 
 
 def last_page_number(href: ColumnOrName, pattern: str = r".*page=(\d+)") -> Column:

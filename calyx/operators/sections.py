@@ -5,28 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Schema of the course-search payload fields the pipeline reads (the
-# response carries more; unread fields are not parsed). Untyped members of
-# the source are kept as JSON text.
-SEARCH_RESPONSE = (
-    "success boolean, totalCount int, pageOffset int, pageMaxSize int, "
-    "data array<struct<id int, term string, termDesc string, courseReferenceNumber string, "
+# The schema of the course-search payload. Members without a
+# type in the source are kept as JSON text.
+MEETING_TIME = (
+    "struct<beginTime string, building string, buildingDescription string, campus string, campusDescription string, "
+    "category string, class string, courseReferenceNumber string, creditHourSession double, endDate string, "
+    "endTime string, friday boolean, hoursWeek double, meetingScheduleType string, meetingType string, "
+    "meetingTypeDescription string, monday boolean, room string, saturday boolean, startDate string, sunday boolean, "
+    "term string, thursday boolean, tuesday boolean, wednesday boolean>")
+SECTION = (
+    "struct<id int, term string, termDesc string, courseReferenceNumber string, partOfTerm string, "
     "courseNumber string, subject string, subjectDescription string, sequenceNumber string, "
-    "campusDescription string, courseTitle string, creditHours double, maximumEnrollment int, "
-    "enrollment int, seatsAvailable int, waitCapacity int, waitCount int, waitAvailable int, "
-    "crossList string, crossListCapacity int, crossListCount int, openSection boolean>>")
+    "campusDescription string, scheduleTypeDescription string, courseTitle string, creditHours double, "
+    "maximumEnrollment int, enrollment int, seatsAvailable int, waitCapacity int, waitCount int, waitAvailable int, "
+    "crossList string, crossListCapacity string, crossListCount string, crossListAvailable string, "
+    "creditHourHigh double, creditHourLow int, creditHourIndicator string, openSection boolean, linkIdentifier string, "
+    "isSectionLinked boolean, subjectCourse string, faculty array<string>, meetingsFaculty array<struct<"
+    "category string, class string, courseReferenceNumber string, faculty array<string>, "
+    f"meetingTime {MEETING_TIME}, term string>>, reservedSeatSummary string, sectionAttributes array<struct<"
+    "class string, code string, courseReferenceNumber string, description string, isZTCAttribute boolean, "
+    "termCode string>>>")
+SEARCH_RESPONSE = f"success boolean, totalCount int, pageOffset int, pageMaxSize int, data array<{SECTION}>"
 PAIRS = "array<struct<code string, description string>>"
 
 
-def search_sections(df: DataFrame, body_col: str = "body", keep: list[str] = ()) -> DataFrame:
-    """S3 + X3: search response JSON -> one row per ``data[]`` section."""
+def search_sections(df: DataFrame, body_col: str = "body", keep: list[str] = (), order: str = "s_ord") -> DataFrame:
+    """S3 + X3: search response JSON -> one row per ``data[]`` section, with its
+    place ``order`` in the response."""
     p = df.select(*keep, F.from_json(F.col(body_col), SEARCH_RESPONSE).alias("_r"))
-    return p.select(*keep, F.inline("_r.data"))
+    return p.select(*keep, F.posexplode("_r.data").alias(order, "_d")).select(*keep, order, "_d.*")
 
 
-def code_pairs(df: DataFrame, body_col: str = "body", keep: list[str] = ()) -> DataFrame:
-    """``[{code, description}, ...]`` JSON -> rows."""
-    return df.select(*keep, F.inline(F.from_json(F.col(body_col), PAIRS)))
+def code_pairs(df: DataFrame, body_col: str = "body", keep: list[str] = (), order: str = "o") -> DataFrame:
+    """``[{code, description}, ...]`` JSON -> rows, with their place ``order``."""
+    p = df.select(*keep, F.posexplode(F.from_json(F.col(body_col), PAIRS)).alias(order, "_p"))
+    return p.select(*keep, order, "_p.code", "_p.description")
 
 
 def enrollment(df: DataFrame, actual: Column, max_: Column, wait_actual: Column,
@@ -71,7 +84,7 @@ def two_level_join(df: DataFrame, keys: list[str], order: str, cells: list[str],
         F.sum("_n").alias("n_turns"),
         F.expr("listagg(_part, '') WITHIN GROUP (ORDER BY _chunk)").alias("_j"))
     return g.withColumn("joined", F.when(F.col("_j").startswith(row_sep),
-                                         F.substring("_j", len(row_sep) + 1, 1 << 30))
+                                         F.substr("_j", F.lit(len(row_sep) + 1)))
                         .otherwise(F.col("_j"))).drop("_j")
 
 
@@ -86,6 +99,6 @@ def cap_per_group(df: DataFrame, keys: list[str], order: list[str], n: int | Non
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def first_terms(terms: DataFrame, order: str, n: int = 3) -> DataFrame:
+def first_terms(terms: DataFrame, order: str | list[str], n: int = 3) -> DataFrame:
     """O1: the first ``n`` terms in source order (top-k: partial per task)."""
     return terms.orderBy(order).limit(n)

@@ -59,12 +59,13 @@ def last_before(df: DataFrame, part: list[str], order: list[str], value: ColumnO
 def collect_fields(classified: DataFrame, keys: list[str], order: str, kind_col: str = "kind",
                    value_col: str = "value", text_kind: str = "text", sep: str = " ",
                    last_wins: list[str] = (), first_wins: list[str] = (),
-                   appended: dict | None = None) -> DataFrame:
+                   appended: dict | None = None, counted: dict | None = None) -> DataFrame:
     """A5: fold classified lines of a block into fields.
 
     Lines of ``text_kind`` are joined in order (the description); for a kind
     in ``last_wins`` the last line's value is kept, ``first_wins`` the
-    first; ``appended`` maps a kind to the field its values are appended to.
+    first; ``appended`` maps a kind to the field its values are appended to,
+    ``counted`` a kind to the field with its number of lines.
     """
     k, v = F.col(kind_col), F.col(value_col)
     aggs = [F.expr(f"listagg(CASE WHEN {kind_col} = '{text_kind}' THEN {value_col} END, '{sep}') "
@@ -76,6 +77,7 @@ def collect_fields(classified: DataFrame, keys: list[str], order: str, kind_col:
     for kd, _target in (appended or {}).items():
         aggs.append(F.expr(f"listagg(CASE WHEN {kind_col} = '{kd}' THEN {value_col} END, '{sep}') "
                            f"WITHIN GROUP (ORDER BY {order})").alias(f"_app_{kd}"))
+    aggs += [F.count_if(k == kd).alias(name) for kd, name in (counted or {}).items()]
     out = classified.groupBy(*keys).agg(*aggs)
     for kd, target in (appended or {}).items():
         out = out.withColumn(target, F.concat_ws(sep, F.nullif(F.col(target), F.lit("")),
@@ -83,15 +85,18 @@ def collect_fields(classified: DataFrame, keys: list[str], order: str, kind_col:
     return out
 
 
-def explode_numbers(df: DataFrame, col: str, name: str = "number") -> DataFrame:
-    """One row per digit run of ``col`` (``891*/892*`` -> 891, 892);
-    no digits -> no row."""
-    return df.withColumn(name, F.explode(F.regexp_extract_all(F.col(col), F.lit(r"(\d+)"), 1)))
+def explode_numbers(df: DataFrame, col: str, name: str = "number", index: str = "idx") -> DataFrame:
+    """One row per digit run of ``col`` (``891*/892*`` -> 891, 892) with its
+    place ``index``; no digits -> no row."""
+    return _exploded(df, F.regexp_extract_all(F.col(col), F.lit(r"(\d+)"), 1), name, index)
 
 
-def explode_if_slash(df: DataFrame, col: str, name: str = "number") -> DataFrame:
+def explode_if_slash(df: DataFrame, col: str, name: str = "number", index: str = "idx") -> DataFrame:
     """Split into digit runs only when the value has ``/``; otherwise
     keep it as one row unchanged."""
     c = F.col(col)
-    arr = F.when(c.contains("/"), F.regexp_extract_all(c, F.lit(r"(\d+)"), 1)).otherwise(F.array(c))
-    return df.withColumn(name, F.explode(arr))
+    return _exploded(df, F.when(c.contains("/"), F.regexp_extract_all(c, F.lit(r"(\d+)"), 1)).otherwise(F.array(c)), name, index)
+
+
+def _exploded(df: DataFrame, parts: Column, name: str, index: str) -> DataFrame:
+    return df.select(*[c for c in df.columns if c not in (name, index)], F.posexplode(parts).alias(index, name))

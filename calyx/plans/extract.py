@@ -6,33 +6,43 @@ page once) and return DataFrames keyed by ``page_id`` (and ``pos``).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import html as H
-from ..session import checkpoint_dir
+from ..session import clustered_partitions, scan_bytes
+from ..sources import io as IO
 
 PID = H.PID
 
 
 def staged_nodes(pages: DataFrame) -> DataFrame:
-    """The node table of ``pages``, computed once and checkpointed to the
-    session's shared checkpoint folder.
+    """The node table of ``pages``, computed once and written to the shared
+    folder as Parquet, bucketed by ``page_id``.
 
     A pipeline reads the node table from many branches (texts, markup,
-    siblings, ownership); checkpointing cuts the lineage so the shredding
-    runs once, survives executor loss, and keeps its hash partitioning on
-    ``page_id`` (the per-page windows downstream still need no exchange).
+    siblings, ownership). The written table cuts the lineage, so shredding runs
+    once and survives executor loss; each branch reads only its columns; and
+    the bucketed scan keeps the hash partitioning on ``page_id`` (the per-page
+    windows downstream still need no exchange).
+
+    The buckets follow the bytes of the pages. A subset of pages (a filter, a
+    semi-join, a union) has no known size, so it is written first.
     """
-    checkpoint_dir(pages.sparkSession)
-    return H.shred(pages).checkpoint(eager=True)
+    pages = pages.select(PID, "html")
+    if scan_bytes(pages, plain=True) is None:
+        pages = IO.staged(pages, "pages")
+    n = clustered_partitions(pages)
+    return IO.land_bucketed(H.shred(pages, partitions=n), f"calyx_nodes_{uuid.uuid4().hex}", PID, n)
 
 COURSE_FIELDS = ["SubjectName", "SubjectDescription", "SubjectCode", "Link", "name", "numericCode",
                  "courseCode", "description", "prerequisite", "antirequisite", "corequisite",
                  "oneWayExclusion", "crosslisted"]
 
 
-def texts(nodes: DataFrame, *path: Column, raw: bool = False) -> DataFrame:
+def texts(nodes: DataFrame, *path: Column, raw: bool = True) -> DataFrame:
     """``Text()`` of every element matching the selector path: the element
     rows plus ``text`` (entity-decoded)."""
     m = H.mark_path(nodes, *path, name="_m")
@@ -75,8 +85,7 @@ def scoped_texts(nodes: DataFrame, scope: Column, member: Column) -> DataFrame:
 def document_text(nodes: DataFrame, name: str = "doc_text") -> DataFrame:
     """``doc.Text()``: every text node of the page in order (script and
     style content included), entity-decoded."""
-    piece = F.when(F.col("kind") == "raw",
-                   F.regexp_extract("tok", r"(?is)^<[^>]*>(.*)</[a-z]+>\z", 1)).otherwise(F.col("tok"))
+    piece = F.when(F.col("kind") == "raw", H.raw_text()).otherwise(F.col("tok"))
     t = nodes.filter(F.col("kind").isin("text", "raw")).withColumn("_p", piece)
     g = t.groupBy(PID).agg(F.expr("listagg(_p, '') WITHIN GROUP (ORDER BY pos)").alias("_t"))
     return g.select(PID, H.decode_entities("_t").alias(name))
@@ -85,8 +94,7 @@ def document_text(nodes: DataFrame, name: str = "doc_text") -> DataFrame:
 def document_html(nodes: DataFrame, name: str = "doc_html") -> DataFrame:
     """``doc.Html()``: the page re-serialised from its tokens (``<br>`` as
     ``<br/>``)."""
-    norm = F.regexp_replace("tok", r"(?i)^<br[\t\n\f\r ]*/?>\z", "<br/>")
-    g = nodes.withColumn("_p", norm).groupBy(PID).agg(
+    g = nodes.withColumn("_p", H.serialised("tok")).groupBy(PID).agg(
         F.expr("listagg(_p, '') WITHIN GROUP (ORDER BY pos)").alias(name))
     return g
 
@@ -110,5 +118,5 @@ def course_frame(df: DataFrame, source: str, ord_cols: list[str]) -> DataFrame:
     cols = []
     for f in COURSE_FIELDS:
         cols.append((F.coalesce(F.col(f), F.lit("")) if f in df.columns else F.lit("")).alias(f))
-    o = F.struct(*[F.col(c).cast("long").alias(f"o{i}") for i, c in enumerate(ord_cols)])
+    o = F.array(*[F.col(c).cast("long") for c in ord_cols])   # arrays of all sources compare, whatever their depth
     return df.select(F.lit(source).alias("source"), o.alias("ord"), *cols)

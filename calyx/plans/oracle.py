@@ -7,8 +7,9 @@ Spark plans can be checked value by value. Nothing here runs on Spark.
 
 from __future__ import annotations
 
-from ..functions.text import ENTITY_TABLE
-from ..operators.html import IMPLIED_END_TAGS, P_CLOSING_END_TAGS, P_CLOSING_START_TAGS, VOID_TAGS
+from html.entities import html5
+
+from ..operators.html import P_CLOSING_END_TAGS, P_CLOSING_START_TAGS, VOID_TAGS
 
 
 def q(s: str) -> str:
@@ -27,21 +28,26 @@ TOK_RE2 = (r"""(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"""
 
 
 def _entity_map() -> str:
-    return "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in sorted(ENTITY_TABLE.items())) + "}"
+    # a name as it stands in text; DuckDB's own table is the standard library's
+    return "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in sorted(html5.items())) + "}"
 
 
 def decode(e: str) -> str:
-    ent = r"regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);', 1)"
-    cp = ("TRY_CAST(CASE WHEN starts_with(y.m, '#x') OR starts_with(y.m, '#X') THEN '0x' || substr(y.m, 3) "
-          "WHEN starts_with(y.m, '#') THEN substr(y.m, 2) END AS INTEGER)")
-    ch = ("(CASE WHEN x.cp > 0 AND x.cp <= 1114111 AND NOT (x.cp BETWEEN 55296 AND 57343) "
-          "THEN chr(x.cp) ELSE chr(65533) END)")
-    rep = f"(CASE WHEN starts_with(x.m, '#') THEN {ch} ELSE map_extract_value({_entity_map()}, x.m) END)"
-    piece = f"CASE WHEN i = 1 THEN x.p ELSE coalesce({rep} || substr(x.p, length(x.m) + 2), '&' || x.p) END"
-    parts = (f"list_transform(list_transform(string_split({e}, '&'), lambda p: {{'p': p, 'm': {ent}}}), "
-             f"lambda y: {{'p': y.p, 'm': y.m, 'cp': {cp}}})")
-    return (f"(CASE WHEN strpos({e}, '&') = 0 THEN {e} ELSE "
-            f"array_to_string(list_transform({parts}, lambda x, i: {piece}), '') END)")
+    """Character references, each found by one pattern and looked up by the
+    longest of its prefixes that is a name (the Spark side splits on "&")."""
+    ref = r"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;?)"
+    names = f"list_filter(list_transform(range(length(m) - 1, 1, -1), lambda k: m[2:k + 1]), lambda p: map_contains({_entity_map()}, p))"
+    num = (r"CASE WHEN regexp_matches(m, '^&#[xX]') THEN TRY_CAST('0x' || regexp_extract(m, '^&#[xX]0*([0-9A-Fa-f]*)', 1) AS BIGINT) "
+           r"ELSE TRY_CAST(regexp_extract(m, '^&#0*([0-9]*)', 1) AS BIGINT) END")
+    c1 = "".join(bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0))
+    char = (f"list_transform([{num}], lambda n: CASE WHEN n BETWEEN 128 AND 159 THEN {q(c1)}[n - 127] WHEN n > 0 AND n <= 1114111 AND NOT (n BETWEEN 55296 AND 57343) "
+            f"THEN chr(n::INTEGER) ELSE chr(65533) END)[1]")
+    one = (f"CASE WHEN m[2] = '#' THEN {char} ELSE coalesce(list_transform({names}[1:1], lambda p: map_extract_value({_entity_map()}, p) "
+           f"|| m[length(p) + 2:])[1], m) END")
+    found = f"regexp_extract_all({e}, {q(ref)})"
+    gaps = f"regexp_split_to_array({e}, {q(ref)})"
+    return (f"(CASE WHEN strpos({e}, '&') = 0 THEN {e} ELSE array_to_string(list_transform(list_zip({gaps}, {found}), "
+            f"lambda z: z[1] || CASE WHEN z[2] IS NULL THEN '' ELSE list_transform([z[2]], lambda m: {one})[1] END), '') END)")
 
 
 def utrim(e: str) -> str:
@@ -56,16 +62,29 @@ def clean(e: str) -> str:
     return utrim(x)
 
 
+ATTR = r"""[\t\n\f\r />]+([^\t\n\f\r />=]+)(?:[\t\n\f\r ]*=[\t\n\f\r ]*("[^"]*"|'[^']*'|[^\t\n\f\r >"'][^\t\n\f\r >]*))?"""
+
+
+def attrs(tok: str) -> str:
+    """All attributes of a tag as a list of (name, value) structs, by matching
+    them one after the other (the Spark side steps up to the one it wants)."""
+    rest = rf"regexp_replace({tok}, '^<[^\t\n\f\r />]+', '')"
+    value = "CASE WHEN regexp_matches(v, '^[\"'']') THEN v[2:length(v) - 1] ELSE v END"
+    return (f"list_transform(list_zip(regexp_extract_all({rest}, {q(ATTR)}, 1), regexp_extract_all({rest}, {q(ATTR)}, 2)), "
+            f"lambda z: {{'name': lower(z[1]), 'value': list_transform([z[2]], lambda v: {value})[1]}})")
+
+
 def attr(tok: str, name: str) -> str:
-    pat = (rf"(?i)^<[^\t\n\f\r />]+[^>]*?[\t\n\f\r /]{name}{WS}*={WS}*"
-           r"""(?:"([^"]*)"|'([^']*)'|([^\t\n\f\r >]+))""")
-    raw = " || ".join(f"regexp_extract({tok}, {q(pat)}, {g})" for g in (1, 2, 3))
-    return decode(f"({raw})")
+    got = f"list_filter({attrs(tok)}, lambda x: x.name = {q(name)})[1].value"
+    return decode(f"coalesce({got}, '')")
+
+
+#: The start tag of a token (a script's token holds its content too).
+START = r"""regexp_extract(tok, '(?s)^<(?:"[^"]*"|''[^'']*''|[^''">])*>')"""
 
 
 def has_attr(tok: str, name: str) -> str:
-    pat = rf"(?i)^<[^\t\n\f\r />]+[^>]*?[\t\n\f\r /]{name}({WS}*=|[\t\n\f\r />])"
-    return f"regexp_matches({tok}, {q(pat)})"
+    return f"(len(list_filter({attrs(tok)}, lambda x: x.name = {q(name)})) > 0)"
 
 
 def tokens_cte() -> str:
@@ -85,8 +104,23 @@ tk AS (SELECT *, CASE WHEN kind IN ('open','close','raw')
 
 
 def nodes_cte() -> str:
-    v, imp = lst(VOID_TAGS), lst(IMPLIED_END_TAGS)
+    # an element whose end tag may be left out ends at the first later token of
+    # its kind with as many container starts as ends in between
+    families = {"li": (["li"], "ul ol menu dir"), "dt": (["dt", "dd"], "dl"), "dd": (["dt", "dd"], "dl"),
+                "option": (["option", "optgroup"], "select"), "optgroup": (["optgroup"], "select")}
+    rows = ["thead", "tbody", "tfoot"]
+    families |= {t: (["td", "th", "tr", *rows], "table") for t in ("td", "th")} | {"tr": (["tr", *rows], "table")}
+    families |= {t: (rows, "table") for t in rows}
+    ends = []
+    for t, (by, box) in families.items():
+        inside = (f"(SELECT coalesce(sum(CASE WHEN x.kind = 'open' THEN 1 ELSE -1 END), 0) FROM tk x WHERE x.page_id = a.page_id "
+                  f"AND x.pos > a.pos AND x.pos < b.pos AND x.tag IN {lst(box.split())} AND x.kind IN ('open', 'close'))")
+        ends.append(f"SELECT a.page_id, a.pos, min(b.pos) AS fam_end FROM tk a JOIN tk b ON b.page_id = a.page_id AND b.pos > a.pos "
+                    f"AND b.kind IN ('open', 'close') AND (b.tag IN {lst(by)} OR (b.kind = 'close' AND b.tag IN {lst(box.split())})) "
+                    f"WHERE a.kind = 'open' AND a.tag = {q(t)} AND {inside} = 0 GROUP BY a.page_id, a.pos")
+    v, imp = lst(VOID_TAGS), lst(["p", "a", *families])
     return tokens_cte() + f""",
+fam AS ({' UNION ALL '.join(ends)}),
 e0 AS (SELECT *, kind IN ('open','raw') AS is_elem,
           CASE WHEN kind NOT IN ('open','raw') THEN NULL
                WHEN kind = 'raw' OR tag IN {v} OR (kind = 'open' AND regexp_matches(tok, '/>\\z')) THEN 'void'
@@ -101,10 +135,11 @@ e2 AS (SELECT *, sum(CASE WHEN pe AND kind = 'open' THEN 1 WHEN pe AND kind = 'c
                 OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS npt
        FROM e1),
 e3 AS (SELECT *, CASE WHEN kind = 'close' THEN d + 1 ELSE d END AS lvl FROM e2),
-e4 AS (SELECT *, lead(kind) OVER (PARTITION BY page_id, tag, lvl ORDER BY pos) AS nk,
-                 lead(pos) OVER (PARTITION BY page_id, tag, lvl ORDER BY pos) AS np FROM e3),
+e4 AS (SELECT e3.*, fam_end, lead(kind) OVER (PARTITION BY page_id, tag, lvl ORDER BY pos) AS nk,
+                 lead(pos) OVER (PARTITION BY page_id, tag, lvl ORDER BY pos) AS np FROM e3 LEFT JOIN fam USING (page_id, pos)),
 e5 AS (SELECT *, CASE WHEN ecls = 'void' THEN pos WHEN ecls = 'implied' AND tag = 'p' THEN npt
-                      WHEN ecls = 'implied' THEN nt
+                      WHEN ecls = 'implied' AND tag = 'a' THEN nt
+                      WHEN ecls = 'implied' THEN fam_end
                       WHEN ecls = 'paired' AND nk = 'close' THEN np END AS end_k FROM e4),
 e6 AS (SELECT *, (is_elem AND ecls <> 'void' AND end_k IS NOT NULL) AS st FROM e5),
 ev AS (SELECT page_id, pos, pos AS ep, 1 AS eo, CASE WHEN st THEN 1 ELSE 0 END AS dl, true AS me FROM e6
@@ -126,7 +161,20 @@ nodes AS (SELECT e7.page_id, e7.pos, n_tok, tok, kind, tag, is_elem,
           FROM e7 JOIN pr2 ON pr2.page_id = e7.page_id AND pr2.pos = e7.pos AND pr2.q = 1)"""
 
 
-def text_cte(name: str, owner_pred: str, member: str = "t.kind = 'text'", piece: str = "t.tok") -> str:
+RAW = r"""regexp_extract(t.tok, '(?is)^<[^>]*>(.*)</[a-z]+>\z', 1)"""
+
+
+def serialised(tok: str) -> str:
+    """A tag in lower case, void ones closed: put together from its name and the rest."""
+    name = f"lower(regexp_extract({tok}, '^</?([A-Za-z][A-Za-z0-9]*)', 1))"
+    rest = f"regexp_replace({tok}, '^</?[A-Za-z][A-Za-z0-9]*', '')"
+    return (f"CASE WHEN {name} = '' THEN {tok} WHEN starts_with({tok}, '</') AND {name} NOT IN {lst(VOID_TAGS)} THEN '</' || {name} || {rest} "
+            f"WHEN {name} IN {lst(VOID_TAGS)} THEN regexp_extract({tok}, '^</?', 0) || {name} || regexp_replace({rest}, '[\\t\\n\\f\\r ]*/?>\\z', '') || '/>' "
+            f"ELSE '<' || {name} || {rest} END")
+
+
+def text_cte(name: str, owner_pred: str, member: str = "t.kind IN ('text', 'raw')",
+             piece: str = f"CASE WHEN t.kind = 'raw' THEN replace({RAW}, '&', '&amp;') ELSE t.tok END") -> str:
     """CTE ``name``: (page_id, pos, raw) - concatenated members strictly
     inside each owner element, in document order (brute-force join)."""
     return (f"{name} AS (SELECT a.page_id, a.pos, coalesce(string_agg({piece}, '' ORDER BY t.pos), '') AS raw "

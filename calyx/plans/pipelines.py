@@ -42,9 +42,16 @@ def _m(c: Column | str, pattern: str) -> Column:
     return c.rlike(J(pattern))
 
 
-def _pages_at(pages: DataFrame, urls: DataFrame, url_col: str) -> DataFrame:
-    """Pages landed for the URLs in ``urls`` (J3: parent row -> child page)."""
-    return urls.join(pages.select(PID, F.col("url").alias(url_col)), url_col)
+def _at(pages: DataFrame, where: Column | str) -> DataFrame:
+    """The index pages of a site: one URL, or all that a condition holds for."""
+    return pages.filter(F.col("url") == where if isinstance(where, str) else where)
+
+
+def _pages_at(pages: DataFrame, urls: DataFrame, url_col: str, how: str = "inner", name: str = PID) -> DataFrame:
+    """Pages landed for the URLs in ``urls`` (J3: parent row -> child page). A
+    URL that was landed several times counts once, as landed first."""
+    first = pages.groupBy(F.col("url").alias(url_col)).agg(F.min(PID).alias(name))
+    return urls.join(first, url_col, how)
 
 
 def _fold_overwrite(rows: DataFrame, keys: list[str], idx: str, set_kind: str, set_val: str,
@@ -88,7 +95,7 @@ def calendar_blocks(pages: DataFrame) -> DataFrame:
     heading before it, or the page's last heading when none precedes it
     (W3, Q2).
     """
-    html = F.col("html")
+    html = F.col("html")   # the landed markup: the patterns are the site's own
     s1 = F.regexp_instr(html, F.lit(J(P2_START)))
     s2 = F.regexp_instr(html, F.lit(J(r"<b>Courses</b>")))
     start = F.when(s1 > 0, s1).otherwise(s2)
@@ -155,6 +162,28 @@ def calendar(pages: DataFrame) -> DataFrame:
     return course_frame(out, "calendar", [PID, "blk"])
 
 
+# The site base, the link prefix and the index page.
+P2_BASE = "https://www.concordia.ca"
+P2_PREFIX = "/academics/undergraduate/calendar/current/sec"
+P2_INDEX = "https://www.concordia.ca/academics/undergraduate/calendar/current/courses-quick-links.html"
+
+
+def calendar_links(pages: DataFrame, index_url: Column | str = P2_INDEX, prefix: str = P2_PREFIX,
+                   base: str = P2_BASE) -> DataFrame:
+    """P2 links (L1, L5, L2, L8): section pages linked from the index, without
+    their fragments, each once in order of its first link."""
+    a = staged_nodes(_at(pages, index_url)).filter(sel(tag="a", attr_prefix={"href": prefix}))
+    lk = a.select(F.col(PID).alias("index_page"), F.col("pos").cast("long").alias("link_pos"),
+                  L.prefix_url(base, L.drop_fragment(H.attr("href"))).alias("link"))
+    return L.dedup_links_global(lk, ["link"], ["index_page", "link_pos"])
+
+
+def calendar_site(pages: DataFrame, index_url: Column | str = P2_INDEX) -> DataFrame:
+    """The courses of all section pages that the index links to."""
+    at = _pages_at(pages, calendar_links(pages, index_url), "link")
+    return calendar(pages.join(at.select(PID), PID, "left_semi"))
+
+
 # ============================================================== P11
 
 # The six block patterns of the text calendar.
@@ -195,20 +224,20 @@ P5_TITLE = r".?([A-Z]{4})-([\d*/]+)\s*(.*)"
 P5_PRE = r"PREREQUISITE:\s*(?:OR\s*COREQUISITES:)?\s*(.*)"
 P5_EXCL = r"EXCLUSION:\s*(.*)"
 P5_CO = r"COREQUISITE:\s*(.*)"
+P5_PREFIX, P5_BASE = "/sgs/graduate-calendar/courses-instruction/", "https://www.queensu.ca"
 
 
-def subject_links(pages: DataFrame, index_url: str, href_prefix: str, base: str,
+def subject_links(pages: DataFrame, index_url: Column | str, href_prefix: str, base: str,
                   label=lambda t: t) -> DataFrame:
-    """L1 + L2 on an index page: (link, name, link_pos) per matching anchor."""
-    idx = pages.filter(F.col("url") == index_url)
+    """L1 + L2 on index pages: (link, name, index_page, link_pos) per matching anchor."""
+    idx = _at(pages, index_url)
     t = texts(staged_nodes(idx), sel(tag="a", attr_prefix={"href": href_prefix}))
     return t.select(L.prefix_url(base, H.attr("href")).alias("link"), label(F.col("text")).alias("name"),
                     F.col(PID).alias("index_page"), F.col("pos").cast("long").alias("link_pos"))
 
 
-def paragraph_courses(pages: DataFrame, index_url: str,
-                      href_prefix: str = "/sgs/graduate-calendar/courses-instruction/",
-                      base: str = "https://www.queensu.ca") -> DataFrame:
+def paragraph_courses(pages: DataFrame, index_url: Column | str, href_prefix: str = P5_PREFIX,
+                      base: str = P5_BASE) -> DataFrame:
     """P5: subject pages -> ``p strong`` headers -> the parent's markup split
     on ``<br/>`` (first part skipped) -> rule cascade; a COREQUISITE line is
     appended to the prerequisite; ``891*/892*`` gives one row per number."""
@@ -238,11 +267,9 @@ def paragraph_courses(pages: DataFrame, index_url: str,
     c = (st.join(pre, keys, "left").join(rest, keys, "left")
            .withColumn("prerequisite", clean(F.coalesce("_pre", F.lit(""))))
            .withColumn("description", clean(F.coalesce("_d", F.lit("")))))
-    c = c.join(sp.select(PID, F.col("name").alias("SubjectName"), "link_pos"), PID)
-    # One row per digit run of the number; none -> no row
-    c = c.select("*", F.posexplode(F.regexp_extract_all("numericCode", F.lit(r"(\d+)"), 1))
-                 .alias("_k", "_n")).drop("numericCode").withColumnRenamed("_n", "numericCode")
-    return course_frame(c, "paragraphs", ["link_pos", "spos", "_k"])
+    c = c.join(sp.select(PID, F.col("name").alias("SubjectName"), "index_page", "link_pos"), PID)
+    c = G.explode_numbers(c, "numericCode", "numericCode", "_k")   # X1: none -> no row
+    return course_frame(c, "paragraphs", ["index_page", "link_pos", "spos", "_k"])
 
 
 # ============================================================== P10
@@ -252,17 +279,17 @@ P10_TITLE = r"COMM\s*(.*):\s*(.*)"
 P10_PRE = r"Prerequisite\s*-\s*(.*?)\s*(?:<br/>|</p>)"
 P10_CO = r"Corequisite\s*-\s*(.*)\s*"
 P10_EXCL = r"Exclusions\s*-\s*(.*)\s*"
+P10_BASE = "https://smith.queensu.ca"
 
 
-def modal_courses(pages: DataFrame, index_url: str, base: str = "https://smith.queensu.ca") -> DataFrame:
+def modal_courses(pages: DataFrame, index_url: Column | str, base: str = P10_BASE) -> DataFrame:
     """P10: ``a.modal_frame`` links (number and name from ``data-title``) ->
     detail pages (first ``description p`` text; prerequisite, corequisite,
     exclusions from the ``description`` markup); code is the constant
     ``COMM``; a ``301/302`` number becomes one row per number (X2)."""
-    idx = pages.filter(F.col("url") == index_url)
-    a = staged_nodes(idx).filter(sel(tag="a", cls="modal_frame"))
+    a = staged_nodes(_at(pages, index_url)).filter(sel(tag="a", cls="modal_frame"))
     dt = H.attr("data-title")
-    lk = a.select(F.col("pos").cast("long").alias("link_pos"), L.prefix_url(base, H.attr("href")).alias("link"),
+    lk = a.select(F.col(PID).alias("index_page"), F.col("pos").cast("long").alias("link_pos"), L.prefix_url(base, H.attr("href")).alias("link"),
                   _x(dt, P10_TITLE, 1).alias("numericCode"), clean(_x(dt, P10_TITLE, 2)).alias("name"))
     dp = _pages_at(pages, lk, "link")
     nodes = staged_nodes(pages.join(dp.select(PID), PID, "left_semi"))
@@ -272,12 +299,9 @@ def modal_courses(pages: DataFrame, index_url: str, base: str = "https://smith.q
     c = c.select("*", clean(_x("h", P10_PRE, 1)).alias("prerequisite"),
                  clean(_x("h", P10_CO, 1)).alias("corequisite"),
                  clean(_x("h", P10_EXCL, 1)).alias("antirequisite"),
-                 F.lit("COMM").alias("courseCode"), F.col("link").alias("Link"))
-    num = F.col("numericCode")
-    arr = F.when(num.contains("/"), F.regexp_extract_all(num, F.lit(r"(\d+)"), 1)).otherwise(F.array(num))
-    c = c.select("*", F.posexplode(arr).alias("_k", "_n")).drop("numericCode") \
-         .withColumnRenamed("_n", "numericCode")
-    return course_frame(c.drop("Link"), "modal", ["link_pos", "_k"])
+                 F.lit("COMM").alias("courseCode")).drop("link")
+    c = G.explode_if_slash(c, "numericCode", "numericCode", "_k")   # X2
+    return course_frame(c, "modal", ["index_page", "link_pos", "_k"])
 
 
 # ============================================================== P12
@@ -316,11 +340,11 @@ def strong_courses(pages: DataFrame) -> DataFrame:
 
 # The course-code pattern.
 P8_CODE = r"^([A-Z]+)\s*(\d+)"
+P8_PREFIX, P8_BASE = "/content/ryerson/calendar/2020-2021/courses/", "http://www.ryerson.ca"
 
 
-def list_item_courses(pages: DataFrame, index_url: str,
-                      href_prefix: str = "/content/ryerson/calendar/2020-2021/courses/",
-                      base: str = "http://www.ryerson.ca") -> DataFrame:
+def list_item_courses(pages: DataFrame, index_url: Column | str, href_prefix: str = P8_PREFIX,
+                      base: str = P8_BASE) -> DataFrame:
     """Subject links (label without its trailing parenthetical) ->
     ``li.courseListItem`` items; pre- and antirequisite links joined by
     ``;`` in order (A4), other fields from class-selected children."""
@@ -351,8 +375,8 @@ def list_item_courses(pages: DataFrame, index_url: str,
         c = c.join(df, [PID, "owner"], "left")
     code = F.coalesce("_code", F.lit(""))
     c = c.withColumn("courseCode", _x(code, P8_CODE, 1)).withColumn("numericCode", _x(code, P8_CODE, 2))
-    c = c.join(sp.select(PID, F.col("name").alias("SubjectName"), "link_pos"), PID)
-    return course_frame(c, "list_items", ["link_pos", "owner"])
+    c = c.join(sp.select(PID, F.col("name").alias("SubjectName"), "index_page", "link_pos"), PID)
+    return course_frame(c, "list_items", ["index_page", "link_pos", "owner"])
 
 
 # ============================================================== P9
@@ -360,17 +384,17 @@ def list_item_courses(pages: DataFrame, index_url: str,
 # The outline name pattern and the outline link prefix.
 P9_NAME = r"^([A-Z]{3})(\d{3})\s*-\s*(.*)$"
 P9_OUTLINE = "https://apps.senecacollege.ca/ssos/findOutline.do?subjectCode="
+P9_BASE, P9_PROGRAMS = "https://www.senecacollege.ca", "/programs/fulltime/"
 
 
-def outline_courses(pages: DataFrame, index_url: str, base: str = "https://www.senecacollege.ca") -> DataFrame:
+def outline_courses(pages: DataFrame, index_url: Column | str, base: str = P9_BASE) -> DataFrame:
     """Programme list (``.html`` -> ``/courses.html`` once) -> outline
     links deduplicated per page with the programme's own h1 text as subject
     -> outline pages (description with two fallbacks, name by pattern);
     rows without a name dropped (F1, F4) and duplicates on five fields
     removed keeping the first (D1)."""
-    idx = pages.filter(F.col("url") == index_url)
-    a = staged_nodes(idx).filter(sel(tag="a", attr_prefix={"href": "/programs/fulltime/"}))
-    prog = a.select(F.col("pos").cast("long").alias("prog_pos"),
+    a = staged_nodes(_at(pages, index_url)).filter(sel(tag="a", attr_prefix={"href": P9_PROGRAMS}))
+    prog = a.select(F.col(PID).alias("index_page"), F.col("pos").cast("long").alias("prog_pos"),
                     L.prefix_url(base, L.rewrite_first(H.attr("href"), r"\.html", "/courses.html")).alias("link"))
     pp = _pages_at(pages, prog, "link")
     pn = staged_nodes(pages.join(pp.select(PID), PID, "left_semi"))
@@ -379,8 +403,8 @@ def outline_courses(pages: DataFrame, index_url: str, base: str = "https://www.s
               .select(PID, clean("_s").alias("SubjectName"))
     ol = pn.filter(sel(tag="a", attr_prefix={"href": P9_OUTLINE})).select(PID, "pos", H.attr("href").alias("href"))
     ol = L.dedup_links_in_page(ol)
-    pairs = ol.join(subj, PID, "left").join(pp.select(PID, "prog_pos"), PID).select(
-        "prog_pos", F.col("pos").cast("long").alias("olink_pos"), F.col("href").alias("Link"),
+    pairs = ol.join(subj, PID, "left").join(pp.select(PID, "index_page", "prog_pos"), PID).select(
+        "index_page", "prog_pos", F.col("pos").cast("long").alias("olink_pos"), F.col("href").alias("Link"),
         F.coalesce("SubjectName", F.lit("")).alias("SubjectName"))
     op = _pages_at(pages, pairs, "Link")
     on = staged_nodes(pages.join(op.select(PID), PID, "left_semi"))
@@ -393,9 +417,10 @@ def outline_courses(pages: DataFrame, index_url: str, base: str = "https://www.s
     sd = sd.join(sib, [PID, "par"], "left")
     want = sd.select(PID, F.col("par").alias("pos")).union(sd.select(PID, F.col("pnext").alias("pos")))
     tx = texts(at_positions(on, want.filter(F.col("pos").isNotNull())), F.col("_at")).select(PID, "pos", "text")
-    spans = scoped_texts(on, F.col("is_elem"), sel(tag="span"))
-    sp_g = sd.join(spans.withColumnRenamed("owner", "gpar"), [PID, "gpar"]).groupBy(PID).agg(
-        F.expr("listagg(text, '') WITHIN GROUP (ORDER BY pos)").alias("span_t"))
+    # only the wanted grandparents own spans
+    at = at_positions(on, sd.select(PID, F.col("gpar").alias("pos")).filter(F.col("pos").isNotNull()), "_gpar")
+    spans = scoped_texts(at, F.col("_gpar"), sel(tag="span"))
+    sp_g = spans.groupBy(PID).agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY pos)").alias("span_t"))
     d = (sd.join(tx.withColumnRenamed("pos", "par").withColumnRenamed("text", "pt"), [PID, "par"], "left")
            .join(tx.withColumnRenamed("pos", "pnext").withColumnRenamed("text", "nt"), [PID, "pnext"], "left")
            .join(sp_g, PID, "left"))
@@ -407,14 +432,14 @@ def outline_courses(pages: DataFrame, index_url: str, base: str = "https://www.s
     c = op.join(h1, PID, "left").join(d, PID, "left").join(nm, PID, "left")
     no_outline = F.coalesce(F.col("h1all"), F.lit("")).contains("No Subject Outline could be found.")
     nmv = F.coalesce("_nm", F.lit(""))
-    c = c.select("prog_pos", "olink_pos",
+    c = c.select("index_page", "prog_pos", "olink_pos",
                  F.when(no_outline, "").otherwise(F.col("SubjectName")).alias("SubjectName"),
                  F.when(no_outline, "").otherwise(F.col("Link")).alias("Link"),
                  F.when(no_outline, "").otherwise(F.coalesce("description", F.lit(""))).alias("description"),
                  F.when(no_outline, "").otherwise(_x(nmv, P9_NAME, 1)).alias("courseCode"),
                  F.when(no_outline, "").otherwise(_x(nmv, P9_NAME, 2)).alias("numericCode"),
                  F.when(no_outline, "").otherwise(_x(nmv, P9_NAME, 3)).alias("name"))
-    c = course_frame(c, "outlines", ["prog_pos", "olink_pos"]).filter(F.col("name") != "")
+    c = course_frame(c, "outlines", ["index_page", "prog_pos", "olink_pos"]).filter(F.col("name") != "")
     keys = ["SubjectName", "name", "numericCode", "courseCode", "description"]
     return D.first_per_key(c, keys, ["ord"]).drop("n_copies").select(c.columns)
 
@@ -429,10 +454,11 @@ P4_SUBJ = r"^(.*?)\s*:\s*(.*)"
 P4_PRE = r"^Prerequisite\s*:\s*(.*)"
 P4_RESTR = r"^Restriction.*?:\s*(.*)"
 P4_PAGE_URL = "https://www.mcgill.ca/study/2020-2021/courses/search?page=%d"
+P4_BASE = "https://www.mcgill.ca"
 
 
 def listing_links(pages: DataFrame, listing_url: str, page_url: str = P4_PAGE_URL,
-                  base: str = "https://www.mcgill.ca") -> DataFrame:
+                  base: str = P4_BASE) -> DataFrame:
     """P4 listing: row links of page 0, the last page number from the pager
     (L9), pages 1..last (L10) whose row links are deduplicated first-wins
     (L8). Page 0's links are not entered in the seen set (as in the
@@ -443,7 +469,7 @@ def listing_links(pages: DataFrame, listing_url: str, page_url: str = P4_PAGE_UR
     maxp = pg.groupBy(PID).agg(F.min_by(H.attr("href"), "pos").alias("_h")) \
              .select(L.last_page_number("_h").alias("last_page")).filter("last_page >= 1")
     nums = L.expand_pages(maxp, "last_page").select("page_no", L.template_url(page_url, "page_no").alias("url"))
-    lp = nums.join(pages.select(PID, "url"), "url")
+    lp = _pages_at(pages, nums, "url")
     ln = staged_nodes(pages.join(lp.select(PID), PID, "left_semi").unionByName(first))
     row = H.mark_path(ln, sel(cls="view-search-courses"), sel(cls="views-row"), name="_row")
     a = owner_of(row, F.col("_row"), sel(tag="a"))
@@ -519,18 +545,18 @@ def _row_cells(nodes: DataFrame, href_prefix: str | None = None) -> DataFrame:
     return cells.join(first, [PID, "pos"], "left")
 
 
-def table_courses(pages: DataFrame, start_url: str, base: str = P6_BASE) -> DataFrame:
+def table_courses(pages: DataFrame, start_url: Column | str, base: str = P6_BASE) -> DataFrame:
     """Subject rows (cells by position, F2) -> subject page (description
     = element before the first pagination div; course rows) -> course page
     (``h4+p`` description, first "Pre-reqs:" / "Equivalents:" paragraph)."""
-    n0 = staged_nodes(pages.filter(F.col("url") == start_url))
+    n0 = staged_nodes(_at(pages, start_url))
     c0 = _row_cells(n0)
     rows = c0.groupBy(PID, "owner").agg(
         F.max(F.when(F.col("i") == 0, utrim("text"))).alias("code"),
         F.max(F.when(F.col("i") == 0, F.concat(F.lit(base), F.coalesce("href", F.lit(""))))).alias("link"),
         F.max(F.when(F.col("i") == 1, utrim("text"))).alias("SubjectName"))
     rows = rows.filter((F.coalesce("code", F.lit("")) != "") & (F.col("link") != base)) \
-               .select(F.col("owner").cast("long").alias("row_pos"), "link", "SubjectName")
+               .select(F.col(PID).alias("start_page"), F.col("owner").cast("long").alias("row_pos"), "link", "SubjectName")
     p1 = _pages_at(pages, rows, "link")
     n1 = staged_nodes(pages.join(p1.select(PID), PID, "left_semi"))
     el = H.siblings(n1.filter("is_elem"))
@@ -545,8 +571,8 @@ def table_courses(pages: DataFrame, start_url: str, base: str = P6_BASE) -> Data
     cr = cr.select(PID, F.col("owner").cast("long").alias("crow_pos"), "clink", "name",
                    _x(F.coalesce("_t0", F.lit("")), P6_CODE, 1).alias("courseCode"),
                    _x(F.coalesce("_t0", F.lit("")), P6_CODE, 2).alias("numericCode"))
-    lvl1 = cr.join(p1.select(PID, "row_pos", "SubjectName"), PID).join(desc, PID, "left").drop(PID)
-    p2 = lvl1.join(pages.select(F.col(PID).alias("p2"), F.col("url").alias("clink")), "clink", "left")
+    lvl1 = cr.join(p1.select(PID, "start_page", "row_pos", "SubjectName"), PID).join(desc, PID, "left").drop(PID)
+    p2 = _pages_at(pages, lvl1, "clink", "left", "p2")
     n2 = staged_nodes(pages.join(p2.select(F.col("p2").alias(PID)), PID, "left_semi"))
     e2 = H.siblings(n2.filter("is_elem"))
     hp = e2.filter((F.col("tag") == "p") & (F.col("prev_tag") == "h4")).select(PID, "pos")
@@ -560,7 +586,7 @@ def table_courses(pages: DataFrame, start_url: str, base: str = P6_BASE) -> Data
     pq = mp.groupBy(PID).agg(first_prefixed("Pre-reqs:", "prerequisite"),
                              first_prefixed("Equivalents:", "oneWayExclusion"))
     c = p2.join(dsc.withColumnRenamed(PID, "p2"), "p2", "left").join(pq.withColumnRenamed(PID, "p2"), "p2", "left")
-    return course_frame(c, "tables", ["row_pos", "crow_pos"])
+    return course_frame(c, "tables", ["start_page", "row_pos", "crow_pos"])
 
 
 # ============================================================== P7
@@ -570,10 +596,10 @@ P7_PREFIX = "https://ulysses.sheridanc.on.ca/coutline/"
 P7_DESC = r"(?s)Detailed Description(.*?)Program Context"
 
 
-def outline_link_list(pages: DataFrame, listing_url: str, code: str = "") -> DataFrame:
+def outline_link_list(pages: DataFrame, listing_url: Column | str, code: str = "") -> DataFrame:
     """P7 listing -> link list (K5): ``#detail_table a`` with the subject
     label taken two element siblings after the link's parent."""
-    n = staged_nodes(pages.filter(F.col("url") == listing_url))
+    n = staged_nodes(_at(pages, listing_url))
     a = H.mark_path(n, sel(id="detail_table"), sel(tag="a"), name="_a").filter("_a")
     el = n.filter("is_elem")
     w = Window.partitionBy(PID, "parent").orderBy("pos")
@@ -583,7 +609,7 @@ def outline_link_list(pages: DataFrame, listing_url: str, code: str = "") -> Dat
     t = texts(at_positions(n, a.select(PID, F.col("nn").alias("pos")).filter(F.col("pos").isNotNull())),
               F.col("_at")).select(PID, F.col("pos").alias("nn"), utrim("text").alias("SubjectName"))
     out = a.join(t, [PID, "nn"], "left")
-    return out.select(F.col("apos").cast("long").alias("link_pos"), "Link",
+    return out.select(F.col(PID).alias("list_page"), F.col("apos").cast("long").alias("link_pos"), "Link",
                       F.coalesce("SubjectName", F.lit("")).alias("SubjectName"), F.lit(code).alias("Code"))
 
 
@@ -592,11 +618,11 @@ def link_file_courses(links: DataFrame, pages: DataFrame, prefix: str = P7_PREFI
     code and number from the query string (L4), name with a fallback
     selector (T16), description by pattern over the page text; the subject
     name and code come from the link row."""
-    lk = links.select("link_pos", F.concat(F.lit(prefix), F.col("Link")).alias("full"),
+    lk = links.select("list_page", "link_pos", F.concat(F.lit(prefix), F.col("Link")).alias("full"),
                       "SubjectName", F.col("Code").alias("SubjectCode"))
     lk = lk.withColumn("numericCode", L.query_param("full", "courseCode")) \
            .withColumn("courseCode", L.query_param("full", "subjectCode"))
-    dp = lk.join(pages.select(PID, F.col("url").alias("full")), "full", "left")
+    dp = _pages_at(pages, lk, "full", "left")
     n = staged_nodes(pages.join(dp.select(PID), PID, "left_semi"))
     h = selection_text(texts(n, sel(cls="CourseTitleHeading"))).select(PID, clean("value").alias("_h"))
     f5 = selection_text(texts(n, sel(tag="font", attr_eq={"size": "5"}))).select(PID, clean("value").alias("_f"))
@@ -605,14 +631,14 @@ def link_file_courses(links: DataFrame, pages: DataFrame, prefix: str = P7_PREFI
     c = c.select("*", first_nonempty(F.coalesce("_h", F.lit("")), F.coalesce("_f", F.lit(""))).alias("name"),
                  clean(_x(F.coalesce("doc_text", F.lit("")), P7_DESC, 1)).alias("description"),
                  F.col("full").alias("Link"))
-    return course_frame(c, "link_file", ["link_pos"])
+    return course_frame(c, "link_file", ["list_page", "link_pos"])
 
 
 # ============================================================== P3
 
-P3_BASE = "https://calendar.engineering.queensu.ca/"
-# The listing URL around the prefix, the detail URL template
+# The site base, the listing URL around the prefix, the detail URL template
 # and its display-options value.
+P3_BASE = "https://calendar.engineering.queensu.ca/"
 P3_LISTING = ("https://calendar.engineering.queensu.ca/content.php?filter%5B27%5D=",
               "&filter%5B29%5D=&filter%5Bcourse_type%5D=-1&filter%5Bkeyword%5D=&filter%5B32%5D=1"
               "&filter%5Bcpage%5D=1&cur_cat_oid=9&expand=&navoid=233&search_database=Filter"
@@ -626,15 +652,15 @@ P3_PRE2 = r"(?m)PREREQUISITE\(S\):\s*(.*?)$"
 P3_EXCL = r"(?m)EXCLUSION\(S\):\s*(.*?)$"
 
 
-def catalog_courses(pages: DataFrame, index_url: str) -> DataFrame:
+def catalog_courses(pages: DataFrame, index_url: Column | str) -> DataFrame:
     """Prefix options (first skipped, H14) -> listing per prefix
     (subject = last header cell, H12) -> detail pages (L3 + L4 + L10)
     with h3 and text patterns, prerequisite with a fallback (T16)."""
-    n0 = staged_nodes(pages.filter(F.col("url") == index_url))
+    n0 = staged_nodes(_at(pages, index_url))
     op = H.mark_path(n0, sel(id="courseprefix"), sel(tag="option"), name="_o").filter("_o")
     op = op.withColumn("_i", F.row_number().over(Window.partitionBy(PID).orderBy("pos")))
     ab = op.filter((F.col("_i") > 1) & H.has_attr("value")).select(
-        F.col("pos").cast("long").alias("abbr_pos"), H.attr("value").alias("abbr"))
+        F.col(PID).alias("index_page"), F.col("pos").cast("long").alias("abbr_pos"), H.attr("value").alias("abbr"))
     ab = ab.withColumn("lurl", F.concat(F.lit(P3_LISTING[0]), F.col("abbr"), F.lit(P3_LISTING[1])))
     lp = _pages_at(pages, ab, "lurl")
     n1 = staged_nodes(pages.join(lp.select(PID), PID, "left_semi"))
@@ -645,27 +671,22 @@ def catalog_courses(pages: DataFrame, index_url: str) -> DataFrame:
     a = a.select(PID, F.col("pos").cast("long").alias("link_pos"),
                  F.format_string(P3_DETAIL, L.query_param(u, "catoid"), L.query_param(u, "coid"),
                                  F.lit(P3_OPTIONS)).alias("clink"))
-    rows = a.join(subj, PID, "left").join(lp.select(PID, "abbr_pos"), PID).drop(PID)
-    dp = rows.join(pages.select(PID, F.col("url").alias("clink")), "clink", "left")
+    rows = a.join(subj, PID, "left").join(lp.select(PID, "index_page", "abbr_pos"), PID).drop(PID)
+    dp = _pages_at(pages, rows, "clink", "left")
     n2 = staged_nodes(pages.join(dp.select(PID), PID, "left_semi"))
     h3 = selection_text(texts(n2, sel(tag="h3"))).select(PID, utrim("value").alias("h3"))
     c = dp.join(h3, PID, "left").join(document_html(n2), PID, "left").join(document_text(n2), PID, "left")
     h3c, hh, tt = (F.coalesce(x, F.lit("")) for x in ("h3", "doc_html", "doc_text"))
-    c = c.select("abbr_pos", "link_pos", F.coalesce("SubjectName", F.lit("")).alias("SubjectName"),
+    c = c.select("index_page", "abbr_pos", "link_pos", F.coalesce("SubjectName", F.lit("")).alias("SubjectName"),
                  _x(h3c, P3_H3, 1).alias("courseCode"), _x(h3c, P3_H3, 2).alias("numericCode"),
                  _x(h3c, P3_H3, 3).alias("name"), clean(_x(hh, P3_DESC, 1)).alias("description"),
                  first_nonempty(clean(_x(tt, P3_PRE, 1)), clean(_x(tt, P3_PRE2, 1))).alias("prerequisite"),
                  clean(_x(tt, P3_EXCL, 1)).alias("antirequisite"))
-    return course_frame(c, "catalog", ["abbr_pos", "link_pos"])
+    return course_frame(c, "catalog", ["index_page", "abbr_pos", "link_pos"])
 
 
 # ============================================================== P1
 
-def _pairs_with_order(df: DataFrame, keep: list[str], body: str = "body", name: str = "o") -> DataFrame:
-    return df.select(*keep, F.posexplode(F.from_json(F.col(body), S.PAIRS)).alias(name, "_p")) \
-             .select(*keep, name, "_p.code", "_p.description")
-
-
 def html_description(docs: DataFrame) -> DataFrame:
     """Description page -> text: document text, tags stripped, trimmed and
     unescaped once more (as the reference does)."""
@@ -694,17 +715,16 @@ def section_courses(terms: DataFrame, classes: DataFrame, searches: DataFrame,
     subjects skipped, F7) x search sections (S3) enriched 1:1 by
     (term, CRN) with description and prerequisite (J2); enrollment with
     Available = Max - Actual (T19)."""
-    t = _pairs_with_order(terms, []).select(F.col("o").alias("t_ord"), F.col("code").alias("TermCode"),
+    t = S.code_pairs(terms).select(F.col("o").alias("t_ord"), F.col("code").alias("TermCode"),
                                             F.col("description").alias("TermName"))
     t = S.first_terms(t, "t_ord", n_terms)
-    cl = _pairs_with_order(classes, ["term_code"]).select(
+    cl = S.code_pairs(classes, keep=["term_code"]).select(
         F.col("term_code").alias("TermCode"), F.col("o").alias("c_ord"),
         F.col("code").alias("SubjectCode"), F.col("description").alias("SubjectName"))
     tc = t.join(cl, "TermCode")
     sr = searches.select(F.col("term_code").alias("TermCode"), F.col("subject_code").alias("SubjectCode"),
-                         F.from_json("body", S.SEARCH_RESPONSE).alias("_r"))
-    sr = sr.select("TermCode", "SubjectCode", F.posexplode("_r.data").alias("s_ord", "d")).select(
-        "TermCode", "SubjectCode", "s_ord", "d.*")
+                         "body")
+    sr = S.search_sections(sr, keep=["TermCode", "SubjectCode"])
     s = tc.join(sr, ["TermCode", "SubjectCode"])
     s = S.cap_per_group(s, ["TermCode", "SubjectCode"], ["s_ord"], max_per_subject)   # O2, off by default
     s = S.enrollment(s, F.col("enrollment"), F.col("maximumEnrollment"), F.col("waitCount"), F.col("waitCapacity"))
@@ -747,6 +767,7 @@ def section_export(courses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
 def write_section_export(courses: DataFrame, out: str, prefix: str = "sections") -> None:
     """K1 + K3 + K4 + K2 for P1: raw rows, courses with ids (term and
     subject texts blanked), terms and term-scoped subjects as JSON lines."""
+    courses = IO.staged(courses, f"{prefix}-rows")
     c, t, sj = section_export(courses)
     IO.write_json(courses.drop("ord"), f"{out}/{prefix}-raw", omit_empty=False)
     IO.write_json(c.drop("ord"), f"{out}/{prefix}-courses", omit_empty=False)
@@ -756,9 +777,11 @@ def write_section_export(courses: DataFrame, out: str, prefix: str = "sections")
 
 # ============================================================== P0
 
+# The JSON fields of a course, those left out when empty, and the CSV columns.
 COURSE_JSON = ["subjectId", "SubjectName", "Link", "name", "numericCode", "courseCode", "description",
                "prerequisite", "antirequisite", "corequisite", "oneWayExclusion", "crosslisted"]
-OMIT_EMPTY = {"SubjectName", "Link", "corequisite", "oneWayExclusion", "crosslisted", "description_subject"}
+OMIT_EMPTY = {"SubjectName", "Link", "corequisite", "oneWayExclusion", "crosslisted"}
+ENROLLMENT = "struct<Enrolled:struct<Actual:int,Max:int,Available:int>,Waitlist:struct<Actual:int,Max:int,Available:int>>"
 CSV_COLUMNS = [("SubjectID", "subjectId"), ("SubjectName", "SubjectName"),
                ("SubjectDescription", None), ("Name", "name"), ("NumericCode", "numericCode"),
                ("CourseCode", "courseCode"), ("Description", "description"),
@@ -780,10 +803,14 @@ def export(courses: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def courses_json(courses: DataFrame) -> DataFrame:
-    """K3/K8: the JSON shape of a course: hidden fields dropped, omitempty
-    fields NULL when empty (the writer then leaves them out)."""
-    return courses.select(*[(F.nullif(F.col(c), F.lit("")) if c in OMIT_EMPTY else F.col(c)).alias(c)
-                            for c in COURSE_JSON])
+    """K1/K3/K8: the JSON shape of a course: hidden fields dropped, omitempty
+    fields NULL when empty (the writer then leaves them out), an enrollment only
+    where the source has one, and subject 0 before ids are given."""
+    have = {c.lower(): c for c in courses.columns}
+    own = courses if "subjectid" in have else courses.withColumn("subjectId", F.lit(0).cast("long"))
+    enrollment = F.col(have["enrollment"]) if "enrollment" in have else F.lit(None).cast(ENROLLMENT)
+    return own.select(*[(F.nullif(F.col(c), F.lit("")) if c in OMIT_EMPTY else F.col(c)).alias(c)
+                        for c in COURSE_JSON], enrollment.alias("enrollment"))
 
 
 def subjects_json(subjects: DataFrame) -> DataFrame:
@@ -795,8 +822,9 @@ def subjects_json(subjects: DataFrame) -> DataFrame:
 def write_export(courses: DataFrame, out: str, prefix: str) -> tuple[DataFrame, DataFrame]:
     """K1-K3: ``<prefix>-raw`` (rows before ids), ``<prefix>-subjects`` and
     ``<prefix>-courses`` as JSON lines under ``out``."""
+    courses = IO.staged(courses, f"{prefix}-rows")   # computed once; the rest reads it back
     c, s = export(courses)
-    IO.write_json(courses.drop("ord"), f"{out}/{prefix}-raw", omit_empty=False)
+    IO.write_json(courses_json(courses), f"{out}/{prefix}-raw", omit_empty=False)
     IO.write_json(subjects_json(s), f"{out}/{prefix}-subjects", omit_empty=False)
     IO.write_json(courses_json(c), f"{out}/{prefix}-courses", omit_empty=False)
     return c, s

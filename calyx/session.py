@@ -54,15 +54,16 @@ def get_spark(master: str | None = None, app: str = "calyx",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage and staged tables.
+    """The folder that driver and executors share, for staged tables.
 
-    Read from ``spark.checkpoint.dir`` (the cluster names it). Only when it
-    is unset - local runs and tests - is a scratch folder made and set.
+    Read from ``spark.checkpoint.dir`` (the cluster names it). A local session
+    without the setting gets a scratch folder; on a cluster that would be a
+    folder of one machine only, so there it is an error.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         d = tempfile.mkdtemp(prefix="calyx-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -73,25 +74,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def spread(df, target: int | None = None):
-    """Give row-local heavy work (regexes over whole texts) one task per
-    core even when the scan yields few splits (one big file, one row group).
-
-    Only when the input has fewer partitions than ``target`` (default: the
-    shuffle partition count) are rows spread round-robin with an explicit
-    count; a large multi-file input already has enough splits and passes
-    through untouched.
-    """
-    target = target or shuffle_partitions(df.sparkSession)
-    if df.rdd.getNumPartitions() * 2 <= target:
-        return df.repartition(target)
-    return df
-
-
-# Compressed input bytes per task when a per-page/per-document exchange is
-# sized from the input (the rows grow several times once exploded).
-CLUSTER_TARGET_BYTES = 128 * 1024 * 1024
-MAX_CLUSTER_PARTITIONS = 1 << 20
+# Bytes of stored (compressed) pages or documents per task: a page's token
+# rows take many times the space, and several sorts hold them.
+CLUSTER_TARGET_BYTES = 16 * 1024 * 1024
 
 
 def is_clustered_by(df, key: str) -> bool:
@@ -104,30 +89,31 @@ def is_clustered_by(df, key: str) -> bool:
     return exprs.size() == 1 and exprs.apply(0).toString().split("#", 1)[0] == key
 
 
+def clustered_partitions(df) -> int:
+    """Tasks for per-page work on ``df``: by its bytes where they are known,
+    and the session's shuffle partitions at least."""
+    n = shuffle_partitions(df.sparkSession)
+    size = scan_bytes(df)
+    return n if size is None else max(n, -(-size // CLUSTER_TARGET_BYTES))
+
+
 def cluster_by(df, key: str, partitions: int | None = None):
     """Hash-partition ``df`` on ``key`` once, unless it already is.
 
     The count is explicit (AQE must not coalesce: the rows grow after this
-    exchange) and grows with the input: at least the shuffle partition
-    count, and one task per ``CLUSTER_TARGET_BYTES`` of estimated input.
+    exchange) and follows the input.
     """
     if is_clustered_by(df, key):
         return df
-    if partitions is None:
-        partitions = shuffle_partitions(df.sparkSession)
-        size = _scan_bytes(df)
-        if size is not None:
-            partitions = max(partitions, min(-(-size // CLUSTER_TARGET_BYTES), MAX_CLUSTER_PARTITIONS))
-    return df.repartition(int(partitions), key)
+    return df.repartition(partitions or clustered_partitions(df), key)
 
 
-def _scan_bytes(df) -> int | None:
+def scan_bytes(df, plain: bool = False) -> int | None:
     """Bytes of the files when ``df`` is a file scan under projections and
-    filters only; None otherwise. Estimates through joins or in-memory data
-    are not sizes (without cost-based statistics a join's estimate is the
-    product of its inputs, and unknown sizes read as Long.MaxValue)."""
+    filters only (``plain``: under projections only); None otherwise.
+    Estimates through joins or in-memory data are not sizes."""
     node = df._jdf.queryExecution().optimizedPlan()
-    while node.getClass().getSimpleName() in ("Project", "Filter"):
+    while node.getClass().getSimpleName() in (("Project",) if plain else ("Project", "Filter")):
         node = node.child()
     if node.getClass().getSimpleName() != "LogicalRelation":
         return None

@@ -24,10 +24,18 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.schema(PAGE_SCHEMA).format(fmt).load(path)
 
 
-def read_json_records(spark: SparkSession, path: str, schema: str, multiline: bool = False) -> DataFrame:
+def landed_once(pages: DataFrame) -> DataFrame:
+    """The pages with each URL once, as landed first (least ``page_id``)."""
+    first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    return pages.join(first.select("page_id"), "page_id", "left_semi")
+
+
+def read_json_records(spark: SparkSession, path: str, schema: str, multiline: bool = False,
+                      mode: str = "FAILFAST") -> DataFrame:
     """JSON records with a fixed schema (``multiline`` for one array per
-    file, as the reference's link / raw files are)."""
-    return spark.read.schema(schema).json(path, multiLine=multiline)
+    file, as the reference's link / raw files are). A record that can't be
+    parsed is an error, not a row of NULLs, unless ``mode`` says otherwise."""
+    return spark.read.schema(schema).json(path, multiLine=multiline, mode=mode)
 
 
 def parse_json_column(df: DataFrame, col: str, schema: str, name: str | None = None) -> DataFrame:
@@ -47,8 +55,16 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     return t.select("path", F.posexplode(F.split("value", "\n", -1)).alias("line_no", "line"))
 
 
+#: CSV as RFC 4180 has it: a quote inside a value is doubled, white space is part of
+#: the value, and a value may run over lines.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True)
+    """K6 read back: empty fields are "" (the flat columns have no NULL)."""
+    df = spark.read.schema(schema).csv(path, multiLine=True, nullValue="\u0000", emptyValue="", **CSV)
+    text = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
+    return df.select(*[F.coalesce(c, F.lit("")).alias(c) if c in text else F.col(c) for c in df.columns])
 
 
 def land_bucketed(df: DataFrame, name: str, key: str = "page_id", buckets: int | None = None,
@@ -95,12 +111,12 @@ def write_json(df: DataFrame, path: str, omit_empty: bool = True, partition_by:
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "overwrite") -> None:
     """K6/K7: flat columns as CSV with a header row of the field names."""
     out = df.select(*columns) if columns else df
-    out.write.mode(mode).csv(path, header=True)
+    out.write.mode(mode).csv(path, emptyValue="", quoteAll=False, **CSV)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] = (), mode: str = "overwrite") -> None:
-    """Stage boundary between pipeline steps (cuts lineage on a shared path)."""
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: the
+    lineage ends there, and the size of what was written is known."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,9 +6,9 @@ same batch operators (``foreachBatch``). Nothing stateful is kept across
 batches by the operators themselves - link dedup over all pages is done by
 the batch job on the accumulated output.
 
-Exactly-once: the stream's progress is in ``checkpointLocation`` (under
-the session's shared checkpoint folder) and every batch overwrites only its
-own ``batch_id=<n>`` partition, so a replayed batch rewrites the same rows.
+Exactly-once: the stream's progress is in ``checkpoint``, which the caller
+names, and every batch overwrites only its own ``batch_id=<n>`` partition, so
+a replayed batch rewrites the same rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators import html as H
 from ..operators import links as L
-from ..sources.io import PAGE_SCHEMA, scratch_path
+from ..sources.io import PAGE_SCHEMA
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -33,11 +33,13 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 def start_landing(spark: SparkSession, landing_dir: str, out_dir: str,
                   job: Callable[[DataFrame], DataFrame] = page_links,
-                  checkpoint: str | None = None, available_now: bool = True,
+                  *, checkpoint: str, available_now: bool = True,
                   max_files_per_trigger: int = 100):
     """Run ``job`` on every micro-batch of pages landing in ``landing_dir``
     (parquet files with page_id, url, html) and append the result to
-    ``out_dir`` partitioned by batch. Returns the StreamingQuery."""
+    ``out_dir`` partitioned by batch. ``checkpoint`` names the folder of the
+    stream's progress in shared storage; a restart must pass the same one.
+    Returns the StreamingQuery."""
     src = (spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(landing_dir))
 
@@ -47,6 +49,6 @@ def start_landing(spark: SparkSession, landing_dir: str, out_dir: str,
          .partitionBy("batch_id").parquet(out_dir))
 
     w = (src.writeStream.foreachBatch(run)
-         .option("checkpointLocation", checkpoint or scratch_path(spark, "landing-ckpt")))
+         .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

@@ -44,3 +44,36 @@ def test_descendant_selector_and_attrs(spark):
     a = n.filter(H.sel(tag="a")).orderBy("pos").select(H.attr("href").alias("h"),
                                                         H.sel(tag="a", cls=["k", "m"]).alias("km"))
     assert [tuple(r) for r in a.collect()] == [("/a?x=1&y=2", False), ("/b", True), ("/c", False)]
+
+
+def texts_of(spark, html, tag):
+    from calyx.plans.extract import texts
+    from calyx.operators import html as H
+    n = H.shred(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    return [r.text for r in texts(n, H.sel(tag=tag)).orderBy("pos").collect()]
+
+
+def test_end_tags_that_may_be_left_out(spark):
+    assert texts_of(spark, "<ul><li>a<li>b<li>c</ul>", "li") == ["a", "b", "c"]
+    assert texts_of(spark, "<table><tr><td>1<td>2<tr><td>3<td>4</table>", "td") == ["1", "2", "3", "4"]
+    assert texts_of(spark, "<table><tr><td>1<td>2<tr><td>3<td>4</table>", "tr") == ["12", "34"]
+    assert texts_of(spark, "<a>x<a>y</a>", "a") == ["x", "y"]
+    assert texts_of(spark, "<ul><li>a<ul><li>b</ul>c<li>d</ul>", "li") == ["abc", "b", "d"]
+    assert texts_of(spark, "<dl><dt>a<dd>b<dt>c<dd>d</dl>", "dd") == ["b", "d"]
+    assert texts_of(spark, "<table><tbody><tr><td>1<table><tr><td>x</table>2<td>3<tbody><tr><td>4</table>", "td") == ["1x2", "x", "3", "4"]
+    assert texts_of(spark, "<select><optgroup><option>a<option>b<optgroup><option>c</select>", "option") == ["a", "b", "c"]
+    assert texts_of(spark, "<div>a<script>if (a &amp;& b) x();</script>b &amp; c</div>", "div") == ["aif (a &amp;& b) x();b & c"]
+
+
+def test_attributes_are_stepped_over_whole(spark):
+    from calyx.operators import html as H
+    toks = ['<a title="a > b" href="/x">', '<a title="see href=foo now" href="/y">', "<a data-x=\"v href='/z'\" href=\"/ok\">",
+            "<a HREF = /u class>", "<a href>", "<a hrefs='/no'>", "<a/href='/s'>", "<a href='/1' href='/2'>", '<a href="?a=1&amp;b=2">']
+    d = spark.createDataFrame([(t,) for t in toks], "tok string")
+    got = d.select(H.attr("href").alias("a"), H.has_attr("href").alias("h"), H.has_attr("class").alias("c"),
+                   H.all_attrs("tok").alias("all")).collect()
+    assert [r.a for r in got] == ["/x", "/y", "/ok", "/u", "", "", "/s", "/1", "?a=1&b=2"]
+    assert [r.h for r in got] == [True, True, True, True, True, False, True, True, True]
+    assert [r.c for r in got] == [False] * 3 + [True] + [False] * 5
+    for r in got:
+        assert next((x.value for x in r.all if x.name == "href"), "") == r.a

@@ -13,10 +13,15 @@ def test_resolve_url_forms(spark):
              ("page2.html", "https://www.example.edu/cal/2020/page2.html"),
              ("?p=2", "https://www.example.edu/cal/2020/index.html?p=2"),
              ("#sec", "https://www.example.edu/cal/2020/index.html?x=1#sec"),
-             ("", base)]
+             ("", "https://www.example.edu/cal/2020/index.html?x=1"),
+             ("../d.html", "https://www.example.edu/cal/d.html"), ("./e", "https://www.example.edu/cal/2020/e"),
+             ("../../../up", "https://www.example.edu/up"), ("a/../b/./c?q=../x", "https://www.example.edu/cal/2020/b/c?q=../x"),
+             ("..", "https://www.example.edu/cal/"), ("/x/../y/.", "https://www.example.edu/y/")]
     df = spark.createDataFrame([(base, h) for h, _ in cases], "u string, h string")
     got = [r[0] for r in df.select(L.resolve_url("u", "h")).collect()]
     assert got == [w for _, w in cases]
+    bare = spark.createDataFrame([("https://x.org", "a.html"), ("https://x.org", "../a"), ("https://x.org?q", "a")], "u string, h string")
+    assert [r[0] for r in bare.select(L.resolve_url("u", "h")).collect()] == ["https://x.org/a.html", "https://x.org/a", "https://x.org/a"]
 
 
 def test_query_fragment_rewrite(spark):

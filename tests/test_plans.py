@@ -38,6 +38,53 @@ def test_document_windows_share_one_exchange(spark):
     assert exchanges(b) == 1
 
 
+def test_nodes_are_sized_from_the_pages_and_stored_in_columns(spark, monkeypatch):
+    import calyx.session as S
+    from calyx.plans.extract import staged_nodes
+    monkeypatch.setattr(S, "CLUSTER_TARGET_BYTES", 4096)
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    some = pages.join(pages.where("page_id % 2 = 0").select("page_id"), "page_id", "left_semi")   # no size of its own
+    n = staged_nodes(some)
+    assert n.rdd.getNumPartitions() > S.shuffle_partitions(spark)
+    assert is_clustered_by(n, "page_id")
+    plan = n.select("page_id", "tag")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<page_id:bigint,tag:string>" in plan and "RDD" not in plan
+
+
+def test_links_carry_the_url(spark):
+    from calyx.plans.queries import QUERIES
+    plan = QUERIES["links_dedup_global"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "RoundRobin" not in plan and plan.count("Exchange") == 2
+    plan = QUERIES["heading_container_next"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and set(x.split(",")[0] for x in plan.split("hashpartitioning(")[1:]) and plan.count("hashpartitioning(page_id") == plan.count("Exchange")
+
+
+def test_cascade_counts_in_one_aggregate(spark):
+    from calyx.plans.queries import QUERIES
+    plan = QUERIES["rule_cascade"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    import pytest
+
+    import calyx.session as S
+
+    class Conf:
+        def get(self, key, default=None):
+            return "yarn" if key == "spark.master" else default
+
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        S.checkpoint_dir(Session())
+
+
 def test_scan_prunes_columns(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     x = H.tokens(pages, cluster=False).select("page_id", "tag")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean
+from ..functions.text import clean, to_int
 from .dims import first_per_key
 from .html import PID, attr, element_text, mark_path, sel
 
@@ -112,7 +112,7 @@ def dedup_links_global(links: DataFrame, key_cols: list[str], order_cols: list[s
 
 def last_page_number(href: ColumnOrName, pattern: str = r".*page=(\d+)") -> Column:
     """L9 (T12): last page number of a pager link; NULL when absent."""
-    return F.regexp_extract(_c(href), pattern, 1).try_cast("int")
+    return to_int(F.regexp_extract(_c(href), pattern, 1))
 
 
 def expand_pages(df: DataFrame, last_col: str, first: int = 1, name: str = "page_no") -> DataFrame:

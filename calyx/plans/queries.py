@@ -48,7 +48,7 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
     every page query of the session, so its analysis is done once."""
     key = (spark.sparkContext.applicationId, sf)   # another session has another id
     if key not in _NODES:
-        _NODES[key] = H.shred(spark.read.parquet(f"{sf}/pages.parquet"), keep=["url"])
+        _NODES[key] = H.shred(IO.read_pages(spark, f"{sf}/pages.parquet"), keep=["url"])
     return _NODES[key]
 
 
@@ -510,6 +510,15 @@ def subject_dim(spark, sf):
     return d.select("subjectId", "name", F.array_join("codes", ",").alias("codes"), "description")
 
 
+@register("ordered_codes", """
+WITH f AS (SELECT source, lang, min(doc_id) AS o FROM documents GROUP BY source, lang)
+SELECT source, string_agg(lang, ',' ORDER BY o) AS codes FROM f GROUP BY source""")
+def ordered_codes(spark, sf):
+    """A2: the distinct codes of each subject in first-seen order."""
+    d = D.ordered_distinct(table(spark, sf, "documents"), ["source"], "lang", "doc_id", "codes")
+    return d.select("source", F.array_join("codes", ",").alias("codes"))
+
+
 @register("course_with_subject_id", _SQL_SUBJ + """
 SELECT c.ord AS doc_id, d.subjectId FROM c JOIN dim d ON d.name = c.SubjectName""")
 def course_with_subject_id(spark, sf):

@@ -435,6 +435,14 @@ def p12_strong_headers(spark, sf):
     return c.select("courseCode", "numericCode", "name", "description", "prerequisite")
 
 
+@register("filter_code_csv", f"""SELECT {NAME} AS "Name", {NUM} AS "NumericCode" FROM part WHERE {CODE} = 'ECON'""")
+def filter_code_csv(spark, sf):
+    """K7: the courses of one code, two columns, written as CSV and read back."""
+    out = IO.scratch_path(spark, "code")
+    IO.write_csv(P.filter_code(P.strong_courses(_p12_pages(spark, sf)), "ECON"), out)
+    return IO.read_csv(spark, out, "Name string, NumericCode string")
+
+
 # ------------------------------------------------------------------ P1
 
 _TERM = "strftime(o_orderdate, '%Y')"
@@ -475,11 +483,16 @@ SELECT {_TERM} AS "TermCode", 'S' || CAST(floor(o_orderkey / 300) AS BIGINT) AS
   CAST(dense_rank() OVER (ORDER BY {_TERM}) AS BIGINT) AS "TermID"
 FROM orders WHERE {_TERM} IN (SELECT t FROM (SELECT DISTINCT {_TERM} AS t FROM orders ORDER BY 1 LIMIT 3)) AND {_TERM} <> '1996'""")
 def p1_sections(spark, sf):
-    """P1 (S3, S4, O1, F7, J2, T19, A4, A6, A7): JSON payloads -> sections of the first three
-    terms, enriched, with term ids; the limit is the feature."""
-    c = IO.staged(P.section_courses(*_p1_inputs(spark, sf)), "sections")
-    out, terms, sj = P.section_export(c)
-    got = out.join(terms, "TermID").join(sj.select("subjectId", F.col("name").alias("subject")), "subjectId")
+    """P1 (S3, S4, O1, F7, J2, T19, A4, A6, A7, K1-K4): JSON payloads -> sections of the first
+    three terms, enriched; written with term and subject ids, and read back. The limit is the feature."""
+    out = IO.scratch_path(spark, "sections")
+    P.write_section_export(P.section_courses(*_p1_inputs(spark, sf)), out, "x")
+    terms = IO.read_json_records(spark, f"{out}/x-terms", "TermID long, TermName string, TermCode string")
+    sj = IO.read_json_records(spark, f"{out}/x-subjects", "subjectId long, termID long, name string, codes array<string>")
+    c = IO.read_json_records(spark, f"{out}/x-courses", (
+        "TermID long, subjectId long, CourseID int, CourseCode string, NumericCode string, CourseTitle string, CourseReferenceNumber string, "
+        f"Description string, Prerequisite string, Enrollment {P.ENROLLMENT}"))
+    got = c.join(terms, "TermID").join(sj.select("subjectId", F.col("name").alias("subject")), "subjectId")
     return got.select("TermCode", "CourseCode", "subject", "CourseReferenceNumber", "NumericCode", "CourseTitle", "Description", "Prerequisite",
                       F.col("Enrollment.Enrolled.Available").alias("available"),
                       F.col("Enrollment.Waitlist.Available").alias("waitlist_available"), "TermID")

@@ -24,12 +24,6 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.schema(PAGE_SCHEMA).format(fmt).load(path)
 
 
-def landed_once(pages: DataFrame) -> DataFrame:
-    """The pages with each URL once, as landed first (least ``page_id``)."""
-    first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    return pages.join(first.select("page_id"), "page_id", "left_semi")
-
-
 def read_json_records(spark: SparkSession, path: str, schema: str, multiline: bool = False,
                       mode: str = "FAILFAST") -> DataFrame:
     """JSON records with a fixed schema (``multiline`` for one array per

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calyx.llm.common import batches, components, mix64, stage, words
+from calyx.llm.common import batches, components, mix64, sent, stage, words
 
 WIDTH, PERCENT = 2, 80
 COORDS, MATCH = 48, 28
@@ -106,8 +106,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                                                                     pa.binary())], ["id", "shingles"])
 
     # few ids go to the texts; beyond the bound texts and ids meet in a shuffle
-    wanted = F.broadcast(ids) if ids.limit(SENT + 1).count() <= SENT else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(sent(ids, SENT), "id", "left_semi")
     return texts.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id", "shingles"])
 
 
@@ -309,7 +308,8 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     doc_id stays, once. Rows with a null doc_id all stay."""
     found = stage(link(docs, width, percent).where("doc_id is not null").groupBy("doc_id")
                   .agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "minhash-decisions")
-    out = docs.join(found.where("not kept").select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = sent(found.where("not kept").select(F.col("doc_id").alias("_gone")), SENT)
+    out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     if found.where("kept and rows > 1").limit(1).count():  # repeated rows: one of them stays
         out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
     return out

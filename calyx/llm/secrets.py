@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calyx.llm.common import stage
+from calyx.llm.common import sent, stage
 
 # Fixed by the contract of the scan.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -42,6 +42,8 @@ ENDPOINT = r"""(?i)\b[a-z][a-z0-9+.-]*://[^\s"'<>]+"""
 KINDS = ("assign", "access", "hex", "value", "short", "ident", "endpoint")
 SECRET, OWNER = ("assign", "hex", "value", "short"), ("access", "ident", "endpoint")
 SCOPE = 200
+#: Texts with secrets of at most this number are sent to every task to be rewritten.
+SENT = 200_000
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -132,10 +134,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def drop_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of its texts replaced by ``mark`` (overlapping spans as one). All rows stay."""
+    """``docs`` with every span of its texts replaced by ``mark`` (overlapping spans as one), and
+    n_chars, where it is a column, counted again. All rows stay."""
     found = (scan(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans")
              .dropDuplicates(["_id", "_hash"]).withColumnRenamed("spans", "_spans"))
-    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
+    both = docs.join(sent(stage(found, "secret-spans"), SENT), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
 
     def cut(acc, s):
         gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
@@ -147,8 +150,7 @@ def drop_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     end = F.aggregate("_spans", start, cut)
     rest = F.substring(F.col("text"), (end["at"] + 1).cast("int"), F.char_length("text"))
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(end["out"], rest))
-    return both.withColumn("text", text).select(*docs.columns)
-
-
-#: The digest in DuckDB: base kinds by walking the gaps between matches; weak parts by a plain interval join.
-ORACLE = ""
+    out = both.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    return out.select(*docs.columns)

@@ -3,7 +3,8 @@
 A page is parsed into a tree: tags with quoted attributes, void elements, raw text
 elements, and the end tags that HTML lets authors leave out. Elements that never belong to an
 article are cut off: head, script, style, forms, menus, sidebars, page headers and footers, and
-containers whose class, id or role names an advert, a notice or reader comments.
+containers whose class, id or role names an advert, a notice or reader comments - but for those that
+hold an article or main element, and unless nothing else is left.
 
 Each remaining block element gets the composite density (Sun, Song and Liao 2011)
 
@@ -56,19 +57,26 @@ ENDS = {
 #: An end tag of an inline element doesn't reach beyond these.
 SCOPE = BLOCK - {"p"}
 
-#: Elements that are no part of an article.
+#: Elements without text of their own to read.
 CUT = frozenset("head script style noscript template iframe object embed applet canvas svg math audio video select textarea button "
-                "input label form fieldset nav aside menu dialog search title xmp noembed noframes datalist".split())
-#: Cut when they belong to the page, not to an article.
-CUT_OUTSIDE = frozenset(["header", "footer"])
+                "input label title xmp noembed noframes datalist".split())
+#: Elements beside the article, unless the article is inside them.
+BESIDE = frozenset("form fieldset nav aside menu dialog search footer".split())
 #: Words of class, id or role that name something else than the article.
 OTHER = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted promotion outbrain taboola "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside widget widgets toolbar footer masthead "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall "
-    "comment comments commentlist disqus respond replies reply reader "
+    "ad ads advert adverts advertisement advertisements advertising adsense adsbygoogle adslot adbox adunit adbanner banner banners "
+    "sponsor sponsors sponsored promo promos promoted promotion outbrain taboola "
+    "nav navbar navigation sidenav topnav mainnav menu menus menubar breadcrumb breadcrumbs sidebar sidebars aside widget widgets "
+    "toolbar footer footers masthead "
+    "cookie cookies cookiebar cookiebanner cookieconsent consent gdpr notice notices notification notifications announcement alert alerts "
+    "popup modal overlay newsletter subscribe subscription signup login paywall "
+    "comment comments commentlist commentform disqus respond replies reply "
     "share sharing social related recommended recommendations pagination pager skip "
     "contentinfo complementary search form".split())
+#: The same for what stands outside of any article.
+OTHER_OUTSIDE = frozenset("header headers topbar".split())
+#: The same for an element that is an article itself.
+OTHER_ARTICLE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>", re.S)
@@ -78,22 +86,20 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PIECE = re.compile(r"[A-Za-z]+")
 
 
-def names_other(attrs: str) -> bool:
-    """Whether class, id or role say that an element is something else than the article."""
-    for found in MARKS.finditer(attrs):
-        if not OTHER.isdisjoint(p.lower() for p in PIECE.findall(CAMEL.sub(" ", found[1] or found[2] or found[3] or ""))):
-            return True
-    return bool(HIDDEN.search(attrs))
+def named(attrs: str) -> set[str]:
+    """The words in class, id and role."""
+    return {p.lower() for found in MARKS.finditer(attrs)
+            for p in PIECE.findall(CAMEL.sub(" ", found[1] or found[2] or found[3] or ""))}
 
 
 class Tree:
-    """The kept elements of a page in page order, and its pieces of text.
+    """The elements of a page in page order, and its pieces of text.
 
-    Node 0 is the page. ``parts`` holds (node, text, in a link) and (node, None, False) for
-    the start or end of a block."""
+    Node 0 is the page. ``beside`` tells what seems to be something else than the article. ``parts``
+    holds (node, text, in a link) and (node, None, False) for the start or end of a block."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.parts = ["html"], [0], []
+        self.tag, self.parent, self.beside, self.parts = ["html"], [0], [False], []
         stack: list[tuple[str, int]] = [("html", 0)]  # (tag, node), -1 for what is cut off
         at, links = 0, 0
         for m in TOKEN.finditer(page):
@@ -132,17 +138,17 @@ class Tree:
         up = stack[-1][1]
         if up < 0 or name in CUT:
             return -1
-        if name in CUT_OUTSIDE and not any(t in ("article", "main") for t, _ in stack):
-            return -1
-        if name == "footer" or (attrs and name not in ("html", "body", "article", "main") and names_other(attrs)):
-            return -1
-        if name in ("html", "body"):
-            if name == "body" and up == 0 and "body" not in self.tag[:3]:
-                pass
-            else:
-                return up
+        if name == "html" or name == "body" and (up or "body" in self.tag[:3]):
+            return up
+        inside = any(t in ("article", "main") for t, _ in stack)
+        beside = name in BESIDE or name == "header" and not inside
+        if attrs and not beside and name not in ("body", "main"):
+            words = named(attrs)
+            beside = not words.isdisjoint(OTHER_ARTICLE if name == "article" else OTHER) or bool(HIDDEN.search(attrs)) or (
+                not inside and name != "article" and not words.isdisjoint(OTHER_OUTSIDE))
         self.tag.append(name)
         self.parent.append(up)
+        self.beside.append(beside)
         node = len(self.tag) - 1
         if name in BLOCK:
             self.parts.append((node, None, False))
@@ -214,35 +220,49 @@ def main_text(page: str | None) -> str:
         return ""
     tree = Tree(page)
     size = len(tree.tag)
+    holds = [t in ("article", "main") for t in tree.tag]  # an article inside
+    for k in range(size - 1, 0, -1):
+        holds[tree.parent[k]] |= holds[k] and not (tree.beside[k] and tree.tag[k] == "article")
+    cut = [False] * size
+    for k in range(1, size):
+        own = tree.beside[k] and (not holds[k] or tree.tag[k] == "article")
+        cut[k] = own or cut[tree.parent[k]]
+    # a page of nothing but such elements has its text in them
+    return densest(tree, cut) or densest(tree, [False] * size)
+
+
+def densest(tree: Tree, cut: list[bool]) -> str:
+    """The text of the subtree with the greatest density sum, without the nodes that are ``cut``."""
+    size = len(tree.tag)
     chars, tags, lchars, ltags, direct = [0] * size, [0] * size, [0] * size, [0] * size, [0] * size
     holder = [0] * size  # the nearest block around a node
     for k in range(1, size):
         holder[k] = k if tree.tag[k] in BLOCK else holder[tree.parent[k]]
     for node, text, link in tree.parts:
-        if text:
-            n = len(text.split() and " ".join(text.split()))
+        if text and not cut[node]:
+            n = len(" ".join(text.split()))
             chars[node] += n
             direct[holder[node]] += n
             if link:
                 lchars[node] += n
     for k in range(size - 1, 0, -1):
-        up = tree.parent[k]
-        chars[up] += chars[k]
-        lchars[up] += lchars[k]
-        tags[up] += tags[k] + 1
-        ltags[up] += ltags[k] + (tree.tag[k] == "a")
+        if not cut[k]:
+            up = tree.parent[k]
+            chars[up] += chars[k]
+            lchars[up] += lchars[k]
+            tags[up] += tags[k] + 1
+            ltags[up] += ltags[k] + (tree.tag[k] == "a")
     if not chars[0]:
         return ""
     ratio = lchars[0] / chars[0]
-    density = [composite(chars[k], tags[k], lchars[k], ltags[k], ratio) for k in range(size)]
+    density = [0.0 if cut[k] else composite(chars[k], tags[k], lchars[k], ltags[k], ratio) for k in range(size)]
     total = [0.0] * size
     for k in range(size - 1, -1, -1):
         if holder[k] == k:
-            if direct[k]:
-                total[k] += float(direct[k])
+            total[k] += float(direct[k])
             if k:
                 total[holder[tree.parent[k]]] += density[k]
-    best = max((k for k in range(size) if holder[k] == k), key=lambda k: (total[k], -k))
+    best = max((k for k in range(size) if holder[k] == k and not cut[k]), key=lambda k: (total[k], -k))
     path = [best]
     while path[-1]:
         path.append(holder[tree.parent[path[-1]]])
@@ -258,7 +278,7 @@ def main_text(page: str | None) -> str:
             if holder[k] == k and k not in on_path and holder[tree.parent[k]] in on_path and holder[tree.parent[k]] != best:
                 keep[k] = density[k] >= limit and 2 * lchars[k] < chars[k]
     for k in range(1, size):
-        keep[k] |= keep[tree.parent[k]]
+        keep[k] = (keep[k] or keep[tree.parent[k]]) and not cut[k]
         if keep[k] and holder[k] == k and 2 * lchars[k] > chars[k] and density[k] < limit:
             keep[k] = False
     lines, line = [], []

@@ -131,6 +131,11 @@ def test_symbols_line_up_with_words():
     raw = [t.encode().lower() for t in texts]
     sym, n = hmm_lm.classes_of(raw)
     assert n.tolist() == [len(t.split()) for t in raw] and len(hmm_lm.keys_of(raw)) == len(sym) == n.sum()
+    rng = random.Random(3)
+    many = [text(rng, "de", 300).encode() for _ in range(40)]
+    words = [w for t in many for w in t.split()]
+    keys = hmm_lm.keys_of(many[:7]).tolist() + hmm_lm.keys_of(many[7:]).tolist()   # wherever a word stands, its key is the same
+    assert len(set(zip(words, keys))) == len(set(words)) == len(set(keys))
 
 
 # toxicity

@@ -31,6 +31,14 @@ PAGES = [
      "unclosed tags and text <b> &amp; x\ntwo\na\nb\n1\n2\n3"),
     ("plain text without a tag", "plain text without a tag"),
     ("<div>own <span>text</span> of a div, long enough to win over others</div><div class=ad>buy</div>", "own text of a div, long enough to win over others"),
+    ("<body><form id=f><div class='header'><h1>Site</h1></div><div class='has-sidebar'><article><h1>T</h1><p>Para one is here.</p>"
+     "<div class='share-buttons'><p>Tweet</p></div><section class='comments'><article class='comment'><p>Nice one, I like it a lot.</p></article>"
+     "</section></article></div><aside><p>Other things to read that are long long long.</p></aside></form>", "T\nPara one is here."),
+    ("<body><form><div><p>All text of this page is in a form, as old systems have it.</p></div></form>",
+     "All text of this page is in a form, as old systems have it."),
+    ("<body><main><header><h1>Head</h1><p>By line</p></header><p>Text text text.</p><footer>foot</footer></main><div role='alert'>Alert!</div>",
+     "Head\nBy line\nText text text."),
+    ("<body><article><p>A</p></article><article class='ad'><p>" + "Buy this now. " * 30 + "</p></article>", "A"),
     ('<article><p title="a > b">x &nbsp; y</p><style>p{}</style><script>var t="</p>"</script></article>', "x y"),
 ]
 

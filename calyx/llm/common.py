@@ -46,7 +46,19 @@ def sent(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Rows of an Arrow batch: whole texts are long, and a batch is held by the JVM and by Python.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH`` rows, where the session doesn't set their size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "-1") == "-1":
+        spark.conf.set(key, str(BATCH))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -27,21 +27,25 @@ partitions whenever it is computed, as a table of files does; pass ``stage(df)``
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calyx.llm.common import bucket_of, stage
+from calyx.llm.common import bucket_of, mix64, stage
 
 STATES, CLASSES, ROUNDS = 8, 509, 4
 ADD = 0.1
 #: The key of the end token, and its class (after the word classes).
 END, END_CLASS = 0, CLASSES
-#: Bytes of texts that are worked on at once.
-AT_ONCE = 6 << 20
+#: Bytes of texts, and places of a table of texts, that are worked on at once.
+AT_ONCE, CELLS = 2 << 20, 1 << 19
+#: Bytes of texts that a task gathers before it works on them.
+HELD = 24 << 20
+#: Of the words' keys; 5 modulo 8, so that its powers run through a quarter of all numbers.
+BASE = 0x9E3779B97F4A7C15
 
 
 def groups(texts: list[bytes], most: int) -> Iterator[list[int]]:
@@ -58,23 +62,45 @@ def groups(texts: list[bytes], most: int) -> Iterator[list[int]]:
 
 
 def encoded(column) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in column.to_pylist()]
+    return [t.lower() if t else b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def classes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the words of all texts, one after the other, and the number of words of each text."""
+@cache
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``size`` powers of BASE modulo 2 ** 64, and of its inverse."""
+    def series(x):
+        out = np.full(size, np.uint64(x))
+        out[0] = 1
+        return np.multiply.accumulate(out)
+    return series(BASE), series(pow(BASE, -1, 1 << 64))
+
+
+def tokens_of(texts: list[bytes], keys: bool = True) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+    """Of the words of all texts, one after the other: 64-bit keys (a polynomial of the bytes, mixed)
+    and classes; and the number of words of each text."""
     buf = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     space = (buf == 32) | ((buf >= 9) & (buf <= 13))
     ends = np.flatnonzero(~space[:-1] & space[1:])
     last, before = buf[ends].astype(np.int64), np.where(space[ends - 1], 0, buf[ends - 1]).astype(np.int64)
     stop = np.cumsum([len(t) + 1 for t in texts])
     n = np.diff(np.searchsorted(ends, stop, "right"), prepend=0)
-    return (last * 263 + before) % CLASSES, n
+    key = None
+    if keys:
+        up, down = powers(1 << max(20, int(len(buf) - 1).bit_length()))
+        total = np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:len(buf)])  # before a word stands a space
+        starts = np.flatnonzero(space[:-1] & ~space[1:])
+        key = mix64((total[ends] - total[starts]) * down[starts + 1]).view(np.int64)
+    return key, (last * 263 + before) % CLASSES, n
 
 
 def keys_of(texts: list[bytes]) -> np.ndarray:
-    w = b" ".join(texts).split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w)).view(np.int64)
+    """Keys of the words of all texts."""
+    return tokens_of(texts)[0]
+
+
+def classes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the words of all texts, and the number of words of each text."""
+    return tokens_of(texts, keys=False)[1:]
 
 
 class Model:
@@ -96,52 +122,73 @@ class Model:
         move = np.full((STATES, STATES), 0.1 / STATES) + np.eye(STATES) * 0.9
         return Model(np.full(STATES, 1 / STATES), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
-    def forward(self, sym: np.ndarray, n: np.ndarray, keep: bool = False):
-        """``sym(place, text)`` with texts by falling length ``n``: log10 probabilities; if kept, also the
-        scaled forward values and scales of every place."""
-        total, emit = np.zeros(len(n)), self.emit.T
-        alphas, scales = [], []
-        for t in range(len(sym)):
-            live = int(np.searchsorted(-n, -t))  # texts longer than t
-            a = (self.start[None, :] if not t else a[:live] @ self.move) * emit[sym[t, :live]]
-            c = a.sum(1)
-            a = a / c[:, None]
-            total[:live] += np.log10(c)
-            if keep:
-                alphas.append(a)
-                scales.append(c)
-        return (total, alphas, scales) if keep else total
+    def forward(self, sym: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log10 probabilities of ``sym(place, text)`` with texts by falling length ``n``: the
+        scale factors of all places, multiplied."""
+        emit, one, live = self.emit.T, np.ones(STATES), lives(sym, n)
+        scale = np.ones(sym.shape)
+        a = None
+        for t, k in enumerate(live):
+            a = np.broadcast_to(self.start, (k, STATES)) if a is None else a[:k] @ self.move
+            a = a * emit[sym[t, :k]]
+            c = a @ one
+            scale[t, :k] = c
+            a /= c[:, None]
+        return np.log10(scale).sum(0)
 
     def expect(self, sym: np.ndarray, n: np.ndarray):
-        """Expected counts of starts, transitions and emissions of some texts."""
-        total, alphas, scales = self.forward(sym, n, True)
-        emit, move = self.emit.T, np.zeros((STATES, STATES))
-        gammas, syms = [None] * len(sym), [None] * len(sym)
-        beta = None
-        for t in range(len(sym) - 1, -1, -1):
-            a = alphas[t]
-            own = np.ones_like(a)
+        """Expected counts of starts, transitions and emissions of some texts, and
+        their log10 probability. Values of all places are held in single precision."""
+        live = lives(sym, n)
+        at = np.concatenate([[0], np.cumsum(live)])
+        flat = np.concatenate([sym[t, :k] for t, k in enumerate(live)])
+        seen = self.emit.T.astype(np.float32)[flat]  # emission of every place
+        alpha, scale = np.empty_like(seen), np.empty(len(flat), np.float32)
+        step, back, one = self.move.astype(np.float32), np.ascontiguousarray(self.move.T, np.float32), np.ones(STATES, np.float32)
+        a = None
+        for t, k in enumerate(live):
+            own = alpha[at[t]:at[t + 1]]
+            if a is None:
+                own[:] = self.start
+            else:
+                np.matmul(a[:k], step, out=own)
+            own *= seen[at[t]:at[t + 1]]
+            c = scale[at[t]:at[t + 1]]
+            np.matmul(own, one, out=c)
+            own /= c[:, None]
+            a = own
+        move, beta = np.zeros((STATES, STATES)), None
+        for t in range(len(live) - 1, -1, -1):
+            own = alpha[at[t]:at[t + 1]]
             if beta is not None:
-                ahead = emit[sym[t + 1, :len(beta)]] * beta / scales[t + 1][:, None]
-                move += a[:len(beta)].T @ ahead
-                own[:len(beta)] = ahead @ self.move.T
-            beta = own
-            gammas[t], syms[t] = a * beta, sym[t, :len(a)]
-        g, s = np.concatenate(gammas), np.concatenate(syms)
-        counts = np.stack([np.bincount(s, g[:, k], CLASSES + 1) for k in range(STATES)])
-        return gammas[0].sum(0), move * self.move, counts, total.sum()
+                ahead = seen[at[t + 1]:at[t + 2]]
+                ahead *= beta
+                ahead /= scale[at[t + 1]:at[t + 2], None]
+                move += own[:len(ahead)].T @ ahead
+                beta = np.ones_like(own)
+                np.matmul(ahead, back, out=beta[:len(ahead)])
+                own *= beta  # now the share of each state at the place
+            else:
+                beta = np.ones_like(own)
+        counts = np.stack([np.bincount(flat, alpha[:, k], CLASSES + 1) for k in range(STATES)])
+        return alpha[:at[1]].sum(0, dtype=np.float64), move * self.move, counts, np.log10(scale, dtype=np.float64).sum()
+
+
+def lives(sym: np.ndarray, n: np.ndarray) -> list[int]:
+    """How many texts are longer than each place."""
+    return np.searchsorted(-n, -np.arange(len(sym))).tolist()
 
 
 def sequences(texts: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """(indexes, sym(place, text), lengths) of groups of texts, the longest first, each with its end."""
-    for some in groups(texts, AT_ONCE):
+    for some in groups(texts, 4 * AT_ONCE):
         sym, n = classes_of([texts[i] for i in some])
         order = np.argsort(-n, kind="stable")
         starts = np.cumsum(n) - n
         at = 0
         while at < len(order):  # texts of similar length together, so that little of the table is empty
             longest = int(n[order[at]]) + 1
-            many = max(1, min(len(order) - at, (1 << 20) // longest))
+            many = max(1, min(len(order) - at, CELLS // longest))
             part = order[at:at + many]
             table = np.zeros((longest, len(part)), np.int32)
             table[n[part], np.arange(len(part))] = END_CLASS
@@ -156,9 +203,15 @@ def _sum_up(train: DataFrame, per_batch, size: int) -> np.ndarray:
     """Sums of vectors of ``size`` numbers over all tasks; each task sends one."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, some = np.zeros(size), False
-        for b in parts:
-            total, some = total + per_batch(encoded(b.column(0))), True
+        total, some, held = np.zeros(size), False, []
+        for b in parts:  # many texts at once, so that texts of similar length meet
+            held += encoded(b.column(0))
+            some = True
+            if sum(map(len, held)) > HELD:
+                total += per_batch(held)
+                held = []
+        if held:
+            total += per_batch(held)
         if some:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
@@ -209,7 +262,7 @@ def token_table(docs: DataFrame) -> DataFrame:
                 own = [i for i, c in enumerate(chunks) if c == chunk]
                 for some in groups([texts[i] for i in own], AT_ONCE):
                     t = [texts[own[i]] for i in some]
-                    key, (k, n) = keys_of(t), classes_of(t)
+                    key, k, n = tokens_of(t)
                     use = np.array([not out[own[i]] for i in some])
                     more = (np.append(key, END), np.append(np.repeat(use, n), False).astype(np.int64) , np.append(k, END_CLASS))
                     more[1][-1] = use.sum()
@@ -253,7 +306,7 @@ def score(docs: DataFrame, held_out, rounds: int = ROUNDS) -> DataFrame:
         out = np.zeros((4, len(text)))  # tokens, known, base, score
         for some in groups(text, AT_ONCE):
             t = [text[i] for i in some]
-            keys, (k, n) = keys_of(t), classes_of(t)
+            keys, k, n = tokens_of(t)
             at = np.minimum(np.searchsorted(word, keys), len(word) - 1)
             if (word[at] != keys).any():
                 raise RuntimeError("the input's partitions changed between two readings; pass stage(df)")

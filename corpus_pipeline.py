@@ -20,14 +20,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from calyx.llm import decontam, langid, minhash, mixing, secrets
-from calyx.llm.common import read_table, stage
+from calyx.llm.common import read_table, small_batches, stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return langid.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return minhash.drop_near_copies(docs)
 
 

@@ -54,6 +54,6 @@ def test_pipeline_queries_fill_every_field(con, name):
     cols, rows = [d[0] for d in cur.description], cur.fetchall()
     for i, c in enumerate(cols):
         assert len({r[i] for r in rows} - {"", None}) >= (1 if c in ("raw_hidden", "missing") or name == "p10_modal" else 2), c
-    if name not in ("p0_export", "p4_listing_detail"):
+    if name not in ("p0_export", "p4_listing_detail", "p9_outlines"):   # rows without a field are dropped, or none is left out
         assert any("" in r for r in rows)
     assert len(PIPELINES) == 13

@@ -12,8 +12,8 @@ punctuation and line breaks don't count as edits. An item without a word is in n
 3. The others are embedded by CGK: a walk reads one word a step and moves on or stays by a
    random bit of (step, word), which makes few edits few mismatches. A repetition samples ``BITS`` places
    of the walk; a window is a candidate for the probes with the same sample. The number of
-   repetitions is the least that finds ``RECALL`` of the items with the full number of random
-   edits in them, measured on the items themselves.
+   repetitions is, for each size of probes, the least that finds ``RECALL`` of them with the full number of
+   random edits in them, measured once on the probes themselves (``TRIALS`` draws a size).
 4. Candidates are verified by the exact edit distance to the best stretch around the window.
 
 The benchmark is dealt into blocks of about ``ITEMS`` items, each sent to the tasks; all texts are
@@ -44,6 +44,8 @@ from calyx.llm.common import batches
 RATE, RECALL = 0.2, 0.995
 LONGEST, STEP = 256, 4
 BITS, MOST = 2, 64
+#: Probes with edits that the repetitions of each size are measured on.
+TRIALS = 400
 #: Texts that are searched at once.
 ROWS = 2000
 #: Items and characters of a block.
@@ -70,9 +72,11 @@ def best_distance(item: np.ndarray, text: np.ndarray) -> int:
 
 
 class Block:
-    """The probes of some items, grouped by size, with their samples."""
+    """The probes of some items, grouped by size, with their samples; ``repeats`` has the
+    repetitions of each size where they are known from a block of the same items."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, recall: float = RECALL, seed: int = 1):
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, recall: float = RECALL, seed: int = 1,
+                 repeats: dict[int, int] | None = None):
         self.rate, self.vocab = rate, {}
         self.items = [(i, np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(t)], np.int64)) for i, t in items]
         self.items = [(i, w) for i, w in self.items if len(w)]
@@ -98,14 +102,14 @@ class Block:
             self.windows[n] = n - 1 - 2 * k, n + k
         self.need = min((need for need, _ in self.windows.values()), default=0)
         self.span = max((span for _, span in self.windows.values()), default=1)
-        self.repeats = self.enough(rng, recall)
+        self.repeats = self.enough(rng, recall) if repeats is None else repeats
         self.samples = {}
         for n, probes in self.probes.items():
             ids = np.concatenate([np.append(w, np.zeros(2 * LONGEST, np.int64)) for _, w in self.items])
             first = np.cumsum([0] + [len(w) + 2 * LONGEST for _, w in self.items])
             at = np.array([first[k] + o for k, o in probes])
             self.samples[n] = []
-            for r in range(self.repeats):
+            for r in range(self.repeats[n]):
                 found = defaultdict(list)
                 for key, probe in zip(self.sample(ids, at, n, r).tolist(), probes):
                     found[key].append(probe)
@@ -129,18 +133,14 @@ class Block:
             at += ((self.bits[r, j >> 6][w] >> np.uint64(j & 63)) & np.uint64(1)).astype(np.int64)
         return out
 
-    def enough(self, rng, recall: float, trials: int = 400) -> int:
-        """The least repetitions that find ``recall`` of the probes with all allowed edits in them."""
-        every = [(n, k, o) for n, probes in sorted(self.probes.items()) for k, o in probes]
-        if not every:
-            return 1
-        found = np.zeros((trials, MOST), bool)
-        by_size = defaultdict(list)
-        for t in range(trials):
-            by_size[every[t % len(every)][0]].append((t, *every[t % len(every)][1:]))
-        for n, some in by_size.items():
+    def enough(self, rng, recall: float) -> dict[int, int]:
+        """Of each size, the least repetitions that find ``recall`` of its probes with all allowed edits in them."""
+        out = {}
+        for n, probes in sorted(self.probes.items()):
+            order = rng.permutation(len(probes))
             own, changed = [], []
-            for _, k, o in some:
+            for t in range(TRIALS):
+                k, o = probes[order[t % len(order)]]
                 w = self.items[k][1][o:o + LONGEST].tolist()
                 own.append(np.pad(w, (0, 2 * LONGEST - len(w))))
                 for _ in range(self.edits(len(w))):
@@ -148,13 +148,14 @@ class Block:
                     w[p:p + (kind > 0)] = [0] * (kind < 2)  # add, replace, remove
                     w = w or [0]
                 changed.append(np.pad(w[:2 * LONGEST], (0, max(0, 2 * LONGEST - len(w)))))
-            at = np.arange(len(some)) * 2 * LONGEST
+            own, changed, at = np.concatenate(own), np.concatenate(changed), np.arange(TRIALS) * 2 * LONGEST
+            found, out[n] = np.zeros(TRIALS, bool), MOST
             for r in range(MOST):
-                a, b = (self.sample(np.concatenate(x), at, n, r) for x in (own, changed))
-                found[[t for t, *_ in some], r] = a == b
-        share = np.maximum.accumulate(found, 1).mean(0)
-        good = np.flatnonzero(share >= recall)
-        return int(good[0]) + 1 if len(good) else MOST
+                found |= self.sample(own, at, n, r) == self.sample(changed, at, n, r)
+                if found.mean() >= recall:
+                    out[n] = r + 1
+                    break
+        return out
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int]]]:
         """(item_id, distance) of the items that each text leaks."""
@@ -191,7 +192,7 @@ class Block:
             at = some[within(upto, some, span) >= need] if need > 0 else some[within(known, some, span) > 0]
             if not len(at):
                 continue
-            for r in range(self.repeats):
+            for r in range(self.repeats[n]):
                 got = self.sample(ids, at, n, r)
                 keys, probes_of = self.samples[n][r]
                 p = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
@@ -237,10 +238,11 @@ def blocks(benchmark: DataFrame, items: int = ITEMS) -> Iterator[list[tuple[int,
 
 def hits(text: Column, items: list[tuple[int, str]], rate: float = RATE, recall: float = RECALL) -> Column:
     """The items of one block that a text leaks."""
+    repeats = Block(items, rate, recall).repeats
 
     @F.pandas_udf(HITS)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        block = Block(items, rate, recall)
+        block = Block(items, rate, recall, repeats=repeats)
         for texts in parts:
             found = []
             for at in range(0, len(texts), ROWS):
@@ -260,9 +262,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = []
     for items in blocks(benchmark):
+        repeats = Block(items, rate).repeats
 
-        def run(parts: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            block = Block(items, rate)
+        def run(parts: Iterator[pa.RecordBatch], items=items, repeats=repeats) -> Iterator[pa.RecordBatch]:
+            block = Block(items, rate, repeats=repeats)
             for b in batches(parts, ROWS):
                 found = [(i, *x) for i, hit in zip(b.column(0).to_pylist(), block.search(b.column(1).to_pylist())) for x in hit]
                 if found:

@@ -233,6 +233,32 @@ def test_blocks_and_clean_documents(spark):
     assert decontam.leaks(d, bench.limit(0)).collect() == []
 
 
+def edited(rng, words, edits):
+    w = list(words)
+    for _ in range(edits):
+        p, kind = rng.randrange(len(w)), rng.randrange(3)
+        w[p:p + (kind > 0)] = ["zzz"] * (kind < 2)
+    return w
+
+
+def found_share(block, items, size, n=150, seed=1):
+    """The share of the items of ``size`` words that are found with all edits that a leak may have."""
+    rng = random.Random(seed)
+    own = [(i, t.split()) for i, t in items if len(t.split()) == size]
+    leaks = [own[k % len(own)] for k in range(n)]
+    got = block.search([" ".join(["aa"] * 10 + edited(rng, w, size // 5) + ["bb"] * 10) for _, w in leaks])
+    return np.mean([i in [x for x, _ in hits] for (i, _), hits in zip(leaks, got)])
+
+
+def test_repetitions_follow_the_size_of_probes():
+    rng = random.Random(1)
+    sizes = [16] * 420 + [250] * 50
+    items = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(n))) for k, n in enumerate(sizes)]
+    block = decontam.Block(items)
+    assert found_share(block, items, 16) >= 0.98
+    assert found_share(block, items, 250) >= 0.98
+
+
 # tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")

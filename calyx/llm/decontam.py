@@ -13,7 +13,9 @@ punctuation and line breaks don't count as edits. An item without a word is in n
    random bit of (step, word), which makes few edits few mismatches. A repetition samples ``BITS`` places
    of the walk; a window is a candidate for the probes with the same sample. The number of
    repetitions is, for each size of probes, the least that finds ``RECALL`` of them with the full number of
-   random edits in them, measured once on the probes themselves (``TRIALS`` draws a size).
+   random edits in them, measured once on the probes themselves (``TRIALS`` draws a size). Sizes of which
+   ``MOST`` repetitions find less aren't sampled: a window is a candidate for each probe of which it has as many
+   word pairs as a match has at least, so that none is lost.
 4. Candidates are verified by the exact edit distance to the best stretch around the window.
 
 The benchmark is dealt into blocks of about ``ITEMS`` items, each sent to the tasks; all texts are
@@ -100,15 +102,18 @@ class Block:
         for n, probes in self.probes.items():
             k = self.edits(max(min(LONGEST, len(self.items[i][1]) - o) for i, o in probes))
             self.windows[n] = n - 1 - 2 * k, n + k
+        self.at_pair = {}
         self.need = min((need for need, _ in self.windows.values()), default=0)
         self.span = max((span for _, span in self.windows.values()), default=1)
         self.repeats = self.enough(rng, recall) if repeats is None else repeats
-        self.samples = {}
+        self.samples = {n: [] for n in self.probes}
+        for n, probes in self.probes.items():
+            if not self.repeats[n] and self.windows[n][0] > 0:
+                self.at_pair[n] = [self.by_pair(probes[k:k + 64]) for k in range(0, len(probes), 64)]
         for n, probes in self.probes.items():
             ids = np.concatenate([np.append(w, np.zeros(2 * LONGEST, np.int64)) for _, w in self.items])
             first = np.cumsum([0] + [len(w) + 2 * LONGEST for _, w in self.items])
             at = np.array([first[k] + o for k, o in probes])
-            self.samples[n] = []
             for r in range(self.repeats[n]):
                 found = defaultdict(list)
                 for key, probe in zip(self.sample(ids, at, n, r).tolist(), probes):
@@ -133,8 +138,42 @@ class Block:
             at += ((self.bits[r, j >> 6][w] >> np.uint64(j & 63)) & np.uint64(1)).astype(np.int64)
         return out
 
+    def by_pair(self, probes: list[tuple[int, int]]):
+        """Some probes, and by the number of a word pair: the first place of its probes in a list, how many, and that list."""
+        v, own = len(self.vocab) + 1, []
+        for k, o in probes:
+            w = self.items[k][1][o:o + LONGEST]
+            own.append(np.searchsorted(self.pairs, np.unique(w[:-1] * v + w[1:])))
+        pair, probe = np.concatenate(own), np.repeat(np.arange(len(own)), list(map(len, own)))
+        many = np.bincount(pair, minlength=len(self.pairs))
+        return probes, np.cumsum(many) - many, many, probe[np.argsort(pair, kind="stable")]
+
+    def sharing(self, n: int, at: np.ndarray, number: np.ndarray) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+        """The probes of size ``n`` with the places from which on a window has the word pairs that a match has at
+        least; ``at`` are the windows that have so many of any probes, ``number`` the word pair of each place or -1."""
+        need, span = self.windows[n]
+        if need <= 0:
+            yield from ((probe, at) for probe in self.probes[n])
+            return
+        inside = np.zeros(len(number) + 1, np.int64)
+        inside[at] += 1
+        np.subtract.at(inside, np.minimum(at + span, len(number)), 1)
+        where = np.flatnonzero((np.cumsum(inside[:-1]) > 0) & (number >= 0))
+        for probes, first, many, listed in self.at_pair[n]:
+            times = many[number[where]]
+            place = np.repeat(where, times)
+            step = np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+            probe = listed[np.repeat(first[number[where]], times) + step]
+            order = np.argsort(probe, kind="stable")
+            place, probe = place[order], probe[order]
+            a, b = slice(0, max(0, len(place) - need + 1)), slice(need - 1, None)
+            good = np.flatnonzero((probe[a] == probe[b]) & (place[b] - place[a] < span))
+            for k in np.unique(probe[good]).tolist():
+                yield probes[k], place[good[probe[good] == k]]
+
     def enough(self, rng, recall: float) -> dict[int, int]:
-        """Of each size, the least repetitions that find ``recall`` of its probes with all allowed edits in them."""
+        """Of each size, the least repetitions that find ``recall`` of its probes with all allowed edits in them;
+        0 where ``MOST`` don't."""
         out = {}
         for n, probes in sorted(self.probes.items()):
             order = rng.permutation(len(probes))
@@ -149,7 +188,7 @@ class Block:
                     w = w or [0]
                 changed.append(np.pad(w[:2 * LONGEST], (0, max(0, 2 * LONGEST - len(w)))))
             own, changed, at = np.concatenate(own), np.concatenate(changed), np.arange(TRIALS) * 2 * LONGEST
-            found, out[n] = np.zeros(TRIALS, bool), MOST
+            found, out[n] = np.zeros(TRIALS, bool), 0
             for r in range(MOST):
                 found |= self.sample(own, at, n, r) == self.sample(changed, at, n, r)
                 if found.mean() >= recall:
@@ -171,12 +210,13 @@ class Block:
         first = np.cumsum([0] + [len(d) + 1 for d in docs])
         v = len(self.vocab) + 1
         both = (ids[:-1] > 0) & (ids[1:] > 0)
-        pair = np.zeros(len(ids), np.int64)
+        number = np.full(len(ids), -1)  # of the word pair at each place
         if len(self.pairs):
             where = np.flatnonzero(both)
             code = ids[where] * v + ids[where + 1]
-            pair[where] = self.pairs[np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)] == code
-        upto = np.concatenate([[0], np.cumsum(pair)])
+            some = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            number[where] = np.where(self.pairs[some] == code, some, -1)
+        upto = np.concatenate([[0], np.cumsum(number >= 0)])
         known = np.concatenate([[0], np.cumsum(ids > 0)])
 
         def within(count, at, span):
@@ -192,6 +232,8 @@ class Block:
             at = some[within(upto, some, span) >= need] if need > 0 else some[within(known, some, span) > 0]
             if not len(at):
                 continue
+            for (item, offset), starts in self.sharing(n, at, number) if not self.repeats[n] else ():
+                near[item] += (starts - offset).tolist()
             for r in range(self.repeats[n]):
                 got = self.sample(ids, at, n, r)
                 keys, probes_of = self.samples[n][r]

@@ -241,12 +241,12 @@ def edited(rng, words, edits):
     return w
 
 
-def found_share(block, items, size, n=150, seed=1):
+def found_share(block, items, size, n=150, seed=1, rate=0.2):
     """The share of the items of ``size`` words that are found with all edits that a leak may have."""
     rng = random.Random(seed)
     own = [(i, t.split()) for i, t in items if len(t.split()) == size]
     leaks = [own[k % len(own)] for k in range(n)]
-    got = block.search([" ".join(["aa"] * 10 + edited(rng, w, size // 5) + ["bb"] * 10) for _, w in leaks])
+    got = block.search([" ".join(["aa"] * 10 + edited(rng, w, int(rate * size + 1e-9)) + ["bb"] * 10) for _, w in leaks])
     return np.mean([i in [x for x, _ in hits] for (i, _), hits in zip(leaks, got)])
 
 
@@ -259,6 +259,27 @@ def test_repetitions_follow_the_size_of_probes():
     assert found_share(block, items, 250) >= 0.98
 
 
+def test_recall_holds_for_every_size():
+    rng = random.Random(1)
+    items = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(n))) for k, n in enumerate([16] * 380 + [250] * 20)]
+    assert found_share(decontam.Block(items), items, 250) >= 0.98
+    items = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(250))) for k in range(50)]
+    assert found_share(decontam.Block(items, rate=0.4), items, 250, rate=0.4) == 1
+
+
+def test_windows_without_samples_are_exact(monkeypatch):
+    monkeypatch.setattr(decontam, "MOST", 0)  # no size may be sampled
+    docs, items = leak_tables()
+    block = decontam.Block([i for i in items if i[1] is not None])
+    assert set(block.repeats.values()) == {0}
+    some = docs[:140:5] + docs[140:]
+    for (_, t), got in zip(some, block.search([t for _, t in some])):
+        w = decontam.words(t or "")
+        split = [(i, decontam.words(s or "")) for i, s in items]
+        far = {i: plain_distance(s, w) for i, s in split if s and w}
+        assert got == sorted((i, d) for i, d in far.items() if d <= int(0.2 * len(decontam.words(items[i][1])) + 1e-9))
+
+
 # tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")

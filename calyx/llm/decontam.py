@@ -227,27 +227,32 @@ class Block:
         some = some[within(known, some, self.span) > 0]
         if self.need > 0:
             some = some[within(upto, some, self.span) >= self.need]
-        near = defaultdict(list)
+        edge = first.tolist()
+        near = defaultdict(set)  # item -> (text of the window, where the item would start in it)
+
+        def add(item, offset, starts):
+            for start in starts:
+                d = bisect_right(edge, start) - 1
+                near[item].add((d, max(edge[d], start - offset)))
+
         for n, (need, span) in self.windows.items():
             at = some[within(upto, some, span) >= need] if need > 0 else some[within(known, some, span) > 0]
             if not len(at):
                 continue
             for (item, offset), starts in self.sharing(n, at, number) if not self.repeats[n] else ():
-                near[item] += (starts - offset).tolist()
+                add(item, offset, starts.tolist())
             for r in range(self.repeats[n]):
                 got = self.sample(ids, at, n, r)
                 keys, probes_of = self.samples[n][r]
                 p = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
-                for start, i in zip(*(x[keys[p] == got] for x in (at, p))):
+                for start, i in zip(*(x[keys[p] == got].tolist() for x in (at, p))):
                     for item, offset in probes_of[i]:
-                        near[item].append(int(start) - offset)
-        edge = first.tolist()
+                        add(item, offset, (start,))
         for item, starts in near.items():
             item_id, w = self.items[item]
             k, mine, done = self.edits(len(w)), self.own[item], {}
             runs: list[list[int]] = []  # stretches of a text with candidate starts close to each other
-            for s in sorted(set(starts)):
-                d = max(0, bisect_right(edge, max(0, s)) - 1)
+            for d, s in sorted(starts):
                 if runs and runs[-1][0] == d and s <= runs[-1][2] + len(w):
                     runs[-1][2] = s
                 else:

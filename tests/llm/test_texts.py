@@ -280,6 +280,15 @@ def test_windows_without_samples_are_exact(monkeypatch):
         assert got == sorted((i, d) for i, d in far.items() if d <= int(0.2 * len(decontam.words(items[i][1])) + 1e-9))
 
 
+def test_later_pieces_stay_in_their_text():
+    rng = random.Random(1)
+    w = [f"w{rng.randrange(3000)}" for _ in range(600)]
+    leak = " ".join(w[120:])  # the first piece has lost more than its share
+    block = decontam.Block([(7, " ".join(w))])
+    for before in ([], ["aa bb cc"], ["aa " * 700], [None, ""]):
+        assert block.search([*before, leak, "dd ee"]) == [[]] * len(before) + [[(7, 120)], []]
+
+
 # tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")

@@ -3,7 +3,7 @@
 Disguised words are restored first. A token with digits or signs between letters, with a letter
 three or more times in a row, or spelled out with gaps becomes a lattice: each sign may stand for itself, for the
 letters it looks like, or for nothing; a repeated letter may be left out. Viterbi finds the path that is most likely
-under the channel and a character trigram model of plain words. Plain words are taken as they are.
+under the channel and a character trigram model of the plain words of all texts. Plain words are taken as they are.
 
 The restored text is scored by a logistic regression over its distinct words and their first four and
 five letters. Features and weights are learned from at most ``LABELLED`` labelled training rows, those first in
@@ -158,7 +158,7 @@ def char_counts(rows: DataFrame) -> dict[str, int]:
         for b in parts:
             words: Counter = Counter()
             for t in b.column(0).to_pylist():
-                words.update(w for w in set(t.lower().split()) if w.isalpha() and len(w) <= 64) if t else None
+                words.update(w for w in set(t.lower().split()) if w.isalpha()) if t else None
             for w, n in words.items():
                 for k in trigrams(w):
                     seen[k] += n
@@ -221,7 +221,7 @@ def fit(rows: list[list[int]], y: np.ndarray, size: int, l2: float = 0.1, rounds
 def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[dict[str, int], list[str], np.ndarray]:
     """(character counts, features, weights). The driver holds the bounded sample's feature numbers, no text."""
     rows = stage(sample(docs, labels, most), "toxic-sample")
-    chars = char_counts(rows)
+    chars = char_counts(docs)
     wanted = candidates(rows, chars, FEATURES)
     got = rows.select("toxic", found_in(F.col("text"), chars, wanted).alias("f")).toPandas()
     y = (got.toxic.to_numpy() > 0).astype(float)

@@ -195,6 +195,15 @@ def test_restoring():
     assert r.words("plain words") == {"plain", "words"} and r.words(None) == set()
 
 
+def test_letters_are_counted_in_all_texts(spark):
+    docs = [(k, "the end " + "ing" * 30) for k in range(50)] + [(None, "zyx"), (99, "zyx unlabelled")]
+    labels = [(k, 1, k % 2) for k in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    chars, _, _ = toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), most=10)
+    want = Counter(k for _, t in docs for w in set(t.split()) for k in toxicity.trigrams(w))
+    assert chars == want
+
+
 # pipeline
 
 def test_pipeline_matches_the_operators(spark, tmp_path):

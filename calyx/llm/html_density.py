@@ -4,7 +4,8 @@ A page is parsed into a tree: tags with quoted attributes, void elements, raw te
 elements, and the end tags that HTML lets authors leave out. Elements that never belong to an
 article are cut off: head, script, style, forms, menus, sidebars, page headers and footers, and
 containers whose class, id or role names an advert, a notice or reader comments - but for those that
-hold an article or main element, and unless nothing else is left.
+hold an article or main element, and unless nothing else is left. Headings aren't cut by a name. In an article or main
+element only whole classes, ids and roles count (ids are often made from headings), and not those of paragraphs.
 
 Each remaining block element gets the composite density (Sun, Song and Liao 2011)
 
@@ -75,12 +76,24 @@ OTHER = frozenset(
     "contentinfo complementary search form".split())
 #: The same for what stands outside of any article.
 OTHER_OUTSIDE = frozenset("header headers topbar".split())
-#: The same for an element that is an article itself.
-OTHER_ARTICLE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies".split())
+#: Whole classes and ids that name the same kinds inside an article, and of an article itself.
+INSIDE = frozenset(
+    "ad ads advert adverts advertisement advertisements adsense adsbygoogle ad-slot adslot ad-box adbox ad-unit adunit ad-banner adbanner "
+    "ad-container ad-wrapper sponsored outbrain taboola "
+    "nav navbar breadcrumb breadcrumbs share-buttons sharing-buttons social-buttons social-share sidebar sidebars "
+    "cookie-notice cookie-bar cookiebar cookie-banner cookiebanner cookie-consent cookieconsent gdpr-notice "
+    "comment comments comment-list commentlist comment-form commentform comments-section comments-area comment-section "
+    "disqus disqus-thread".split())
+#: Whole roles of the same kinds inside an article.
+ROLES = frozenset("navigation menu menubar complementary search form contentinfo alert alertdialog dialog".split())
+OTHER_ARTICLE = INSIDE | {"promo", "reply", "replies"}
+#: Elements that no name cuts, anywhere and inside an article.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXTS = HEADINGS | {"p"}
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>", re.S)
-MARKS = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+MARKS = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|[\s\"'/])(?:hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PIECE = re.compile(r"[A-Za-z]+")
@@ -89,7 +102,16 @@ PIECE = re.compile(r"[A-Za-z]+")
 def named(attrs: str) -> set[str]:
     """The words in class, id and role."""
     return {p.lower() for found in MARKS.finditer(attrs)
-            for p in PIECE.findall(CAMEL.sub(" ", found[1] or found[2] or found[3] or ""))}
+            for p in PIECE.findall(CAMEL.sub(" ", found[2] or found[3] or found[4] or ""))}
+
+
+def kinds(attrs: str, names: frozenset[str] = INSIDE) -> bool:
+    """Whether a whole class, id or role is one of ``names`` or ROLES."""
+    for found in MARKS.finditer(attrs):
+        whole = CAMEL.sub("-", found[2] or found[3] or found[4] or "").lower().replace("_", "-").split()
+        if not (ROLES if found[1].lower() == "role" else names).isdisjoint(whole):
+            return True
+    return False
 
 
 class Tree:
@@ -143,9 +165,14 @@ class Tree:
         inside = any(t in ("article", "main") for t, _ in stack)
         beside = name in BESIDE or name == "header" and not inside
         if attrs and not beside and name not in ("body", "main"):
-            words = named(attrs)
-            beside = not words.isdisjoint(OTHER_ARTICLE if name == "article" else OTHER) or bool(HIDDEN.search(attrs)) or (
-                not inside and name != "article" and not words.isdisjoint(OTHER_OUTSIDE))
+            beside = bool(HIDDEN.search(attrs))
+            if name == "article":
+                beside |= kinds(attrs, OTHER_ARTICLE)
+            elif inside:
+                beside |= name not in TEXTS and kinds(attrs)
+            elif name not in HEADINGS:
+                words = named(attrs)
+                beside |= not words.isdisjoint(OTHER) or not words.isdisjoint(OTHER_OUTSIDE)
         self.tag.append(name)
         self.parent.append(up)
         self.beside.append(beside)

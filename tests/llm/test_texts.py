@@ -57,6 +57,24 @@ def test_pages_query(spark):
     assert html_density.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+NAMES = [
+    # (html, main text)
+    ("<article><h1>Trees</h1><h2 id='search-trees'>Search trees</h2><p>One two.</p><section id='social-history'><p>Three four.</p></section>"
+     "<section id='related-work'><h2 id='comments-on-the-draft'>Comments on the draft</h2><p class='alert'>Five six.</p></section>"
+     "<div id=reply-to-critics>Seven.</div></article>",
+     "Trees\nSearch trees\nOne two.\nThree four.\nComments on the draft\nFive six.\nSeven."),
+    ("<main><article id='promo-codes-in-law'><h1>T</h1><p>Text text.</p></article><div class='x ad-slot'>Buy</div><div id=adSlot>Buy</div>"
+     "<div role=navigation>Menu</div><section id=comments><p>Nice</p></section><article class='post reply'>Re</article></main>", "T\nText text."),
+    ("<body><div><h2 id='search-trees'>Search trees</h2><p>A long enough paragraph of words that go on.</p></div><div class='search-box'>Find</div></body>",
+     "Search trees\nA long enough paragraph of words that go on."),
+]
+
+
+@pytest.mark.parametrize("page,want", NAMES)
+def test_names_inside_articles(page, want):
+    assert html_density.main_text(page) == want
+
+
 def test_broken_pages_end():
     for page in ("<" * 3000, '<a title="' + "x" * 5000, "<p>" * 3000 + "x", "<div>" * 3000 + "deep", "</div>" * 50 + "x", "<!--" * 500):
         assert isinstance(html_density.main_text(page), str)

@@ -15,8 +15,9 @@ of its characters C, tags T, characters LC and tags LT in links, and those of th
 A node's density sum adds the densities of its children and of its own direct text; the node
 with the greatest sum holds the main text, and the least density on the path from it to the
 body is the threshold. An article or main element around it is taken whole; otherwise
-siblings along the path whose density reaches the threshold are added. Inside, blocks most
-of whose characters are links and whose density is under the threshold are left out.
+siblings along the path whose density reaches the threshold are added, and inside these, blocks other than
+headings and paragraphs most of whose characters are links and whose density is under the threshold are left
+out, as menus without a name are.
 
 Text comes in page order, a line for each block; character references are decoded, white
 space inside a block is one space. Null, empty and textless pages have ''. Repeated
@@ -306,7 +307,7 @@ def densest(tree: Tree, cut: list[bool]) -> str:
                 keep[k] = density[k] >= limit and 2 * lchars[k] < chars[k]
     for k in range(1, size):
         keep[k] = (keep[k] or keep[tree.parent[k]]) and not cut[k]
-        if keep[k] and holder[k] == k and 2 * lchars[k] > chars[k] and density[k] < limit:
+        if keep[k] and not around and tree.tag[k] not in TEXTS and holder[k] == k and 2 * lchars[k] > chars[k] and density[k] < limit:
             keep[k] = False
     lines, line = [], []
     for node, text, _ in tree.parts:

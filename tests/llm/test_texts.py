@@ -75,6 +75,22 @@ def test_names_inside_articles(page, want):
     assert html_density.main_text(page) == want
 
 
+LINKED = [
+    # (html, main text)
+    ("<body><nav><a href=/>Home</a></nav><article><h1><a href='/x'>Title</a></h1><p>A long text of many words that go on and on and on.</p>"
+     "<p><a href='/y'>One link</a></p><h2>Sources</h2><ul><li><a href='/1'>First source</a></li><li><a href='/2'>Second source</a></li></ul></article></body>",
+     "Title\nA long text of many words that go on and on and on.\nOne link\nSources\nFirst source\nSecond source"),
+    ("<body><div><h1><a href='/x'>Title</a></h1><p>A long text of many words that go on and on and on.</p><p><a href='/y'>One link</a></p>"
+     "<ul><li><a href='/1'>Menu</a></li><li><a href='/2'>Other</a></li></ul></div></body>",
+     "Title\nA long text of many words that go on and on and on.\nOne link"),
+]
+
+
+@pytest.mark.parametrize("page,want", LINKED)
+def test_links_inside_articles(page, want):
+    assert html_density.main_text(page) == want
+
+
 def test_broken_pages_end():
     for page in ("<" * 3000, '<a title="' + "x" * 5000, "<p>" * 3000 + "x", "<div>" * 3000 + "deep", "</div>" * 50 + "x", "<!--" * 500):
         assert isinstance(html_density.main_text(page), str)

@@ -3,7 +3,9 @@
 Disguised words are restored first. A token with digits or signs between letters, with a letter
 three or more times in a row, or spelled out with gaps becomes a lattice: each sign may stand for itself, for the
 letters it looks like, or for nothing; a repeated letter may be left out. Viterbi finds the path that is most likely
-under the channel and a character trigram model of the plain words of all texts. Plain words are taken as they are.
+under the channel and a character trigram model of the plain words of all texts. Plain words are taken as they are. A token of over
+``LONG`` characters is several words joined: it is split at signs that stand for no letter, single letters between such
+signs are put together again, and what is still longer is restored in overlapping stretches of ``LONG`` characters.
 
 The restored text is scored by a logistic regression over its distinct words and their first four and
 five letters. Features and weights are learned from at most ``LABELLED`` labelled training rows, those first in
@@ -45,6 +47,10 @@ EDGE, OTHER = "^", "?"
 SPELLED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*~][^\W_@$!|+]|[ .\-_*~][@$!|+]){2,}(?=[\s.,;:!?]|\Z)")
 PLAIN = re.compile(r"[^\W\d_]+")
 TRIPLE = re.compile(r"(.)\1\1")
+#: Characters of a lattice, and of the step from one stretch of a longer token to the next.
+LONG, STEP = 64, 32
+#: Words joined in a token: letters, digits, signs that look like letters or are put inside words.
+JOINED = re.compile(r"(?:[^\W_]|[@$!|+(<€£¡*~'])+")
 ENDS = ".,;:?!\"()[]{}<>|"
 
 
@@ -94,6 +100,18 @@ def restore(token: str, model: CharModel) -> str:
     return min(((-(value + model.log(two, EDGE)), word) for (two, _), (value, word) in best.items()), default=(0, ""))[1]
 
 
+def stretches(token: str) -> list[str]:
+    """The parts of a long token that are restored each by itself, together all of it."""
+    out, single = [], ""
+    for part in [*JOINED.findall(token), ""]:
+        if len(part) == 1:
+            single += part
+            continue
+        out += [single, part]
+        single = ""
+    return [x[k:k + LONG] for x in out if x for k in range(0, max(1, len(x) - LONG + STEP), STEP)]
+
+
 class Restorer:
     """Words of texts, with disguised ones restored; what was restored is remembered."""
 
@@ -107,8 +125,8 @@ class Restorer:
         if len(self.seen) > 1 << 18:
             self.seen.clear()
         if token not in self.seen:
-            # digits and gaps alone, or long strings, hide no word
-            hides = len(token) <= 64 and any(c.isalpha() for c in token) or sum(c in LOOKS for c in token) >= 3 and len(token) <= 32
+            # digits and gaps alone hide no word
+            hides = any(c.isalpha() for c in token) or sum(c in LOOKS for c in token) >= 3
             whole = restore(token, self.model) if hides else ""
             short = restore(bare, self.model) if hides and bare != token else whole
             self.seen[token] = whole, short
@@ -121,6 +139,13 @@ class Restorer:
         low = text.lower()
         out: set[str] = set()
         for token in set(low.split()):
+            bare = token.strip(ENDS)
+            if len(token) > LONG and (TRIPLE.search(bare) or not bare.isalpha()):
+                out.update(PLAIN.findall(token))
+                for part in stretches(token):
+                    got = self.word(part)
+                    out.update((got,) if isinstance(got, str) else got)
+                continue
             got = self.word(token)
             if isinstance(got, str):
                 out.add(got)

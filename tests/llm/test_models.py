@@ -195,6 +195,23 @@ def test_restoring():
     assert r.words("plain words") == {"plain", "words"} and r.words(None) == set()
 
 
+def test_long_tokens_are_restored():
+    rng = random.Random(2)
+    counts = Counter(k for w in [word(rng, "en") for _ in range(500)] + ["idiot", "stupid", "clean"] * 30 for k in toxicity.trigrams(w) if w.isascii())
+    r = toxicity.Restorer(counts)
+    fill = "the_and_of_" * 8
+    for t in (f"{fill}1d10t_{fill}", f"{fill.replace('_', '.')}1d10t", f"{fill}i.d.i.o.t_{fill}and", f"{fill}/1d1iiot/{fill}", f"{fill}1d10t_" * 200):
+        assert "idiot" in r.words(t) and {"the", "and", "of"} <= r.words(t)
+    assert "idiot" in r.words("101-" * 30 + "1d10t")
+    for n in (65, 96, 97, 128, 1000):  # every character is in a stretch of at most LONG, and neighbours overlap
+        token = "".join(rng.choice("ab1") for _ in range(n))
+        parts = toxicity.stretches(token)
+        assert max(map(len, parts)) <= toxicity.LONG
+        assert parts[0] + "".join(p[toxicity.LONG - toxicity.STEP:] for p in parts[1:]) == token
+    assert any(w.startswith("ab") for w in r.words("4b5" * 40))  # no letter but the b's
+    assert r.words("105" * 20) - {""}  # 60 digits that look like letters
+
+
 def test_letters_are_counted_in_all_texts(spark):
     docs = [(k, "the end " + "ing" * 30) for k in range(50)] + [(None, "zyx"), (99, "zyx unlabelled")]
     labels = [(k, 1, k % 2) for k in range(50)]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calyx.llm import decontam, embed_dedup, hmm_lm, html_density, langid, minhash, mixing, secrets, token_count, toxicity
+from calyx.llm import (
+    decontam, embed_dedup, hmm_lm, html_density, langid, merkle, minhash, mixing, secrets, token_count, toxicity)
 from calyx.llm.common import read_table
 
 
@@ -49,7 +50,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_html_extraction, op3_language_id, op4_secret_scan, op5_source_mixing, op6_decontamination,
-    op7_embedding_near_dedup, op8_token_counts, op9_hmm_scores, op10_toxicity)}
-ORACLE: dict[str, str] = {"op5_source_mixing": mixing.ORACLE}
+    op7_embedding_near_dedup, op8_token_counts, op9_hmm_scores, op10_toxicity, op11_merkle_manifest)}
+ORACLE: dict[str, str] = {"op5_source_mixing": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE}

@@ -67,6 +67,13 @@ def bucket_of(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % n
 
 
+def crc32_sql(value: str) -> str:
+    """``bucket_of`` without its modulus in DuckDB SQL, for ASCII: the bits of each character are shifted out one by one."""
+    bits = "[x] || [-1, -1, -1, -1, -1, -1, -1, -1]"
+    return (f"xor(4294967295, list_reduce(flatten(list_transform(string_split({value}, ''), lambda c: list_transform([ascii(c)], lambda x: {bits})[1])), "
+            "lambda a, x: case when x >= 0 then xor(a, x) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, 4294967295::bigint))")
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words of a text; bytes.split() splits at exactly the
     six ASCII white-space characters."""

@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calyx.llm.common import sent, stage
+from calyx.llm.common import crc32_sql, sent, stage
 
 #: Levels of a block, and rows (groups, runs of ranks) that may be sent to every task.
 BITS, SENT = 6, 200_000
@@ -104,7 +104,7 @@ def nodes_of(bands: list[DataFrame]) -> DataFrame:
         t = b.select("grp", "lo", "n", F.posexplode("tiers").alias("k", "tier")).select("grp", "lo", "n", "k", F.posexplode("tier").alias("i", "digest"))
         width = F.expr(f"shiftleft(1L, {j * BITS} + k)")
         t = t.select("grp", (F.lit(j * BITS) + F.col("k")).alias("level"), (F.col("lo") + F.col("i") * width).alias("lo"), "n", width.alias("w"), "digest")
-        top = b.where(F.col("n") <= 1 << ((j + 1) * BITS)).select("grp", F.ceil(F.log2("n")).cast("int").alias("level"), F.lit(0).cast("long"), F.col("n"), F.col("n"), "top")
+        top = b.where(F.col("n") <= 1 << ((j + 1) * BITS)).select("grp", F.when(F.col("n") > 1, F.length(F.bin(F.col("n") - 1))).otherwise(0).alias("level"), F.lit(0).cast("long"), F.col("n"), F.col("n"), "top")
         t = t.union(top).select("grp", "level", "lo", F.least(F.col("lo") + F.col("w"), "n").alias("hi"), "digest").distinct()
         out = t if out is None else out.union(t)
     return out
@@ -190,13 +190,6 @@ def verify(docs: DataFrame) -> DataFrame:
                     (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-#: crc32 of a decimal number in DuckDB: the bits of each character shifted out one by one.
-def crc32_sql(value: str) -> str:
-    bits = "[x] || [-1, -1, -1, -1, -1, -1, -1, -1]"
-    return (f"xor(4294967295, list_reduce(flatten(list_transform(string_split({value}, ''), lambda c: list_transform([ascii(c)], lambda x: {bits})[1])), "
-            "lambda a, x: case when x >= 0 then xor(a, x) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, 4294967295::bigint))")
-
-
 _ENC = {c: f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in FIELDS}
 _BAD = {**_ENC, "n_chars": "coalesce(strlen(cast(n_chars + 1 as varchar)) || ':' || cast(n_chars + 1 as varchar), '-')"}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from calyx.llm import (
-    decontam, embed_dedup, hmm_lm, html_density, langid, merkle, minhash, mixing, secrets, token_count, toxicity, trie)
+    decontam, embed_dedup, hmm_lm, html_density, langid, licenses, merkle, minhash, mixing, secrets, token_count, toxicity, trie)
 from calyx.llm.common import read_table
 
 
@@ -54,11 +54,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(read_table(spark, sf_dir, "documents"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(read_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.report(read_table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_html_extraction, op3_language_id, op4_secret_scan, op5_source_mixing, op6_decontamination,
-    op7_embedding_near_dedup, op8_token_counts, op9_hmm_scores, op10_toxicity, op11_merkle_manifest, op13_conversation_trie)}
-ORACLE: dict[str, str] = {"op5_source_mixing": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op13_conversation_trie": trie.ORACLE}
+    op7_embedding_near_dedup, op8_token_counts, op9_hmm_scores, op10_toxicity, op11_merkle_manifest, op12_license_scan,
+    op13_conversation_trie)}
+ORACLE: dict[str, str] = {"op5_source_mixing": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_license_scan": licenses.ORACLE,
+                          "op13_conversation_trie": trie.ORACLE}

@@ -5,16 +5,17 @@ elements, and the end tags that HTML lets authors leave out. Elements that never
 article are cut off: head, script, style, forms, menus, sidebars, page headers and footers, and
 containers whose class, id or role names an advert, a notice or reader comments - but for those that
 hold an article or main element, and unless nothing else is left. Headings aren't cut by a name. In an article or main
-element only whole classes, ids and roles count (ids are often made from headings), and not those of paragraphs.
+element only whole classes, ids and roles count and, but for sections (whose ids are often made from headings), names that have a kind as first or last part, as
+``site-footer``.
 
 Each remaining block element gets the composite density (Sun, Song and Liao 2011)
 
     C / T * log(C / LC * T / LT, base ln(C / (C - LC) * LC + LCb / Cb * C + e))
 
 of its characters C, tags T, characters LC and tags LT in links, and those of the body (b).
-A node's density sum adds the densities of its children and of its own direct text; the node
+A node's density sum adds the densities of its children and, by its share of the characters, of its own direct text; the node
 with the greatest sum holds the main text, and the least density on the path from it to the
-body is the threshold. An article or main element around it is taken whole; otherwise
+body is the threshold. An article or main element around it is taken whole, with the articles beside it whose density reaches the threshold; otherwise
 siblings along the path whose density reaches the threshold are added, and inside these, blocks other than
 headings and paragraphs most of whose characters are links and whose density is under the threshold are left
 out, as menus without a name are.
@@ -80,11 +81,14 @@ OTHER_OUTSIDE = frozenset("header headers topbar".split())
 #: Whole classes and ids that name the same kinds inside an article, and of an article itself.
 INSIDE = frozenset(
     "ad ads advert adverts advertisement advertisements adsense adsbygoogle ad-slot adslot ad-box adbox ad-unit adunit ad-banner adbanner "
-    "ad-container ad-wrapper sponsored outbrain taboola "
-    "nav navbar breadcrumb breadcrumbs share-buttons sharing-buttons social-buttons social-share sidebar sidebars "
-    "cookie-notice cookie-bar cookiebar cookie-banner cookiebanner cookie-consent cookieconsent gdpr-notice "
+    "ad-container ad-wrapper sponsored outbrain taboola banner banners newsletter newsletters "
+    "nav navbar menu menus breadcrumb breadcrumbs share-buttons sharing-buttons social-buttons social-share sidebar sidebars footer masthead site-header "
+    "notice notices cookie-notice cookie-bar cookiebar cookie-banner cookiebanner cookie-consent cookieconsent gdpr-notice "
     "comment comments comment-list commentlist comment-form commentform comments-section comments-area comment-section "
     "disqus disqus-thread".split())
+#: The same as the first or last part of a name with hyphens: site-footer, menu-main, newsletter-signup.
+FIRST = frozenset("nav navbar menu sidebar footer advert advertisement newsletter banner breadcrumb cookie".split())
+LAST = FIRST | {"ad", "ads", "adverts", "notice", "menus", "comments", "breadcrumbs"}
 #: Whole roles of the same kinds inside an article.
 ROLES = frozenset("navigation menu menubar complementary search form contentinfo alert alertdialog dialog".split())
 OTHER_ARTICLE = INSIDE | {"promo", "reply", "replies"}
@@ -106,12 +110,16 @@ def named(attrs: str) -> set[str]:
             for p in PIECE.findall(CAMEL.sub(" ", found[2] or found[3] or found[4] or ""))}
 
 
-def kinds(attrs: str, names: frozenset[str] = INSIDE) -> bool:
-    """Whether a whole class, id or role is one of ``names`` or ROLES."""
+def kinds(attrs: str, names: frozenset[str] = INSIDE, parts: bool = False) -> bool:
+    """Whether a whole class, id or role is one of ``names`` or ROLES, or with ``parts`` has such a kind as its first or last part."""
     for found in MARKS.finditer(attrs):
         whole = CAMEL.sub("-", found[2] or found[3] or found[4] or "").lower().replace("_", "-").split()
         if not (ROLES if found[1].lower() == "role" else names).isdisjoint(whole):
             return True
+        for name in whole if parts else ():
+            first, *rest = name.split("-")
+            if rest and (first in FIRST or rest[-1] in LAST):
+                return True
     return False
 
 
@@ -169,8 +177,8 @@ class Tree:
             beside = bool(HIDDEN.search(attrs))
             if name == "article":
                 beside |= kinds(attrs, OTHER_ARTICLE)
-            elif inside:
-                beside |= name not in TEXTS and kinds(attrs)
+            elif inside:  # ids of sections are often made from headings: only whole ones count there
+                beside |= name not in HEADINGS and kinds(attrs, parts=name != "section")
             elif name not in HEADINGS:
                 words = named(attrs)
                 beside |= not words.isdisjoint(OTHER) or not words.isdisjoint(OTHER_OUTSIDE)
@@ -287,7 +295,7 @@ def densest(tree: Tree, cut: list[bool]) -> str:
     total = [0.0] * size
     for k in range(size - 1, -1, -1):
         if holder[k] == k:
-            total[k] += float(direct[k])
+            total[k] += density[k] * direct[k] / max(chars[k], 1)
             if k:
                 total[holder[tree.parent[k]]] += density[k]
     best = max((k for k in range(size) if holder[k] == k and not cut[k]), key=lambda k: (total[k], -k))
@@ -299,6 +307,9 @@ def densest(tree: Tree, cut: list[bool]) -> str:
     keep = [False] * size
     if around:
         keep[around[-1]] = True
+        for k in range(1, size):  # articles beside it that go on with it
+            if tree.tag[k] == "article" and tree.parent[k] == tree.parent[around[-1]] and tree.tag[around[-1]] == "article":
+                keep[k] = keep[k] or density[k] >= limit and not cut[k]
     else:
         keep[best] = True
         on_path = set(path)

@@ -34,7 +34,9 @@ UNKNOWN = "und"
 #: Distinct n-grams of a language that a task holds before it passes counts on.
 HELD = 1 << 20
 
-_OTHER = re.compile(r"[\W\d_]+")
+#: Characters that ``\w`` takes for a word's, and ``\d`` not for digits, though they are numbers: fractions, superscripts, Roman numerals.
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def ngrams(text: str) -> np.ndarray:

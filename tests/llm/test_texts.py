@@ -111,7 +111,7 @@ def reference_prediction(texts, langs, query, size):
     """Rank-order profiles with plain dictionaries."""
     def grams(t):
         out = Counter()
-        for w in re.findall(r"[^\W\d_]+", t.lower()):
+        for w in "".join(c if c.isalpha() else " " for c in t.lower()).split():
             p = f" {w} "
             out.update(w)
             out.update(p[k:k + 2] for k in range(len(p) - 1))
@@ -163,6 +163,11 @@ def test_language_edges(spark):
     assert {r.doc_id for r in docs.select("doc_id").collect()} - {r.doc_id for r in kept.select("doc_id").collect()} == {80, 81, 82, 83}
 
 
+def test_numbers_are_no_letters():
+    assert all(len(langid.ngrams(t)) == 0 for t in ("½ ² Ⅷ ①", "12٣ _ ㊿", "¾", "", "!"))
+    assert (langid.ngrams("x² y") == langid.ngrams("x y")).all() and len(langid.ngrams("ß"))
+
+
 # secrets
 
 BASE = [re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A),

@@ -1,30 +1,16 @@
-"""Page shredding and selectors (H1-H21) as relational passes.
+"""Page shredding and selectors.
 
-A page is shredded into a token table (H1). Element extents (H2), the
-element tree (parent / level), descendant selection (H8), element text (H17)
-and inner markup (H18) are all computed with window passes over the token
-rows of one page. Nothing pairs elements with each other: containment is a
+A page is shredded into a token table (H1). One ordered pass over each page's tokens gives
+element extents and the tree (H2) and marks compiled selectors (H8), see ``tree``. On the node table,
+element text (H17), inner markup (H18) and selections that aren't known beforehand are
+window passes over the rows of one page. Nothing pairs elements with each other: containment is a
 running count of open intervals, and "which element owns this token" is the
 last interval opened at the token's nesting level. Every pass is an
 ``explode`` (which keeps the child's partitioning) followed by a window
 partitioned by ``page_id`` - so after the single hash exchange of the pages
 on ``page_id`` no further shuffle is needed (see ``explain``).
 
-Semantics (documented deviations from an HTML5 tree builder):
-
-* void tags, self-closing tags, ``<script>``/``<style>`` blocks end at
-  themselves;
-* ``p`` ends at the first later ``p`` token, start tag that closes a
-  paragraph (``div``, ``h1``-``h6``, ``ul``, ``table``, ...) or end tag of a
-  block container; ``a`` at the next ``a`` token;
-* the other elements whose end tag may be left out (``li``, ``dt``, ``dd``,
-  ``td``, ``th``, ``tr``, row groups, ``option``, ``optgroup``) end at the next
-  token that ends them at the same depth of their container (list, table,
-  ``dl``, ``select``), so a nested list or table doesn't end the outer item;
-* other tags end at the first close tag of the same name at the same
-  nesting level;
-* a tag that is never closed is laid out as a leaf in the tree and its
-  extent ends where its parent ends (the page end if it has none).
+The rules of the tree are those of the HTML standard as far as ``tree`` states them.
 """
 
 from __future__ import annotations
@@ -36,8 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.regex import WS, WS_BODY
-from ..session import cluster_by
+from ..session import cluster_by, clustered_partitions
 from ..functions.text import decode_entities, decode_sql, sql_str
+from . import tree
 
 PID = "page_id"
 
@@ -53,7 +40,6 @@ TOKEN_RE = (r"""(?s)[^<]++|<!--.*?-->"""
 START_TAG = r"""(?s)^<(?:[^'">]++|"[^"]*+"|'[^']*+')*+>"""
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link",
              "meta", "param", "source", "track", "wbr"]
-IMPLIED_END_TAGS = ["p", "a", "li", "dt", "dd", "td", "th", "tr", "thead", "tbody", "tfoot", "option", "optgroup"]
 # Fixed values (HTML standard): the containers of those elements, and for each
 # element the tags whose start or end ends it, besides the container's end.
 CONTAINERS = {"list": ["ul", "ol", "menu", "dir"], "table": ["table"], "dl": ["dl"], "select": ["select"]}
@@ -98,114 +84,69 @@ def tokens(pages: DataFrame, cluster: bool = True, partitions: int | None = None
     t = p.select(PID, *keep, F.regexp_extract_all("html", F.lit(TOKEN_RE), 0).alias("toks"))
     t = t.select(PID, *keep, F.size("toks").alias("n_tok"), F.posexplode("toks").alias("pos", "tok"))
     tok = F.col("tok")
-    kind = (F.when(tok.startswith("<!--"), "comment")
+    return t.select(PID, "pos", "n_tok", "tok", _kind(tok).alias("kind"), _tag(tok).alias("tag"), *keep)
+
+
+def _kind(tok: Column) -> Column:
+    return (F.when(tok.startswith("<!--"), "comment")
             .when(tok.rlike(r"(?is)^<(script|style)\b.*</(script|style)>\z"), "raw")
             .when(tok.startswith("<!"), "decl")
             .when(tok.rlike(r"^</[A-Za-z]"), "close")
             .when(tok.rlike(r"^<[A-Za-z]"), "open")
             .when(tok.startswith("<") & (F.length(tok) > 1), "other")
             .otherwise("text"))
+
+
+def _tag(tok: Column) -> Column:
     # open, close and raw tokens are exactly those starting "<x" or "</x"
-    tag = F.when(tok.rlike(r"^</?[A-Za-z]"),
-                 F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1))).otherwise("")
-    return t.select(PID, "pos", "n_tok", "tok", kind.alias("kind"), tag.alias("tag"), *keep)
+    return F.when(tok.rlike(r"^</?[A-Za-z]"), F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1))).otherwise("")
 
 
 # --------------------------------------------------------------------- H2
 
-def _ev(pos, order: int, delta: int, me: bool) -> Column:
-    return F.struct(pos.alias("ep"), F.lit(order).alias("eo"), F.lit(delta).alias("dl"), F.lit(me).alias("me"))
+#: What start tags end, for ``tree``: p, and by family the open elements of its container.
+_BLOCKS = frozenset([*P_CLOSING_START_TAGS, *tree.TABLE_PARTS, "body", "html", "head", "select", "option", "optgroup"])
+_RULES = {"ends_p": frozenset(P_CLOSING_START_TAGS), "blocks": _BLOCKS,
+          "families": [(frozenset(CONTAINERS[f]), {t: frozenset(x for x, by in ended.items() if t in by) for by in ended.values() for t in by})
+                       for f, ended in ENDED_BY.items()]}
 
 
-def shred(pages: DataFrame, partitions: int | None = None, keep: list[str] = ()) -> DataFrame:
-    """H1+H2: the node table of pages.
+def shred(pages: DataFrame, partitions: int | None = None, keep: list[str] = (), select: dict[str, list] | None = None,
+          scopes: list[str] = (), reopen: bool = False, cluster: bool = True) -> DataFrame:
+    """H1+H2+H8: the node table of pages.
 
     Columns: page_id, pos, n_tok, tok, kind, tag, is_elem, end, level,
-    parent, parent_tag. ``end`` is the position of the token that ends the
+    parent, parent_tag, prev. ``end`` is the position of the token that ends the
     element (exclusive; the element's content is ``pos < x < end``);
-    ``parent`` is the position of the enclosing element (NULL at top level).
-    ``keep`` names page columns (the URL) to carry along.
-    Written as few wide steps: every step re-analyses the plan on the driver.
+    ``parent`` is the position of the enclosing element (NULL at top level), ``prev`` of the
+    element before it among its siblings. ``keep`` names page columns (the URL) to carry along.
+
+    ``select`` marks selectors in the same pass: a name and its steps, each the keywords of ``sel``, or (combinator, keywords) with
+    ``" "`` (inside), ``">"`` (child) or ``"+"`` (next sibling). Each gives a boolean column of that name; those in ``scopes`` also
+    a column ``in_<name>``, for every node the positions of the marked elements around it.
+
+    The pages are hash-partitioned on page_id for the per-page passes that follow; without ``cluster`` they stay where they are.
+
+    With ``reopen`` formatting elements that a block's end cut off go on in the next block, as rows of their own: positions
+    then count nodes, not tokens.
     """
-    t = tokens(pages, cluster=True, partitions=partitions, keep=keep)
-    kind, tag, pos = F.col("kind"), F.col("tag"), F.col("pos")
-    is_elem = kind.isin("open", "raw")
-    is_void = (kind == "raw") | tag.isin(VOID_TAGS) | ((kind == "open") & F.col("tok").rlike(r"/>\z"))
-    ecls = (F.when(~is_elem, None).when(is_void, "void")
-            .when(tag.isin(IMPLIED_END_TAGS), "implied").otherwise("paired"))
-    t = t.select("*", is_elem.alias("is_elem"), ecls.alias("ecls"))
-
-    # Tag matching, per (page, tag): running depth; an open at depth d is
-    # closed by the next event at the same level if that is a close.
-    ecls = F.col("ecls")
-    paired_ev = (tag != "") & ~tag.isin(VOID_TAGS) & ~tag.isin(IMPLIED_END_TAGS) & (
-        (ecls == "paired") | (kind == "close"))
-    delta = F.when(paired_ev & (kind == "open"), 1).when(paired_ev & (kind == "close"), -1).otherwise(0)
-    w_tag = Window.partitionBy(PID, "tag").orderBy("pos")
-    # a p ends at the first later token that closes it (running frame over
-    # the page in reverse order: the nearest such token after each row)
-    p_term = (((kind == "open") & tag.isin(P_CLOSING_START_TAGS))
-              | ((kind == "close") & tag.isin(P_CLOSING_END_TAGS)))
-    w_rev = Window.partitionBy(PID).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.select("*", F.sum(delta).over(w_tag.rowsBetween(Window.unboundedPreceding, 0)).alias("_d"),
-                 F.lead("pos").over(w_tag).alias("_next_tagtok"),       # next option token
-                 F.last(F.when(p_term, pos), ignorenulls=True).over(w_rev).alias("_next_pterm"))
-    lvl = F.when(kind == "close", F.col("_d") + 1).otherwise(F.col("_d"))
-    w_lvl = Window.partitionBy(F.col(PID), tag, lvl).orderBy("pos")
-    t = t.select("*", F.lead("kind").over(w_lvl).alias("_nk"), F.lead("pos").over(w_lvl).alias("_np"))
-
-    # Elements that end with their container or a sibling: the running depth
-    # of containers of the family, then the nearest later token that ends the
-    # row's tag at the same depth (running frames over (page, family)).
-    family = reduce(lambda a, b: a.when(b[1], b[0]), [
-        (f, tag.isin(CONTAINERS[f] + list(ENDED_BY[f]))) for f in ENDED_BY], F)
-    t = t.withColumn("_fam", family)
-    box = (tag != "") & reduce(lambda a, b: a | b, [tag.isin(v) for v in CONTAINERS.values()])
-    step = F.when(box & (kind == "open"), 1).when(box & (kind == "close"), -1).otherwise(0)
-    w_fam = Window.partitionBy(PID, "_fam").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("_depth", F.sum(step).over(w_fam) + F.when(box & (kind == "close"), 1).otherwise(0))
-    w_next = Window.partitionBy(PID, "_fam", "_depth").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ends = {x: F.last(F.when((box & (kind == "close")) | tag.isin(by), pos), ignorenulls=True).over(w_next)
-            for f in ENDED_BY.values() for x, by in f.items()}
-    t = t.withColumn("_fam_end", reduce(lambda a, x: a.when(tag == x[0], x[1]), ends.items(), F))
-    end_known = (F.when(ecls == "void", pos)
-                 .when((ecls == "implied") & (tag == "p"), F.col("_next_pterm"))
-                 .when((ecls == "implied") & (tag == "a"), F.col("_next_tagtok"))
-                 .when(ecls == "implied", F.col("_fam_end"))
-                 .when((ecls == "paired") & (F.col("_nk") == "close"), F.col("_np")))
-
-    # Structural depth, per page: +1 at the open of an element with a known
-    # end, -1 at its end; ties put ends first. Unclosed and void elements
-    # add nothing (they are leaves of the tree).
-    structural = F.col("is_elem") & (ecls != "void") & end_known.isNotNull()
-    ev = F.when(structural, F.array(_ev(pos, 1, 1, True), _ev(end_known, 0, -1, False))) \
-          .otherwise(F.array(_ev(pos, 1, 0, True)))
-    own = [PID, "pos", "n_tok", "tok", "kind", "tag", "is_elem", *keep]
-    t = t.select(*own, end_known.alias("_end"), structural.alias("_st"), F.explode(ev).alias("_e"))
-    w_page = Window.partitionBy(PID).orderBy("_e.ep", "_e.eo").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.select("*", F.sum("_e.dl").over(w_page).alias("_s")).filter("_e.me")
-
-    # Parent: the last structural element opened at the parent's level.
-    level = F.when(F.col("_st"), F.col("_s")).otherwise(F.col("_s") + 1)
-    me = F.struct(pos.alias("p"), F.col("_end").alias("e"), tag.alias("t"))
-    none = F.lit(None).cast(me_type())
-    rows = F.when(F.col("_st"), F.array(
-        F.struct(level.alias("k"), F.lit(0).alias("q"), me.alias("cand")),
-        F.struct((level - 1).alias("k"), F.lit(1).alias("q"), none.alias("cand")),
-    )).otherwise(F.array(F.struct((level - 1).alias("k"), F.lit(1).alias("q"), none.alias("cand"))))
-    t = t.select(*own, "_end", level.alias("level"), F.explode(rows).alias("_r"))
-    w_k = Window.partitionBy(PID, "_r.k").orderBy("pos", "_r.q").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.select("*", F.last("_r.cand", ignorenulls=True).over(w_k).alias("_par")).filter("_r.q = 1")
-    par = F.when(F.col("level") > 1, F.col("_par"))
-    end = F.when(~F.col("is_elem"), pos).otherwise(F.coalesce(F.col("_end"), par["e"], F.col("n_tok")))
-    return t.select(PID, "pos", "n_tok", "tok", "kind", "tag", "is_elem", end.alias("end"),
-                    "level", par["p"].alias("parent"), par["t"].alias("parent_tag"), *keep)
-
-
-def me_type():
-    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
-    return StructType([StructField("p", IntegerType()), StructField("e", IntegerType()),
-                       StructField("t", StringType())])
+    p = pages.select(PID, "html", *keep).where("html is not null")
+    p = p.select(PID, *keep, F.regexp_extract_all("html", F.lit(TOKEN_RE), 0).alias("toks"))
+    p = p.select("*", F.transform("toks", _kind).alias("kinds"), F.transform("toks", _tag).alias("tags"))
+
+    def code(tok, i):
+        kind, tag = F.get("kinds", i), F.get("tags", i)
+        leaf = (kind == "raw") | tag.isin(VOID_TAGS) | tok.endswith("/>")
+        return (F.when(kind == "close", tree.CLOSE).when(kind.isin("open", "raw"), F.when(leaf, tree.LEAF).otherwise(tree.OPEN))
+                .when((kind == "text") & tok.rlike(f"[^{WS_BODY}]"), tree.TEXT).otherwise(tree.NOTHING))
+
+    p = p.withColumn("codes", F.transform("toks", code))
+    p = tree.folded(p, select or {}, list(scopes), _RULES, _matches, reopen)
+    if cluster:
+        # One exchange of whole pages with their nodes, sized explicitly: the rows after it are larger. (A Python
+        # call hides the partitioning of a bucketed table from Spark, so it stands before the exchange.)
+        p = cluster_by(p, PID, partitions or clustered_partitions(pages))
+    return tree.nodes_of(p, select or {}, list(scopes), list(keep))
 
 
 # --------------------------------------------------------------- predicates
@@ -255,24 +196,33 @@ def sel(tag: str | None = None, id: str | None = None, cls: str | list[str] | No
     ``sel(tag="a", cls="x")`` is ``a.x``; ``attr_prefix={"href": "/c"}`` is
     ``[href^="/c"]``; ``attr_eq`` is ``[a="v"]``.
     """
-    preds = [F.col("is_elem")]
-    if tag:
-        preds.append(F.col("tag") == tag.lower())
-    if id is not None:
-        preds.append(attr("id") == id)
-    if cls:
-        classes = F.split(F.trim(F.regexp_replace(attr("class"), f"{WS}+", " ")), " ")
-        for c in ([cls] if isinstance(cls, str) else cls):
-            preds.append(F.array_contains(classes, c))
-    for k, v in (attr_eq or {}).items():
-        preds.append(has_attr(k) & (attr(k) == v))
-    for k, v in (attr_prefix or {}).items():
-        preds.append(has_attr(k) & attr(k).startswith(v))
-    for k, v in (attr_contains or {}).items():
-        preds.append(has_attr(k) & attr(k).contains(v))
-    for k in has or []:
-        preds.append(has_attr(k))
-    return reduce(lambda a, b: a & b, preds)
+    simple = {"tag": tag, "id": id, "cls": cls, "attr_eq": attr_eq, "attr_prefix": attr_prefix, "attr_contains": attr_contains, "has": has}
+    return reduce(lambda a, b: a & b, [F.col("is_elem"), *_tests(simple, "tok", F.col("tag"))])
+
+
+def _tests(simple: dict, tok: Column | str, tag: Column) -> list[Column]:
+    whole = F.col(tok) if isinstance(tok, str) else tok
+
+    def holds(value: str, test: Column) -> Column:
+        # the attribute is looked for only in a tag that has the value somewhere, or a reference that may stand for it
+        return (F.contains(whole, F.lit(value)) | F.contains(whole, F.lit("&"))) & test if value else test
+
+    preds = []
+    if simple.get("tag"):
+        preds.append(tag == simple["tag"].lower())
+    if simple.get("id") is not None:
+        preds.append(holds(simple["id"], attr("id", tok) == simple["id"]))
+    if cls := simple.get("cls"):
+        classes = F.split(F.trim(F.regexp_replace(attr("class", tok), f"{WS}+", " ")), " ")
+        preds += [holds(c, F.array_contains(classes, c)) for c in ([cls] if isinstance(cls, str) else cls)]
+    preds += [holds(v, has_attr(k, tok) & (attr(k, tok) == v)) for k, v in (simple.get("attr_eq") or {}).items()]
+    preds += [holds(v, has_attr(k, tok) & attr(k, tok).startswith(v)) for k, v in (simple.get("attr_prefix") or {}).items()]
+    preds += [holds(v, has_attr(k, tok) & attr(k, tok).contains(v)) for k, v in (simple.get("attr_contains") or {}).items()]
+    return preds + [has_attr(k, tok) for k in simple.get("has") or []]
+
+
+def _matches(simple: dict, tok: Column, tag: Column) -> Column:
+    return reduce(lambda a, b: a & b, _tests(simple, tok, tag), F.lit(True))
 
 
 # --------------------------------------------------------------------- H8

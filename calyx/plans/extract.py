@@ -35,7 +35,37 @@ def staged_nodes(pages: DataFrame) -> DataFrame:
     if scan_bytes(pages, plain=True) is None:
         pages = IO.staged(pages, "pages")
     n = clustered_partitions(pages)
-    return IO.land_bucketed(H.shred(pages, partitions=n), f"calyx_nodes_{uuid.uuid4().hex}", PID, n)
+    return IO.land_bucketed(H.shred(pages, partitions=n, reopen=True), f"calyx_nodes_{uuid.uuid4().hex}", PID, n)
+
+
+def marked(pages: DataFrame, select: dict[str, list], scopes: list[str] = ()) -> DataFrame:
+    """The node table of ``pages`` with selectors marked in the same pass, for a level that is read once: the pages aren't
+    moved, and only what is selected is shuffled afterwards."""
+    return H.shred(pages, select=select, scopes=scopes, reopen=True, cluster=False)
+
+
+def marked_texts(nodes: DataFrame, names: list[str], **own: Column) -> DataFrame:
+    """``Text()`` of the elements that each of the scopes ``names`` marks, all in one grouping: (page_id, field, pos, text),
+    and the columns ``own`` of the element's row."""
+    piece = F.when(F.col("kind") == "raw", H.raw_text()).when(F.col("kind") == "text", F.col("tok"))
+
+    def within(n: str) -> Column:
+        return F.transform(f"in_{n}", lambda o: F.struct(F.lit(n).alias("field"), o.alias("at")))
+
+    inside = F.flatten(F.array(*map(within, names)))
+    itself = F.array_compact(F.array(*(F.when(F.col(n), F.struct(F.lit(n).alias("field"), F.col("pos").alias("at"))) for n in names)))
+    # a script or style element is its own text's token
+    at = F.when(F.col("kind") == "text", inside).when(F.col("kind") == "raw", F.concat(inside, itself)).when(F.col("is_elem"), itself)
+    x = nodes.select(PID, "pos", piece.alias("_piece"), F.explode(at).alias("_at"), *(c.alias(k) for k, c in own.items()))
+    mine = F.col("pos") == F.col("_at.at")
+    g = x.groupBy(PID, F.col("_at.field").alias("field"), F.col("_at.at").alias("pos")).agg(
+        F.expr("listagg(_piece, '') WITHIN GROUP (ORDER BY pos)").alias("_t"), *(F.max(F.when(mine, F.col(k))).alias(k) for k in own))
+    return g.select(PID, "field", "pos", H.decode_entities(F.coalesce("_t", F.lit(""))).alias("text"), *own)
+
+
+def joined_text(field: str, text: str = "text", name: str | None = None) -> Column:
+    """An aggregate of ``marked_texts``: the texts of one field in document order."""
+    return F.expr(f"listagg(CASE WHEN field = '{field}' THEN {text} END, '') WITHIN GROUP (ORDER BY pos)").alias(name or field)
 
 COURSE_FIELDS = ["SubjectName", "SubjectDescription", "SubjectCode", "Link", "name", "numericCode",
                  "courseCode", "description", "prerequisite", "antirequisite", "corequisite",

@@ -152,13 +152,14 @@ pr AS (SELECT page_id, pos, level AS k, 0 AS q, pos AS cp, end_k AS ce, tag AS c
 pr2 AS (SELECT page_id, pos, q, last_value(cp IGNORE NULLS) OVER w AS par_p,
                last_value(ce IGNORE NULLS) OVER w AS par_e, last_value(ct IGNORE NULLS) OVER w AS par_t
         FROM pr WINDOW w AS (PARTITION BY page_id, k ORDER BY pos, q ROWS UNBOUNDED PRECEDING)),
-nodes AS (SELECT e7.page_id, e7.pos, n_tok, tok, kind, tag, is_elem,
+extent AS (SELECT e7.page_id, e7.pos, n_tok, tok, kind, tag, is_elem,
             CASE WHEN NOT is_elem THEN e7.pos
-                 ELSE coalesce(end_k, CASE WHEN level > 1 THEN par_e END, n_tok) END AS end_pos,
-            CAST(level AS BIGINT) AS level,
-            CASE WHEN level > 1 THEN par_p END AS parent,
-            CASE WHEN level > 1 THEN par_t END AS parent_tag
-          FROM e7 JOIN pr2 ON pr2.page_id = e7.page_id AND pr2.pos = e7.pos AND pr2.q = 1)"""
+                 ELSE coalesce(end_k, CASE WHEN level > 1 THEN par_e END, n_tok) END AS end_pos
+          FROM e7 JOIN pr2 ON pr2.page_id = e7.page_id AND pr2.pos = e7.pos AND pr2.q = 1),
+around AS (SELECT x.page_id, x.pos, count(*) AS n, max(a.pos) AS par, arg_max(a.tag, a.pos) AS par_t FROM extent x JOIN extent a
+           ON a.page_id = x.page_id AND a.is_elem AND a.pos < x.pos AND x.pos < a.end_pos GROUP BY x.page_id, x.pos),
+nodes AS (SELECT x.*, CAST(1 + coalesce(n, 0) AS BIGINT) AS level, par AS parent, par_t AS parent_tag
+          FROM extent x LEFT JOIN around USING (page_id, pos))"""
 
 
 RAW = r"""regexp_extract(t.tok, '(?is)^<[^>]*>(.*)</[a-z]+>\z', 1)"""

@@ -27,7 +27,7 @@ from ..operators import sections as S
 from ..operators import segment as G
 from ..sources import io as IO
 from .extract import (PID, at_positions, staged_nodes, course_frame, document_html, document_text, first_of,
-                      markup, owner_of, parents_of, scoped_texts, selection_text, texts)
+                      joined_text, marked, marked_texts, markup, owner_of, parents_of, scoped_texts, selection_text, texts)
 
 sel = H.sel
 
@@ -464,18 +464,17 @@ def listing_links(pages: DataFrame, listing_url: str, page_url: str = P4_PAGE_UR
     (L8). Page 0's links are not entered in the seen set (as in the
     reference), so they can repeat."""
     first = pages.filter(F.col("url") == listing_url)
-    fn = staged_nodes(first)
-    pg = H.mark_path(fn, sel(cls=["pager-last", "last"]), sel(tag="a"), name="_pg").filter("_pg")
+    pg = marked(first, {"pager": [{"cls": ["pager-last", "last"]}, {"tag": "a"}]}).filter("pager")
     maxp = pg.groupBy(PID).agg(F.min_by(H.attr("href"), "pos").alias("_h")) \
              .select(L.last_page_number("_h").alias("last_page")).filter("last_page >= 1")
-    nums = L.expand_pages(maxp, "last_page").select("page_no", L.template_url(page_url, "page_no").alias("url"))
-    lp = _pages_at(pages, nums, "url")
-    ln = staged_nodes(pages.join(lp.select(PID), PID, "left_semi").unionByName(first))
-    row = H.mark_path(ln, sel(cls="view-search-courses"), sel(cls="views-row"), name="_row")
-    a = owner_of(row, F.col("_row"), sel(tag="a"))
-    a = a.join(ln.select(PID, "pos", "tok"), [PID, "pos"])
-    firsta = a.groupBy(PID, "owner").agg(F.min_by(H.attr("href"), "pos").alias("href"))
-    lk = firsta.join(lp.select(PID, "page_no").unionByName(first.select(PID, F.lit(0).alias("page_no"))), PID)
+    nums = IO.staged(L.expand_pages(maxp, "last_page").select("page_no", L.template_url(page_url, "page_no").alias("url")), "page-numbers")
+    lp = IO.staged(_pages_at(pages, nums, "url").select(PID, "page_no").unionByName(
+        first.select(PID, F.lit(0).alias("page_no"))), "listing")
+    row = [{"cls": "view-search-courses"}, {"cls": "views-row"}]
+    ln = marked(pages.join(lp.select(PID).distinct(), PID, "left_semi"), {"row": row, "link": [*row, {"tag": "a"}]}, ["row"])
+    a = ln.filter("link").select(PID, "pos", H.attr("href").alias("href"), F.explode("in_row").alias("owner"))
+    firsta = a.groupBy(PID, "owner").agg(F.min_by("href", "pos").alias("href"))
+    lk = firsta.join(lp, PID)
     lk = lk.select("page_no", F.col("owner").cast("long").alias("row_pos"),
                    L.prefix_url(base, F.col("href")).alias("link"), "href")
     p0 = lk.filter("page_no = 0")
@@ -488,28 +487,24 @@ def detail_courses(pages: DataFrame, listing_url: str, page_url: str = P4_PAGE_U
     description from the "Overview" block (last match wins), prerequisite
     and restriction from the notes (last wins); rows without a name dropped."""
     lk = listing_links(pages, listing_url, page_url)
-    dp = _pages_at(pages, lk, "link")
-    dn = staged_nodes(pages.join(dp.select(PID), PID, "left_semi"))
-    title = selection_text(texts(dn, sel(id="page-title"))).select(PID, clean("value").alias("t"))
-    ct = sel(cls="content")
-    h3 = scoped_texts(dn, ct, sel(tag="h3"))
-    ov = h3.groupBy(PID, "owner").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY pos)").alias("h3t")) \
-           .filter(F.col("h3t").contains("Overview"))
-    el = H.siblings(dn.filter("is_elem")).select(PID, "pos", "next_pos")
-    h3n = h3.join(ov.select(PID, "owner"), [PID, "owner"]).join(el, [PID, "pos"]) \
-            .select(PID, "owner", F.col("next_pos").alias("npos")).filter(F.col("npos").isNotNull())
-    nt = texts(at_positions(dn, h3n.select(PID, F.col("npos").alias("pos"))), F.col("_at")) \
-        .select(PID, F.col("pos").alias("npos"), "text")
-    dsc = h3n.join(nt, [PID, "npos"]).groupBy(PID, "owner").agg(
-        F.expr("listagg(text, '') WITHIN GROUP (ORDER BY npos)").alias("_d"))
-    dsc = dsc.groupBy(PID).agg(F.max_by(clean("_d"), "owner").alias("desc"))
-    notes = texts(dn, sel(cls="catalog-notes"), sel(tag="p")).withColumn("tx", clean("text"))
+    dp = IO.staged(_pages_at(pages, lk, "link"), "details")
+    h3 = [{"cls": "content"}, {"tag": "h3"}]
+    dn = marked(pages.join(dp.select(PID).distinct(), PID, "left_semi"),
+                {"title": [{"id": "page-title"}], "content": h3[:1], "h3": h3, "after": [*h3, ("+", {})],
+                 "note": [{"cls": "catalog-notes"}, {"tag": "p"}]}, ["title", "content", "h3", "after", "note"])
+    tx = IO.staged(marked_texts(dn, ["title", "h3", "after", "note"], contents=F.col("in_content")), "detail-texts")
+    tx = tx.withColumn("tx", clean("text"))
 
     def last_rule(p, name):
-        hit = _m("tx", p)
+        hit = (F.col("field") == "note") & _m("tx", p)
         return F.max_by(F.when(hit, clean(_x("tx", p, 1))), F.when(hit, F.col("pos"))).alias(name)
-    nt2 = notes.groupBy(PID).agg(last_rule(P4_PRE, "prerequisite"), last_rule(P4_RESTR, "antirequisite"))
-    c = dp.join(title, PID, "left").join(dsc, PID, "left").join(nt2, PID, "left")
+    page = tx.filter(F.col("field").isin("title", "note")).groupBy(PID).agg(
+        joined_text("title"), last_rule(P4_PRE, "prerequisite"), last_rule(P4_RESTR, "antirequisite"))
+    block = tx.filter(F.col("field").isin("h3", "after")).select(PID, "field", "pos", "text", F.explode("contents").alias("owner"))
+    block = block.groupBy(PID, "owner").agg(joined_text("h3"), joined_text("after")).filter(F.col("h3").contains("Overview") & F.col("after").isNotNull())
+    dsc = block.groupBy(PID).agg(F.max_by(clean("after"), "owner").alias("desc"))
+    c = dp.join(page, PID, "left").join(dsc, PID, "left")
+    c = c.withColumn("t", clean("title"))
     t = F.coalesce("t", F.lit(""))
     hit1 = _m(t, P4_TITLE)
     desc = F.coalesce("desc", F.lit(""))

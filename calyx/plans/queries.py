@@ -86,6 +86,30 @@ def select_descendant_links(spark, sf):
     return x.select("page_id", F.col("pos").cast("long").alias("pos"), H.attr("href").alias("href"))
 
 
+_SELECTORS = {"menu_link": [{"tag": "nav"}, {"tag": "li"}, {"tag": "a"}], "item": [{"tag": "ul"}, (">", {"tag": "li"})],
+              "lead": [{"tag": "article"}, {"tag": "h1"}, ("+", {"tag": "p"})], "advert": [{"tag": "div", "cls": "ad"}], "article": [{"tag": "article"}]}
+
+
+@register("selector_pass", NODES + f""",
+el AS (SELECT n.*, lag(tag) OVER (PARTITION BY page_id, parent ORDER BY pos) AS prev_tag,
+          CAST(lag(pos) OVER (PARTITION BY page_id, parent ORDER BY pos) AS BIGINT) AS prev_pos FROM nodes n WHERE is_elem)
+SELECT a.page_id, a.pos, a.tag, a.prev_pos,
+  a.tag = 'a' AND {O.inside('a', "o.tag = 'li' AND " + O.inside('o', "o2.tag = 'nav'", 'o2'))} AS menu_link,
+  a.tag = 'li' AND coalesce(a.parent_tag = 'ul', false) AS item,
+  a.tag = 'p' AND coalesce(a.prev_tag = 'h1', false) AND {O.inside('a', "o.tag = 'article'")} AS lead,
+  a.tag = 'div' AND {"list_contains(string_split(trim(regexp_replace(" + O.attr("a.tok", "class") + ", '[\t\n\f\r ]+', ' ', 'g')), ' '), 'ad')"} AS advert,
+  (SELECT count(*) FROM nodes o WHERE o.page_id = a.page_id AND o.is_elem AND o.tag = 'article' AND o.pos < a.pos AND a.pos < o.end_pos) AS n_articles,
+  (SELECT CAST(max(o.pos) AS BIGINT) FROM nodes o WHERE o.page_id = a.page_id AND o.tag = 'li' AND o.parent_tag = 'ul'
+     AND o.is_elem AND o.pos < a.pos AND a.pos < o.end_pos) AS in_item
+FROM el a""")
+def selector_pass(spark, sf):
+    """H2 + H8 + H9: five selectors (inside, child, next sibling, class) marked in the pass that builds the tree, with
+    the elements around each node; no sort and no window."""
+    n = H.shred(IO.read_pages(spark, f"{sf}/pages.parquet"), select=_SELECTORS, scopes=["item", "article"], cluster=False).filter("is_elem")
+    return n.select("page_id", F.col("pos").cast("long").alias("pos"), "tag", F.col("prev").cast("long").alias("prev_pos"), "menu_link", "item", "lead", "advert",
+                    F.size("in_article").cast("long").alias("n_articles"), F.get("in_item", F.size("in_item") - 1).cast("long").alias("in_item"))
+
+
 _CLS_AD = ("list_contains(string_split(trim(regexp_replace(" + O.attr("a.tok", "class")
            + ", '[\\t\\n\\f\\r ]+', ' ', 'g')), ' '), 'ad')")
 

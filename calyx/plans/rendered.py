@@ -61,6 +61,13 @@ def union(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def landed(render):
+    """The rendered pages as a landed table: a pipeline that reads several levels doesn't render them again for each."""
+    def pages(spark, sf):
+        return IO.staged(render(spark, sf), "rendered")
+    return pages
+
+
 def subjects(p: DataFrame) -> DataFrame:
     return p.groupBy("s", "site").agg(F.min("k").alias("k"))
 
@@ -112,6 +119,7 @@ def p2_calendar(spark, sf):
 _P3_INDEX = "https://calendar.engineering.queensu.ca/index"
 
 
+@landed
 def _p3_pages(spark, sf):
     p = parts(spark, sf)
     options = joined(subjects(p), ["site"], "concat('<option value=\"S', s, '\">S', s, case when s % 2 = 0 then '</option>' else '' end)")
@@ -150,6 +158,7 @@ def p3_catalog(spark, sf):
 _P4_LIST = "https://www.mcgill.ca/study/2020-2021/courses/search"
 
 
+@landed
 def _p4_pages(spark, sf):
     p = parts(spark, sf).withColumn("pg", F.expr("cast(floor(k / 20) as bigint)"))
     rows = joined(p, ["pg"], (
@@ -190,6 +199,7 @@ def p4_listing_detail(spark, sf):
 _P5_INDEX = "https://www.queensu.ca/sgs/index"
 
 
+@landed
 def _p5_pages(spark, sf):
     p = parts(spark, sf)
     links = joined(subjects(p), ["site"], f"concat('<a href=\"{P.P5_PREFIX}s', s, '\">Field ', s, ' &amp; more</a><a href=\"/elsewhere\">x</a>')")
@@ -225,6 +235,7 @@ def p5_paragraphs(spark, sf):
 _P6_START = "https://courses.students.ubc.ca/start"
 
 
+@landed
 def _p6_pages(spark, sf):
     p = parts(spark, sf)
     rows = joined(subjects(p), ["site"], (
@@ -262,6 +273,7 @@ def p6_tables(spark, sf):
 _P7_LIST = "https://ulysses.sheridanc.on.ca/coutline/results.jsp"
 
 
+@landed
 def _p7_pages(spark, sf):
     p = parts(spark, sf)
     href = "concat('coutline.jsp?', case when k % 5 = 4 then '' else concat('subjectCode=', code, '{amp}') end, 'courseCode=', k)"
@@ -297,6 +309,7 @@ def p7_link_file(spark, sf):
 _P8_INDEX = "http://www.ryerson.ca/index"
 
 
+@landed
 def _p8_pages(spark, sf):
     p = parts(spark, sf)
     links = joined(subjects(p), ["site"], f"concat('<a href=\"{P.P8_PREFIX}s', s, '\">Field ', s, ' (F', s, ')</a>')")
@@ -329,6 +342,7 @@ def p8_list_items(spark, sf):
 _P9_INDEX = "https://www.senecacollege.ca/programs/alphabetical.html"
 
 
+@landed
 def _p9_pages(spark, sf):
     p = parts(spark, sf)
     links = joined(subjects(p), ["site"], f"concat('<a href=\"{P.P9_PROGRAMS}G', s, '.html\">G</a><a href=\"/other\">o</a>')")
@@ -366,6 +380,7 @@ def p9_outlines(spark, sf):
 _P10_INDEX = "https://smith.queensu.ca/bcom/courses"
 
 
+@landed
 def _p10_pages(spark, sf):
     p = parts(spark, sf)
     links = joined(p, ["s"], (

@@ -27,7 +27,7 @@ def test_unclosed_inline_ends_with_parent_and_texts(spark):
     html = "<li><b>x<i>y</i>z</li><li><div>q<div>r</div></div></li>"
     e, n = elems(spark, html)
     assert e[1]["tag"] == "b" and e[1]["end"] == 7         # never closed: ends where the li ends
-    assert e[3]["parent"] == 0                             # unclosed b is a leaf of the tree
+    assert e[3]["parent"] == 1                             # and holds what follows it
     t = {r["pos"]: r["text"] for r in H.element_text(n, H.sel(tag="div")).collect()}
     outer = min(t)
     assert t[outer] == "qr" and sorted(t.values()) == ["qr", "r"]   # nested same tag: both texts
@@ -77,3 +77,106 @@ def test_attributes_are_stepped_over_whole(spark):
     assert [r.c for r in got] == [False] * 3 + [True] + [False] * 5
     for r in got:
         assert next((x.value for x in r.all if x.name == "href"), "") == r.a
+
+
+def outline(spark, html, **how):
+    """The tree as nested lists: [tag, child, ...], a text as a string."""
+    n = sorted(H.shred(pages_df(spark, [("u", html)]), **how).collect(), key=lambda r: r["pos"])
+    top, at = [], {}
+    for r in n:
+        box = top if r["parent"] is None else at[r["parent"]]
+        if r["is_elem"]:
+            at[r["pos"]] = [r["tag"]]
+            box.append(at[r["pos"]])
+        elif r["kind"] == "text":
+            box.append(r["tok"])
+    return top
+
+
+BROKEN = [  # page, its tree, its tree with formatting elements opened again
+    ("<b>1<i>2</b>3</i>4", [["b", "1", ["i", "2"]], "3", "4"], [["b", "1", ["i", "2"]], ["i", "3"], "4"]),
+    ("<p>1<b>2<p>3</b>4", [["p", "1", ["b", "2"]], ["p", "3", "4"]], [["p", "1", ["b", "2"]], ["p", ["b", "3"], "4"]]),
+    ("<div>1</span>2</div></div>3</p>", [["div", "1", "2"], "3"], None),
+    ("<table><tr><td>1<table><tr><td>2</td></tr></table>3</td></tr></table>4",
+     [["table", ["tr", ["td", "1", ["table", ["tr", ["td", "2"]]], "3"]]], "4"], None),
+    ("<table><tr><td>1<td><p>2<div>3</td></div>4<tr><td>5", [["table", ["tr", ["td", "1"], ["td", ["p", "2"], ["div", "3"]], "4"], ["tr", ["td", "5"]]]], None),
+    ("<div><table><tr><td>1</div>2</table>3</div>", [["div", ["table", ["tr", ["td", "1", "2"]]], "3"]], None),
+    ("<ul><li>1<ul><li>2</ul>3<li>4</ul>", [["ul", ["li", "1", ["ul", ["li", "2"]], "3"], ["li", "4"]]], None),
+    ("<b><p>1</b>2</p>3", [["b", ["p", "1", "2"]], "3"], None),
+    ("<a href=1>x<a href=2>y</a>z", [["a", "x"], ["a", "y"], "z"], None),
+    ("<h1>a<h2>b</h2>c", [["h1", "a"], ["h2", "b"], "c"], None),
+    ("<td><b>1<td>2", [["td", ["b", "1"]], ["td", "2"]], None),
+    ("<br/><img>x<script>if(a<b)</script>", [["br"], ["img"], "x", ["script"]], None),
+    ("", [], None), ("<!-- c --><!doctype html>", [], None), ("</p></b></td>", [], None),
+]
+
+
+def test_broken_pages_give_the_stated_tree(spark):
+    for html, plain, again in BROKEN:
+        assert outline(spark, html) == plain, html
+        assert outline(spark, html, reopen=True) == (plain if again is None else again), html
+
+
+def test_reopened_elements_are_bounded(spark):
+    html = "<p>" + "".join(f"<font size={i}>" for i in range(40)) + "".join(f"<p>{i}" for i in range(30))
+    n = H.shred(pages_df(spark, [("u", html)]), reopen=True)
+    assert n.filter("tag = 'font' and is_elem").count() <= 40 + 3 * 30
+
+
+def random_page(rng):
+    tags = ["b", "i", "a", "p", "div", "ul", "li", "table", "tr", "td", "span", "h1", "br", "select", "option"]
+    out = []
+    for _ in range(rng.randint(0, 60)):
+        t, k = rng.choice(tags), rng.random()
+        out.append(f"<{t} class='{rng.choice('xy')}'>" if k < 0.45 else f"</{t}>" if k < 0.8 else rng.choice(["text", " ", "<!-- c -->"]))
+    return "".join(out)
+
+
+def matches(steps, x, above, before):
+    """Does the selector match element ``x``? By trying all elements above and before it."""
+    how, simple = steps[-1] if isinstance(steps[-1], tuple) else (" ", steps[-1])
+    if simple.get("tag", x["tag"]) != x["tag"] or (simple.get("cls") and f"class='{simple['cls']}'" not in x["tok"]):
+        return False
+    if len(steps) == 1:
+        return True
+    near = {" ": above(x), ">": above(x)[:1], "+": before(x)}[how]
+    return any(matches(steps[:-1], y, above, before) for y in near)
+
+
+def test_random_pages_nest_and_selectors_match_brute_force(spark):
+    import random
+    rng = random.Random(11)
+    pages = [("u", random_page(rng)) for _ in range(150)]
+    select = {"one": [{"tag": "li"}], "two": [{"tag": "div"}, {"tag": "b", "cls": "x"}], "three": [{"cls": "x"}, {"tag": "td"}, (">", {"cls": "y"})],
+              "four": [{"tag": "p"}, ("+", {}), {"tag": "i"}], "five": [{"tag": "div"}, {"tag": "div"}, {"tag": "div"}]}
+    for again in (False, True):
+        n = H.shred(pages_df(spark, pages), select=select, scopes=["one", "five"], reopen=again).collect()
+        by_page = {}
+        for r in n:
+            by_page.setdefault(r["page_id"], []).append(r)
+        for rows in by_page.values():
+            rows.sort(key=lambda r: r["pos"])
+            elems = {r["pos"]: r for r in rows if r["is_elem"]}
+            assert [r["pos"] for r in rows] == list(range(rows[0]["n_tok"]))
+
+            def above(x):
+                out = []
+                while x["parent"] is not None:
+                    x = elems[x["parent"]]
+                    out.append(x)
+                return out
+
+            def before(x):
+                same = [y for y in elems.values() if y["parent"] == x["parent"] and y["pos"] < x["pos"]]
+                return same[-1:]
+
+            for x in rows:
+                around = [y for y in elems.values() if y["pos"] < x["pos"] < y["end"]]
+                assert [y["pos"] for y in reversed(around)] == [y["pos"] for y in above(x)] and x["level"] == len(around) + 1
+                assert all(x["end"] <= y["end"] for y in around)
+                if x["is_elem"]:
+                    assert (x["prev"] is None) == (not before(x)) and (x["prev"] is None or before(x)[0]["pos"] == x["prev"])
+                for name, steps in select.items():
+                    assert x[name] == (x["is_elem"] and matches(steps, x, above, before)), (name, x)
+                for name in ("one", "five"):
+                    assert x[f"in_{name}"] == [y["pos"] for y in around if y[name]]

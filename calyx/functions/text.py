@@ -207,3 +207,19 @@ def slice_between(c: ColumnOrName, start_pattern: str, end_pattern: str) -> Colu
     last_end = F.regexp_extract(c, f"(?s)^(.*{end_pattern})", 1)
     e = F.length(last_end)
     return F.when((s > 0) & (e >= s), F.substring(c, s, e - s + 1)).otherwise(F.lit(""))
+
+
+def match_positions(df, key: list[str], text: str, pattern: str):
+    """Every match of ``pattern`` in the texts, one row each: the key, ``match_no`` from 0, ``start`` and ``end`` (code
+    points from 0, end exclusive) and ``match``.
+
+    The lengths of the gaps and matches before a match are summed by a running window over the text's rows, so the work
+    grows with the matches. ``key`` must name one text. The pattern must not match the empty string.
+    """
+    from pyspark.sql import Window
+
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    m = df.where(F.regexp_like(text, F.lit(pattern))).select(*key, F.posexplode(parts).alias("match_no", "p"))
+    upto = Window.partitionBy(*key).orderBy("match_no").rowsBetween(Window.unboundedPreceding, 0)
+    m = m.withColumn("end", F.sum(F.char_length("p.gap") + F.coalesce(F.char_length("p.hit"), F.lit(0))).over(upto)).where("p.hit is not null")
+    return m.select(*key, F.col("match_no").cast("long").alias("match_no"), (F.col("end") - F.char_length("p.hit")).alias("start"), "end", F.col("p.hit").alias("match"))

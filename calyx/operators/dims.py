@@ -106,6 +106,35 @@ def subject_dim(courses: DataFrame, name_col: str = "SubjectName", code_col: str
     return d.select(*partition, "subjectId", F.col(name_col).alias("name"), "codes", "description", "_first")
 
 
+def extend_ids(registry: DataFrame | None, df: DataFrame, keys: list[str], order: list[str], name: str = "id", base: int = 0) -> DataFrame:
+    """A3 over landings: ids for the keys of ``df`` that ``registry(*keys, name)`` doesn't know yet, dense after its greatest one, in
+    first-seen order. Ids that were given out never change: the result holds the new keys only.
+
+    Keys are compared by a digest (NULL is a key). The new keys are found by an anti join of the distinct keys,
+    which one partial aggregate makes, so a key that holds most rows is reduced on each mapper.
+    """
+    first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_o")).withColumn("_key", row_key(keys))
+    if registry is not None:
+        first = first.join(registry.select(row_key(keys).alias("_key")), "_key", "left_anti")
+        base = max(base, (registry.agg(F.max(name)).first()[0] or base - 1) + 1) if registry.limit(1).count() else base
+    return dense_ids(first.drop("_key"), ["_o", *keys], name=name, base=base).select(*keys, name)
+
+
+def register_landing(path: str, landing: int, df: DataFrame, keys: list[str], order: list[str], name: str = "id", base: int = 0) -> DataFrame:
+    """Give ids to the new keys of a landing and keep them under ``path``, one folder a landing; returns the registry up to it.
+
+    A landing sees the ids of the landings before it only and writes its own folder, so running it again gives the
+    same ids and doesn't touch later ones' rows twice. Landings are run in their order.
+    """
+    spark = df.sparkSession
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
+    schema = f"{types}, `{name}` long"
+    folder = lambda k: f"{path.rstrip('/')}/landing-{k:06d}"
+    known = spark.read.schema(schema).parquet(*map(folder, range(landing))) if landing else None
+    extend_ids(known, df, keys, order, name, base).select(*[f.name for f in df.schema.fields if f.name in keys], name).write.mode("overwrite").parquet(folder(landing))
+    return spark.read.schema(schema).parquet(*map(folder, range(landing + 1)))
+
+
 #: A dimension of at most this many rows is sent to every task for a lookup.
 LOOKUP_ROWS = 100_000
 #: Parts that the rows of one key are dealt into where the dimension is larger.

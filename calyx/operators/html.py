@@ -273,13 +273,14 @@ def select_path(nodes: DataFrame, *steps: Column) -> DataFrame:
 
 # --------------------------------------------------------------- H17/H18
 
-def owned_tokens(nodes: DataFrame, owner: Column, member: Column) -> DataFrame:
+def owned_tokens(nodes: DataFrame, owner: Column, member: Column, nested: bool = False) -> DataFrame:
     """Every (owner element, member token inside it) pair that the
     containment relation holds, owners included as their own rows.
 
     Output: all node columns + ``owner`` (position of the owning element) +
     ``is_owner``. Works for nested owners: a token inside k owners is
-    emitted k times (the relation itself, not a cross product).
+    emitted k times (the relation itself, not a cross product). With ``nested``
+    owners are members of the owners around them, too.
     """
     o = owner & F.col("is_elem") & (F.col("end") > F.col("pos"))
     m = member & ~o
@@ -294,12 +295,12 @@ def owned_tokens(nodes: DataFrame, owner: Column, member: Column) -> DataFrame:
     x = x.withColumn("_c", F.sum("_e.dl").over(w)).filter("_e.me")
     # owners sit at their own nesting level; a member inside c owners is
     # repeated once per level 1..c
-    x = x.withColumn("_k", F.when(F.col("_o"), F.array(F.col("_c")))
-                     .when(F.col("_c") > 0, F.sequence(F.lit(1), F.col("_c"))))
-    x = x.select("*", F.explode("_k").alias("_lv"))
+    levels = F.when(F.col("_c") > 0, F.sequence(F.lit(1), F.col("_c")))
+    x = x.withColumn("_k", levels if nested else F.when(F.col("_o"), F.array(F.col("_c"))).otherwise(levels))
+    x = x.select("*", F.explode("_k").alias("_lv")).withColumn("_own", F.col("_o") & (F.col("_lv") == F.col("_c")))
     w2 = Window.partitionBy(PID, "_lv").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("owner", F.last(F.when(F.col("_o"), F.col("pos")), ignorenulls=True).over(w2))
-    return x.select(*cols, "owner", F.col("_o").alias("is_owner"))
+    x = x.withColumn("owner", F.last(F.when(F.col("_own"), F.col("pos")), ignorenulls=True).over(w2))
+    return x.select(*cols, "owner", F.col("_own").alias("is_owner"))
 
 
 def raw_text(tok: str = "tok") -> Column:
@@ -328,28 +329,62 @@ def element_text(nodes: DataFrame, owner: Column, with_raw: bool = True) -> Data
     return g.select(PID, "_el.*", F.expr(decode_sql("coalesce(_txt, '')")).alias("text"))
 
 
-def serialised(tok: str = "tok") -> Column:
-    """A token as it is written out again: tag names in lower case, ``<br>`` and
-    other void tags with ``/>``."""
-    t = F.col(tok)
-    start = F.regexp_extract(t, r"^</?[A-Za-z][A-Za-z0-9]*", 0)
-    tag = F.concat(F.lower(start), F.substr(t, F.length(start) + 1))
-    void = F.lower(F.ltrim(start, F.lit("<"))).isin(VOID_TAGS)
-    return F.when(start == "", t).when(void, F.concat(F.regexp_replace(tag, rf"{WS}*/?>\z", ""), F.lit("/>"))).otherwise(tag)
+# The characters that the serialiser of the pages' parser writes as references, in text and in attribute values.
+ESCAPES = [("&", "&amp;"), ("'", "&#39;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("\r", "&#13;")]
+
+
+def escaped(c: Column) -> Column:
+    for char, ref in ESCAPES:
+        c = F.replace(c, F.lit(char), F.lit(ref))
+    return c
+
+
+def start_markup(tok: Column) -> Column:
+    """A start tag as it is written out again: its name in lower case, every attribute in quotes, void tags with ``/>``."""
+    attrs = F.transform(all_attrs(tok), lambda a: F.concat(F.lit(" "), a["name"], F.lit('="'), escaped(a["value"]), F.lit('"')))
+    return F.concat(F.lit("<"), F.col("tag"), F.when(F.contains(tok, F.lit("=")) | tok.rlike(f"{WS}"), F.array_join(attrs, "")).otherwise(""),
+                    F.when(F.col("tag").isin(VOID_TAGS), "/>").otherwise(">"))
+
+
+def markup_events(nodes: DataFrame) -> DataFrame:
+    """What a serialiser writes for node rows, as rows with ``at``, ``ord``, ``inner`` (the order of writing) and ``piece``.
+
+    By the kind of node: text with its references decoded and escaped again, script and style content as it is, comments and
+    declarations as they are, elements as start and end tag - also where the page left the end tag out -, nothing for the page's own end tags.
+    """
+    tok, end_tag = F.col("tok"), F.concat(F.lit("</"), F.col("tag"), F.lit(">"))
+    start = F.regexp_extract("tok", START_TAG, 0)
+    leaf = F.col("end") <= F.col("pos")
+    piece = (F.when(F.col("kind") == "text", escaped(decode_entities("tok")))
+             .when(F.col("kind") == "raw", F.concat(start_markup(start), F.regexp_extract("tok", r"(?is)^<[^>]*>(.*)</[a-z]+>\z", 1), end_tag))
+             .when(F.col("kind") == "open", F.concat(start_markup(tok), F.when(leaf & ~F.col("tag").isin(VOID_TAGS), end_tag).otherwise("")))
+             .when(F.col("kind") == "close", "").otherwise(tok))
+
+    def event(at, ord, inner, what):
+        return F.struct(F.col(at).cast("long").alias("at"), F.lit(ord).alias("ord"), inner.cast("long").alias("inner"), what.alias("piece"))
+
+    opens = event("pos", 1, F.lit(0), piece)
+    both = F.when(F.col("is_elem") & ~leaf, F.array(opens, event("end", 0, -F.col("pos"), end_tag))).otherwise(F.array(opens))
+    return nodes.select("*", F.explode(both).alias("_e")).select(*nodes.columns, "_e.*")
+
+
+_WRITTEN = "listagg(piece, '') WITHIN GROUP (ORDER BY at, ord, inner)"
 
 
 def inner_html(nodes: DataFrame, owner: Column) -> DataFrame:
-    """H18 ``Html()``: serialised inner markup of each selected element, with
-    void tags written ``<br/>`` as an HTML serialiser does."""
-    x = owned_tokens(nodes, owner, F.lit(True))
-    x = x.withColumn("_piece", F.when(~F.col("is_owner"), serialised("tok")))
+    """H18 ``Html()``: inner markup of each selected element as a serialiser writes it."""
+    x = markup_events(owned_tokens(nodes, owner, F.lit(True), nested=True))
     cols = [c for c in nodes.columns if c != PID]
-    g = x.groupBy(PID, "owner").agg(
-        F.max(F.when(F.col("is_owner"), F.struct(*cols))).alias("_el"),
-        F.expr("listagg(_piece, '') WITHIN GROUP (ORDER BY pos)").alias("_html"))
+    x = x.withColumn("piece", F.when(~F.col("is_owner"), F.col("piece")))
+    g = x.groupBy(PID, "owner").agg(F.max(F.when(F.col("is_owner"), F.struct(*cols))).alias("_el"), F.expr(_WRITTEN).alias("_html"))
     return g.select(PID, "_el.*", F.coalesce("_html", F.lit("")).alias("html"))
 
 
+def page_html(nodes: DataFrame, name: str = "html") -> DataFrame:
+    """Whole pages as a serialiser writes them."""
+    return markup_events(nodes).groupBy(PID).agg(F.expr(_WRITTEN).alias(name))
+
+
 def own_text(nodes: DataFrame) -> DataFrame:
     """Text an element holds directly (its text children only):
     page_id, pos, tag, own_text."""

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, to_int
-from .dims import first_per_key
+from ..sources.io import staged
+from .dims import LOOKUP_ROWS, first_per_key
 from .html import PID, attr, element_text, mark_path, sel
 
 ColumnOrName = Column | str
@@ -142,3 +143,49 @@ def to_land(links: DataFrame, landed: DataFrame, url_col: str = "url") -> DataFr
     """Links whose target is not landed yet (anti join): the next
     crawl level's inputs."""
     return links.join(landed.select(F.col(url_col)).distinct(), url_col, "left_anti")
+
+
+def link_edges(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """The link graph of landed pages: (src, dst) page ids, each pair once, of ``links(page_id, url, href)`` resolved
+    against the page's URL without fragments. A URL that was landed several times is the page that was landed first."""
+    first = pages.groupBy("url").agg(F.min(PID).alias("dst"))
+    to = links.select(F.col(PID).alias("src"), drop_fragment(resolve_url("url", "href")).alias("url"))
+    return to.distinct().join(first, "url").select("src", "dst").distinct()
+
+
+#: Levels whose pages are kept as tables of their own before they are written as one.
+_LEVELS = 16
+
+
+def crawl_levels(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """L11 to a fixed point: (page_id, level, parent) of all pages that can be reached from ``seeds(page_id)`` along
+    ``edges(src, dst)``: the level at which a page is found first, and the least page of the level before that links to it.
+
+    Each round joins the newest level with the edges, reduces what is found to one row a page before the shuffle, and
+    leaves out the pages of earlier levels by an anti join; cycles end there. The levels needn't be known; ``most`` bounds them.
+    A level is written to the shared folder, so a round starts from tables and not from the rounds before.
+    """
+    e = staged(edges.where("src != dst"), "crawl-edges")
+    level = staged(seeds.select(PID).distinct().select(PID, F.lit(0).alias("level"), F.lit(None).cast("long").alias("parent")), "crawl-level")
+    seen, k, n = [level], 0, level.count()
+    while n and (most is None or k < most):
+        k += 1
+        found = e.join(_small(level.select(F.col(PID).alias("src")), n), "src").groupBy(F.col("dst").alias(PID)).agg(F.min("src").alias("parent"))
+        before = _union(seen).select(PID)
+        level = staged(found.join(before, PID, "left_anti").select(PID, F.lit(k).alias("level"), "parent"), "crawl-level")
+        n = level.count()
+        seen.append(level)
+        if len(seen) > _LEVELS:
+            seen = [staged(_union(seen), "crawl-seen")]
+    return _union(seen)
+
+
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= LOOKUP_ROWS else df
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out

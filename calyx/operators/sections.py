@@ -102,3 +102,36 @@ def cap_per_group(df: DataFrame, keys: list[str], order: list[str], n: int | Non
 def first_terms(terms: DataFrame, order: str | list[str], n: int = 3) -> DataFrame:
     """O1: the first ``n`` terms in source order (top-k: partial per task)."""
     return terms.orderBy(order).limit(n)
+
+
+ColumnOrName = Column | str
+
+
+def variant_payload(df: DataFrame, col: str, name: str = "payload") -> DataFrame:
+    """S3 without a schema: a JSON text as a VARIANT; NULL where it isn't JSON."""
+    return df.withColumn(name, F.try_parse_json(col))
+
+
+def member(payload: str, path: str, kind: str) -> Column:
+    """A member of a VARIANT as ``kind``; NULL where it is missing or can't be one, whatever its type in other rows."""
+    return F.try_variant_get(payload, path, kind)
+
+
+def variant_kind(v: ColumnOrName) -> Column:
+    """The JSON type of a VARIANT: object, array, string, number, boolean or null."""
+    t = F.schema_of_variant(v)
+    return (F.when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "STRING", "string")
+            .when(t == "BOOLEAN", "boolean").when(t == "VOID", "null").otherwise("number"))
+
+
+def payload_members(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
+    """The members of object payloads, a row each: ``keep``, ``key``, ``kind`` and ``value`` as JSON text. Members may change
+    their type from row to row; nothing is read by a schema."""
+    spark = df.sparkSession
+    m = df.where(variant_kind(payload) == "object").lateralJoin(spark.tvf.variant_explode(F.col(payload).outer()))
+    return m.select(*keep, "key", variant_kind("value").alias("kind"), F.to_json("value").alias("value"))
+
+
+def payload_report(df: DataFrame, payload: str) -> DataFrame:
+    """One row: the number of payloads and the schema that all of them fit, members of changing type as VARIANT."""
+    return df.agg(F.count(payload).alias("n_payloads"), F.schema_of_variant_agg(payload).alias("schema"))

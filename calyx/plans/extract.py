@@ -122,11 +122,8 @@ def document_text(nodes: DataFrame, name: str = "doc_text") -> DataFrame:
 
 
 def document_html(nodes: DataFrame, name: str = "doc_html") -> DataFrame:
-    """``doc.Html()``: the page re-serialised from its tokens (``<br>`` as
-    ``<br/>``)."""
-    g = nodes.withColumn("_p", H.serialised("tok")).groupBy(PID).agg(
-        F.expr("listagg(_p, '') WITHIN GROUP (ORDER BY pos)").alias(name))
-    return g
+    """``doc.Html()``: the page serialised again."""
+    return H.page_html(nodes, name)
 
 
 def parents_of(rows: DataFrame) -> DataFrame:

@@ -165,13 +165,29 @@ nodes AS (SELECT x.*, CAST(1 + coalesce(n, 0) AS BIGINT) AS level, par AS parent
 RAW = r"""regexp_extract(t.tok, '(?is)^<[^>]*>(.*)</[a-z]+>\z', 1)"""
 
 
-def serialised(tok: str) -> str:
-    """A tag in lower case, void ones closed: put together from its name and the rest."""
-    name = f"lower(regexp_extract({tok}, '^</?([A-Za-z][A-Za-z0-9]*)', 1))"
-    rest = f"regexp_replace({tok}, '^</?[A-Za-z][A-Za-z0-9]*', '')"
-    return (f"CASE WHEN {name} = '' THEN {tok} WHEN starts_with({tok}, '</') AND {name} NOT IN {lst(VOID_TAGS)} THEN '</' || {name} || {rest} "
-            f"WHEN {name} IN {lst(VOID_TAGS)} THEN regexp_extract({tok}, '^</?', 0) || {name} || regexp_replace({rest}, '[\\t\\n\\f\\r ]*/?>\\z', '') || '/>' "
-            f"ELSE '<' || {name} || {rest} END")
+def escaped(e: str) -> str:
+    for char, ref in (("&", "&amp;"), ("\'", "&#39;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;")):
+        e = f"replace({e}, {q(char)}, {q(ref)})"
+    return f"replace({e}, chr(13), '&#13;')"
+
+
+def markup_ctes(owner_pred: str) -> str:
+    """CTEs ``written`` (what stands for each node, twice for an element) and ``x``: (page_id, pos, raw), the markup inside each owner."""
+    v = lst(VOID_TAGS)
+
+    def start(tok):
+        one = f"list_transform({attrs(tok)}, lambda y: ' ' || y.name || '=\"' || {escaped(decode('coalesce(y.value, chr(0))'))} || '\"')"
+        one = one.replace("chr(0)", "''")
+        return f"'<' || tag || array_to_string({one}, '') || CASE WHEN tag IN {v} THEN '/>' ELSE '>' END"
+
+    end_tag = "'</' || tag || '>'"
+    piece = (f"CASE kind WHEN 'text' THEN {escaped(decode('tok'))} WHEN 'raw' THEN {start(START)} || {RAW.replace('t.tok', 'tok')} || {end_tag} "
+             f"WHEN 'open' THEN {start('tok')} || CASE WHEN end_pos <= pos AND tag NOT IN {v} THEN {end_tag} ELSE '' END WHEN 'close' THEN '' ELSE tok END")
+    return (f"written AS (SELECT page_id, pos, pos AS at, 1 AS ord, 0 AS inner_first, {piece} AS piece FROM nodes "
+            f"UNION ALL SELECT page_id, pos, end_pos, 0, -pos, {end_tag} FROM nodes WHERE is_elem AND end_pos > pos), "
+            f"x AS (SELECT a.page_id, a.pos, coalesce(string_agg(w.piece, '' ORDER BY w.at, w.ord, w.inner_first), '') AS raw FROM nodes a "
+            f"LEFT JOIN written w ON w.page_id = a.page_id AND w.pos > a.pos AND w.pos < a.end_pos "
+            f"WHERE a.is_elem AND a.end_pos > a.pos AND ({owner_pred}) GROUP BY a.page_id, a.pos)")
 
 
 def text_cte(name: str, owner_pred: str, member: str = "t.kind IN ('text', 'raw')",

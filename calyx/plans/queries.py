@@ -196,14 +196,12 @@ def parent_element(spark, sf):
                     T.clean("own_text").alias("own_text"))
 
 
-@register("inner_markup", NODES + ", " + O.text_cte(
-    "x", "a.tag = 'article'", member="true",
-    piece=O.serialised("t.tok")) + """
+@register("inner_markup", NODES + ", " + O.markup_ctes("a.tag IN ('article', 'p', 'nav')") + """
 SELECT page_id, pos, raw AS html, len(string_split(raw, '<br/>')) AS n_parts FROM x""")
 def inner_markup(spark, sf):
-    """H18 + T10: inner markup of each article (``<br>`` serialised as
-    ``<br/>``) and the number of pieces split on ``<br/>``."""
-    m = H.inner_html(nodes(spark, sf), H.sel(tag="article"))
+    """H18 + T10: inner markup of articles, menus and the paragraphs inside them, as a serialiser writes it, and the
+    number of pieces split on ``<br/>``."""
+    m = H.inner_html(nodes(spark, sf), H.sel(tag="article") | H.sel(tag="p") | H.sel(tag="nav"))
     return m.select("page_id", F.col("pos").cast("long").alias("pos"), "html",
                     F.size(T.split_literal("html", "<br/>")).cast("long").alias("n_parts"))
 
@@ -821,3 +819,97 @@ from . import rendered  # noqa: E402
 
 QUERIES.update(rendered.QUERIES)
 ORACLE.update(rendered.ORACLE)
+
+
+# ------------------------------------------------------------------ T15, L11, A3, S3 over whole tables
+
+_CAPITALS = "[A-Z][a-z]+|[0-9]+"
+
+
+@register("match_positions", f"""
+WITH z AS (SELECT doc_id, unnest(list_zip(regexp_split_to_array(text, '{_CAPITALS}')[:len(h)], h)) AS z, unnest(range(len(h))) AS match_no
+           FROM (SELECT doc_id, text, regexp_extract_all(text, '{_CAPITALS}') AS h FROM documents)),
+e AS (SELECT doc_id, match_no, z[2] AS match, sum(length(z[1]) + length(z[2])) OVER (PARTITION BY doc_id ORDER BY match_no) AS e FROM z)
+SELECT doc_id, match_no, CAST(e - length(match) AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", match FROM e""")
+def match_positions(spark, sf):
+    """T15 (and the base of W2): start and end of every match in every document."""
+    return T.match_positions(table(spark, sf, "documents"), ["doc_id"], "text", _CAPITALS)
+
+
+# A site of one page a part: every page links to two pages further down, the one before it (a cycle), a page
+# that never landed and itself; pages of keys divisible by 7 link to the first one only.
+_SITE_URL = "'https://site.example/p/' || p_partkey"
+_SITE_EDGES = """
+n AS (SELECT max(p_partkey) AS n FROM part),
+e AS (SELECT DISTINCT p_partkey AS src, unnest(CASE WHEN p_partkey % 7 = 0 THEN [1] ELSE [p_partkey * 2, p_partkey * 3 + 1, p_partkey - 1, p_partkey] END) AS dst FROM part),
+g AS (SELECT src, dst FROM e WHERE src <> dst AND dst IN (SELECT p_partkey FROM part))"""
+
+
+@register("crawl_levels", f"""
+WITH RECURSIVE {_SITE_EDGES},
+r(page_id, level) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey = 1
+    UNION SELECT g.dst, r.level + 1 FROM r JOIN g ON g.src = r.page_id WHERE r.level < 60),
+f AS (SELECT page_id, min(level) AS level FROM r GROUP BY page_id)
+SELECT f.page_id, f.level, min(p.page_id) AS parent FROM f LEFT JOIN (g JOIN f p ON p.page_id = g.src)
+  ON g.dst = f.page_id AND p.level = f.level - 1 AND f.level > 0 GROUP BY f.page_id, f.level""")
+def crawl_levels(spark, sf):
+    """L11 + J3 + J6: links of rendered pages -> link graph -> levels of a crawl from the first page to its fixed point."""
+    p = table(spark, sf, "part").select("p_partkey")
+    down = F.expr("concat('<ul><li><a href=\"', p_partkey * 2, '#top\">two</a><li><a href=\"./', p_partkey * 3 + 1, '\">three</a><li><a href=/p/', p_partkey - 1, "
+                  "'>back</a><li><a href=\"#me\">me</a><li><a href=\"/gone/', p_partkey, '\">gone</a></ul>')")
+    html = F.when(F.col("p_partkey") % 7 == 0, F.lit("<p><a href='https://site.example/p/1'>home</a>")).otherwise(down)
+    pages = IO.staged(p.select(F.col("p_partkey").cast("long").alias("page_id"), F.concat(F.lit("https://site.example/p/"), "p_partkey").alias("url"), html.alias("html")), "site")
+    links = H.shred(pages, select={"link": [{"tag": "a"}]}, keep=["url"], cluster=False).filter("link").select("page_id", "url", H.attr("href").alias("href"))
+    return L.crawl_levels(L.link_edges(links, pages), pages.filter("url = 'https://site.example/p/1'"))
+
+
+@register("ids_two_landings", """
+WITH k AS (SELECT p_brand AS brand, p_type AS type, min(p_partkey) AS o, min(CASE WHEN p_size % 3 = 0 THEN p_partkey END) AS o1 FROM part GROUP BY ALL),
+a AS (SELECT *, row_number() OVER (ORDER BY o1, brand, type) AS id, 0 AS landing FROM k WHERE o1 IS NOT NULL),
+b AS (SELECT *, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY o, brand, type) AS id, 1 AS landing FROM k WHERE o1 IS NULL)
+SELECT brand, type, CAST(id AS BIGINT) AS id, landing FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
+def ids_two_landings(spark, sf):
+    """A3 + J1 over landings: a second landing with all rows leaves the first one's ids as they are; the second one is run twice."""
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), "p_partkey", "p_size")
+    path = IO.scratch_path(spark, "registry")
+    first = D.register_landing(path, 0, p.filter("p_size % 3 = 0"), ["brand", "type"], ["p_partkey"], base=1)
+    D.register_landing(path, 1, p, ["brand", "type"], ["p_partkey"], base=1)
+    ids = D.register_landing(path, 1, p, ["brand", "type"], ["p_partkey"], base=1)
+    was = first.select("brand", "type", F.lit(0).alias("_was"))
+    return ids.join(was, ["brand", "type"], "left").select("brand", "type", "id", F.when(F.col("_was").isNull(), 1).otherwise(0).alias("landing"))
+
+
+# Payloads whose members change their type between rows.
+_PAYLOAD = """concat('{"id":', o_orderkey, ',"crossList":', CASE o_orderkey % 6 WHEN 0 THEN 'null' WHEN 1 THEN '"A1"' WHEN 2 THEN '[1,"two",null]'
+  WHEN 3 THEN '{"code":"B2","n":3}' WHEN 4 THEN '17' ELSE 'true' END, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat(',"seats":',
+  CASE WHEN o_orderkey % 3 = 0 THEN concat('"', o_orderkey % 50, '"') ELSE cast(o_orderkey % 50 as varchar(9)) END) END, ',"note":"', o_orderpriority, '"}')"""
+_BODY = f"CASE WHEN o_orderkey % 11 = 0 THEN '[1,2]' WHEN o_orderkey % 13 = 0 THEN 'no json' ELSE {_PAYLOAD} END"
+
+
+@register("payload_members", f"""
+WITH b AS (SELECT o_orderkey, {_BODY} AS body FROM orders),
+j AS (SELECT o_orderkey, body FROM b WHERE json_valid(body) AND json_type(body) = 'OBJECT')
+SELECT o_orderkey, e.key, CASE e.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean'
+  WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, CAST(e.value AS VARCHAR) AS value, TRY_CAST(json_extract_string(j.body, '$.seats') AS BIGINT) AS seats
+FROM j, json_each(j.body) e""")
+def payload_members(spark, sf):
+    """S3 without a schema: members that are scalars, objects or arrays by turns; rows that hold no object are left out. ``seats`` is
+    read as a number whether it came as one or as text."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.expr(_BODY.replace("varchar(9)", "string")).alias("body"))
+    v = S.variant_payload(o, "body")
+    return S.payload_members(v.withColumn("seats", S.member("payload", "$.seats", "bigint")), "payload", ["o_orderkey", "seats"]).select(
+        "o_orderkey", "key", "kind", "value", "seats")
+
+
+@register("payload_report", f"""
+WITH b AS (SELECT {_BODY} AS body FROM orders)
+SELECT count(*) FILTER (WHERE json_valid(body)) AS n_payloads, count(*) FILTER (WHERE CASE WHEN json_valid(body) THEN json_type(body) = 'OBJECT' END) AS n_objects,
+  true AS mixed FROM b""")
+def payload_report(spark, sf):
+    """S3: the schema that all payloads fit; members (and here the payloads) of changing type stay VARIANT."""
+    o = table(spark, sf, "orders").select(F.expr(_BODY.replace("varchar(9)", "string")).alias("body"))
+    v = S.variant_payload(o, "body").filter("payload is not null").withColumn("object", F.when(S.variant_kind("payload") == "object", F.col("payload")))
+    r = v.agg(
+        F.count("payload").alias("n_payloads"), F.count("object").alias("n_objects"), F.schema_of_variant_agg("payload").alias("s"), F.schema_of_variant_agg("object").alias("o"))
+    mixed = (F.col("s") == "VARIANT") & F.col("o").contains("crossList: VARIANT") & F.col("o").contains("id: BIGINT") & F.col("o").contains("note: STRING")
+    return r.select("n_payloads", "n_objects", mixed.alias("mixed"))

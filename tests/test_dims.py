@@ -59,3 +59,23 @@ def test_dense_ids_repeatable(spark):
     a = D.dense_ids(df, ["o"], name="i", partition=["k"], partitions=5).select("k", "o", "i")
     b = D.dense_ids(df, ["o"], name="i", partition=["k"], partitions=9).select("k", "o", "i")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_ids_of_later_landings_go_on(spark, tmp_path):
+    def landing(rows):
+        return spark.createDataFrame(rows, "k string, at long")
+
+    path = str(tmp_path / "registry")
+    one = D.register_landing(path, 0, landing([("b", 1), ("a", 2), ("b", 3), (None, 4)]), ["k"], ["at"], base=10)
+    assert sorted(map(tuple, one.collect()), key=str) == sorted([("b", 10), ("a", 11), (None, 12)], key=str)
+    more = landing([("z", 1), ("a", 2), (None, 3), ("c", 0), ("z", 0), ("b", 0), ("c", 9)])
+    for _ in range(2):   # running a landing again changes nothing
+        two = D.register_landing(path, 1, more, ["k"], ["at"], base=10)
+        assert sorted(map(tuple, two.collect()), key=str) == sorted([("b", 10), ("a", 11), (None, 12), ("c", 13), ("z", 14)], key=str)
+    three = D.register_landing(path, 2, landing([("a", 1)]), ["k"], ["at"], base=10)   # nothing new
+    assert three.count() == 5
+    four = D.register_landing(path, 3, landing([("q", 1)]), ["k"], ["at"], base=10)
+    assert {r["k"]: r["id"] for r in four.collect()}["q"] == 15
+    empty = D.register_landing(str(tmp_path / "empty"), 0, landing([]), ["k"], ["at"])
+    assert empty.collect() == []
+    assert [tuple(r) for r in D.register_landing(str(tmp_path / "empty"), 1, landing([("x", 1)]), ["k"], ["at"], base=3).collect()] == [("x", 3)]

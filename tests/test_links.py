@@ -55,3 +55,42 @@ def test_link_dedup_first_wins(spark):
     assert inpage == [(1, "/a", 2, "y", 2), (2, "/a", 1, "z", 1)]
     glob = L.dedup_links_global(lk.withColumn("host", F.lit("x.org")), ["host", "href"], ["page_id", "pos"]).collect()
     assert [(r["page_id"], r["pos"], r["label"], r["n_seen"]) for r in glob] == [(1, 2, "y", 3)]
+
+
+def plain_levels(edges, seeds):
+    out, now, k = {s: (0, None) for s in seeds}, set(seeds), 0
+    while now:
+        k += 1
+        nxt = {}
+        for a, b in edges:
+            if a in now and b not in out and a != b:
+                nxt[b] = min(nxt.get(b, a), a)
+        out.update({b: (k, a) for b, a in nxt.items()})
+        now = set(nxt)
+    return sorted((p, *x) for p, x in out.items())
+
+
+def test_crawl_reaches_its_fixed_point(spark, monkeypatch):
+    import random
+    rng = random.Random(3)
+    monkeypatch.setattr(L, "_LEVELS", 3)
+    chain = [(i, i + 1) for i in range(9)] + [(9, 0), (4, 4), (200, 0)]
+    hub = [(5, i) for i in range(20, 60)] + [(i, 5) for i in range(20, 60)] + [(rng.randrange(20, 60), rng.randrange(20, 90)) for _ in range(60)]
+    edges = chain + hub + chain
+    e = spark.createDataFrame(edges, "src long, dst long")
+    seeds = spark.createDataFrame([(0,), (0,)], "page_id long")
+    got = L.crawl_levels(e, seeds)
+    assert got.columns == ["page_id", "level", "parent"]
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == plain_levels(edges, [0])
+    monkeypatch.setattr(L, "LOOKUP_ROWS", 0)
+    two = spark.createDataFrame([(3,), (200,)], "page_id long")
+    assert sorted(map(tuple, L.crawl_levels(e, two).collect()), key=lambda r: r[0]) == plain_levels(edges, [3, 200])
+    assert sorted(r["level"] for r in L.crawl_levels(e, seeds, most=2).collect()) == [0, 1, 2]
+    assert L.crawl_levels(e, seeds.limit(0)).collect() == []
+
+
+def test_link_graph_of_landed_pages(spark):
+    pages = spark.createDataFrame([(1, "https://x.org/a"), (2, "https://x.org/b"), (9, "https://x.org/b")], "page_id long, url string")
+    links = spark.createDataFrame([(1, "https://x.org/a", "b#x"), (1, "https://x.org/a", "/b"), (1, "https://x.org/a", "/gone"),
+                                   (2, "https://x.org/b", "https://x.org/a"), (2, "https://x.org/b", "#here")], "page_id long, url string, href string")
+    assert sorted(map(tuple, L.link_edges(links, pages).collect())) == [(1, 2), (2, 1), (2, 2)]

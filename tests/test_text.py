@@ -87,3 +87,28 @@ def test_references_of_html5(spark):
     d = spark.createDataFrame(list(cases.items()), "t string, want string")
     got = d.select("t", "want", T.decode_entities("t").alias("a"), T.decode_entities(F.col("t")).alias("b")).collect()
     assert [(r.t, r.a, r.b) for r in got if not r.a == r.b == r.want] == []
+
+
+def test_positions_of_all_matches(spark):
+    import re
+    from calyx.functions import text as T
+    texts = ["", None, "a1bb22é333", "no digits", "12", "😀 7 😀 88", "9" * 10, "x1" * 5]
+    many = "ab1 " * 100_000
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate([*texts, many])], "doc_id long, text string, start string")
+    got = T.match_positions(df, ["doc_id"], "text", "[0-9]+")
+    assert got.columns == ["doc_id", "match_no", "start", "end", "match"]
+    want = [(i, k, m.start(), m.end(), m[0]) for i, t in enumerate([*texts, many]) for k, m in enumerate(re.finditer("[0-9]+", t or ""))]
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_members_of_untyped_payloads(spark):
+    from calyx.operators import sections as S
+    rows = [(1, '{"a":1,"b":[1,{"c":2}]}'), (2, '{"a":"x","b":{"c":null}}'), (3, "[1]"), (4, "no"), (5, None), (6, '{"a":null,"d":true}'), (7, "{}"), (8, '{"a":2.5}')]
+    v = S.variant_payload(spark.createDataFrame(rows, "id long, body string"), "body")
+    got = sorted(map(tuple, S.payload_members(v, "payload", ["id"]).collect()))
+    assert got == [(1, "a", "number", "1"), (1, "b", "array", '[1,{"c":2}]'), (2, "a", "string", '"x"'), (2, "b", "object", '{"c":null}'),
+                   (6, "a", "null", "null"), (6, "d", "boolean", "true"), (8, "a", "number", "2.5")]
+    a = {r.id: r.a for r in v.select("id", S.member("payload", "$.a", "double").alias("a")).collect()}
+    assert a == {1: 1.0, 2: None, 3: None, 4: None, 5: None, 6: None, 7: None, 8: 2.5}
+    r = S.payload_report(v, "payload").collect()[0]
+    assert r.n_payloads == 6 and r.schema == "VARIANT"

@@ -10,7 +10,7 @@ global window, so no single task holds a whole dimension.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
@@ -86,6 +86,33 @@ def ordered_distinct(df: DataFrame, keys: list[str], value: str, order: str, nam
     return g.select(*keys, F.col(f"_l.{value}").alias(name))
 
 
+def ordered_parts(df: DataFrame, keys: list[str], value: str, order: str, name: str, size: int = 1000) -> DataFrame:
+    """A2 for keys of any size: the distinct values of a key in first-seen order, in parts of ``size``: (*keys, part, name).
+
+    Positions come from ``dense_ids`` within the key, so a key that holds most values is ranked by many tasks, and no
+    array is longer than ``size``; the parts one after the other are the array of ``ordered_distinct``.
+    """
+    first = df.groupBy(*keys, value).agg(F.min(order).alias("_o"))
+    at = dense_ids(first, ["_o", value], name="_at", partition=keys)
+    g = at.groupBy(*keys, F.floor(F.col("_at") / size).cast("long").alias("part")).agg(F.sort_array(F.collect_list(F.struct("_at", value))).alias("_l"))
+    return g.select(*keys, "part", F.col(f"_l.{value}").alias(name))
+
+
+def land_firsts(path: str, landing: int, df: DataFrame, keys: list[str], order: list[str], count: str = "n_copies") -> None:
+    """D1 / L8 over landings: keep the first row of each key of one landing (a micro-batch) under ``path``. Each landing
+    overwrites its own folder only, so a replay changes nothing, and a key that was seen before costs one row."""
+    first_per_key(df, keys, order, count).write.mode("overwrite").parquet(f"{path.rstrip('/')}/landing={landing}")
+
+
+def merged_firsts(spark: SparkSession, path: str, keys: list[str], order: list[str], count: str = "n_copies") -> DataFrame:
+    """The survivors of all landings under ``path``: the same rows, and numbers of copies, as one batch run gives, whatever the
+    split into landings and whatever their order."""
+    rows = spark.read.parquet(path).drop("landing")
+    whole = [c for c in rows.columns if c != count]
+    g = rows.groupBy(row_key(keys).alias("_key")).agg(F.min_by(F.struct(*whole), F.struct(*order)).alias("_f"), F.sum(count).alias(count))
+    return g.select("_f.*", count)
+
+
 def subject_dim(courses: DataFrame, name_col: str = "SubjectName", code_col: str = "courseCode",
                 desc_col: str = "SubjectDescription", order: str = "ord",
                 partition: list[str] = (), base: int = 0) -> DataFrame:

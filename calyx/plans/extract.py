@@ -18,7 +18,7 @@ from ..sources import io as IO
 PID = H.PID
 
 
-def staged_nodes(pages: DataFrame) -> DataFrame:
+def staged_nodes(pages: DataFrame, select: dict[str, list] | None = None, scopes: list[str] = ()) -> DataFrame:
     """The node table of ``pages``, computed once and written to the shared
     folder as Parquet, bucketed by ``page_id``.
 
@@ -29,13 +29,14 @@ def staged_nodes(pages: DataFrame) -> DataFrame:
     windows downstream still need no exchange).
 
     The buckets follow the bytes of the pages. A subset of pages (a filter, a
-    semi-join, a union) has no known size, so it is written first.
+    semi-join, a union) has no known size, so it is written first. ``select`` and ``scopes`` mark
+    selectors in the same pass (see ``html.shred``).
     """
     pages = pages.select(PID, "html")
     if scan_bytes(pages, plain=True) is None:
         pages = IO.staged(pages, "pages")
     n = clustered_partitions(pages)
-    return IO.land_bucketed(H.shred(pages, partitions=n, reopen=True), f"calyx_nodes_{uuid.uuid4().hex}", PID, n)
+    return IO.land_bucketed(H.shred(pages, partitions=n, reopen=True, select=select, scopes=scopes), f"calyx_nodes_{uuid.uuid4().hex}", PID, n)
 
 
 def marked(pages: DataFrame, select: dict[str, list], scopes: list[str] = ()) -> DataFrame:

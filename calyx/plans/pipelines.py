@@ -407,29 +407,31 @@ def outline_courses(pages: DataFrame, index_url: Column | str, base: str = P9_BA
         "index_page", "prog_pos", F.col("pos").cast("long").alias("olink_pos"), F.col("href").alias("Link"),
         F.coalesce("SubjectName", F.lit("")).alias("SubjectName"))
     op = _pages_at(pages, pairs, "Link")
-    on = staged_nodes(pages.join(op.select(PID), PID, "left_semi"))
-    h1 = selection_text(texts(on, sel(tag="h1"))).select(PID, F.col("value").alias("h1all"))
-    sd = texts(on, sel(tag="strong")).filter(clean("text") == "Subject Description")
-    sd = sd.groupBy(PID).agg(F.min_by("parent", "pos").alias("par"))
-    el = on.filter("is_elem")
-    sib = H.siblings(el).select(PID, F.col("pos").alias("par"), F.col("next_pos").alias("pnext"),
-                                F.col("parent").alias("gpar"))
-    sd = sd.join(sib, [PID, "par"], "left")
-    want = sd.select(PID, F.col("par").alias("pos")).union(sd.select(PID, F.col("pnext").alias("pos")))
-    tx = texts(at_positions(on, want.filter(F.col("pos").isNotNull())), F.col("_at")).select(PID, "pos", "text")
-    # only the wanted grandparents own spans
-    at = at_positions(on, sd.select(PID, F.col("gpar").alias("pos")).filter(F.col("pos").isNotNull()), "_gpar")
-    spans = scoped_texts(at, F.col("_gpar"), sel(tag="span"))
-    sp_g = spans.groupBy(PID).agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY pos)").alias("span_t"))
-    d = (sd.join(tx.withColumnRenamed("pos", "par").withColumnRenamed("text", "pt"), [PID, "par"], "left")
-           .join(tx.withColumnRenamed("pos", "pnext").withColumnRenamed("text", "nt"), [PID, "pnext"], "left")
-           .join(sp_g, PID, "left"))
+    h1 = [{"tag": "h1"}]
+    on = staged_nodes(pages.join(op.select(PID), PID, "left_semi"),
+                      {"h1": h1, "hp": [*h1, {"tag": "p"}], "strong": [{"tag": "strong"}], "span": [{"tag": "span"}]}, ["h1", "hp", "strong", "span"])
+    tx = IO.staged(marked_texts(on, ["h1", "hp", "strong", "span"], parent=F.col("parent")), "outline-texts")
+    label = (F.col("field") == "strong") & (clean("text") == "Subject Description")
+    page = tx.groupBy(PID).agg(joined_text("h1", name="h1all"), joined_text("hp"), F.min_by(F.when(label, F.col("parent")), F.when(label, F.col("pos"))).alias("par"))
+    # the label's parent, the element after it and the one around it, each by its extent
+    pos, end, par = F.col("pos"), F.col("end"), F.col("par")
+    ext = lambda hit: F.max(F.when(hit, F.struct("pos", "end")))
+    at = on.filter("is_elem").join(page.filter("par is not null").select(PID, "par"), PID).groupBy(PID).agg(
+        ext(pos == par).alias("p"), ext(F.col("prev") == par).alias("n"), ext((pos < par) & (end > par)).alias("g"))
+    at = IO.staged(at, "outline-extents")
+    piece = F.when(F.col("kind") == "raw", H.raw_text()).otherwise(F.col("tok"))
+    inside = lambda e: F.coalesce((pos > F.col(f"{e}.pos")) & (pos < F.col(f"{e}.end")), F.lit(False))
+    d = on.filter(F.col("kind").isin("text", "raw")).join(at, PID).filter(inside("p") | inside("n"))
+    d = d.select(PID, "pos", F.when(inside("p"), piece).alias("pt"), F.when(inside("n"), piece).alias("nt"))
+    written = lambda c: decode_entities(F.expr(f"coalesce(listagg({c}, '') WITHIN GROUP (ORDER BY pos), '')")).alias(c)
+    d = d.groupBy(PID).agg(written("pt"), written("nt"))
+    sp = tx.filter("field = 'span'").join(at, PID).filter(inside("g")).groupBy(PID).agg(joined_text("span", name="span_t"))
+    d = at.select(PID).join(d, PID, "left").join(sp, PID, "left")
     d1 = clean(non_ascii(remove_first(F.coalesce("pt", F.lit("")), "Subject Description"), " "))
     d2 = clean(F.coalesce("nt", F.lit("")))
     d3 = clean(non_ascii(F.coalesce("span_t", F.lit("")), ""))
     d = d.select(PID, first_nonempty(d1, d2, d3).alias("description"))
-    nm = selection_text(texts(on, sel(tag="h1"), sel(tag="p"))).select(PID, clean("value").alias("_nm"))
-    c = op.join(h1, PID, "left").join(d, PID, "left").join(nm, PID, "left")
+    c = op.join(page.select(PID, "h1all", clean("hp").alias("_nm")), PID, "left").join(d, PID, "left")
     no_outline = F.coalesce(F.col("h1all"), F.lit("")).contains("No Subject Outline could be found.")
     nmv = F.coalesce("_nm", F.lit(""))
     c = c.select("index_page", "prog_pos", "olink_pos",
@@ -797,7 +799,7 @@ def export(courses: DataFrame) -> tuple[DataFrame, DataFrame]:
     return c, subj.drop("_first")
 
 
-def courses_json(courses: DataFrame) -> DataFrame:
+def courses_json(courses: DataFrame, keep: list[str] = ()) -> DataFrame:
     """K1/K3/K8: the JSON shape of a course: hidden fields dropped, omitempty
     fields NULL when empty (the writer then leaves them out), an enrollment only
     where the source has one, and subject 0 before ids are given."""
@@ -805,7 +807,7 @@ def courses_json(courses: DataFrame) -> DataFrame:
     own = courses if "subjectid" in have else courses.withColumn("subjectId", F.lit(0).cast("long"))
     enrollment = F.col(have["enrollment"]) if "enrollment" in have else F.lit(None).cast(ENROLLMENT)
     return own.select(*[(F.nullif(F.col(c), F.lit("")) if c in OMIT_EMPTY else F.col(c)).alias(c)
-                        for c in COURSE_JSON], enrollment.alias("enrollment"))
+                        for c in COURSE_JSON], enrollment.alias("enrollment"), *keep)
 
 
 def subjects_json(subjects: DataFrame) -> DataFrame:
@@ -814,14 +816,18 @@ def subjects_json(subjects: DataFrame) -> DataFrame:
                            F.nullif(F.coalesce("description", F.lit("")), F.lit("")).alias("description"))
 
 
-def write_export(courses: DataFrame, out: str, prefix: str) -> tuple[DataFrame, DataFrame]:
+def write_export(courses: DataFrame, out: str, prefix: str, rows_per_file: int | None = None) -> tuple[DataFrame, DataFrame]:
     """K1-K3: ``<prefix>-raw`` (rows before ids), ``<prefix>-subjects`` and
-    ``<prefix>-courses`` as JSON lines under ``out``."""
+    ``<prefix>-courses`` as JSON lines under ``out``. With ``rows_per_file`` the courses lie in a folder for each
+    source, in files of at most that many rows."""
     courses = IO.staged(courses, f"{prefix}-rows")   # computed once; the rest reads it back
     c, s = export(courses)
     IO.write_json(courses_json(courses), f"{out}/{prefix}-raw", omit_empty=False)
     IO.write_json(subjects_json(s), f"{out}/{prefix}-subjects", omit_empty=False)
-    IO.write_json(courses_json(c), f"{out}/{prefix}-courses", omit_empty=False)
+    if rows_per_file:
+        IO.write_json_by(courses_json(c, ["source"]), f"{out}/{prefix}-courses", ["source"], rows_per_file, omit_empty=False)
+    else:
+        IO.write_json(courses_json(c), f"{out}/{prefix}-courses", omit_empty=False)
     return c, s
 
 

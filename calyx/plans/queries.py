@@ -913,3 +913,37 @@ def payload_report(spark, sf):
         F.count("payload").alias("n_payloads"), F.count("object").alias("n_objects"), F.schema_of_variant_agg("payload").alias("s"), F.schema_of_variant_agg("object").alias("o"))
     mixed = (F.col("s") == "VARIANT") & F.col("o").contains("crossList: VARIANT") & F.col("o").contains("id: BIGINT") & F.col("o").contains("note: STRING")
     return r.select("n_payloads", "n_objects", mixed.alias("mixed"))
+
+
+@register("first_wins_landings", """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn,
+                  count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events)
+SELECT user_id, event_type, event_id, n AS n_copies FROM r WHERE rn = 1""")
+def first_wins_landings(spark, sf):
+    """D1 + L8 over landings: three landings, the latest rows first, give the survivors of one run; one is replayed."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+    path = IO.scratch_path(spark, "firsts")
+    for landing in (2, 0, 1, 2):
+        D.land_firsts(path, landing, e.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == landing), ["user_id", "event_type"], ["ts", "event_id"])
+    return D.merged_firsts(spark, path, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "n_copies")
+
+
+@register("ordered_parts", """
+WITH f AS (SELECT l_returnflag, l_partkey, min(l_orderkey * 8 + l_linenumber) AS o FROM lineitem GROUP BY ALL),
+a AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY o, l_partkey) - 1 AS i FROM f)
+SELECT l_returnflag, CAST(i // 500 AS BIGINT) AS part, string_agg(l_partkey, ',' ORDER BY i) AS parts FROM a GROUP BY ALL""")
+def ordered_parts(spark, sf):
+    """A2 of hot keys: the distinct parts of each return flag in first-seen order, in arrays of at most 500."""
+    li = table(spark, sf, "lineitem").select("l_returnflag", "l_partkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("o"))
+    p = D.ordered_parts(li, ["l_returnflag"], "l_partkey", "o", "keys", size=500)
+    return p.select("l_returnflag", "part", F.array_join("keys", ",").alias("parts"))
+
+
+@register("export_by_source", "SELECT p_partkey, p_name, p_brand AS source, p_size FROM part")
+def export_by_source(spark, sf):
+    """K3 + K8: rows written as JSON in a folder for each source, in files of bounded size, and read back whole."""
+    p = table(spark, sf, "part").select("p_partkey", "p_name", F.col("p_brand").alias("source"), "p_size")
+    out = IO.scratch_path(spark, "by-source")
+    IO.write_json_by(p, out, ["source"], rows_per_file=1000)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.schema.fields)
+    return IO.read_json_records(spark, out, kinds)

@@ -79,3 +79,33 @@ def test_ids_of_later_landings_go_on(spark, tmp_path):
     empty = D.register_landing(str(tmp_path / "empty"), 0, landing([]), ["k"], ["at"])
     assert empty.collect() == []
     assert [tuple(r) for r in D.register_landing(str(tmp_path / "empty"), 1, landing([("x", 1)]), ["k"], ["at"], base=3).collect()] == [("x", 3)]
+
+
+def test_first_wins_whatever_the_split(spark, tmp_path):
+    import random
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["hot", "hot", "a", "b", None]), rng.randrange(40), f"v{i}") for i in range(200)]
+    whole = D.first_per_key(spark.createDataFrame(rows, "id long, k string, at long, v string"), ["k"], ["at", "id"])
+    want = sorted(map(tuple, whole.collect()), key=str)
+    for seed in (1, 2):
+        path = str(tmp_path / f"s{seed}")
+        parts = [[r for r in rows if (r[0] * 7 + seed) % 4 == n] for n in range(4)]
+        rng.shuffle(parts)
+        for n in (0, 1, 2, 1, 3):   # the second landing is replayed
+            D.land_firsts(path, n, spark.createDataFrame(parts[n], "id long, k string, at long, v string"), ["k"], ["at", "id"])
+        assert sorted(map(tuple, D.merged_firsts(spark, path, ["k"], ["at", "id"]).collect()), key=str) == want
+
+
+def test_hot_key_is_ranked_by_many_tasks_into_bounded_parts(spark):
+    rows = spark.range(0, 4000).select(F.when(F.col("id") % 10 > 0, "").otherwise(F.concat(F.lit("s"), F.col("id") % 3)).alias("subject"),
+                                       F.concat(F.lit("c"), F.col("id") % 1500).alias("code"), (4000 - F.col("id")).alias("ord"))
+    parts = D.ordered_parts(rows, ["subject"], "code", "ord", "codes", size=100)
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan.split("Scan parquet")[0] or "_tid" in plan      # ranks come from the tasks, not from one window a subject
+    got = parts.collect()
+    assert max(len(r["codes"]) for r in got) <= 100 and sum(r["subject"] == "" for r in got) > 10
+    whole = {r["subject"]: r["codes"] for r in D.ordered_distinct(rows, ["subject"], "code", "ord", "codes").collect()}
+    joined = {}
+    for r in sorted(got, key=lambda r: (r["subject"], r["part"])):
+        joined.setdefault(r["subject"], []).extend(r["codes"])
+    assert joined == whole

@@ -189,3 +189,23 @@ def test_p11_from_text_file_and_p1_writer(spark, tmp_path):
     P.write_section_export(s, out)
     t = spark.read.json(f"{out}/sections-terms")
     assert rows(t, "TermID", "TermName") == [(1, "Winter 2023"), (2, "Fall 2023")]
+
+
+def test_courses_by_source_in_files_of_bounded_size(spark, tmp_path):
+    import glob
+    import json
+
+    from pyspark.sql import functions as F
+
+    from calyx.sources import io as IO
+    big = spark.range(0, 1000).select(F.col("id"), F.lit("big").alias("source"), F.when(F.col("id") % 2 == 0, "x").otherwise("").alias("note"))
+    rows = big.unionByName(spark.range(0, 30).select(F.col("id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.lit("y").alias("note"))).repartition(7)
+    IO.write_json_by(rows, str(tmp_path / "o"), ["source"], rows_per_file=100)
+    files = {s: glob.glob(str(tmp_path / "o" / f"source={s}" / "*.json")) for s in ("big", "s0", "s1", "s2")}
+    assert 10 <= len(files["big"]) <= 16 and all(len(files[s]) == 1 for s in ("s0", "s1", "s2"))
+    lines = [json.loads(x) for f in files["big"] for x in open(f)]
+    assert len(lines) == 1000 and max(sum(1 for _ in open(f)) for f in files["big"]) <= 100
+    assert all(("note" in x) == (x["id"] % 2 == 0) and "source" not in x for x in lines)
+    back = IO.read_json_records(spark, str(tmp_path / "o"), "id long, source string, note string").select("id", "source", "note").fillna("")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    IO.write_json_by(rows.limit(0), str(tmp_path / "none"), ["source"])

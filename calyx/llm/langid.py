@@ -35,14 +35,22 @@ UNKNOWN = "und"
 HELD = 1 << 20
 
 #: Characters that ``\w`` takes for a word's, and ``\d`` not for digits, though they are numbers: fractions, superscripts, Roman numerals.
-_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_NUMBERS = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def lowered(text: str) -> str:
+    """A text in lower case, with such numbers as spaces; few texts hold any."""
+    low = text.lower()
+    if not low.isascii() and not _NUMBERS.isdisjoint(low):
+        low = "".join(" " if c in _NUMBERS else c for c in low)
+    return low
 
 
 def ngrams(text: str) -> np.ndarray:
     """Codes of all n-grams of the words of a text, with repeats: up to three
     code points of 21 bits each; a space stands for a word's edge."""
-    s = " " + _OTHER.sub(" ", text.lower()).strip() + " "
+    s = " " + _OTHER.sub(" ", lowered(text)).strip() + " "
     if len(s) < 3:
         return np.empty(0, np.int64)
     c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)

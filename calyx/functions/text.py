@@ -143,7 +143,10 @@ def newline_to_space(c: ColumnOrName) -> Column:
 
 def strip_trailing_paren(c: ColumnOrName) -> Column:
     """Drop a trailing ``(..)`` that starts on the last line (``\\s*\\(.*$``)."""
-    return F.regexp_replace(_c(c), f"{WS}*\\([^\\n]*\\z", "")
+    c = _c(c)
+    last = F.substring_index(c, "\n", -1)
+    at = F.instr(last, "(")
+    return F.when(at > 0, F.rtrim(F.left(c, F.length(c) - F.length(last) + at - 1), F.lit("\t\n\f\r "))).otherwise(c)
 
 
 def trim_prefix(c: ColumnOrName, prefix: str) -> Column:

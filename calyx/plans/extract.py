@@ -36,7 +36,7 @@ def staged_nodes(pages: DataFrame, select: dict[str, list] | None = None, scopes
     if scan_bytes(pages, plain=True) is None:
         pages = IO.staged(pages, "pages")
     n = clustered_partitions(pages)
-    return IO.land_bucketed(H.shred(pages, partitions=n, reopen=True, select=select, scopes=scopes), f"calyx_nodes_{uuid.uuid4().hex}", PID, n)
+    return IO.land_bucketed(H.shred(pages, partitions=n, reopen=True, select=select, scopes=scopes), f"calyx_nodes_{uuid.uuid4().hex}", PID, n, keep=False)
 
 
 def marked(pages: DataFrame, select: dict[str, list], scopes: list[str] = ()) -> DataFrame:

@@ -62,19 +62,23 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def land_bucketed(df: DataFrame, name: str, key: str = "page_id", buckets: int | None = None,
-                  path: str | None = None) -> DataFrame:
+                  path: str | None = None, keep: bool = True) -> DataFrame:
     """Land pages (or documents) once as a table bucketed and sorted by
     ``key`` in the shared folder, and return its scan.
 
     Every per-page (per-document) window downstream then runs without any
-    shuffle: the scan reports the hash partitioning on ``key``.
+    shuffle: the scan reports the hash partitioning on ``key``. Without ``keep`` the catalogue forgets the table at
+    once (its files stay, and the scan that is returned knows them).
     """
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     where = path or scratch_path(spark, f"table-{name}")
     (df.write.mode("overwrite").bucketBy(n, key).sortBy(key)
      .option("path", where).saveAsTable(name))
-    return spark.table(name)
+    scan = spark.table(name)
+    if not keep:
+        spark.sql(f"DROP TABLE {name}")
+    return scan
 
 
 # -------------------------------------------------------------------- sinks

@@ -316,10 +316,14 @@ def densest(tree: Tree, cut: list[bool]) -> str:
         for k in range(1, size):
             if holder[k] == k and k not in on_path and holder[tree.parent[k]] in on_path and holder[tree.parent[k]] != best:
                 keep[k] = density[k] >= limit and 2 * lchars[k] < chars[k]
+    whole = list(keep)
     for k in range(1, size):
+        whole[k] = (whole[k] or whole[tree.parent[k]]) and not cut[k]
         keep[k] = (keep[k] or keep[tree.parent[k]]) and not cut[k]
         if keep[k] and not around and tree.tag[k] not in TEXTS and holder[k] == k and 2 * lchars[k] > chars[k] and density[k] < limit:
             keep[k] = False
+    if not any(text and text.strip() and keep[node] for node, text, _ in tree.parts):
+        keep = whole  # a page of links
     lines, line = [], []
     for node, text, _ in tree.parts:
         if text is None:

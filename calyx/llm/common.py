@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d
-    if not spark.conf.get("spark.master", "").startswith("local["):
+    if spark.conf.get("spark.master", "").split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     d = tempfile.mkdtemp(prefix="calyx-llm-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", d)

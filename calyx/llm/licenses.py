@@ -78,7 +78,7 @@ def templates() -> list[Template]:
 
 def words_of(text: Column) -> Column:
     """Words in lower case; the one other character whose lower case is in A-Z is put out of the way."""
-    return F.array_remove(F.split(F.lower(F.replace(text, F.lit("K"), F.lit("é"))), BETWEEN, -1), "")
+    return F.array_remove(F.split(F.lower(F.replace(text, F.lit("\u212a"), F.lit("é"))), BETWEEN, -1), "")
 
 
 def grams(words: Column, k: int) -> Column:

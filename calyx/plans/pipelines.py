@@ -525,20 +525,23 @@ def detail_courses(pages: DataFrame, listing_url: str, page_url: str = P4_PAGE_U
 # The site base and the course-code pattern.
 P6_BASE = "https://courses.students.ubc.ca"
 P6_CODE = r"^([A-Z]+)\s*(\d.*)"
-def _p6_row() -> Column:
-    return sel(tag="tr", attr_prefix={"class": "section"})
+def _p6_select(href_prefix: str | None = None) -> dict[str, list]:
+    """The marked selectors of a table page: its course rows, their cells, and the cells with their links."""
+    row = {"tag": "tr", "attr_prefix": {"class": "section"}}
+    link = {"tag": "a", "attr_prefix": {"href": href_prefix}} if href_prefix else {"tag": "a"}
+    return {"row": [row], "cell": [row, {"tag": "td"}], "td": [{"tag": "td"}], "link": [{"tag": "td"}, link]}
 
 
-def _row_cells(nodes: DataFrame, href_prefix: str | None = None) -> DataFrame:
+_P6_SCOPES = ["row", "cell", "td"]
+
+
+def _row_cells(nodes: DataFrame) -> DataFrame:
     """Cells of ``tr[class^=section]`` rows: (page_id, owner, i, text,
     href of the first matching link in the cell)."""
-    td = sel(tag="td")
-    cells = scoped_texts(nodes, _p6_row(), td)
+    cells = marked_texts(nodes, ["cell"], rows=F.col("in_row")).select(PID, "pos", "text", F.explode("rows").alias("owner"))
     cells = cells.withColumn("i", F.row_number().over(Window.partitionBy(PID, "owner").orderBy("pos")) - 1)
-    a = sel(tag="a", attr_prefix={"href": href_prefix}) if href_prefix else sel(tag="a")
-    links = owner_of(nodes, td, a).join(nodes.select(PID, "pos", "tok"), [PID, "pos"])
-    first = links.groupBy(PID, "owner").agg(F.min_by(H.attr("href"), "pos").alias("href")) \
-                 .withColumnRenamed("owner", "pos")
+    first = nodes.filter("link").select(PID, F.col("pos").alias("at"), H.attr("href").alias("href"), F.explode("in_td").alias("pos")) \
+                 .groupBy(PID, "pos").agg(F.min_by("href", "at").alias("href"))
     return cells.join(first, [PID, "pos"], "left")
 
 
@@ -546,21 +549,20 @@ def table_courses(pages: DataFrame, start_url: Column | str, base: str = P6_BASE
     """Subject rows (cells by position, F2) -> subject page (description
     = element before the first pagination div; course rows) -> course page
     (``h4+p`` description, first "Pre-reqs:" / "Equivalents:" paragraph)."""
-    n0 = staged_nodes(_at(pages, start_url))
-    c0 = _row_cells(n0)
+    c0 = _row_cells(staged_nodes(_at(pages, start_url), _p6_select(), _P6_SCOPES))
     rows = c0.groupBy(PID, "owner").agg(
         F.max(F.when(F.col("i") == 0, utrim("text"))).alias("code"),
         F.max(F.when(F.col("i") == 0, F.concat(F.lit(base), F.coalesce("href", F.lit(""))))).alias("link"),
         F.max(F.when(F.col("i") == 1, utrim("text"))).alias("SubjectName"))
     rows = rows.filter((F.coalesce("code", F.lit("")) != "") & (F.col("link") != base)) \
                .select(F.col(PID).alias("start_page"), F.col("owner").cast("long").alias("row_pos"), "link", "SubjectName")
-    p1 = _pages_at(pages, rows, "link")
-    n1 = staged_nodes(pages.join(p1.select(PID), PID, "left_semi"))
-    el = H.siblings(n1.filter("is_elem"))
-    pag = el.filter(sel(tag="div", cls="pagination")).groupBy(PID).agg(F.min_by("prev_pos", "pos").alias("pos"))
+    p1 = IO.staged(_pages_at(pages, rows, "link"), "subjects")
+    n1 = staged_nodes(pages.join(p1.select(PID).distinct(), PID, "left_semi"),
+                      {**_p6_select("/cs/courseschedule?pname="), "pag": [{"tag": "div", "cls": "pagination"}]}, _P6_SCOPES)
+    pag = n1.filter("pag").groupBy(PID).agg(F.min_by("prev", "pos").alias("pos"))
     dtx = texts(at_positions(n1, pag.filter(F.col("pos").isNotNull())), F.col("_at"))
     desc = dtx.select(PID, clean("text").alias("SubjectDescription"))
-    c1 = _row_cells(n1, "/cs/courseschedule?pname=")
+    c1 = _row_cells(n1)
     cr = c1.groupBy(PID, "owner").agg(
         F.max(F.when(F.col("i") == 0, F.concat(F.lit(base), F.coalesce("href", F.lit(""))))).alias("clink"),
         F.max(F.when(F.col("i") == 0, clean("text"))).alias("_t0"),
@@ -569,20 +571,17 @@ def table_courses(pages: DataFrame, start_url: Column | str, base: str = P6_BASE
                    _x(F.coalesce("_t0", F.lit("")), P6_CODE, 1).alias("courseCode"),
                    _x(F.coalesce("_t0", F.lit("")), P6_CODE, 2).alias("numericCode"))
     lvl1 = cr.join(p1.select(PID, "start_page", "row_pos", "SubjectName"), PID).join(desc, PID, "left").drop(PID)
-    p2 = _pages_at(pages, lvl1, "clink", "left", "p2")
-    n2 = staged_nodes(pages.join(p2.select(F.col("p2").alias(PID)), PID, "left_semi"))
-    e2 = H.siblings(n2.filter("is_elem"))
-    hp = e2.filter((F.col("tag") == "p") & (F.col("prev_tag") == "h4")).select(PID, "pos")
-    hpt = texts(at_positions(n2, hp), F.col("_at"))
-    dsc = selection_text(hpt, name="description")
-    mp = texts(n2, sel(tag="div", attr_eq={"role": "main"}), sel(tag="p")).withColumn("tx", clean("text"))
+    p2 = IO.staged(_pages_at(pages, lvl1, "clink", "left", "p2"), "courses")
+    n2 = marked(pages.join(p2.select(F.col("p2").alias(PID)).distinct(), PID, "left_semi"),
+                {"after": [{"tag": "h4"}, ("+", {"tag": "p"})], "main": [{"tag": "div", "attr_eq": {"role": "main"}}, {"tag": "p"}]}, ["after", "main"])
+    tx = marked_texts(n2, ["after", "main"]).withColumn("tx", clean("text"))
 
     def first_prefixed(prefix, name):
-        hit = F.col("tx").startswith(prefix)
+        hit = (F.col("field") == "main") & F.col("tx").startswith(prefix)
         return F.min_by(F.when(hit, utrim(trim_prefix("tx", prefix))), F.when(hit, F.col("pos"))).alias(name)
-    pq = mp.groupBy(PID).agg(first_prefixed("Pre-reqs:", "prerequisite"),
-                             first_prefixed("Equivalents:", "oneWayExclusion"))
-    c = p2.join(dsc.withColumnRenamed(PID, "p2"), "p2", "left").join(pq.withColumnRenamed(PID, "p2"), "p2", "left")
+    pq = tx.groupBy(F.col(PID).alias("p2")).agg(joined_text("after", name="description"), first_prefixed("Pre-reqs:", "prerequisite"),
+                                                first_prefixed("Equivalents:", "oneWayExclusion"))
+    c = p2.join(pq, "p2", "left")
     return course_frame(c, "tables", ["start_page", "row_pos", "crow_pos"])
 
 
@@ -659,20 +658,25 @@ def catalog_courses(pages: DataFrame, index_url: Column | str) -> DataFrame:
     ab = op.filter((F.col("_i") > 1) & H.has_attr("value")).select(
         F.col(PID).alias("index_page"), F.col("pos").cast("long").alias("abbr_pos"), H.attr("value").alias("abbr"))
     ab = ab.withColumn("lurl", F.concat(F.lit(P3_LISTING[0]), F.col("abbr"), F.lit(P3_LISTING[1])))
-    lp = _pages_at(pages, ab, "lurl")
-    n1 = staged_nodes(pages.join(lp.select(PID), PID, "left_semi"))
-    st = texts(n1, sel(tag="table", cls="table_default"), sel(tag="td", attr_eq={"colspan": "2"}), sel(tag="strong"))
-    subj = first_of(st, "text", "SubjectName", last=True)
-    a = n1.filter(sel(tag="a", attr_prefix={"href": "preview_course_nopop.php?catoid="}))
+    lp = IO.staged(_pages_at(pages, ab, "lurl"), "prefixes")
+    n1 = staged_nodes(pages.join(lp.select(PID).distinct(), PID, "left_semi"), {
+        "subject": [{"tag": "table", "cls": "table_default"}, {"tag": "td", "attr_eq": {"colspan": "2"}}, {"tag": "strong"}],
+        "course": [{"tag": "a", "attr_prefix": {"href": "preview_course_nopop.php?catoid="}}]}, ["subject"])
+    subj = first_of(marked_texts(n1, ["subject"]), "text", "SubjectName", last=True)
     u = L.resolve_url(F.lit(P3_BASE), H.attr("href"))
-    a = a.select(PID, F.col("pos").cast("long").alias("link_pos"),
+    a = n1.filter("course").select(PID, F.col("pos").cast("long").alias("link_pos"),
                  F.format_string(P3_DETAIL, L.query_param(u, "catoid"), L.query_param(u, "coid"),
                                  F.lit(P3_OPTIONS)).alias("clink"))
     rows = a.join(subj, PID, "left").join(lp.select(PID, "index_page", "abbr_pos"), PID).drop(PID)
-    dp = _pages_at(pages, rows, "clink", "left")
-    n2 = staged_nodes(pages.join(dp.select(PID), PID, "left_semi"))
-    h3 = selection_text(texts(n2, sel(tag="h3"))).select(PID, utrim("value").alias("h3"))
-    c = dp.join(h3, PID, "left").join(document_html(n2), PID, "left").join(document_text(n2), PID, "left")
+    dp = IO.staged(_pages_at(pages, rows, "clink", "left"), "courses")
+    # heading, markup and text of a page in one grouping
+    e = H.markup_events(marked(pages.join(dp.select(PID).distinct(), PID, "left_semi"), {"h3": [{"tag": "h3"}]}, ["h3"]))
+    said = F.when(F.col("ord") == 1, F.when(F.col("kind") == "raw", H.raw_text()).when(F.col("kind") == "text", F.col("tok")))
+    e = e.select(PID, "at", "ord", "inner", "piece", said.alias("said"), F.when(F.size("in_h3") > 0, said).alias("heading"))
+    joined = lambda c: decode_entities(F.expr(f"coalesce(listagg({c}, '') WITHIN GROUP (ORDER BY at), '')"))
+    page = e.groupBy(PID).agg(F.expr("listagg(piece, '') WITHIN GROUP (ORDER BY at, ord, inner)").alias("doc_html"),
+                              joined("said").alias("doc_text"), utrim(joined("heading")).alias("h3"))
+    c = dp.join(page, PID, "left")
     h3c, hh, tt = (F.coalesce(x, F.lit("")) for x in ("h3", "doc_html", "doc_text"))
     c = c.select("index_page", "abbr_pos", "link_pos", F.coalesce("SubjectName", F.lit("")).alias("SubjectName"),
                  _x(h3c, P3_H3, 1).alias("courseCode"), _x(h3c, P3_H3, 2).alias("numericCode"),

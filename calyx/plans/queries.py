@@ -21,6 +21,7 @@ from ..operators import sections as S
 from ..operators import segment as G
 from ..sources import io as IO
 from . import oracle as O
+from .extract import joined_text, marked_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -744,23 +745,11 @@ FROM nt GROUP BY page_id, cpos""")
 def heading_container_next(spark, sf):
     """Containers (``article``) whose headings (``h1``) contain a word
     -> text of the element after each such heading (the "Overview" rule)."""
-    n = H.mark_path(nodes(spark, sf), H.sel(tag="article"), H.sel(tag="h1"), name="_h")
-    # the element after a heading is marked on its own row, so nothing is joined
-    w = Window.partitionBy("page_id", "parent", "is_elem").orderBy("pos")
-    n = n.withColumn("_next", F.col("is_elem") & F.coalesce(F.lag("_h").over(w), F.lit(False)))
-    n = n.withColumn("_hpos", F.when(F.col("_next"), F.lag("pos").over(w)).when(F.col("_h"), F.col("pos")))
-    want = F.col("_h") | F.col("_next")
-    t = H.element_text(n, want).select("page_id", "pos", "_h", "_next", "_hpos", "text")
-    own = H.owned_tokens(n, H.sel(tag="article"), want).filter(~F.col("is_owner")).select("page_id", "pos", "owner")
-    # rows of one element meet by a grouping that the page partitioning already satisfies
-    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    both = t.select("*", none("owner", "int")).unionByName(own.select(
-        "page_id", "pos", none("_h", "boolean"), none("_next", "boolean"), none("_hpos", "int"), none("text", "string"), "owner"))
-    e = both.groupBy("page_id", "pos").agg(F.collect_list("owner").alias("owners"), *[F.max(c).alias(c) for c in ("_h", "_next", "_hpos", "text")])
-    e = e.select("page_id", F.explode("owners").alias("owner"), "_h", "_next", "_hpos", "text")
-    g = e.groupBy("page_id", "owner").agg(
-        F.expr("listagg(CASE WHEN _h THEN text END, '') WITHIN GROUP (ORDER BY _hpos)").alias("_t"),
-        F.expr("listagg(CASE WHEN _next THEN text END, '') WITHIN GROUP (ORDER BY _hpos)").alias("_n"))
+    h1 = [{"tag": "article"}, {"tag": "h1"}]
+    n = H.shred(IO.read_pages(spark, f"{sf}/pages.parquet"), select={"box": h1[:1], "h": h1, "after": [*h1, ("+", {})]}, scopes=["box", "h", "after"], cluster=False)
+    t = marked_texts(n, ["h", "after"], boxes=F.col("in_box"), end=F.col("end")).filter("end > pos")
+    g = t.select("page_id", "field", "pos", "text", F.explode("boxes").alias("owner")).groupBy("page_id", "owner").agg(
+        joined_text("h", name="_t"), joined_text("after", name="_n"))
     g = g.filter(F.col("_t").contains("The") & F.col("_n").isNotNull())
     return g.select("page_id", F.col("owner").cast("long").alias("pos"), T.clean("_n").alias("next_text"))
 

@@ -1,6 +1,6 @@
 """Element tree and selectors in one ordered pass over a page's tokens (H2, H8).
 
-A page is one row with its token array (``html.tokens_of``). ``fold`` goes over the tokens once with the stack of open
+A page is one row with its token array (``html.shred``). ``fold`` goes over the tokens once with the stack of open
 elements, so no sort and no window is needed, and a page's nodes stay in its row until they are inlined. Selectors are
 compiled to one automaton: every step is a bit, the bits that an element matches are carried down the stack
 (descendant, child) and along siblings (adjacent), and for chosen selectors each node gets the positions of all
@@ -25,13 +25,15 @@ The tree (deviations from the HTML standard's tree builder are stated here):
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from ..session import small_batches
+
 # Fixed values (HTML standard): formatting elements; elements that bound the reach of an end tag; parts of a table; headings.
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 BOUNDS = frozenset("table td th caption template object applet marquee button html".split())
@@ -211,26 +213,40 @@ class Page:
         return self
 
 
+#: Nodes that are held as Python objects before they are handed on, a whole page at least; bytes of an Arrow batch of pages.
+NODES, BATCH_BYTES = 50_000, 16 << 20
+
+
 def fold(selectors: dict[str, list], scopes: list[str], rules: dict, again: bool) -> Callable:
-    """The nodes of pages from the arrays of their tokens' codes, tags and matched steps."""
+    """The nodes of pages from the arrays of their tokens' codes, tags and matched steps.
+
+    An Arrow batch may hold thousands of pages: they are taken out of it one by one, and their nodes go back to Spark whenever there are ``NODES``.
+    """
     auto = Automaton(selectors, scopes)
+    names = [x.split(":")[0] for x in _ROW.split(",")] + [f"in_{s}" for s in scopes]
+    types = [pa.int32()] * 4 + [pa.string(), pa.int32(), pa.int64()]
 
-    def nodes(codes: pa.Array, tags: pa.Array, bits: pa.Array, size: pa.Array) -> pa.Array:
-        rows, owners, ends = [], [], [0]
-        flat = [x.flatten().to_pylist() for x in (codes, tags, bits)]
-        at = 0
-        for n in size.to_pylist():
-            p = Page(auto, rules, again).read(*(x[at:at + n] for x in flat))
-            at += n
-            rows += p.rows
-            owners += p.owners
-            ends.append(len(rows))
+    def listed(rows: list, owners: list, ends: list) -> pa.Array:
         columns = list(zip(*rows)) if rows else [()] * 7
-        types = [pa.int32()] * 4 + [pa.string(), pa.int32(), pa.int64()]
         arrays = [pa.array(c, t) for c, t in zip(columns, types)] + [pa.array([o[k] for o in owners], pa.list_(pa.int32())) for k in range(len(scopes))]
-        names = [x.split(":")[0] for x in _ROW.split(",")] + [f"in_{s}" for s in scopes]
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, names))
 
+    def nodes(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for *arrays, size in batches:
+            flat = [x.flatten() for x in arrays]
+            rows, owners, ends, at = [], [], [0], 0
+            for n in size.to_pylist():
+                p = Page(auto, rules, again).read(*(x.slice(at, n).to_pylist() for x in flat))
+                at += n
+                rows += p.rows
+                owners += p.owners
+                ends.append(len(rows))
+                if len(rows) >= NODES:
+                    yield listed(rows, owners, ends)
+                    rows, owners, ends = [], [], [0]
+            if len(ends) > 1:
+                yield listed(rows, owners, ends)
+
     kind = ",".join([_ROW, *(f"in_{s}:array<int>" for s in scopes)])
     return arrow_udf(nodes, f"array<struct<{kind}>>")
 
@@ -241,6 +257,7 @@ def folded(pages: DataFrame, selectors: dict[str, list], scopes: list[str], rule
 
     ``matches(simple, token, tag)`` says whether a start tag matches one step of a selector.
     """
+    small_batches(pages.sparkSession, BATCH_BYTES)
     steps = Automaton(selectors, scopes).steps
     none = F.lit(0).cast("long")
 

@@ -74,6 +74,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def small_batches(spark: SparkSession, size: int) -> None:
+    """Arrow batches of at most ``size`` bytes (a row at least), where the session doesn't set it: Spark's own limit
+    counts rows only, and 10,000 pages can be any size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(size))
+
+
 # Bytes of stored (compressed) pages or documents per task: a page's token
 # rows take many times the space, and several sorts hold them.
 CLUSTER_TARGET_BYTES = 16 * 1024 * 1024

@@ -99,3 +99,36 @@ def test_scan_prunes_columns(spark):
     x = H.tokens(pages, cluster=False).select("page_id", "tag")
     plan = x._jdf.queryExecution().executedPlan().toString()
     assert "url" not in plan.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_batches_of_pages_are_folded_in_bounded_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    from calyx.operators import tree as T
+    monkeypatch.setattr(T, "NODES", 100)
+    codes = [[T.OPEN, T.TEXT, T.CLOSE] * (i % 7) for i in range(300)] + [[T.OPEN] * 500, [], [T.TEXT]]
+    tags = [["li" if c != T.TEXT else "" for c in page] for page in codes]
+    bits = [[int(c == T.OPEN) for c in page] for page in codes]
+    arrays = pa.array(codes, pa.list_(pa.int32())), pa.array(tags, pa.list_(pa.string())), pa.array(bits, pa.list_(pa.int64())), pa.array([len(x) for x in codes], pa.int32())
+    f = T.fold({"li": [{"tag": "li"}]}, ["li"], H._RULES, True).func
+    out = list(f(iter([arrays, tuple(a.slice(4, 9) for a in arrays), tuple(a.slice(0, 0) for a in arrays)])))
+    assert all(len(x.flatten()) < 100 + 18 or len(x.flatten()) < 100 + 500 and len(x[-1]) == 500 for x in out) and len(out) > 15
+    got = [page for x in out for page in x.to_pylist()]
+    alone = [next(f(iter([tuple(a.slice(i, 1) for a in arrays)]))).to_pylist()[0] for i in range(len(codes))]
+    assert got == alone + alone[4:13]
+
+
+def test_batches_of_pages_are_bounded_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    try:
+        spark.conf.unset(key)
+        H.shred(pages)
+        assert 0 < int(spark.conf.get(key)) <= 64 << 20
+        spark.conf.set(key, "12345")   # what the session says holds
+        n = H.shred(pages).count()
+        assert spark.conf.get(key) == "12345"
+        spark.conf.set(key, "100000000")
+        assert H.shred(pages).count() == n
+    finally:
+        spark.conf.unset(key)

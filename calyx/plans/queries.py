@@ -19,6 +19,7 @@ from ..operators import html as H
 from ..operators import links as L
 from ..operators import sections as S
 from ..operators import segment as G
+from ..session import spread
 from ..sources import io as IO
 from . import oracle as O
 from .extract import joined_text, marked_texts
@@ -849,7 +850,7 @@ def crawl_levels(spark, sf):
                   "'>back</a><li><a href=\"#me\">me</a><li><a href=\"/gone/', p_partkey, '\">gone</a></ul>')")
     html = F.when(F.col("p_partkey") % 7 == 0, F.lit("<p><a href='https://site.example/p/1'>home</a>")).otherwise(down)
     pages = IO.staged(p.select(F.col("p_partkey").cast("long").alias("page_id"), F.concat(F.lit("https://site.example/p/"), "p_partkey").alias("url"), html.alias("html")), "site")
-    links = H.shred(pages, select={"link": [{"tag": "a"}]}, keep=["url"], cluster=False).filter("link").select("page_id", "url", H.attr("href").alias("href"))
+    links = H.shred(spread(pages, "page_id", "html"), select={"link": [{"tag": "a"}]}, keep=["url"], cluster=False).filter("link").select("page_id", "url", H.attr("href").alias("href"))
     return L.crawl_levels(L.link_edges(links, pages), pages.filter("url = 'https://site.example/p/1'"))
 
 

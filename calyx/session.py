@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Settings that matter at any scale: AQE re-plans shuffles at runtime
 # (coalesces small partitions, splits skewed join partitions), the UI
@@ -116,6 +117,17 @@ def cluster_by(df, key: str, partitions: int | None = None):
     return df.repartition(partitions or clustered_partitions(df), key)
 
 
+def spread(df, key: str, text: str):
+    """A written table dealt over tasks by ``key`` for a pass over its column ``text``: a task for each
+    ``CLUSTER_TARGET_BYTES`` of it as it is in memory, and the shuffle partitions at least.
+
+    A table read back has a task for each of its files at most, and few files where what wrote it read few: pages that
+    are alike are small as files, whatever a pass over them takes.
+    """
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return df.repartition(max(shuffle_partitions(df.sparkSession), -(-size // CLUSTER_TARGET_BYTES)), key)
+
+
 def scan_bytes(df, plain: bool = False) -> int | None:
     """Bytes of the files when ``df`` is a file scan under projections and
     filters only (``plain``: under projections only); None otherwise.

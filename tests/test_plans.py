@@ -132,3 +132,20 @@ def test_batches_of_pages_are_bounded_by_bytes(spark):
         assert H.shred(pages).count() == n
     finally:
         spark.conf.unset(key)
+
+
+def test_crawled_pages_are_dealt_over_tasks_whatever_their_files(spark, monkeypatch, tmp_path):
+    import calyx.session as S
+    from calyx.plans import queries as Q
+    spark.range(1, 400, 1, 1).selectExpr("id as p_partkey").write.parquet(f"{tmp_path}/part.parquet")   # one file
+    monkeypatch.setattr(S, "CLUSTER_TARGET_BYTES", 4096)
+    seen, shred = [], Q.H.shred
+    monkeypatch.setattr(Q.H, "shred", lambda pages, *a, **k: seen.append(pages) or shred(pages, *a, **k))
+    got = Q.QUERIES["crawl_levels"](spark, str(tmp_path)).collect()
+    size = sum(len(r["html"]) for r in seen[0].collect())
+    assert seen[0].rdd.getNumPartitions() == -(-size // 4096) > S.shuffle_partitions(spark)
+    edges = [(k, d) for k in range(1, 400) for d in ([1] if k % 7 == 0 else [2 * k, 3 * k + 1, k - 1, k]) if 0 < d < 400]
+    from .test_links import plain_levels
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == plain_levels(edges, [1])
+    none = spark.createDataFrame([], "page_id long, html string")
+    assert S.spread(none, "page_id", "html").count() == 0

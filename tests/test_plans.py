@@ -118,6 +118,31 @@ def test_batches_of_pages_are_folded_in_bounded_pieces(spark, monkeypatch):
     assert got == alone + alone[4:13]
 
 
+def test_a_long_page_is_folded_in_little_memory(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from calyx.operators import tree as T
+    n = 60_000
+    codes, tags, bits = [T.OPEN, T.TEXT, T.CLOSE] * (n // 3), ["li", "", "li"] * (n // 3), [1, 0, 0] * (n // 3)
+    arrays = pa.array([codes], pa.list_(pa.int32())), pa.array([tags], pa.list_(pa.string())), pa.array([bits], pa.list_(pa.int64())), pa.array([n], pa.int32())
+    f = T.fold({"li": [{"tag": "li"}]}, ["li"], H._RULES, True).func
+    tracemalloc.start()
+    try:
+        (out,) = f(iter([arrays]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    nodes = out.flatten()
+    assert len(nodes) == n and peak < 200 * n
+    assert nodes.slice(n - 4, 4).to_pylist() == [
+        {"src": n - 4, "end": n - 4, "level": 1, "parent": None, "parent_tag": "", "prev": n - 6, "hits": 0, "in_li": []},
+        {"src": n - 3, "end": n - 1, "level": 1, "parent": None, "parent_tag": "", "prev": n - 6, "hits": 1, "in_li": []},
+        {"src": n - 2, "end": n - 2, "level": 2, "parent": n - 3, "parent_tag": "li", "prev": None, "hits": 0, "in_li": [n - 3]},
+        {"src": n - 1, "end": n - 1, "level": 1, "parent": None, "parent_tag": "", "prev": n - 3, "hits": 0, "in_li": []}]
+
+
 def test_batches_of_pages_are_bounded_by_bytes(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     pages = spark.read.parquet(f"{SF}/pages.parquet")

@@ -7,6 +7,7 @@ after white space at which a token starts in both encodings. White space ends
 every pre-token of this vocabulary and no normalisation step reaches across it,
 so the tokens before and after such a position are those of the whole text.
 Without a common boundary the overlap is doubled, up to the rest of the text.
+A normalisation step that changes no token is left out of the tokenizer.
 
 Null and empty texts have 0 tokens. Nothing is truncated. Repeated rows are
 counted each by itself; an empty table gives an empty result.
@@ -14,6 +15,7 @@ counted each by itself; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,16 +27,39 @@ CHUNK, OVERLAP = 1 << 16, 1 << 9
 #: Positions after these are boundaries that no token or normalisation crosses.
 STABLE = frozenset(" \t\n\r\x0b\x0c")
 
+#: Fixed values (of the tokenizer files): the step that makes white space one space, steps that may stand beside it, and a
+#: pattern of pre-tokens that holds no white space.
+ONE_SPACE = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+BESIDE = frozenset(("NFC", "NFD", "Lowercase"))
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _LOADED: dict = {}
 
 
+def without_idle_steps(spec: dict) -> dict:
+    """A tokenizer file without the step that makes runs of white space one space, where it changes no token.
+
+    That is so where pre-tokens are the matches of ``WORDS``: all white space lies between them, is dropped whatever it is, and
+    separates them as one space would. No other step reaches across it, and no added token is looked for in normalised text.
+    """
+    norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = norm.get("normalizers") or []
+    first = (pre.get("pretokenizers") or [pre])[0]
+    words = first.get("type") == "Split" and first["pattern"] == {"Regex": WORDS} and first["behavior"] == "Removed" and first["invert"]
+    rest = [s for s in steps if s != ONE_SPACE]
+    if not words or any(s["type"] not in BESIDE for s in rest) or any(t["normalized"] for t in spec.get("added_tokens") or []):
+        return spec
+    return {**spec, "normalizer": {**norm, "normalizers": rest}} if steps else spec
+
+
 def tokenizer(path: str):
     """The tokenizer of a file, loaded once per Python process."""
     if path not in _LOADED:
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        t = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            t = Tokenizer.from_str(json.dumps(without_idle_steps(json.load(f))))
         t.no_padding()
         t.no_truncation()
         _LOADED[path] = t

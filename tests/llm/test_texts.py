@@ -429,3 +429,33 @@ def test_splices(chunk, overlap):
     for _ in range(60):
         t = "".join(rng.choice(["the ", "word", " ", "\n", "x" * 30, "é", "<|endoftext|>", "don't", "42", "!?", " 😀"]) for _ in range(rng.randint(1, 200)))
         assert token_count.count_spliced(tok, t, chunk, overlap) == len(tok.encode(t, add_special_tokens=False))
+
+
+def test_steps_left_out_change_no_token():
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, lean = Tokenizer.from_file(path), token_count.tokenizer(path)
+    assert '"Replace"' in whole.to_str() and '"Replace"' not in lean.to_str()
+    rng = random.Random(8)
+    spaces = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+    other = ["a", "Bc", "'s", "don't", "12", "!?", "<|endoftext|>", "é", "́", "̈́", "İ", "Σ", "ẞ", "하", "日本", "😀", "Å", "\0"]
+    for _ in range(3000):
+        t = "".join(rng.choice(spaces if rng.random() < 0.5 else other) for _ in range(rng.randint(1, 12)))
+        a, b = (x.encode(t, add_special_tokens=False) for x in (whole, lean))
+        assert (a.ids, a.offsets) == (b.ids, b.offsets), ascii(t)
+
+
+@pytest.mark.parametrize("change", [
+    lambda s: s["pre_tokenizer"]["pretokenizers"][0].update(behavior="Isolated"),
+    lambda s: s["pre_tokenizer"]["pretokenizers"][0].update(pattern={"Regex": r"[^\p{L}]+"}),
+    lambda s: s["pre_tokenizer"]["pretokenizers"].pop(0),
+    lambda s: s.update(pre_tokenizer=None),
+    lambda s: s["added_tokens"][0].update(normalized=True),
+    lambda s: s["normalizer"]["normalizers"].append({"type": "Strip", "strip_left": True, "strip_right": True}),
+    lambda s: s.update(normalizer=None)])
+def test_steps_that_may_matter_stay(change):
+    import json
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    change(spec)
+    assert token_count.without_idle_steps(spec) == spec
